@@ -4,22 +4,69 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.packing import pack
+
+    path = public_tokenizers.path
+    return pack(documents(spark, sf_dir), path("byte_bpe_50k.json"), ranks=path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, with_ids=False)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.line_dedup import keep_bitmaps, kept_text
+
+    kept = keep_bitmaps(documents(spark, sf_dir), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(F.col("text"), F.col("keep")), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines
+), common AS (
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common c USING (k) GROUP BY doc_id
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.bpe import encode_digests
 
     return encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.packing import pack
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import quality
 
-    path = public_tokenizers.path
-    return pack(documents(spark, sf_dir), path("byte_bpe_50k.json"), ranks=path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, with_ids=False)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality(documents(spark, sf_dir), labels).withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.pii import pseudonymize
+
+    df = pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_pii", lambda x: x["kind"]))), ",")
+    return df.select("doc_id", "text", F.size("_pii").cast("long").alias("n_pii"), kinds.alias("kinds"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op7_bpe": op7_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op4_line_dedup": op4_line_dedup,
+    "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
+    "op10_pii": op10_pii,
+}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
