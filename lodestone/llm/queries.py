@@ -41,6 +41,20 @@ FROM keyed LEFT JOIN common c USING (k) GROUP BY doc_id
 """
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.media import digests
+
+    return digests(documents(spark, sf_dir))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.language import held_out, identify, train
+
+    docs = documents(spark, sf_dir)
+    found = identify(docs, train(docs, held_out(F.col("doc_id"))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.bpe import encode_digests
 
@@ -54,6 +68,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), labels).withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.pii import pseudonymize
 
@@ -64,9 +84,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_media": op3_media,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language": op5_language,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
+    "op9_html": op9_html,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
