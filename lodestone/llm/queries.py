@@ -41,6 +41,12 @@ FROM keyed LEFT JOIN common c USING (k) GROUP BY doc_id
 """
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.media import digests
 
@@ -84,6 +90,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_minhash": op2_minhash,
     "op3_media": op3_media,
     "op4_line_dedup": op4_line_dedup,
     "op5_language": op5_language,
