@@ -72,8 +72,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, all texts at once."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, A-Z in lower case, and where each text's words start (one more than texts)."""
     ends = np.cumsum([len(t) + 1 for t in texts])
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     power, inverse = _power_tables(len(raw) + 1)
@@ -82,10 +82,13 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     np.cumsum(_LOW[raw] * power[: len(raw)], out=sums[1:])
     edge = np.flatnonzero(np.diff(gap, prepend=True))
     start, end = edge[::2], edge[1::2]
-    if len(start) > len(end):
-        end = np.append(end, len(raw))
     word = _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _C[60])
-    at = np.searchsorted(start, np.concatenate([[0], ends]))
+    return word, np.searchsorted(start, np.concatenate([[0], ends]))
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, all texts at once."""
+    word, at = word_hashes(texts)
     n = max(0, len(word) - width + 1)
     shingle = np.zeros(n, np.uint64)
     for j in range(width if n else 0):

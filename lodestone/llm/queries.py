@@ -61,6 +61,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.lm import score
+
+    return score(documents(spark, sf_dir))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.bpe import encode_digests
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op3_media": op3_media,
     "op4_line_dedup": op4_line_dedup,
     "op5_language": op5_language,
+    "op6_lm": op6_lm,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_html": op9_html,
