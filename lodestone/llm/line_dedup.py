@@ -50,13 +50,13 @@ def kept_positions(bitmap: Column) -> Column:
     return F.flatten(F.transform(F.filter(runs, lambda r: r["keep"] & (r["at"] < r["end"])), lambda r: F.sequence(r["at"], r["end"] - 1)))
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, extra: tuple[str, ...] = ()) -> DataFrame:
     """Drops, in every document, all lines whose key stands in min_docs documents or more.
 
-    Returns doc_id, text, n_lines, n_dropped and keep, the bitmap.
+    Returns doc_id, text, n_lines, n_dropped and keep, the bitmap, and the columns named in extra.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *extra).alias("more"))
     keys = F.transform(lines_of(F.col("text")), lambda x: line_key(x))
     lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(keys).alias("pos", "key")).where(F.length("key") >= min_chars)
     lines = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "t", "pos")
@@ -70,9 +70,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     dropped = hits.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     left = docs.withColumn("t", F.xxhash64("text")).alias("a")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t"))
-    joined = left.join(dropped.alias("b"), same, "left").select("a.doc_id", "a.text", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    joined = left.join(dropped.alias("b"), same, "left").select("a.doc_id", "a.text", "a.more", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
     joined = joined.withColumn("n_lines", F.size(lines_of(F.col("text"))))
-    return joined.select("doc_id", "text", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), _bitmap(F.col("dropped"), F.col("n_lines")).alias("keep"))
+    return joined.select("doc_id", "text", F.col("n_lines").cast("long"), F.size("dropped").cast("long").alias("n_dropped"), _bitmap(F.col("dropped"), F.col("n_lines")).alias("keep"), *(F.col("more")[c].alias(c) for c in extra))
 
 
 def kept_text(text: Column, keep: Column) -> Column:
