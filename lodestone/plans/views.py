@@ -29,7 +29,7 @@ VIEWS = {
         FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",
     "connections": """
         SELECT a.fingerprint AS source, coalesce(b.fingerprint, 'ghost/g' || CAST(a.doc_id AS STRING) || '.js||x') AS target,
-          CASE WHEN a.doc_id % 2 = 0 THEN 'IMPORT' ELSE 'REQUIRE' END AS kind, './f' || CAST(a.doc_id * 3 + 1 AS STRING) AS specifier,
+          CASE WHEN a.doc_id % 2 = 0 THEN 'IMPORT' ELSE 'REQUIRE' END AS kind, coalesce('../../' || replace(substr(b.filepath, 5), '.js', ''), './missing' || CAST(a.doc_id AS STRING)) AS specifier,
           b.doc_id IS NOT NULL AS resolved, a.doc_id AS source_id, b.doc_id AS target_id
         FROM {registry} a LEFT JOIN {registry} b ON b.doc_id = a.doc_id * 3 + 1
         UNION ALL
