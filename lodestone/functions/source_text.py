@@ -36,13 +36,17 @@ IMPORTS = (
 )
 
 
+def _tagged(kind: str, pairs: Column) -> Column:
+    return F.transform(pairs, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("specifier"), x["n"].alias("names")))
+
+
 def imports(files: DataFrame) -> DataFrame:
     """path, ordinal, kind, specifier, names (as written) of files (path, text)."""
     text = without_comments(script_of(F.col("text"), F.col("path")))
     found = []
     for kind, pattern, spec, names in IMPORTS:
         named = _all(text, pattern, names) if names else F.transform(_all(text, pattern, spec), lambda x: F.lit(""))
-        found.append(F.transform(F.arrays_zip(_all(text, pattern, spec).alias("s"), named.alias("n")), lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x["s"].alias("specifier"), x["n"].alias("names"))))
+        found.append(_tagged(kind, F.arrays_zip(_all(text, pattern, spec).alias("s"), named.alias("n"))))
     return files.select("path", F.posexplode(F.concat(*found)).alias("ordinal", "_x")).select("path", "ordinal", "_x.*")
 
 

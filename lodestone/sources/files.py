@@ -25,8 +25,7 @@ mutationCount LONG, lastMutation STRUCT<type: STRING, actor: STRING, timestamp:
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = CODE, ignored: tuple[str, ...] = IGNORED, own: tuple[str, ...] = ("connection-state.json",)) -> DataFrame:
     """path (relative), bytes, modified, sha256, content of the source files below root."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    path = F.substring_index(F.col("path"), base, -1)
+    path = F.substring_index("path", root.rstrip("/") + "/", -1)
     df = df.withColumn("path", path)
     parts = F.split("path", "/")
     skip = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.isin(*ignored))
