@@ -35,7 +35,7 @@ from lodestone.llm.minhash import _groups, _utf8, word_hashes
 SHORTLIST, DIMENSIONS, NOISE, BATCH, RATE = 1024, 16, 48, 8192, 0.1
 #: Noise words to a token, in expectation: the EXACT most frequent words count by their probability, NOISE draws stand for the rest.
 RATIO, EXACT, DAMPING = 16.0, 48, 1e-7
-TOP, WARM_UP = 1 << 20, 1000
+TOP, WARM_UP = 1 << 17, 1000
 #: Ids of the class of all other tokens and of the end; the end also stands before the first token.
 OTHER, END = 0, 1
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -180,7 +180,7 @@ class Scorer:
 
     def batch(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """By text: n_tokens, known, sum of log10(c + 1) over tokens found in top, likewise for OTHER only, the model's part,
-        number of OTHER tokens; then the hashes of tokens not in top and the text each is of."""
+        number of OTHER tokens; then the distinct tokens not in top of each text: hash, times, text."""
         tokens, start = token_hashes(texts)
         words, at = np.unique(tokens, return_inverse=True)
         place = np.minimum(np.searchsorted(self.top, words), max(0, len(self.top) - 1))
@@ -192,7 +192,11 @@ class Scorer:
         logs = np.log10(count + 1.0)[at]
         sums = [np.add.reduceat(v, start[:-1]) for v in (found[at].astype(np.int64), logs, np.where(ids == OTHER, logs, 0.0), score, (ids == OTHER).astype(np.int64))]
         rare = np.flatnonzero(~found[at])
-        return np.diff(start), *sums, tokens[rare], np.searchsorted(start, rare, side="right") - 1
+        of, h = np.searchsorted(start, rare, side="right") - 1, tokens[rare]
+        order = np.lexsort((h, of))
+        of, h = of[order], h[order]
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])) if len(h) else np.zeros(0, np.int64)
+        return np.diff(start), *sums, h[new], np.diff(np.append(new, len(h))), of[new]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -266,14 +270,15 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
         for b in batches:
             texts = _utf8(b.column(1))
             for i, j in _groups(texts, 4 << 20):
-                n, known, logs, other_logs, part, others, rare, of = s.batch(texts[i:j])
+                n, known, logs, other_logs, part, others, rare, times, of = s.batch(texts[i:j])
                 cut_ = np.searchsorted(of, np.arange(j - i + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cut_, pa.int32()), pa.array(rare.view(np.int64)))
+                pairs = pa.StructArray.from_arrays([pa.array(rare.view(np.int64)), pa.array(times, pa.int64())], ["h", "times"])
+                lists = pa.ListArray.from_arrays(pa.array(cut_, pa.int32()), pairs)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), *map(pa.array, (n, known, logs, other_logs, part, others)), lists], ["doc_id", "held_out", "n_tokens", "known", "logs", "other_logs", "part", "others", "rare"])
 
-    seen = docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, other_logs double, part double, others long, rare array<long>")
+    seen = docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, other_logs double, part double, others long, rare array<struct<h:long,times:long>>")
     seen = cut(seen).withColumn("row", F.monotonically_increasing_id())  # of kept partitions: the same each time
-    tokens = seen.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
+    tokens = seen.select("row", F.inline("rare"))
     rare = tokens.join(counts, "h").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_logs"))
     df = seen.drop("rare").join(rare, "row", "left").na.fill(0, ["rare_known"]).na.fill(0.0, ["rare_logs"])
     return df.select(
