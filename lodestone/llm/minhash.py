@@ -7,10 +7,11 @@
    Signatures are compared by counting bits; the estimate is corrected for the chance agreement of low bits.
    Candidates within MARGIN of the threshold are confirmed by intersecting the full sets.
 3. Links join classes into components (smallest label, with pointer jumping).
-4. Buckets that still hold more than one component are searched in full: within a bucket every pair of different
-   components is compared by signature, and the likely ones are confirmed, in rounds of growing rank, until no
-   pair is left. Buckets over BUCKET rows are first refined by a second band key, which a pair over the threshold shares
-   as surely as it shared the first; those still larger are dealt out in pairs of blocks. No pair is given up.
+4. Buckets that still hold more than one component are searched in full: within a bucket every pair of classes of
+   different components is compared by signature, and the likely ones by their full sets, on the spot; only links
+   that join two components leave the bucket. A pair that shares several bands is looked at in the first. Buckets over
+   BUCKET rows or ITEMS shingles are first refined by a second band key, which a pair over the threshold shares as surely as it shared
+   the first; those still larger are dealt out in pairs of blocks. No pair is given up.
 
 Band keys: the most rows a band that leave a pair at the threshold unfound less often than MISS.
 
@@ -35,7 +36,8 @@ from lodestone.llm.common import cut, small_batches
 HASHES, BITS, MISS = 128, 4, 1e-6
 #: Five standard deviations of the estimate.
 MARGIN = 0.17
-BUCKET, WINDOW = 2048, 8
+#: Rows, and shingles, that one task may hold of a bucket.
+BUCKET, ITEMS = 4096, 1 << 23
 _WORDS = HASHES * BITS // 64
 _NONE = -(1 << 63)
 
@@ -187,11 +189,11 @@ def likeness(a: Column, b: Column) -> Column:
     return ((1 - different / HASHES) - chance) / (1 - chance)
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose full sets are similar enough."""
+def _items(need: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """v, items: the full sets of the nodes in need (v)."""
     small_batches(docs.sparkSession)
-    need = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct().join(nodes.select("v", "d", "k"), "v")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("d"), "text").join(need, "d").select("v", "k", "text")
+    named = need.join(nodes.select("v", "d", "k"), "v")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("d"), "text").join(named, "d").select("v", "k", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +204,12 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
                 v = [w.as_py() for w, ok in zip(b.column(0).slice(x, y - x), same) if ok]
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array([s.tobytes() for s, ok in zip(got, same) if ok], pa.binary())], ["v", "items"])
 
-    items = cut(texts.mapInArrow(sets, "v binary, items binary").dropDuplicates(["v"]))
+    return cut(texts.mapInArrow(sets, "v binary, items binary").dropDuplicates(["v"]))
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose full sets are similar enough."""
+    items = _items(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), nodes, docs, width)
     both = pairs.join(items.select(F.col("v").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("v").alias("b"), F.col("items").alias("y")), "b")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +217,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -232,59 +239,65 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _search(rows: DataFrame, least: float, percent: int, first: int, last: int) -> DataFrame:
-    """Pairs (a, b) of different components in groups g, of rank first to last - 1 by likeness among what a meets.
+def _search(rows: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) between roots of different components in groups g, enough to join all that are linked.
 
-    rows: g, side (0: both sides, 1 and 2: only against each other), v, root, n, s. A pair of nulls: ranks are left.
+    rows: g, side (0: both sides, 1 and 2: only against each other), band, band2 (-1: none), v, root, n, s, keys, items.
     """
 
     def group(t: pa.Table) -> pa.Table:
-        sig = np.array(t.column("s").to_pylist(), np.int64).view(np.uint64)
+        matrix = lambda c: np.array(t.column(c).to_pylist(), np.int64).view(np.uint64)
+        sig, keys, items = matrix("s"), matrix("keys"), t.column("items").to_pylist()
         n, side = t.column("n").to_numpy(), t.column("side").to_numpy()
-        v = t.column("v").to_pylist()
-        root = np.unique(np.array([x.hex() for x in t.column("root").to_pylist()]), return_inverse=True)[1]
-        left, right = (np.arange(len(v)),) * 2 if side.max() == 0 else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-        ones, a, b, more = np.uint64(0x1111111111111111), [], [], False
-        sizes = np.bincount(root, minlength=1)
-        main = sizes.argmax()
-        for i in left if side.max() else left[root[left] != main]:  # others against all: each pair has one such side
-            x = sig[right] ^ sig[i]
+        band, band2 = t.column("band")[0].as_py(), t.column("band2")[0].as_py()
+        names, root = np.unique(np.array([x.hex() for x in t.column("root").to_pylist()]), return_inverse=True)
+        whole = side.max() == 0
+        left = np.flatnonzero(root != np.bincount(root).argmax()) if whole else np.flatnonzero(side == 1)
+        right = np.arange(len(n)) if whole else np.flatnonzero(side == 2)
+        ones, links = np.uint64(0x1111111111111111), []
+        for i in left:  # those outside the largest component, against all: each pair has such a side
+            other = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            x = sig[other] ^ sig[i]
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             agree = 1 - np.bitwise_count(x & ones).sum(1) / HASHES
-            like = (agree - 2.0**-BITS) / (1 - 2.0**-BITS)
-            fit = (like >= least) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i])) & (right != i)
-            order = right[fit][np.argsort(-like[fit], kind="stable")]
-            more |= len(order) > last
-            for j in order[first:last]:
+            other = other[(agree - 2.0**-BITS) / (1 - 2.0**-BITS) >= least]
+            same = keys[other] == keys[i]
+            first = same.argmax(1) == band
+            if band2 >= 0:
+                same[:, band] = False
+                first &= same.argmax(1) == band2
+            mine = np.frombuffer(items[i], np.uint64)
+            for j in other[first]:
                 if root[i] != root[j]:
-                    a.append(min(v[i], v[j]))
-                    b.append(max(v[i], v[j]))
-        if more:
-            a.append(None)
-            b.append(None)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                    shared = len(np.intersect1d(mine, np.frombuffer(items[j], np.uint64), assume_unique=True))
+                    if 100 * shared >= percent * (n[i] + n[j] - shared):
+                        a, b = sorted((root[i], root[j]))
+                        links.append((a, b))
+                        root[root == b] = a
+        return pa.table({"a": pa.array([bytes.fromhex(names[a]) for a, _ in links], pa.binary()), "b": pa.array([bytes.fromhex(names[b]) for _, b in links], pa.binary())})
 
     return rows.groupBy("g").applyInArrow(group, "a binary, b binary").distinct()
 
 
 def _grouped(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows for _search() of the buckets (h, v, root) that hold several components; none has over 2 * BUCKET rows."""
-    mixed = lambda df, *key: df.groupBy(*key).agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").drop("r0", "r1")
+    """g, side, band, band2, v, root of the buckets (h, band, v, root) with several components; at most about 2 * BUCKET rows a g."""
+    load = F.ceil(F.greatest(F.count("*") / BUCKET, F.sum("n") / ITEMS)).cast("int").alias("m")  # tasks' worth of rows
+    mixed = lambda df, *key: df.groupBy(*key).agg(load, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").drop("r0", "r1")
     buckets = cut(rest.join(mixed(rest, "h"), "h"))
-    info = nodes.select("v", "n", "s")
-    small = buckets.where(F.col("m") <= BUCKET).select(F.xxhash64("h").alias("g"), F.lit(0).alias("side"), "v", "root")
-    large = buckets.where(F.col("m") > BUCKET).select("h", "v", "root")
+    none = F.lit(-1).alias("band2")
+    small = buckets.where("m = 1").select(F.xxhash64("h").alias("g"), F.lit(0).alias("side"), "band", none, "v", "root")
+    large = buckets.where("m > 1").select("h", "band", "v", "n", "root")
     if large.isEmpty():
-        return cut(small.join(info, "v"))
-    finer = large.join(nodes.select("v", F.explode("keys").alias("h2")), "v").where("h != h2")
-    finer = cut(finer.join(mixed(finer, "h", "h2"), ["h", "h2"]))
-    fine = finer.where(F.col("m") <= BUCKET).select(F.xxhash64("h", "h2").alias("g"), F.lit(0).alias("side"), "v", "root")
-    huge = finer.where(F.col("m") > BUCKET).withColumn("blocks", F.ceil(F.col("m") / BUCKET).cast("int"))
+        return small
+    finer = large.join(nodes.select("v", F.posexplode("keys").alias("band2", "h2")), "v").where("h != h2")
+    finer = cut(finer.join(mixed(finer, "h", "h2"), ["h", "h2"]).where("band < band2"))
+    fine = finer.where("m = 1").select(F.xxhash64("h", "h2").alias("g"), F.lit(0).alias("side"), "band", "band2", "v", "root")
+    huge = finer.where("m > 1").withColumnRenamed("m", "blocks")
     huge = huge.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    blocks = huge.select(F.xxhash64("h", "h2", low, high).alias("g"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "v", "root")
-    return cut(small.unionByName(fine).unionByName(blocks).join(info, "v"))
+    blocks = huge.select(F.xxhash64("h", "h2", low, high).alias("g"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "band", "band2", "v", "root")
+    return small.unionByName(fine).unionByName(blocks)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -301,7 +314,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     name = F.unhex(F.concat(F.lpad(F.hex(F.col("d").bitwiseXOR(F.lit(_NONE))), 16, "0"), F.hex("k")))
     nodes = cut(sets.withColumn("v", name))
 
-    rows_ = nodes.select("v", F.explode("keys").alias("h"))
+    rows_ = nodes.select("v", "n", F.posexplode("keys").alias("band", "h"))
     shared = rows_.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     buckets = cut(rows_.join(shared, "h"))
     central = buckets.groupBy("v").agg(F.sum(F.log2("m")).alias("weight"))
@@ -314,23 +327,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = _confirm(cut(pairs.select("a", "b")), nodes, docs, width, percent)
     roots = components(links)
 
-    members = cut(buckets.where("m > 2").select("h", "v"))  # buckets of two are done
-    first, last = 0, WINDOW
-    groups = None
-    while True:
-        rest = members.join(roots, "v", "left").select("h", "v", F.coalesce("root", "v").alias("root"))
-        groups = _grouped(rest, nodes)
-        got = cut(_search(groups, least, percent, first, last))
-        more = not got.where("a is null").isEmpty()
-        pairs = got.where("a is not null")
-        if not pairs.isEmpty():
-            new = _confirm(pairs, nodes, docs, width, percent)
-            if not new.isEmpty():
-                links = cut(links.union(new))
-                roots = components(links)
-        if not more:
-            break
-        first, last = last, last * WINDOW
+    rest = buckets.where("m > 2").select("h", "band", "v", "n").join(roots, "v", "left")  # buckets of two are done
+    groups = cut(_grouped(rest.withColumn("root", F.coalesce("root", "v")), nodes))
+    items = _items(groups.select("v").distinct(), nodes, docs, width)
+    further = _search(groups.join(nodes.select("v", "n", "s", "keys"), "v").join(items, "v"), least, percent)
+    again = components(cut(further)).toDF("root", "end")
+    roots = roots.join(again, "root", "full_outer")  # a class without links is its own root
+    roots = roots.select(F.coalesce("v", "root").alias("v"), F.coalesce("end", "root").alias("root"))
 
     named = nodes.join(roots, "v", "left").select("k", F.coalesce("root", "v").alias("root"))
     smallest = F.conv(F.hex(F.substring("root", 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_NONE))
