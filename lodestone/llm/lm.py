@@ -12,7 +12,7 @@ models). The noise words of a minibatch are shared, so that scores and gradients
 Scoring: exp(scores) factor over the two places of context, so the normalisers of all contexts are one matrix product,
 made once. A text is then scored by table lookups, all its tokens at once, and every log-probability is exact.
 
-Counts of the TOP most frequent tokens are broadcast (16 bytes each); the rarer tokens of a document are joined to the
+Counts of the most frequent tokens, TOP at most, are broadcast (16 bytes each); the rarer tokens of a document are joined to the
 table of counts by hash. Tokens are known by 64-bit hashes.
 
 Rows: null and empty texts are the end token alone; a document whose doc_id is null is learned from; repeated rows
@@ -252,6 +252,23 @@ def fit(docs: DataFrame, counts: DataFrame, held: Column) -> tuple[Model, DataFr
     return model, train, total, distinct, listed
 
 
+def _step(c: str) -> Column:
+    """A sixteenth of an octave of a count."""
+    return F.floor(F.log2(F.col(c)) * 16)
+
+
+def frequent(counts: DataFrame, most: int) -> int:
+    """The least step of counts that at most so many tokens reach: from a table of steps, so that no task and not the
+    driver sees more tokens than are asked for."""
+    rows, n, least = counts.groupBy(_step("c").alias("step")).count().orderBy(F.desc("step")).collect(), 0, 1 << 30  # 64 x 16 rows at most
+    for r in rows:
+        n += r["count"]
+        if n > most:
+            break
+        least = r["step"]
+    return least
+
+
 def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigram) and score (the model), log10."""
     spark = docs.sparkSession
@@ -259,7 +276,7 @@ def score(docs: DataFrame, held: Column | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text")
     counts = cut(token_counts(docs.where(~held)))
     model, _, total, distinct, listed = fit(docs, counts, held)
-    top = counts.orderBy(F.desc("c"), "h").limit(TOP).toArrow()  # TOP rows of 16 bytes at most
+    top = counts.where((_step("c") >= frequent(counts, TOP)) | (F.col("h") == int(END_HASH.astype(np.int64)))).select("h", "c").toArrow()  # about TOP rows of 16 bytes at most
     scorer = Scorer(model, top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy(), total, distinct, listed)
     shared = spark.sparkContext.broadcast(scorer)
     kind = docs.schema["doc_id"].dataType.simpleString()

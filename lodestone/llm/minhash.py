@@ -37,7 +37,7 @@ HASHES, BITS, MISS = 128, 4, 1e-6
 #: Five standard deviations of the estimate.
 MARGIN = 0.17
 #: Rows, and shingles, that one task may hold of a bucket.
-BUCKET, ITEMS = 4096, 1 << 23
+BUCKET, ITEMS = 2048, 1 << 21
 _WORDS = HASHES * BITS // 64
 _NONE = -(1 << 63)
 
@@ -246,7 +246,7 @@ def _search(rows: DataFrame, least: float, percent: int) -> DataFrame:
     """
 
     def group(t: pa.Table) -> pa.Table:
-        matrix = lambda c: np.array(t.column(c).to_pylist(), np.int64).view(np.uint64)
+        matrix = lambda c: t.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
         sig, keys, items = matrix("s"), matrix("keys"), t.column("items").to_pylist()
         n, side = t.column("n").to_numpy(), t.column("side").to_numpy()
         band, band2 = t.column("band")[0].as_py(), t.column("band2")[0].as_py()
