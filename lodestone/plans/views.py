@@ -68,6 +68,12 @@ VIEWS = {
           CASE WHEN r.quality = 0 THEN NULL ELSE 'value ' || r.status END AS worth FROM {registry} r WHERE r.quality IS NOT NULL""",
     "versions": """
         SELECT 'conv/' || CAST(conv_id AS STRING) || '.md' AS filepath, turn AS birth, 'conv/' || CAST(conv_id AS STRING) || '.md||' || CAST(turn AS STRING) AS fingerprint, role, text FROM {conversations}""",
+    "code": """
+        SELECT doc_id, filepath AS path, status, dir, 'import {{ f' || CAST(doc_id AS STRING) || ', g }} from "./f' || CAST(doc_id + 1 AS STRING) || '";' || chr(10) ||
+          'const x = require("pkg' || CAST(doc_id % 9 AS STRING) || '");' || chr(10) || '// @@@ ' || status || chr(10) ||
+          CASE WHEN status = 'RED' THEN 'export default function main' || CAST(doc_id AS STRING) || '() {{ if (a && b) {{ return fetch(u); }} }}'
+               ELSE 'export const f' || CAST(doc_id AS STRING) || ' = 1;' || chr(10) || 'exports.h = invoke("cmd' || CAST(doc_id % 5 AS STRING) || '");' END AS text
+        FROM {registry}""",
     "links": """
         SELECT page_id, url, html FROM {pages}""",
 }
