@@ -41,7 +41,7 @@ def risk_band(reach: Column, stability: Column, fragility: Column, conflicts: Co
 def dependency_weight(imports: DataFrame, exports: DataFrame) -> DataFrame:
     """For every export name, how many imports name it as a whole part of their path (split at / . and -).
 
-    The reference text search is a substring test of every pair; here the parts of a path are exploded and joined by
+    Instead of a substring test of every pair, the parts of a path are exploded and joined by
     equality, so that no pair is formed that does not match.
     """
     parts = imports.select(F.explode(F.array_distinct(F.split("source", "[/.-]"))).alias("name"), "n").groupBy("name").agg(F.sum("n").alias("weight"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
 
-#: What a scan takes and what it passes by.
+#: What a scan takes and what it passes by; a caller adds the folder it writes itself.
 CODE = (".js", ".ts", ".jsx", ".tsx", ".vue", ".py", ".rs", ".go", ".md", ".txt", ".json")
-IGNORED = ("node_modules", ".git", "dist", "build", ".venv", "venv", "__pycache__", ".archive", ".planning", ".st8", "vendor", "snapshots")
+IGNORED = ("node_modules", ".git", "dist", "build", ".venv", "venv", "__pycache__", ".archive", ".planning", "vendor", "snapshots")
 
 CARD = """fingerprint STRING, filepath STRING, filename STRING, sha256Hash STRING, fileSizeBytes LONG, status STRING,
 reachabilityScore DOUBLE, impactRadius LONG, lifecyclePhase STRING, birthTimestamp STRING, lastModified STRING, lastIndexed STRING, isEntryPoint BOOLEAN,
