@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-RISK, CONFIDENCE = 0.02, 0.95
+#: Of each rule; five rules together falsely reject at most 2.5 % of the good documents of a stratum.
+RISK, CONFIDENCE = 0.005, 0.95
 #: Cutoffs in thousandths, loosest first, and the first word count of each stratum.
 CUTOFFS = (950, 900, 850, 800, 750, 700, 650, 600, 550, 500, 450, 400, 350, 300, 250, 200, 150, 100, 75, 50, 30, 20, 10)
 STRATA = (0, 64, 256, 1024)

@@ -299,7 +299,7 @@ def test_thresholds_reject_junk_only(spark):
     good = [" ".join(rng.choice("lorem ipsum dolor sit amet one two three four".split()) + str(rng.randrange(90)) for _ in range(80)) for _ in range(400)]
     rows = [(i, x) for i, x in enumerate(good)] + [(1000 + i, " ".join(w + "###" for w in x.split())) for i, x in enumerate(good[:50])]
     labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in rows], "doc_id long, quality int")
-    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), labels, risk=0.02).collect()}
     assert all(not got[i].kept and "symbols" in got[i].failed_rules for i, _ in rows if i >= 1000)
     assert sum(got[i].kept for i in range(400)) >= 380
 
