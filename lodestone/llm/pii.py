@@ -40,6 +40,11 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once: a column named several times, or inside a lambda, is computed each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hash(key: str, kind: str, *parts: Column) -> Column:
     """48 bits of a keyed hash."""
     text = F.concat_ws("|", F.lit(key), F.lit(kind), *(p.cast("string") for p in parts))
@@ -63,8 +68,6 @@ def _shift(key: str, kind: str, half: Column, other: Column, t: Column) -> Colum
 
 def permute_text(key: str, kind: str, s: Column) -> Column:
     """ASCII letters and digits of s permuted, each within its alphabet, all else in place."""
-    u = F.floor(F.length(s) / 2).cast("int")
-    start = F.struct(F.substring(s, F.lit(1), u).alias("a"), F.substring(s, u + 1, F.length(s)).alias("b"))
 
     def turn(st: Column, t: Column) -> Column:
         even = t % 2 == 0
@@ -72,12 +75,16 @@ def permute_text(key: str, kind: str, s: Column) -> Column:
         b = F.when(even, st["b"]).otherwise(_shift(key, kind, st["b"], st["a"], t))
         return F.struct(a.alias("a"), b.alias("b"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda st: F.concat(st["a"], st["b"]))
+    def halves(v: Column) -> Column:
+        u = F.floor(F.length(v) / 2).cast("int")
+        return F.struct(F.substring(v, F.lit(1), u).alias("a"), F.substring(v, u + 1, F.length(v)).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), _let(s, halves), turn, lambda st: F.concat(st["a"], st["b"]))
 
 
 def permute_number(key: str, kind: str, n: Column, high: int, low: int) -> Column:
     """A permutation of the numbers below high * low."""
-    start = F.struct(F.floor(n / low).cast("long").alias("a"), (n % low).cast("long").alias("b"))
+    start = _let(n, lambda v: F.struct(F.floor(v / low).cast("long").alias("a"), (v % low).cast("long").alias("b")))
 
     def turn(st: Column, t: Column) -> Column:
         even = t % 2 == 0
@@ -94,13 +101,14 @@ def _digits(s: Column) -> Column:
 
 def _refill(shape: Column, chars: Column, wanted: str = "[0-9]") -> Column:
     """shape with the places that match wanted taken from chars, in order."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
+    start = F.struct(F.lit("").alias("out"), chars.alias("rest"))
 
     def put(st: Column, i: Column) -> Column:
         c = F.substring(shape, i, 1)
         take = c.rlike(wanted)
-        out = F.concat(st["out"], F.when(take, F.substring(chars, st["k"] + 1, F.lit(1))).otherwise(c))
-        return F.struct(out.alias("out"), (st["k"] + take.cast("int")).alias("k"))
+        out = F.concat(st["out"], F.when(take, F.substring(st["rest"], 1, 1)).otherwise(c))
+        rest = F.when(take, F.substring(st["rest"], F.lit(2), F.length(st["rest"]))).otherwise(st["rest"])
+        return F.struct(out.alias("out"), rest.alias("rest"))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(shape)), start, put, lambda st: st["out"])
 
@@ -108,39 +116,44 @@ def _refill(shape: Column, chars: Column, wanted: str = "[0-9]") -> Column:
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum with the last digit as the check digit."""
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, i, 1).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return total + F.when((F.length(digits) - i) % 2 == 1, twice).otherwise(d)
+    def total(v: Column) -> Column:
+        def add(sum_: Column, i: Column) -> Column:
+            d = F.substring(v, i, 1).cast("int")
+            twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+            return sum_ + F.when((F.length(v) - i) % 2 == 1, twice).otherwise(d)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0), add)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
+    return _let(digits, total)
 
 
 def _mod97(s: Column) -> Column:
     """Remainder by 97 of letters and digits read as a number (A is 10)."""
 
-    def add(r: Column, i: Column) -> Column:
-        code = F.ascii(F.substring(s, i, 1))
-        return F.when(code >= 65, (r * 100 + code - 55) % 97).otherwise((r * 10 + code - 48) % 97)
+    def remainder(v: Column) -> Column:
+        def add(r: Column, i: Column) -> Column:
+            code = F.ascii(F.substring(v, i, 1))
+            return F.when(code >= 65, (r * 100 + code - 55) % 97).otherwise((r * 10 + code - 48) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add)
+        return F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0), add)
+
+    return _let(s, remainder)
 
 
 def _card(key: str, m: Column) -> Column:
     d = _digits(m)
     body = permute_text(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
-    check = ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
+    made = _let(body, lambda v: F.concat(v, ((10 - luhn_sum(F.concat(v, F.lit("0"))) % 10) % 10).cast("string")))
     # a run of one digit is filler, not a number
-    return F.when((luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1*$"), _refill(m, F.concat(body, check)))
+    return F.when((luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1*$"), _refill(m, made))
 
 
 def _iban(key: str, m: Column) -> Column:
     s = F.replace(m, F.lit(" "), F.lit(""))
     country, rest = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-    made = permute_text(key, "iban", rest)
-    check = F.lpad((98 - _mod97(F.concat(made, country, F.lit("00")))).cast("string"), 2, "0")
+    made = _let(permute_text(key, "iban", rest), lambda v: F.concat(country, F.lpad((98 - _mod97(F.concat(v, country, F.lit("00")))).cast("string"), 2, "0"), v))
     valid = (F.length(s) >= 15) & (_mod97(F.concat(rest, F.substring(s, 1, 4))) == 1)
-    return F.when(valid, _refill(m, F.concat(country, check, made), "[A-Z0-9]"))
+    return F.when(valid, _refill(m, made, "[A-Z0-9]"))
 
 
 def _phone(key: str, m: Column) -> Column:
@@ -175,8 +188,8 @@ def _date(key: str, m: Column) -> Column:
     day = F.date_diff(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), first).cast("long")
     step = lambda x: permute_number(key, "date", x, 271, 271)
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(16)), step(day), lambda x, _: F.when(x < DAYS, x).otherwise(step(x)))
-    made = F.date_add(first, walk.cast("int"))
-    return F.when(day.between(0, DAYS - 1), F.when(kind == "yyyy-MM-dd", F.date_format(made, "yyyy-MM-dd")).when(kind == "dd.MM.yyyy", F.date_format(made, "dd.MM.yyyy")).otherwise(F.date_format(made, "MM/dd/yyyy")))
+    write = lambda made: F.when(kind == "yyyy-MM-dd", F.date_format(made, "yyyy-MM-dd")).when(kind == "dd.MM.yyyy", F.date_format(made, "dd.MM.yyyy")).otherwise(F.date_format(made, "MM/dd/yyyy"))
+    return F.when(day.between(0, DAYS - 1), _let(F.date_add(first, walk.cast("int")), write))
 
 
 def _email(key: str, m: Column) -> Column:
@@ -194,6 +207,10 @@ def _secret(key: str, m: Column) -> Column:
 _RULES = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
 
 
+def _named(kind: str, value: Column) -> Column:
+    return _let(value, lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value"))))
+
+
 def _whole(kind: str) -> str:
     return f"^(?:{PATTERNS[kind]})$".replace("\\b", "")
 
@@ -202,8 +219,8 @@ def pseudonyms(match: Column, key: str = KEY) -> Column:
     """struct(kind, value) for a match of ANY; kind and value are null where validation fails."""
     out = F.lit(None).cast("struct<kind:string,value:string>")
     for kind, rule in reversed(_RULES.items()):
-        value = rule(key, match)
-        out = F.when(match.rlike(_whole(kind)), F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value")))).otherwise(out)
+        named = _named(kind, rule(key, match))
+        out = F.when(match.rlike(_whole(kind)), named).otherwise(out)
     return out
 
 
