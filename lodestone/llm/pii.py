@@ -9,6 +9,9 @@ A string is split into two halves; in each round one half is shifted, place by p
 place, by a keyed hash (SHA-256) of the other. IPv4 addresses and dates are numbers and are split into two digits of a
 suitable base; dates walk the cycle until they fall within the calendar's range again.
 
+Secrets and addresses have no greatest length: a secret is taken to its end, dots inside it included (a JWT, say), if one of
+its parts has 12 characters; an IBAN is taken at its country's length.
+
 DataFrame operations only, and no shuffle: each text is rewritten where it is read.
 
 Rows: null text stays null, empty text stays empty; every row is taken for itself, so repeated rows get equal results;
@@ -22,14 +25,32 @@ from pyspark.sql import functions as F
 
 KEY = "lodestone"
 ROUNDS = 8
+#: Halves over this length are hashed once, all others at each place.
+LONG = 128
 #: Dates that are permuted: from 1900-01-01, so many days.
 DAYS = 73_049
 
-#: The patterns of what is looked for, in order of precedence.
+#: Countries by the length of their IBAN. Others are matched at any length that the check digits accept.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    """The pattern of whole IBANs of a length, in one piece or in groups of four: a word behind them is none of theirs."""
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{length - 4}}}|(?: [A-Z0-9]{{4}}){{{groups}}}{f' [A-Z0-9]{{{rest}}}' if rest else ''})(?![A-Za-z0-9])"
+
+
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\."
+_TOP = r"[A-Za-z]{2,24}(?![A-Za-z0-9])"
+#: The patterns of what is looked for, in order of precedence. Repeats without a bound are possessive: these
+#: take no stack. The second form of a domain gives labels back, as many as a name can have (127), where the last is no top level.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)[A-Za-z0-9+/_-]{12,256}|\bAKIA[0-9A-Z]{16}\b",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:(?:{_LABEL}(?=[A-Za-z0-9]))++{_TOP}|(?:{_LABEL}){{1,127}}{_TOP})",
+    "secret": r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)(?=[A-Za-z0-9+/_.-]*?[A-Za-z0-9+/_-]{12})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+|\bAKIA[0-9A-Z]{16}\b",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items())}|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)(?![A-Za-z0-9]))",
     "card": r"(?<![0-9])(?<![0-9][.,-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])(?![.,-][0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9(+-])\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -54,8 +75,8 @@ def _hash(key: str, kind: str, *parts: Column) -> Column:
 def _shift(key: str, kind: str, half: Column, other: Column, t: Column) -> Column:
     """half, each place moved within its alphabet by a hash of the other half."""
 
-    def place(i: Column) -> Column:
-        c, h = F.substring(half, i, 1), _hash(key, kind, t, i, other)
+    def place(c: Column, i: Column, seen: Column) -> Column:
+        h = _hash(key, kind, t, i + 1, seen)
         code = F.ascii(c)
 
         def within(first: int, n: int) -> Column:
@@ -63,7 +84,10 @@ def _shift(key: str, kind: str, half: Column, other: Column, t: Column) -> Colum
 
         return F.when(c.between("0", "9"), within(48, 10)).when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26)).otherwise(c)
 
-    return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), place), ""))
+    # of a long half each place hashes a digest, so that the work is in proportion to the length
+    seen = F.when(F.length(other) > LONG, F.sha2(other, 256)).otherwise(other)
+    moved = _let(seen, lambda v: F.array_join(F.transform(F.split(half, ""), lambda c, i: place(c, i, v)), ""))
+    return F.when(F.length(half) == 0, half).otherwise(moved)
 
 
 def permute_text(key: str, kind: str, s: Column) -> Column:
@@ -198,7 +222,7 @@ def _email(key: str, m: Column) -> Column:
 
 
 def _secret(key: str, m: Column) -> Column:
-    value = F.regexp_extract(m, "[A-Za-z0-9+/_-]*$", 0)
+    value = F.regexp_extract(m, "[A-Za-z0-9+/_.-]*$", 0)
     prefix = F.substring(m, F.lit(1), F.length(m) - F.length(value))
     plain = F.when(value.startswith("AKIA") & (prefix == ""), F.concat(F.lit("AKIA"), permute_text(key, "secret", F.substring(value, 5, 16))))
     return F.coalesce(plain, F.concat(prefix, permute_text(key, "secret", value)))

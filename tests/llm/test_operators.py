@@ -362,6 +362,26 @@ def test_pii(spark, docs, empty):
     assert not re.search("Python|Pandas|Arrow|Exchange hash", plan)
 
 
+def test_pii_takes_values_to_their_end(spark):
+    rng = random.Random(4)
+    key, huge = ("".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEF0123456789") for _ in range(n)) for n in (600, 100_000))
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    many = "ann.b@" + "mail." * 9 + "example.com"
+    ibans = ["ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]
+    texts = [f"secret={key}.", f"token={jwt}. Next", f"password: {huge}", f"api_key=SG.{key[:22]}.{key[22:65]}", f"to {many}, {many}.5 and x@y.org.", f"x@{'a.' * 5000}com", *(f"pay {x} {tail}" for x in ibans for tail in ("BIC CAIXESBB", "12", "TEL", "."))]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    shape = lambda s: re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", s)))
+    assert [len(x) for x in got] == [len(x) for x in texts] and [shape(x) for x in got] == [shape(x) for x in texts]
+    for a, value in zip(got, (key, jwt, huge)):
+        same = sum(x == y for x, y in zip(a.split("=")[-1].split(": ")[-1], value))
+        assert same < len(value) / 4 and value[-20:] not in a
+    assert got[0].endswith(".") and got[1].endswith(". Next") and key[22:65] not in got[3]
+    assert "ann.b@" not in got[4] and "x@y.org" not in got[4] and not got[5].startswith("x@a")
+    for a, b in zip(got[6:], texts[6:]):
+        iban = next(x for x in ibans if x in b)
+        assert iban not in a and a.endswith(b[len("pay " + iban) :])
+
+
 def test_permutations_are_bijections(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"), F.col("id").alias("n"))
     got = df.select(pii.permute_text("k", "x", F.col("s")).alias("s"), pii.permute_number("k", "x", F.col("n"), 40, 25).alias("n")).collect()
