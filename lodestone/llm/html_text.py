@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree by a forgiving parser (implied end tags, stray end tags, raw-text elements, cut-off pages).
-Elements that are never part of an article (scripts, menus, forms, adverts, reader comments...) are dropped. Every block
+Elements that are never part of an article (scripts, menus, forms, adverts, reader comments...) are dropped, but none by a
+word of its class alone that is or holds the article, or most of the page's text. Every block
 with text of its own then gets points for its length and its commas, discounted by the share of its text that is
 link text, and passes them on: all to its parent, half to the grandparent, ever less to ancestors further up. The
 ancestor with the most points is the container (or the article element around it); siblings with enough points of their
@@ -127,22 +128,70 @@ def _unwanted(node: Node, inside: bool) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    for value in (found.get("class", ""), found.get("id", "")):
-        for name in value.split():
-            if name.lower() in WHOLE and not inside:
-                return True
-            if not PARTS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", name).lower())) and node.tag not in BODY - {"article"}:
-                return True
-    return False
+    return not inside and any(name.lower() in WHOLE for value in (found.get("class", ""), found.get("id", "")) for name in value.split())
 
 
-def _prune(root: Node) -> None:
-    stack = [(root, False)]
+def _worded(node: Node) -> bool:
+    """Whether a word of an element's class or id names what is no part of an article."""
+    if not node.attrs or node.tag in BODY - {"article"}:
+        return False
+    found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(node.attrs)}
+    return any(not PARTS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", name).lower())) for value in (found.get("class", ""), found.get("id", "")) for name in value.split())
+
+
+def _prune(root: Node) -> set[Node]:
+    """Drops what is no part of an article; gives the elements kept although a word of their class says so.
+
+    A word alone drops no element that the article may be in: one that is an article, or holds an article or main
+    element or most of the page's text, while no better one is left without it.
+    """
+    stack, order, worded = [(root, False)], [], set()
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ("article", "main")
         node.children = [c for c in node.children if isinstance(c, str) or not _unwanted(c, inside)]
+        order.append(node)
+        if _worded(node):
+            worded.add(node)
         stack += [(c, inside) for c in node.children if not isinstance(c, str)]
+    if not worded:
+        return set()
+    # characters that are no link, of all below a node and without its worded elements; whether an article is in it
+    every, plain, holds = {}, {}, {}
+    for node in reversed(order):
+        below = [c for c in node.children if not isinstance(c, str)]
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        link = node.tag == "a"
+        every[node] = 0 if link else own + sum(every[c] for c in below)
+        plain[node] = 0 if link else own + sum(plain[c] for c in below if c not in worded)
+        holds[node] = node.tag in ("article", "main") or any(holds[c] for c in below)
+    kept: set[Node] = set()
+    region: Node | None = root
+    while region is not None:
+        stack, found, rest = [region], [], 0
+        while stack:
+            for c in stack.pop().children:
+                if isinstance(c, str):
+                    continue
+                if c in worded:
+                    found.append(c)
+                    continue
+                if c.tag in ("article", "main"):
+                    rest = max(rest, plain[c])
+                stack.append(c)
+        total, left = every[region], plain[region]
+
+        def may(c: Node) -> bool:
+            if c.tag == "article":
+                return every[c] > max(rest, left / 2)
+            return holds[c] and 10 * rest < total and every[c] > left / 2 or 2 * every[c] > total and 5 * left < total
+
+        region = max(filter(may, found), key=every.get, default=None)
+        if region is not None:
+            kept.add(region)
+    for node in order:
+        node.children = [c for c in node.children if isinstance(c, str) or c not in worded or c in kept]
+    return kept
 
 
 def _own(node: Node) -> tuple[int, int, int]:
@@ -221,7 +270,7 @@ def main_text(page: str) -> str:
     if "<" not in page:
         return " ".join(html.unescape(page).split())
     root = parse(page)
-    _prune(root)
+    worded = _prune(root)
     scored: list[Node] = []
     for node in _blocks(root):
         chars, commas, links = _own(node)
@@ -255,7 +304,7 @@ def main_text(page: str) -> str:
     for c in best.parent.children:
         if c is best:
             kept.append(c)
-        elif not isinstance(c, str):
+        elif not isinstance(c, str) and c not in worded:
             chars, links = _all(c)
             dense = links / chars if chars else 1
             own = _own(c)

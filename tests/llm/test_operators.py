@@ -321,6 +321,23 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+LONG = "<h1>Title</h1>" + "<p>Real text, of some length, that a reader came for.</p>" * 6
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body>{}</body>", '<div class="layout has-sidebar"><article>{}</article><div class="sidebar"><p>AD, one</p></div></div>', '<div class="layout has-sidebar"><div class=x>{}<div class="share">AD</div></div></div>',
+        '<article class="post category-social">{}<div class="related">AD</div></article>', '<article class="comment-open">{}</article><div id="comments"><article class="comment"><p>AD, ad, ad</p></article></div>',
+        '<main><div class="with-sidebar"><div class="no-banner">{}</div></div></main>', '<article>{}</article><div class="comments">' + "<p>AD, ad, ad, ad, of a reader.</p>" * 40 + "</div>",
+        '<div class="post">{}</div><div class="comments">' + "<p>AD, ad, ad, ad, of a reader.</p>" * 20 + "</div>", '<div class="post">{}</div><article class="related">AD, short</article>',
+        '<main class="has-sidebar"><article class="post social"><div>{}</div></article><div class="widget"><article>AD, short</article></div></main>', '<div class="ad-free nav-open">' * 200 + "{}",
+    ],
+)
+def test_class_words_alone_drop_no_article(page):
+    assert html_text.main_text(page.format(LONG)) == "Title" + " Real text, of some length, that a reader came for." * 6
+
+
 def test_pages_query(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("text", F.lit("clash"))
     got = html_text.extract(pages).collect()
