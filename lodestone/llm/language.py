@@ -9,8 +9,8 @@ a document whose runner-up is nearly as close is flagged as ambiguous.
 Up to six languages get all distinct splits of the languages as bits (the exhaustive code); more get random bits, the
 best of a number of draws by the smallest distance between two codewords.
 
-The classifiers are fitted on a bounded sample, about SAMPLE documents of each language, dealt by a hash of the id and
-the text; every document is predicted from its whole text.
+The classifiers are fitted on a sample of the documents of every language, dealt by a hash of the id and the text, about
+SAMPLE of each or, with more than ROWS / SAMPLE languages, ROWS in all; every document is predicted from its whole text.
 
 Rows: null text, and text without a letter, are 'und' with score 0; rows without a language are not learned from;
 with no row to learn from, all documents are 'und'; repeated rows get a result each; other columns are left out,
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_batches
 
-#: Documents of each language that the classifiers are fitted on, about; languages beyond LANGUAGES are not learned.
-SAMPLE, LANGUAGES = 500, 64
+#: Documents of each language that the classifiers are fitted on, about; with many languages fewer of each, about ROWS
+#: in all, but never under LEAST of each. All languages are learned.
+SAMPLE, ROWS, LEAST = 500, 32_000, 50
 PAIRS, TRIPLES = 1024, 4096
 FEATURES = PAIRS + TRIPLES
 #: A runner-up whose share of the likelihood is over this makes a prediction ambiguous.
@@ -77,8 +78,9 @@ class Model:
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Weighted loss of each codeword, a row a document."""
-        margin = x @ self.weights + self.bias
-        return np.stack([(self.trust * np.logaddexp(0, -margin * c)).sum(1) for c in self.code], 1)
+        margin = (x @ self.weights + self.bias).astype(np.float64)
+        # log(1 + exp(-m)) is log(1 + exp(m)) - m: all codewords in one product
+        return (self.trust * np.logaddexp(0, margin)).sum(1, keepdims=True) - (self.trust * margin) @ (self.code.T > 0)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, score, share of the runner-up."""
@@ -98,20 +100,30 @@ def fit(texts: list[str], langs: list[str], steps: int = 150, rate: float = 0.5,
     if not names:
         return None
     code = codewords(len(names))
-    x = np.stack([features(t) for t in texts])
+    # halves of the precision where the rows are many, a block of them at a time
+    kind, size = (np.float16, 2048) if len(texts) > 8192 else (np.float32, max(1, len(texts)))
+    blocks = [np.stack([features(t).astype(kind) for t in texts[k : k + size]]) for k in range(0, len(texts), size)]
     at = np.searchsorted(names, langs)
-    y = code[at].astype(np.float32)
     share = (len(at) / len(names) / np.bincount(at)[at])[:, None].astype(np.float32)  # languages weigh the same
     w, b = np.zeros((FEATURES, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for k, x in enumerate(blocks):
+            rows = slice(k * size, k * size + len(x))
+            yield x.astype(np.float32, copy=False), code[at[rows]].astype(np.float32), share[rows]
+
     for t in range(1, steps + 1):
-        pull = -y * share / (1 + np.exp(np.clip(y * (x @ w + b), -60, 60)))
-        g, gb = x.T @ pull / len(x) + decay * w, pull.mean(0)
+        g, gb = decay * w, np.zeros_like(b)
+        for x, y, part in parts():
+            pull = -y * part / (1 + np.exp(np.clip(y * (x @ w + b), -60, 60)))
+            g += x.T @ pull / len(at)
+            gb += pull.sum(0) / len(at)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c, d = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (m / c) / (np.sqrt(v / d) + 1e-8)
         b -= rate * (mb / c) / (np.sqrt(vb / d) + 1e-8)
-    right = ((x @ w + b) * y > 0).mean(0)
+    right = sum(((x @ w + b) * y > 0).sum(0) for x, y, _ in parts()) / len(at)
     trust = np.log(np.maximum(right, 0.51) / np.maximum(1 - right, 1e-3))
     return Model(names, code, w, b, trust / trust.mean())
 
@@ -119,13 +131,14 @@ def fit(texts: list[str], langs: list[str], steps: int = 150, rate: float = 0.5,
 def train(docs: DataFrame, held_out: Column, sample: int = SAMPLE) -> Model | None:
     """The model of a bounded sample of the rows of docs that have a language and are not held out."""
     known = docs.where(~held_out & F.col("lang").isNotNull()).select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("_deal"))
-    counts = sorted(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect(), key=lambda r: r["lang"])
+    counts = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())  # a row a language
     if not counts:
         return None
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("_deal") < int((1 << 30) * min(1.0, sample / r["count"]))))
-    rows = sorted((r["lang"], r["text"] or "") for r in known.where(chosen).select("lang", "text").limit(2 * sample * len(counts)).toLocalIterator())
+    sample = min(sample, max(LEAST, ROWS // len(counts)))
+    below = pa.table({"lang": [x for x, _ in counts], "_below": [int((1 << 30) * min(1.0, sample / n)) for _, n in counts]})
+    chosen = known.join(F.broadcast(docs.sparkSession.createDataFrame(below)), "lang").where(F.col("_deal") < F.col("_below"))
+    # copies of a text are dealt alike: one stands for all, so that they take no other language's place
+    rows = sorted((r["lang"], r["text"] or "") for r in chosen.select("lang", "text").distinct().toLocalIterator())
     return fit([t for _, t in rows], [x for x, _ in rows])
 
 

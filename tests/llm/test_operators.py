@@ -218,6 +218,28 @@ def test_language_accuracy_held_out(spark):
     assert np.mean(right) > 0.97
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(6)
+    own = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for _ in range(70)]
+    rows = [(100 * k + i, " ".join(rng.choices(own[k], k=60)), f"l{k:02}") for k in range(70) for i in range(12 + k % 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # and one with very many copies of a text
+    df = df.unionByName(spark.range(4000).select(F.col("id") + 10_000, F.lit("copy of one"), F.lit("zz")).toDF("doc_id", "text", "lang"))
+    model = language.train(df, F.col("doc_id") % 4 == 0)
+    assert model.languages == [f"l{k:02}" for k in range(70)] + ["zz"]
+    x = np.stack([language.features(t) for i, t, _ in rows if i % 4 == 0])
+    got, want = [model.languages[b] for b in model.predict(x)[0]], [n for i, _, n in rows if i % 4 == 0]
+    assert np.mean([a == b for a, b in zip(got, want)]) > 0.95
+    margin = x[:5] @ model.weights + model.bias
+    assert np.allclose(model.losses(x[:5]), np.stack([(model.trust * np.logaddexp(0, -margin * c)).sum(1) for c in model.code], 1), atol=1e-3)
+
+
+def test_rows_in_blocks_fit_alike():
+    texts = [f"{'der die das und' if k % 2 else 'the of and to'} {k}" for k in range(9000)]
+    model = language.fit(texts, ["de" if k % 2 else "en" for k in range(9000)], steps=5)
+    assert (model.predict(np.stack([language.features(t) for t in texts[:50]]))[0] == [1, 0] * 25).all()
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 4, 6, 7, 20])
 def test_codewords_are_apart(k):
     code = language.codewords(k)
