@@ -127,17 +127,26 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1,
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source queue and (with_ids) the ids.
 
     weights: of tokens by source; without, each source's share of all tokens, so that all queues last to the end.
-    A source not named in weights counts 1.
+    A source not named in weights counts 1. With more than MAX_QUEUES sources, the MAX_QUEUES / 2 of the greatest weights
+    are held to them one by one, and all others by the sum of those that share a queue.
     """
     spark = docs.sparkSession
     small_batches(spark)
     names = [r[0] for r in docs.select("source").distinct().limit(MAX_QUEUES + 1).collect()]
-    shared = len(names) > MAX_QUEUES
+    shared, kind = len(names) > MAX_QUEUES, docs.schema["source"].dataType.simpleString()
     names = sorted((x for x in names if x is not None)) + [None] * (None in names)
     if shared:
-        queued = docs.withColumn("_queue", F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("int"))
+        # the sources that weigh most keep queues of their own; a queue shared by others weighs as much as they do together
+        heavy = sorted(weights or {}, key=lambda x: (-weights[x], x is None, x or ""))[: MAX_QUEUES // 2]
+        hashed = (F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES - len(heavy))) + len(heavy)).cast("int")
+        if weights is None:
+            queued = docs.withColumn("_queue", hashed)
+        else:
+            own = {x: i for i, x in enumerate(heavy)}
+            table = spark.createDataFrame([(own.get(x), x, float(w)) for x, w in weights.items()], f"_own int, _source {kind}, _weight double")
+            queued = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")), "left")  # a row a weight given
+            queued = queued.withColumn("_queue", F.coalesce("_own", hashed)).withColumn("_weight", F.coalesce("_weight", F.lit(1.0)))
     else:
-        kind = docs.schema["source"].dataType.simpleString()
         table = spark.createDataFrame([(i, x) for i, x in enumerate(names)], f"_queue int, _source {kind}")
         queued = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")))  # at most MAX_QUEUES rows
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -156,8 +165,13 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1,
     blocks = cut(blocks.withColumn("before", F.coalesce(F.sum("in_block").over(upto), F.lit(0))))
     sums = {r[0]: r[1] for r in blocks.groupBy("queue").agg(F.sum("in_block")).collect()}  # a row a queue
     tokens = np.array([sums.get(q, 0) for q in range(max(sums, default=0) + 1)], np.int64)
-    if weights is None or shared:
+    if weights is None:
         share = np.maximum(tokens, 1).astype(np.float64)
+    elif shared:
+        summed = queued.select("source", "_queue", "_weight").distinct().groupBy("_queue").agg(F.sum("_weight")).collect()  # a row a queue
+        share = np.ones(len(tokens))
+        for q, w in summed:
+            share[q] = w
     else:
         share = np.array([float(weights.get(names[q], 1.0)) for q in range(len(tokens))])
     rounds = Rounds(tokens, share, length)

@@ -103,6 +103,18 @@ def test_rounds_keep_the_mixture(weights):
         assert (abs(grants - (tokens / tokens.sum() * 512)[:, None]) <= 1).all()
 
 
+def test_weights_hold_with_shared_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    df = spark.createDataFrame([(100 * s + i, "one two three four five six seven " * 10, f"s{s}" if s else None) for s in range(8) for i in range(30)], "doc_id long, text string, source string")
+    got = packing.pack(df, PATH("byte_bpe_50k.json"), length=256, weights={None: 8.0, "s1": 3.0, "s2": 0.5}, ranks=PATH("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN).collect()
+    assert len({(r.doc_id, r.start) for r in got}) == len(got) and len({r.doc_id for r in got}) == 240
+    first = collections.Counter()
+    for r in got:
+        if r.sequence_id < 4:
+            first[r.doc_id // 100] += r.length
+    assert abs(first[0] / 1024 - 8 / 16.5) < 0.02 and abs(first[1] / 1024 - 3 / 16.5) < 0.02
+
+
 # BPE
 
 ENCODER = bpe.encoder(PATH("word_bpe_49k.json"))
