@@ -9,10 +9,11 @@ an ordinary baseline decoder, symbol by symbol.
 
 Shots: the difference of neighbouring frames is half the L1 distance of their luminance histograms. A cut is where it
 exceeds both a floor and the mean plus THREE standard deviations of the differences in a window before it. Each shot is
-a clip row with its first and last frame and times.
+a clip row with its first and last frame and times. Histograms are of the means of 8x8 blocks: a cut between frames that
+differ within blocks only is not seen. Frames without Huffman tables, as many AVI files have them, are not decoded.
 
 Rows: null and empty texts are a payload of 64 zero bytes; repeated rows get a result each; damaged media give a null
-payload and no clips; other columns are left out, whatever they are called; an empty table gives an empty result.
+payload and no clips, and so do frames without Huffman tables; other columns are left out, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
