@@ -2,19 +2,21 @@
 
 Closures are frontier loops: a round joins the frontier with the edges, drops what was seen, and cuts the lineage; the
 number of rounds is the depth of the graph, the size of a round that of its frontier. Strongly connected components are found
-per weak component, by Tarjan's algorithm where a component has at most LOCAL_EDGES edges (checked), else by
-forward and backward colouring in the cluster.
+per weak component, by Tarjan's algorithm where a component has at most LOCAL_EDGES edges (checked), else around a pivot, in the
+cluster. Every frame that a loop joins again is written and read back, so that its estimated size is its real one.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.lineage import cut
+from lodestone.operators.components import components
+from lodestone.operators.lineage import settled
 
 #: Edges of a weak component that one task may hold.
 LOCAL_EDGES = 1_000_000
@@ -55,18 +57,18 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, outbound: bool = True, depth: int | None = None) -> DataFrame:
     """origin, node_id, depth of all nodes reachable from seeds (origin, node_id), the seeds at depth 0."""
     a, b = ("src", "dst") if outbound else ("dst", "src")
-    steps = cut(simple_edges(edges).select(F.col(a).alias("node_id"), F.col(b).alias("next")).distinct())
-    seen = frontier = cut(seeds.select("origin", "node_id").distinct().withColumn("depth", F.lit(0)))
+    steps = settled(simple_edges(edges).select(F.col(a).alias("node_id"), F.col(b).alias("next")).distinct())
+    seen = frontier = settled(seeds.select("origin", "node_id").distinct().withColumn("depth", F.lit(0)))
     level = 0
     while depth is None or level < depth:
         level += 1
         found = frontier.join(steps, "node_id").select("origin", F.col("next").alias("node_id")).distinct()
-        frontier = cut(found.join(seen, ["origin", "node_id"], "left_anti").withColumn("depth", F.lit(level)))
+        frontier = settled(found.join(seen, ["origin", "node_id"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if level % 8 == 0:
-            seen = cut(seen)
+            seen = settled(seen)
     return seen
 
 
@@ -93,11 +95,11 @@ def find_paths(edges: DataFrame, start: int, end: int, max_depth: int = 10, max_
     spark = edges.sparkSession
     # only nodes from which the end can be reached are worth a step
     useful = reach(edges, spark.createDataFrame([(end, end)], "origin long, node_id long"), outbound=False, depth=max_depth).select(F.col("node_id").alias("next"))
-    steps = cut(steps.join(useful, "next", "left_semi"))
+    steps = settled(steps.join(useful, "next", "left_semi"))
     now = spark.createDataFrame([([start], start)], "path array<long>, at long")
     found = now.where(F.col("at") == end)
     for _ in range(max_depth):
-        now = cut(now.where(F.col("at") != end).join(steps, "at").where(~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")))
+        now = settled(now.where(F.col("at") != end).join(steps, "at").where(~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")))
         if now.isEmpty():
             break
         found = found.unionByName(now.where(F.col("at") == end))
@@ -105,28 +107,20 @@ def find_paths(edges: DataFrame, start: int, end: int, max_depth: int = 10, max_
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
-    """node_id, root: the smallest node connected to it, by smallest neighbours and pointer jumping."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("u", "node_id"))
-    roots = cut(both.groupBy("node_id").agg(F.min("u").alias("near")).select("node_id", F.least("node_id", "near").alias("root")))
-    while True:
-        seen = both.join(roots.select(F.col("node_id").alias("u"), F.col("root").alias("other")), "u").groupBy("node_id").agg(F.min("other").alias("other"))
-        moved = roots.join(seen, "node_id").select("node_id", F.col("root").alias("was"), F.least("root", "other").alias("root"))
-        jump = roots.select(F.col("node_id").alias("root"), F.col("root").alias("further"))
-        new = cut(moved.join(jump, "root", "left").select("node_id", "was", F.least("root", F.coalesce("further", "root")).alias("root")))
-        done = new.where("was <> root").isEmpty()
-        roots = new.drop("was")
-        if done:
-            return roots
+    """node_id, root: the smallest node connected to it, in either direction."""
+    return components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).toDF("node_id", "root")
 
 
 def trimmed(edges: DataFrame, rounds: int = 4) -> DataFrame:
     """Edges between nodes that have both an edge in and an edge out: others are on no cycle."""
-    e = cut(simple_edges(edges).select("src", "dst").distinct())
+    e = settled(simple_edges(edges).select("src", "dst").distinct())
+    n = e.count()
     for _ in range(rounds):
-        kept = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if kept.count() == e.count():
+        kept = settled(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        m = kept.count()
+        if m == n:
             return kept
-        e = kept
+        e, n = kept, m
     return e
 
 
@@ -174,44 +168,53 @@ def _tarjan(pairs: list[tuple[int, int]]) -> dict[int, int]:
     return root
 
 
-def _coloured(edges: DataFrame) -> DataFrame:
-    """scc of the nodes on cycles, without holding a component in one task."""
-    left, found = cut(edges), None
-    while not left.isEmpty():
-        nodes = left.select(F.col("src").alias("node_id")).union(left.select("dst")).distinct()
-        colour = cut(nodes.withColumn("colour", F.col("node_id")))
-        while True:  # the smallest node that reaches each
-            step = left.join(colour.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("colour").alias("near"))
-            new = cut(colour.join(step, "node_id", "left").select("node_id", F.col("colour").alias("was"), F.least("colour", F.coalesce("near", "colour")).alias("colour")))
-            done = new.where("was <> colour").isEmpty()
-            colour = new.drop("was")
-            if done:
-                break
-        named = left.join(colour.select(F.col("node_id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node_id").alias("dst"), F.col("colour").alias("b")), "dst")
-        same = named.where("a = b").select("src", "dst")
-        roots = colour.where("node_id = colour").select(F.col("node_id").alias("origin"), "node_id")
-        members = cut(reach(same, roots, outbound=False).select("node_id", F.col("origin").alias("scc")))
-        found = members if found is None else found.unionByName(members)
-        gone = members.select("node_id")
-        left = cut(same.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "dst"), "dst", "left_anti"))
-    return found
+def _pivoted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node_id, scc of the component of one node in each weak component, and the edges on which other components can be.
+
+    edges: src, dst, root. The pivot of a weak component is the node with the most pairs of edges in and out, which is in the
+    giant component if there is one. What it reaches and what reaches it is its component; an edge on another cycle has
+    both ends on the same side of both.
+    """
+    out = edges.groupBy("root", F.col("src").alias("node_id")).agg(F.count("*").alias("o"))
+    into = edges.groupBy("root", F.col("dst").alias("node_id")).agg(F.count("*").alias("i"))
+    pivots = out.join(into, ["root", "node_id"]).groupBy("root").agg(F.max_by("node_id", F.struct(F.col("o") * F.col("i"), "node_id")).alias("node_id"))
+    seeds = settled(pivots.select(F.col("root").alias("origin"), "node_id"))
+    ahead, behind = (reach(edges, seeds, outbound=way).select("node_id", F.lit(True).alias(name)) for way, name in ((True, "ahead"), (False, "behind")))
+    side = settled(ahead.join(behind, "node_id", "full_outer").na.fill(False))
+    both = edges.select("src", "dst", "root").distinct()
+    for end in ("src", "dst"):
+        both = both.join(side.select(F.col("node_id").alias(end), F.struct("ahead", "behind").alias(f"{end}_side")), end, "left")
+    none = F.struct(F.lit(False).alias("ahead"), F.lit(False).alias("behind"))
+    sides = [F.coalesce(f"{end}_side", none) for end in ("src", "dst")]
+    rest = both.where((sides[0] == sides[1]) & ~(sides[0]["ahead"] & sides[0]["behind"])).select("src", "dst")
+    members = side.where("ahead and behind").select("node_id")
+    named = edges.select(F.col("src").alias("node_id"), "root").distinct().join(members, "node_id")
+    return settled(named.join(named.groupBy("root").agg(F.min("node_id").alias("scc")), "root").select("node_id", "scc")), settled(rest)
 
 
 def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """node_id, scc (its smallest member) of all nodes in a component of two or more."""
-    e = trimmed(edges)
-    grouped = cut(e.join(weak_components(e).withColumnRenamed("node_id", "src"), "src"))
-    largest = grouped.groupBy("root").count().agg(F.max("count")).first()[0] or 0
-    if largest <= local_edges:
-
-        def group(df: pd.DataFrame) -> pd.DataFrame:
-            found = _tarjan(list(zip(df["src"], df["dst"])))
-            return pd.DataFrame({"node_id": list(found), "scc": list(found.values())}, dtype="int64")
-
-        labels = grouped.groupBy("root").applyInPandas(group, "node_id long, scc long")
-    else:
-        labels = _coloured(e)
-    labels = cut(labels)
+    """node_id, scc (its smallest member), size of all nodes in a component of two or more.
+
+    A weak component of at most local_edges edges is searched by one task; of larger ones the pivot's component is taken out, and
+    the rest, in its new weak components, goes round again.
+    """
+
+    def group(df: pd.DataFrame) -> pd.DataFrame:
+        found = _tarjan(list(zip(df["src"], df["dst"])))
+        return pd.DataFrame({"node_id": list(found), "scc": list(found.values())}, dtype="int64")
+
+    left, parts = edges, []
+    while True:
+        e = trimmed(left)
+        grouped = settled(e.join(weak_components(e).withColumnRenamed("node_id", "src"), "src"))
+        large = grouped.groupBy("root").count().where(F.col("count") > local_edges).select("root")
+        parts.append(settled(grouped.join(large, "root", "left_anti").groupBy("root").applyInPandas(group, "node_id long, scc long")))
+        over = settled(grouped.join(large, "root", "left_semi"))
+        if over.isEmpty():
+            break
+        found, left = _pivoted(over)
+        parts.append(found)
+    labels = functools.reduce(DataFrame.unionByName, parts)
     big = labels.groupBy("scc").agg(F.count("*").alias("size")).where("size > 1")
     return labels.join(big, "scc").select("node_id", "scc", "size")
 
@@ -228,29 +231,29 @@ def condensation(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node_id, level: 0 without dependencies, else one more than the highest dependency (edges go from a node to what it depends on);
     nodes on or behind cycles get the highest level plus one."""
-    e = cut(simple_edges(edges).select("src", "dst").distinct())
-    left, done, level = cut(nodes.select("node_id").distinct()), None, 0
+    e = settled(simple_edges(edges).select("src", "dst").distinct())
+    left, done, level = settled(nodes.select("node_id").distinct()), None, 0
     while True:
         waiting = e.join(left.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(F.col("src").alias("node_id")).distinct()
-        ready = cut(left.join(waiting, "node_id", "left_anti").withColumn("level", F.lit(level)))
+        ready = settled(left.join(waiting, "node_id", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             rest = left.withColumn("level", F.lit(level))
             return rest if done is None else done.unionByName(rest)
         done = ready if done is None else done.unionByName(ready)
-        left = cut(left.join(ready, "node_id", "left_anti"))
+        left = settled(left.join(ready, "node_id", "left_anti"))
         level += 1
 
 
 def critical_path(edges: DataFrame, costs: DataFrame) -> DataFrame:
     """node_id, duration: its cost and that of the longest chain of dependencies below it. For acyclic edges."""
-    level = cut(levels(edges, costs).join(costs, "node_id"))
+    level = settled(levels(edges, costs).join(costs, "node_id"))
     top = level.agg(F.max("level")).first()[0]
-    done = cut(level.where("level = 0").select("node_id", F.col("cost").alias("duration")))
+    done = settled(level.where("level = 0").select("node_id", F.col("cost").alias("duration")))
     e = simple_edges(edges).select("src", "dst").distinct()
     for k in range(1, (top or 0) + 1):
         below = e.join(done.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.max("duration").alias("below"))
         here = level.where(F.col("level") == k).join(below, "node_id", "left")
-        done = cut(done.unionByName(here.select("node_id", (F.col("cost") + F.coalesce("below", F.lit(0.0))).alias("duration"))))
+        done = settled(done.unionByName(here.select("node_id", (F.col("cost") + F.coalesce("below", F.lit(0.0))).alias("duration"))))
     return done
 
 
@@ -282,23 +285,27 @@ def kahn_order(nodes: list[tuple[int, str]], edges: list[tuple[int, int]]) -> li
 
 
 def signal_path(nodes: DataFrame, edges: DataFrame, node_id: int) -> DataFrame:
-    """position, node_id, side (focal, upstream: depends on... reached against the edges, downstream) of a node's scope, dependencies first."""
+    """position, node_id, side (focal, upstream: what it depends on, downstream: what depends on it) of a node's scope.
+
+    Dependencies come first: by level (levels()), within a level by name and id; nodes on or behind cycles come last. Positions are
+    numbered by ranges: the rows of the ranges before, summed up, and the place in its own range, so no task holds the scope.
+    """
     spark = edges.sparkSession
     seed = spark.createDataFrame([(node_id, node_id)], "origin long, node_id long")
     up = reach(edges, seed, outbound=True).select("node_id", F.when(F.col("depth") == 0, "focal").otherwise("upstream").alias("side"), F.lit(0).alias("_r"))
     down = reach(edges, seed, outbound=False).where("depth > 0").select("node_id", F.lit("downstream").alias("side"), F.lit(1).alias("_r"))
-    scope = cut(up.unionByName(down).groupBy("node_id").agg(F.min_by("side", "_r").alias("side")).join(nodes.select("node_id", "name"), "node_id"))
+    scope = settled(up.unionByName(down).groupBy("node_id").agg(F.min_by("side", "_r").alias("side")).join(nodes.select("node_id", "name"), "node_id"))
     inner = edges.join(scope.select(F.col("node_id").alias("src")), "src", "left_semi").join(scope.select(F.col("node_id").alias("dst")), "dst", "left_semi")
-    ranked = scope.select(F.lit(1).alias("g"), "node_id", "name", "side", F.lit(None).cast("long").alias("dst")).unionByName(inner.select(F.lit(1).alias("g"), F.col("src").alias("node_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("side"), "dst"))
+    return numbered(scope.join(levels(inner, scope), "node_id"), ["level", "name", "node_id"], "position").select("position", "node_id", "side")
 
-    def order(df: pd.DataFrame) -> pd.DataFrame:
-        own = df[df["dst"].isna()]
-        pairs = df[df["dst"].notna()]
-        ids = kahn_order(list(zip(own["node_id"], own["name"])), list(zip(pairs["node_id"], pairs["dst"].astype("int64"))))
-        side = dict(zip(own["node_id"], own["side"]))
-        return pd.DataFrame({"position": range(len(ids)), "node_id": ids, "side": [side[i] for i in ids]})
 
-    return ranked.groupBy("g").applyInPandas(order, "position long, node_id long, side string")
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with its rows numbered from 0 in an order that has no ties, without a window over all rows."""
+    ranged = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + within).cast("long")).drop("_range", "_before")
 
 
 def outcome(reachability: Column, fragility: Column, conflicts: Column, ambiguous: Column, redirect: Column) -> Column:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lodestone.operators import graph as G
+from lodestone.operators.components import components
 
 
 def edges(spark, pairs):
@@ -88,3 +89,45 @@ def test_find_paths(spark):
 def test_kahn_order_takes_names():
     assert G.kahn_order([(1, "z"), (2, "b"), (3, "a"), (4, "c")], [(3, 1)]) == [2, 4, 1, 3]
     assert G.kahn_order([(1, "x"), (2, "y")], [(1, 2), (2, 1)]) == [1, 2]
+
+
+def test_weak_components_of_a_long_chain(spark):
+    names = list(range(20_000))
+    random.Random(1).shuffle(names)
+    pairs = [(a, b) if i % 2 else (b, a) for i, (a, b) in enumerate(zip(names, names[1:]))]
+    got = G.weak_components(edges(spark, pairs))
+    assert got.count() == 20_000 and got.where("root <> 0").isEmpty()
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_components_by_contraction(spark, kind, shuffled):
+    """Rounds of contraction down to a few links: chains in label order or not, a star, copies, loops and null ends."""
+    rng = random.Random(3)
+    names = rng.sample(range(10, 99_999), 3000) if shuffled else list(range(10, 3010))
+    pairs = [(a, b) for k in range(0, 3000, 600) for a, b in zip(names[k : k + 599], names[k + 1 : k + 600])]
+    pairs += [(names[5], x) for x in range(200_000, 200_500)] + [(names[1200], names[1300])] * 5 + [(7, 7), (None, 3)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    cast = str if kind == "string" else int
+    for a, b in pairs:
+        if a is not None and a != b:
+            a, b = sorted((top(cast(a)), top(cast(b))))
+            up[b] = a
+    links = spark.createDataFrame([(None if a is None else cast(a), cast(b)) for a, b in pairs], f"a {kind}, b {kind}")
+    got = {r.node: r.root for r in components(links, one_task=60).collect()}
+    assert got == {x: top(x) for x in up}
+    assert components(links.limit(0)).collect() == []
+
+
+def test_large_weak_components_lose_their_pivots(spark):
+    """Two rings joined by a bridge and a third apart, none of them within the bound of one task."""
+    ring = lambda first, n: [(first + i, first + (i + 1) % n) for i in range(n)]
+    pairs = ring(0, 12) + ring(100, 8) + [(3, 104), (300, 301)] + ring(200, 9)
+    got = {r.node_id: (r.scc, r.size) for r in G.strong_components(edges(spark, pairs), 4).collect()}
+    assert got == {**{i: (0, 12) for i in range(12)}, **{100 + i: (100, 8) for i in range(8)}, **{200 + i: (200, 9) for i in range(9)}}
