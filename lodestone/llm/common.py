@@ -1,33 +1,31 @@
-"""Shared helpers of the corpus operators: checkpoints, partition counts, safe column names."""
+"""Shared helpers of the corpus operators: batches, partition counts, expressions. Checkpoints are those of all operators."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.lineage import cut, settled
+
+__all__ = ["ASCII_SPACE", "ascii_lower", "cut", "documents", "let", "partitions", "settled", "small_batches"]
+
 #: ASCII white space, as the operators' contracts name it.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder: a lost executor costs no recomputation.
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows and about 8 MB: a worker holds one batch at a time, however long the texts.
 
-    The folder is the session's spark.checkpoint.dir; a folder of the driver is used only where none is set,
-    as in local tests.
+    The same for all operators, as lazy plans of a session share its settings.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint(eager=True)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches small enough for whole texts: a worker holds one batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once: a column named several times, or inside a lambda, is computed each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -280,7 +280,7 @@ def shots(hist: np.ndarray) -> list[tuple[int, int]]:
 
 def clips(films: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """A row for each shot of each film: id, clip, first_frame, last_frame, start_s, end_s, luminance (mean)."""
-    small_batches(films.sparkSession, 100)
+    small_batches(films.sparkSession)
     kind = films.schema[id_col].dataType.simpleString()
     columns = f"id {kind}, clip int, first_frame int, last_frame int, start_s double, end_s double, luminance double"
 
@@ -304,7 +304,7 @@ def clips(films: DataFrame, id_col: str = "id", media_col: str = "media") -> Dat
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, media: every text's UTF-8 bytes, filled up with zeros, as a film."""
-    small_batches(docs.sparkSession, 200)
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def padded(raw: bytes) -> bytes:
 
 def digests(docs: DataFrame) -> DataFrame:
     """Writes every text as a film, reads the film back, and returns digests and features of what was read."""
-    small_batches(docs.sparkSession, 200)
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 

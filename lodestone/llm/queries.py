@@ -17,9 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.line_dedup import keep_bitmaps, kept_text
+    from lodestone.llm.line_dedup import keep_bitmaps, kept_text, with_bitmaps
 
-    kept = keep_bitmaps(documents(spark, sf_dir), min_docs=10, min_chars=1)
+    docs = documents(spark, sf_dir)
+    kept = with_bitmaps(docs, keep_bitmaps(docs, min_docs=10, min_chars=1))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(F.col("text"), F.col("keep")), 256).alias("kept_sha256"))
 
 

@@ -199,12 +199,24 @@ def test_line_dedup(monkeypatch, docs, rows, empty, most, broadcast):
         lines = (x or "").split("\n")
         kept = [y for y in lines if not (line_key(y) and len(seen[line_key(y)]) >= most)]
         want[i, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
-    df = line_dedup.keep_bitmaps(docs, most, extra=("t", "source"))
+    df = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs, most), ("t", "source"))
     got = collections.Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in df.withColumn("kept", line_dedup.kept_text(F.col("text"), F.col("keep"))).collect())
     assert got == want and set(df.columns) >= {"t", "source"}
     assert line_dedup.keep_bitmaps(empty).collect() == []
 
 
+def test_line_dedup_of_long_documents(spark):
+    """Time in proportion to the lines: one dropped line among 50,000, and every other line dropped."""
+    one = [f"line {i}" for i in range(50_000)]
+    one[25_000] = "Shared  "
+    other = [f"own {i}" if i % 2 else "shared" for i in range(50_000)]
+    df = spark.createDataFrame([(1, "\n".join(one)), (2, "\n".join(other)), (3, " SHARED")], "doc_id long, text string")
+    bitmaps = line_dedup.keep_bitmaps(df, 3)
+    got = {r.doc_id: r for r in line_dedup.with_bitmaps(df, bitmaps).withColumn("kept", line_dedup.kept_text(F.col("text"), F.col("keep"))).collect()}
+    assert got[1].kept.split("\n") == one[:25_000] + one[25_001:] and got[1].keep == [25_000, 25_001, 50_000]
+    assert got[2].kept.split("\n") == other[1::2] and got[2].n_dropped == 25_000 and got[3].kept == "" and got[3].keep == [0, 1, 1]
+
+
 # language
 
 
