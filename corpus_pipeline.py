@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines that stand in ten documents or more."""
-    marked = line_dedup.keep_bitmaps(docs, extra=("lang", "source"))
+    marked = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs), ("lang", "source"))
     kept = marked.withColumn("text", line_dedup.kept_text(F.col("text"), F.col("keep")))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
