@@ -10,16 +10,15 @@
 4. Buckets that still hold more than one component are searched in full: within a bucket every pair of classes of
    different components is compared by signature, and the likely ones by their full sets, on the spot; only links
    that join two components leave the bucket. A pair that shares several bands is looked at in the first. Buckets over
-   BUCKET rows or ITEMS shingles are first refined by a second band key, so that a pair that shares
-   no band but that of such a bucket is not compared there, unless one of the two is the bucket's leader (at 85 %, 25 bands
-   of 5: a chance of about 9e-6 at the threshold, not MISS); those still larger are dealt out in pairs of blocks.
+   BUCKET rows or ITEMS shingles are first refined by a second band key; those still larger are dealt out in pairs of blocks.
 
-Band keys: the most rows a band that leave a pair at the threshold unfound less often than MISS.
+Band keys: the most rows a band with which a pair at the threshold shares fewer than two bands less often than MISS. Two, as the
+pairs of a large bucket are looked for by a second band: what that leaves unfound is within MISS as well.
 
 Rows: null and empty texts and texts without a word have an empty set and no links; texts shorter than a shingle
-have one shingle, all their words; rows that share a doc_id are told apart by their sets; a null doc_id counts as the
-smallest; repeated rows get a result each; other columns are left out, whatever they are called; an empty table gives
-an empty result.
+have one shingle, all their words; rows that share a doc_id are told apart by their texts; doc_id is a whole number, a null one
+(and the least long, which stands for it) counts as the smallest; repeated rows get a result each; other columns are left out,
+whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, small_batches
+from lodestone.operators.components import components
 
-HASHES, BITS, MISS = 128, 4, 1e-6
+HASHES, BITS, MISS = 128, 4, 2e-6
 #: Five standard deviations of the estimate.
 MARGIN = 0.17
 #: Rows, and shingles, that one task may hold of a bucket.
@@ -55,7 +55,13 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def rows_per_band(threshold: float) -> int:
     """Minima in a band key."""
-    return max(r for r in range(1, 17) if r == 1 or (1 - threshold**r) ** (HASHES // r) <= MISS)
+
+    def missed(r: int) -> float:
+        """The chance that a pair at the threshold shares no band or only one."""
+        p, n = threshold**r, HASHES // r
+        return (1 - p) ** n + n * p * (1 - p) ** (n - 1)
+
+    return max(r for r in range(1, 17) if r == 1 or missed(r) <= MISS)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -158,12 +164,12 @@ def _groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]
 
 
 def sketches(docs: DataFrame, width: int, rows: int) -> DataFrame:
-    """d (doc_id, null as the smallest), n (shingles), k (digest of the set), s (signature words), keys (bands)."""
+    """d (doc_id, null as the smallest), t (hash of the text), n (shingles), k (digest of the set), s (signature words), keys (bands)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = _utf8(b.column(1))
+            texts = _utf8(b.column(2))
             for x, y in _groups(texts):
                 sets = shingle_sets(texts[x:y], width)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -171,11 +177,16 @@ def sketches(docs: DataFrame, width: int, rows: int) -> DataFrame:
                 sig, keys = iter(signatures(m).view(np.int64).tolist()), iter(band_keys(m, rows).view(np.int64).tolist())
                 has = [len(s) > 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(x, y - x), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if h else None for s, h in zip(sets, has)], pa.binary()), pa.array([next(sig) if h else None for h in has], pa.list_(pa.int64())), pa.array([next(keys) if h else None for h in has], pa.list_(pa.int64()))],
-                    ["d", "n", "k", "s", "keys"],
+                    [b.column(0).slice(x, y - x), b.column(1).slice(x, y - x), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if h else None for s, h in zip(sets, has)], pa.binary()), pa.array([next(sig) if h else None for h in has], pa.list_(pa.int64())), pa.array([next(keys) if h else None for h in has], pa.list_(pa.int64()))],
+                    ["d", "t", "n", "k", "s", "keys"],
                 )
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("d"), "text").mapInArrow(run, "d long, n long, k binary, s array<long>, keys array<long>")
+    return _named(docs).mapInArrow(run, "d long, t long, n long, k binary, s array<long>, keys array<long>")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """d, t, text: what a document is known by, its id (null as the smallest) and a hash of its text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("d"), F.xxhash64("text").alias("t"), "text")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -193,24 +204,21 @@ def likeness(a: Column, b: Column) -> Column:
 def _items(need: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """v, items: the full sets of the nodes in need (v)."""
     small_batches(docs.sparkSession)
-    named = need.join(nodes.select("v", "d", "k"), "v")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("d"), "text").join(named, "d").select("v", "k", "text")
+    named = need.join(nodes.select("v", "d", "t"), "v")
+    texts = _named(docs).join(named, ["d", "t"]).dropDuplicates(["d", "t"]).select("v", "text")  # rows that repeat both are equal
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = _utf8(b.column(2))
+            raw = _utf8(b.column(1))
             for x, y in _groups(raw):
-                got = shingle_sets(raw[x:y], width)
-                same = [_digest(s) == k.as_py() for s, k in zip(got, b.column(1).slice(x, y - x))]  # another text of that doc_id
-                v = [w.as_py() for w, ok in zip(b.column(0).slice(x, y - x), same) if ok]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array([s.tobytes() for s, ok in zip(got, same) if ok], pa.binary())], ["v", "items"])
+                got = pa.array([s.tobytes() for s in shingle_sets(raw[x:y], width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), got], ["v", "items"])
 
-    return cut(texts.mapInArrow(sets, "v binary, items binary").dropDuplicates(["v"]))
+    return cut(texts.mapInArrow(sets, "v binary, items binary"))
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose full sets are similar enough."""
-    items = _items(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), nodes, docs, width)
     both = pairs.join(items.select(F.col("v").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("v").alias("b"), F.col("items").alias("y")), "b")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,21 +233,6 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
     return cut(both.select("a", "b", "x", "y").mapInArrow(similar, "a binary, b binary"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """v, root: the smallest node reachable over links (a, b), for every node that has one."""
-    edges = cut(links.union(links.select("b", "a")).distinct().toDF("u", "v"))
-    roots = cut(edges.groupBy("v").agg(F.min("u").alias("near")).select("v", F.least("v", "near").alias("root")))
-    while True:
-        seen = edges.join(roots.select(F.col("v").alias("u"), F.col("root").alias("other")), "u").groupBy("v").agg(F.min("other").alias("other"))
-        moved = roots.join(seen, "v").select("v", F.col("root").alias("was"), F.least("root", "other").alias("root"))
-        jump = roots.select(F.col("v").alias("root"), F.col("root").alias("further"))
-        new = cut(moved.join(jump, "root", "left").select("v", "was", F.least("root", F.coalesce("further", "root")).alias("root")))
-        changed = new.where(F.col("was") != F.col("root")).limit(1).count()
-        roots = new.drop("was")
-        if not changed:
-            return roots
-
-
 def _search(rows: DataFrame, least: float, percent: int) -> DataFrame:
     """Links (a, b) between roots of different components in groups g, enough to join all that are linked.
 
@@ -302,7 +295,8 @@ def _grouped(rest: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (it is its own).
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (it is its own), text_hash (xxhash64
+    of the text) and leader: of the texts of a component exactly one is, and with it all rows that repeat it and its id.
 
     Documents are linked when their sets share percent of the shingles of both together.
     """
@@ -310,7 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = percent / 100 - MARGIN
     docs = docs.select("doc_id", "text")
     found = cut(sketches(docs, width, rows))
-    sets = found.where("n > 0").groupBy("k").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("keys").alias("keys"))
+    sets = found.where("n > 0").groupBy("k").agg(F.min(F.struct("d", "t")).alias("m"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("keys").alias("keys")).select("k", "m.d", "m.t", "n", "s", "keys")
     # a node's name starts with its doc_id, so that the smallest name has the smallest doc_id
     name = F.unhex(F.concat(F.lpad(F.hex(F.col("d").bitwiseXOR(F.lit(_NONE))), 16, "0"), F.hex("k")))
     nodes = cut(sets.withColumn("v", name))
@@ -325,19 +319,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     side = lambda x: nodes.select(F.col("v").alias(x), F.col("n").alias("n" + x), F.col("s").alias("s" + x))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(likeness(F.col("sa"), F.col("sb")) >= least)
-    links = _confirm(cut(pairs.select("a", "b")), nodes, docs, width, percent)
-    roots = components(links)
+    # one pass over the texts for both searches: of the nodes that share a band with another
+    items = _items(buckets.select("v").distinct(), nodes, docs, width)
+    links = _confirm(pairs.select("a", "b"), items, percent)
+    roots = components(links).toDF("v", "root")
 
     rest = buckets.where("m > 2").select("h", "band", "v", "n").join(roots, "v", "left")  # buckets of two are done
     groups = cut(_grouped(rest.withColumn("root", F.coalesce("root", "v")), nodes))
-    items = _items(groups.select("v").distinct(), nodes, docs, width)
     further = _search(groups.join(nodes.select("v", "n", "s", "keys"), "v").join(items, "v"), least, percent)
     again = components(cut(further)).toDF("root", "end")
     roots = roots.join(again, "root", "full_outer")  # a class without links is its own root
     roots = roots.select(F.coalesce("v", "root").alias("v"), F.coalesce("end", "root").alias("root"))
 
-    named = nodes.join(roots, "v", "left").select("k", F.coalesce("root", "v").alias("root"))
+    named = nodes.join(roots, "v", "left").select("k", F.col("d").alias("d0"), F.col("t").alias("t0"), F.coalesce(F.col("v") == F.col("root"), F.lit(True)).alias("first"), F.coalesce("root", "v").alias("root"))
     smallest = F.conv(F.hex(F.substring("root", 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_NONE))
-    out = found.select("d", "n", "k").join(named, "k", "left").select("d", "n", F.coalesce(smallest, "d").alias("c"))
+    leads = F.coalesce(F.col("first") & (F.col("d") == F.col("d0")) & (F.col("t") == F.col("t0")), F.lit(True))
+    out = found.select("d", "t", "n", "k").join(named, "k", "left").select("d", "t", "n", F.coalesce(smallest, "d").alias("c"), leads.alias("leader"))
     true_id = lambda x: F.when(F.col(x) != _NONE, F.col(x))
-    return out.select(true_id("d").alias("doc_id"), F.col("n").alias("n_shingles"), true_id("c").alias("component_id"), (F.col("d") == F.col("c")).alias("kept"))
+    return out.select(true_id("d").alias("doc_id"), F.col("n").alias("n_shingles"), true_id("c").alias("component_id"), (F.col("d") == F.col("c")).alias("kept"), F.col("t").alias("text_hash"), "leader")

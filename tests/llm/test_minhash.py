@@ -87,3 +87,48 @@ def test_signature_estimates_similarity(spark):
     from pyspark.sql import functions as F
 
     assert abs(df.select(minhash.likeness(F.col("a"), F.col("b"))).first()[0] - 0.85) < 0.12
+
+
+def test_long_chain_of_edited_copies(spark):
+    """2,000 documents, each linked with the one before and the one after only, their ids in no order."""
+    rng = random.Random(5)
+    now, texts = [f"w{i}" for i in range(60)], []
+    for k in range(2000):
+        now = list(now)
+        now[(7 * k) % 60] = f"n{k}"
+        texts.append(" ".join(now))
+    ids = rng.sample(range(1, 10_000), len(texts))
+    got = minhash.near_duplicates(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), 3, 85).collect()
+    assert len(got) == 2000 and {r.component_id for r in got} == {min(ids)}
+    assert [r.doc_id for r in got if r.leader] == [min(ids)]
+
+
+def test_pairs_in_buckets_beyond_one_task(spark, monkeypatch):
+    """Documents that share most of a passage fill buckets that are refined and dealt out in blocks; no pair is lost."""
+    monkeypatch.setattr(minhash, "BUCKET", 16)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(80)]
+    rows = []
+    for k in range(150):
+        own = [f"o{k}_{i}" for i in range(24)]
+        rows.append((2 * k, " ".join(passage + own)))
+        if k % 3 == 0:
+            rows.append((2 * k + 1, edited(passage + own, rng.randrange(1, 3), rng)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_bands_leave_little_unfound(percent):
+    rows = minhash.rows_per_band(percent / 100)
+    p, n = (percent / 100) ** rows, minhash.HASHES // rows
+    assert (1 - p) ** n + n * p * (1 - p) ** (n - 1) <= minhash.MISS
+
+
+def test_one_leader_of_rows_that_share_an_id(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, same), (5, same), (5, same + " x"), (7, same.upper()), (None, None), (None, None), (9, "alone")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    leaders = [(r.doc_id, r.text_hash) for r in got if r.leader]
+    assert len({x for x in leaders if x[0] == 5}) == 1 and 7 not in dict(leaders) and leaders.count((9, dict(leaders)[9])) == 1
