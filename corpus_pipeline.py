@@ -34,9 +34,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    """Keeps one document, that with the smallest id, of each group of near-duplicates; of rows that repeat id and text, one."""
+    found = minhash.near_duplicates(docs, width=5, percent=80).where("leader")
+    kept = found.select(F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_n"), F.col("text_hash").alias("_t")).distinct()
+    keys = {"_i": F.coalesce("doc_id", F.lit(0)), "_n": F.col("doc_id").isNull(), "_t": F.xxhash64("text")}
+    return docs.select(*COLUMNS).withColumns(keys).join(kept, [*keys], "left_semi").dropDuplicates([*keys]).select(*COLUMNS)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
