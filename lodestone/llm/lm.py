@@ -1,16 +1,19 @@
-"""A log-bilinear language model trained with noise-contrastive estimation.
+"""A log-bilinear language model trained with noise-contrastive estimation, its vocabulary factored into classes.
 
-Vocabulary: the SHORTLIST most frequent tokens have vectors of their own; all others are one class, within which a token
-has its smoothed share of the class's count. The score of token w after tokens x (one back) and y (two back) is
-(p1 * R[x] + p2 * R[y]) . Q[w] + b[w]; its exponential over the sum for all w is the token's probability.
+Vocabulary: all tokens that occur LEAST times or more, up to the VOCABULARY most frequent ones, have vectors of their own, as
+context and as target: it grows with the input until it fills a worker's share of memory (35 numbers a token). All others are one
+class, within which a token has its smoothed share of the class's count; those counts grow without a bound, in the cluster.
 
-Training: counts over all training documents give the shortlist and the noise distribution. A start is fitted on the
-driver on at most WARM_UP documents; from there every partition makes one pass over all its training tokens, and the
-mean of their parameters, weighted by tokens, is the model (a sum by parameter in the cluster, not a gathering of
-models). The noise words of a minibatch are shared, so that scores and gradients are products of small matrices.
+Classes: the SINGLE most frequent tokens are a class each. Every other token gets a profile, its neighbours among those,
+projected to PROFILE numbers; profiles are clustered, and each cluster is cut into classes by frequency. With V tokens there are
+about the square root of V classes of as many tokens. The state after tokens x (one back) and y (two back) is
+h = p1 * R[x] + p2 * R[y]; the probability of token w is that of its class, exp(h . C[class] + b) over the sum for all classes, times that
+of the token within it, exp(h . Q[w] + b) over the sum for the tokens of the class: products of matrices, normalised exactly.
 
-Scoring: exp(scores) factor over the two places of context, so the normalisers of all contexts are one matrix product,
-made once. A text is then scored by table lookups, all its tokens at once, and every log-probability is exact.
+Training: a start is fitted on the driver on about WARM_UP documents, chosen by a hash; from there every partition makes one
+pass over all its training tokens. Classes are told from noise classes that a minibatch shares, a token from noise tokens of its
+class. The model is the mean of the partitions' parameters, a token's weighted by how often a partition met it: sums by
+block, in two steps in the cluster; the driver receives one model.
 
 Counts of the most frequent tokens, TOP at most, are broadcast (16 bytes each); the rarer tokens of a document are joined to the
 table of counts by hash. Tokens are known by 64-bit hashes.
@@ -22,6 +25,7 @@ are 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +36,17 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, small_batches
 from lodestone.llm.minhash import _groups, _utf8, word_hashes
 
-SHORTLIST, DIMENSIONS, NOISE, BATCH, RATE = 1024, 16, 48, 8192, 0.1
-#: Noise words to a token, in expectation: the EXACT most frequent words count by their probability, NOISE draws stand for the rest.
-RATIO, EXACT, DAMPING = 16.0, 48, 1e-7
-TOP, WARM_UP = 1 << 17, 1000
-#: Ids of the class of all other tokens and of the end; the end also stands before the first token.
+LEAST, VOCABULARY, SINGLE, PROFILE = 3, 1 << 17, 128, 16
+#: ROWS of a table of scores at a time: they fit a processor's cache.
+DIMENSIONS, BATCH, RATE, ROWS = 16, 8192, 0.1, 1024
+#: Noise classes to a token, in expectation: the EXACT most frequent count by their probability, NOISE draws stand for the rest;
+#: so do OWN noise tokens for those of a token's class.
+RATIO, EXACT, NOISE, OWN, DAMPING = 16.0, 48, 48, 16, 1e-7
+#: Documents of the start, about, each of at most WARM_CHARS characters; counts that are broadcast, VOCABULARY of them at least.
+WARM_UP, WARM_CHARS, TOP = 1000, 1 << 16, 1 << 17
+#: Rows of a block of parameters.
+BLOCK = 4096
+#: Ids (and classes) of all other tokens and of the end; the end also stands before the first token.
 OTHER, END = 0, 1
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,92 +96,194 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def ids_among(words: np.ndarray, ids: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The id of each token; words: sorted hashes."""
+    at = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
+    return np.where(words[at] == tokens, ids[at], OTHER)
+
+
+def neighbours(ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens one and two before each."""
+    one, two = np.roll(ids, 1), np.roll(ids, 2)
+    one[start[:-1]] = END
+    two[start[:-1]] = END
+    second = start[:-1] + 1
+    two[second[second < start[1:]]] = END
+    return one, two
+
+
+def classes_of(counts: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    """The class of every id, from the counts by id (OTHER, END, then by frequency) and profiles by id."""
+    k, single = len(counts), min(len(counts), SINGLE)
+    out = np.arange(k, dtype=np.int32)
+    rest = k - single
+    if not rest:
+        return out
+    n = max(1, int(np.sqrt(rest)))
+    x = profiles[single:] / np.maximum(np.linalg.norm(profiles[single:], axis=1, keepdims=True), 1e-9)
+    groups = min(n, 48)
+    rng = np.random.default_rng(11)
+    centre = x[rng.choice(rest, groups, replace=False)]
+    for _ in range(12):  # k-means on the sphere
+        own = np.concatenate([(x[i : i + 65_536] @ centre.T).argmax(1) for i in range(0, rest, 65_536)])
+        sums = np.zeros_like(centre)
+        np.add.at(sums, own, x)
+        centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    order = np.lexsort((np.arange(rest), own))  # by cluster, within it by frequency
+    size, place = -(-rest // n), np.empty(rest, np.int64)
+    begins = np.searchsorted(own[order], np.arange(groups))
+    place[order] = np.arange(rest) - begins[own[order]]
+    _, named = np.unique(own.astype(np.int64) * (rest + 1) + place // size, return_inverse=True)
+    out[single:] = single + named
+    return out
+
+
 class Model:
-    """R, Q (shortlist x dimensions), p (2 x dimensions), b; words: sorted hashes of ids 1.., ids: their ids."""
+    """words: sorted hashes, ids: their ids. cls: class by id; slot: place of an id among those sorted by class; first: first slot of
+    each class, and the number of slots. R (ids x D), C (classes x D), Q (slots x D), b and c (biases of slots and classes), p (2 x D)."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, other: int, seed: int = 3):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, other: int, cls: np.ndarray | None = None, seed: int = 3):
         order = np.argsort(words)
         self.words, self.ids = words[order], (np.arange(len(words)) + 1)[order]
         share = np.concatenate([[other + 1.0], counts + 1.0])
-        self.noise = share / share.sum()
-        rng, k = np.random.default_rng(seed), len(share)
-        self.R = rng.normal(0, 0.1, (k, DIMENSIONS)).astype(np.float32)
-        self.Q = rng.normal(0, 0.1, (k, DIMENSIONS)).astype(np.float32)
-        self.p = np.ones((2, DIMENSIONS), np.float32)
-        self.b = np.log(self.noise).astype(np.float32)
-
-    def parameters(self) -> list[np.ndarray]:
-        return [self.R, self.Q, self.p, self.b]
+        k = len(share)
+        self.cls = np.arange(k, dtype=np.int32) if cls is None else cls
+        by_class = np.argsort(self.cls, kind="stable")
+        self.slot = np.empty(k, np.int64)
+        self.slot[by_class] = np.arange(k)
+        self.first = np.searchsorted(self.cls[by_class], np.arange(self.cls.max() + 2))
+        mass = np.add.reduceat(share[by_class], self.first[:-1])
+        self.noise, self.own = mass / mass.sum(), share[by_class] / mass[self.cls[by_class]]
+        rng = np.random.default_rng(seed)
+        vectors = lambda n: rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
+        self.R, self.Q, self.C, self.p = vectors(k), vectors(k), vectors(len(mass)), np.ones((2, DIMENSIONS), np.float32)
+        self.b, self.c = np.log(self.own).astype(np.float32), np.log(self.noise).astype(np.float32)
 
     def ids_of(self, tokens: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[at] == tokens, self.ids[at], OTHER)
-
-    def contexts(self, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens one and two before each."""
-        one, two = np.roll(ids, 1), np.roll(ids, 2)
-        one[start[:-1]] = END
-        two[start[:-1]] = END
-        second = start[:-1] + 1
-        two[second[second < start[1:]]] = END
-        return one, two
+        return ids_among(self.words, self.ids, tokens)
+
+    def start_learning(self) -> None:
+        """Squared gradients of rows, and how often each row of R and Q was met."""
+        self.seen = {k: np.full(len(getattr(self, k)), DAMPING, np.float32) for k in "RCQbc"}
+        self.met = {"R": np.zeros(len(self.R), np.float32), "Q": np.zeros(len(self.Q), np.float32)}
+        self.upto, self.ranked = np.cumsum(self.own), np.argsort(-self.noise, kind="stable")
+        self.offset = np.log(RATIO * self.own).astype(np.float32)
 
     def learn(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> int:
-        """One pass over tokens w after contexts x and y."""
-        k = len(self.b)
+        """One pass over tokens w after contexts x and y: within classes all at once, between classes in minibatches."""
+        k, exact = len(self.R), min(EXACT, len(self.C))
         key, times = np.unique((w.astype(np.int64) * k + x) * k + y, return_counts=True)
         order = rng.permutation(len(key))
         key, times = key[order], times[order].astype(np.float32)
+        y_, rest = key % k, key // k
+        x_, w_ = rest % k, rest // k
+        cls = self.cls[w_]
+        pull = self._learn_within(w_, x_, y_, cls, times, rng)
+        self.met["R"] += np.bincount(np.concatenate([x_, y_]), np.concatenate([times, times]), k).astype(np.float32)
+        top = self.ranked[:exact]
+        below = self.noise[top].sum()
+        ranked = np.cumsum(self.noise[self.ranked])
+        weight = RATIO * np.concatenate([self.noise[top], np.full(NOISE, (1 - below) / NOISE)]).astype(np.float32)
         offset = np.log(RATIO * self.noise).astype(np.float32)
-        exact = min(EXACT, k)
-        below = self.noise[:exact].sum()
-        weight = RATIO * np.concatenate([self.noise[:exact], np.full(NOISE, (1 - below) / NOISE)]).astype(np.float32)
-        if not hasattr(self, "seen"):
-            self.seen = [np.full(len(a), DAMPING, np.float32) for a in (self.R, self.Q, self.b)]
-        cumulative = np.cumsum(self.noise)
         for at in range(0, len(key), BATCH):
-            part, n = key[at : at + BATCH], times[at : at + BATCH, None]
-            y_, rest = part % k, part // k
-            x_, w_ = rest % k, rest // k
-            drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * (1 - below) + below, side="right"), k - 1)
-            noise = np.concatenate([np.arange(exact), drawn])
-            rx, ry, qw, qn = self.R[x_], self.R[y_], self.Q[w_], self.Q[noise]
+            part = slice(at, at + BATCH)
+            n, c = times[part], cls[part]
+            rx, ry, scale = self.R[x_[part]], self.R[y_[part]], 1 / n.sum()
             hidden = rx * self.p[0] + ry * self.p[1]
-            good = (hidden * qw).sum(1) + self.b[w_] - offset[w_]
-            bad = hidden @ qn.T + self.b[noise] - offset[noise]
-            g = -n[:, 0] / (1 + np.exp(np.clip(good, -30, 30)))
-            gn = n * weight / (1 + np.exp(-np.clip(bad, -30, 30)))
-            gh = g[:, None] * qw + gn @ qn
-            scale = 1 / n.sum()
-            self._step(0, self.R, np.concatenate([x_, y_]), np.concatenate([gh * self.p[0], gh * self.p[1]]) * scale)
-            self._step(1, self.Q, np.concatenate([w_, noise]), np.concatenate([g[:, None] * hidden, gn.T @ hidden]) * scale)
-            self._step(2, self.b, np.concatenate([w_, noise]), np.concatenate([g, gn.sum(0)]) * scale)
+            drawn = self.ranked[np.minimum(np.searchsorted(ranked, rng.random(NOISE) * (1 - below) + below, side="right"), len(ranked) - 1)]
+            noise = np.concatenate([top, drawn])
+            good = (hidden * self.C[c]).sum(1) + self.c[c] - offset[c]
+            bad = hidden @ self.C[noise].T + self.c[noise] - offset[noise]
+            g, gn = -n * _sigmoid(-good), n[:, None] * weight * _sigmoid(bad)
+            gh = g[:, None] * self.C[c] + gn @ self.C[noise] + pull[part]
+            rows = np.concatenate([c, noise])
+            self._step("C", rows, np.concatenate([g[:, None] * hidden, gn.T @ hidden]) * scale)
+            self._step("c", rows, np.concatenate([g, gn.sum(0)]) * scale)
+            self._step("R", np.concatenate([x_[part], y_[part]]), np.concatenate([gh * self.p[0], gh * self.p[1]]) * scale)
             self.p -= 0.05 * RATE * np.stack([(gh * rx).sum(0), (gh * ry).sum(0)]) * scale
         return len(w)
 
-    def _step(self, which: int, a: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+    def _learn_within(self, w: np.ndarray, x: np.ndarray, y: np.ndarray, cls: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Learns Q and b, each token against OWN noise tokens that its class draws; gives the gradients of the states."""
+        pull = np.zeros((len(w), DIMENSIONS), np.float32)
+        many = np.flatnonzero((self.first[1:] - self.first[:-1] > 1)[cls])
+        if not len(many):
+            return pull
+        order = many[np.argsort(cls[many], kind="stable")]
+        found, begins = np.unique(cls[order], return_index=True)
+        slots, hidden, rows, grads, biases = self.slot[w[order]], self.R[x[order]] * self.p[0] + self.R[y[order]] * self.p[1], [], [], []
+        for c, i, j in zip(found, begins, [*begins[1:], len(order)]):
+            a, z = self.first[c], self.first[c + 1]
+            low, high = self.upto[a - 1] if a else 0.0, self.upto[z - 1]
+            other = np.clip(np.searchsorted(self.upto, low + rng.random(OWN) * (high - low), side="right"), a, z - 1)
+            h, slot, times = hidden[i:j], slots[i:j], n[order[i:j]]
+            qw, qo = self.Q[slot], self.Q[other]
+            good = (h * qw).sum(1) + self.b[slot] - self.offset[slot]
+            bad = h @ qo.T + self.b[other] - self.offset[other]
+            g, gn = -times * _sigmoid(-good), (times * (RATIO / OWN))[:, None] * _sigmoid(bad)
+            pull[order[i:j]] = g[:, None] * qw + gn @ qo
+            rows += [slot, other]
+            grads += [g[:, None] * h, gn.T @ h]
+            biases += [g, gn.sum(0)]
+        rows = np.concatenate(rows)
+        scale = 1 / n.sum()
+        self._step("Q", rows, np.concatenate(grads) * scale)
+        self._step("b", rows, np.concatenate(biases) * scale)
+        self.met["Q"] += np.bincount(slots, n[order], len(self.Q)).astype(np.float32)
+        return pull
+
+    def _step(self, name: str, rows: np.ndarray, g: np.ndarray) -> None:
         """Adagrad by row."""
+        a, seen = getattr(self, name), self.seen[name]
         order = np.argsort(rows, kind="stable")
-        rows, first = np.unique(rows[order], return_index=True)
-        total = np.add.reduceat(g[order], first, axis=0)
-        self.seen[which][rows] += total**2 if total.ndim == 1 else (total**2).mean(1)
-        pace = RATE / np.sqrt(self.seen[which][rows])
+        rows = rows[order]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        rows, total = rows[first], np.add.reduceat(g[order], first, axis=0)
+        seen[rows] += total**2 if total.ndim == 1 else (total**2).mean(1)
+        pace = RATE / np.sqrt(seen[rows])
         a[rows] -= total * (pace if total.ndim == 1 else pace[:, None])
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Scores by (token one back, token) with the bias, and by (two back, token), normalised over both: the second
-        result minus logz[x, y] at lookup time."""
-        a, c = (self.R * self.p[0]) @ self.Q.T + self.b, (self.R * self.p[1]) @ self.Q.T
-        am, cm = a.max(1, keepdims=True), c.max(1, keepdims=True)
-        z = np.log(np.exp(a - am, dtype=np.float64) @ np.exp(c - cm, dtype=np.float64).T) + am + cm.T
-        return np.stack([a, c]), z
+    def log_probabilities(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each token w (OTHER: of the class) after x and y."""
+        key, at = np.unique(x.astype(np.int64) * len(self.R) + y, return_inverse=True)
+        hidden = self.R[key // len(self.R)] * self.p[0] + self.R[key % len(self.R)] * self.p[1]
+        cls, out = self.cls[w], np.empty(len(w))
+        order = np.argsort(at, kind="stable")
+        bounds = np.searchsorted(at[order], np.arange(0, len(key) + ROWS, ROWS))
+        for k in range(0, len(key), ROWS):
+            score = hidden[k : k + ROWS] @ self.C.T + self.c
+            rows = order[bounds[k // ROWS] : bounds[k // ROWS + 1]]
+            own = score[at[rows] - k, cls[rows]]
+            out[rows] = own - _log_sums(score)[at[rows] - k]
+        order = np.argsort(cls, kind="stable")
+        found, begins = np.unique(cls[order], return_index=True)
+        for c, i, j in zip(found, begins, [*begins[1:], len(w)]):
+            a, z = self.first[c], self.first[c + 1]
+            for k in range(i, j if z - a > 1 else i, ROWS):
+                rows = order[k : min(k + ROWS, j)]
+                score = hidden[at[rows]] @ self.Q[a:z].T + self.b[a:z]
+                own = score[np.arange(len(rows)), self.slot[w[rows]] - a]
+                out[rows] += own - _log_sums(score)
+        return out
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _log_sums(score: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of the exponentials of each row; overwrites score."""
+    top = score.max(1, keepdims=True)
+    np.subtract(score, top, out=score)
+    np.exp(score, out=score)
+    return np.log(score.sum(1)) + top[:, 0]
 
 
 class Scorer:
-    """Everything a partition needs: model tables, counts of the TOP tokens, totals."""
+    """Everything a partition needs: the model, counts of the TOP tokens, totals."""
 
     def __init__(self, model: Model, top: np.ndarray, top_counts: np.ndarray, total: int, distinct: int, listed: int):
-        self.model, (self.a, self.z) = model, model.tables()
+        self.model = model
         order = np.argsort(top)
         self.top, self.top_counts, self.total, self.distinct = top[order], top_counts[order], total, distinct
         self.base = np.log10(total + distinct + 1.0)
@@ -187,8 +299,7 @@ class Scorer:
         found = self.top[place] == words if len(self.top) else np.zeros(len(words), bool)
         count = np.where(found, self.top_counts[place], 0) if len(self.top) else np.zeros(len(words), np.int64)
         ids = self.model.ids_of(words)[at]
-        x, y = self.model.contexts(ids, start)
-        score = (self.a[0][x, ids].astype(np.float64) + self.a[1][y, ids] - self.z[x, y]) / np.log(10)
+        score = self.model.log_probabilities(ids, *neighbours(ids, start)) / np.log(10)
         logs = np.log10(count + 1.0)[at]
         sums = [np.add.reduceat(v, start[:-1]) for v in (found[at].astype(np.int64), logs, np.where(ids == OTHER, logs, 0.0), score, (ids == OTHER).astype(np.int64))]
         rare = np.flatnonzero(~found[at])
@@ -204,52 +315,123 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+def profiles(train: DataFrame, words: np.ndarray) -> np.ndarray:
+    """By id: the neighbours before and after among the SINGLE most frequent tokens, each a random vector, added up.
+
+    words: hashes by id, from END on. Sums by block in the cluster; VOCABULARY x PROFILE numbers come back.
+    """
+    k, half = len(words) + 1, PROFILE // 2
+    order = np.argsort(words)
+    shared = train.sparkSession.sparkContext.broadcast((words[order], (np.arange(len(words)) + 1)[order]))
+    draw = np.random.default_rng(9).normal(0, 1, (SINGLE, half)).astype(np.float32)
+    draw[OTHER] = 0
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, ids, total = *shared.value, np.zeros((k, PROFILE), np.float32)
+        for b in batches:
+            texts = _utf8(b.column(0))
+            for i, j in _groups(texts, 1 << 20):
+                tokens, start = token_hashes(texts[i:j])
+                w = ids_among(listed, ids, tokens)
+                before, _ = neighbours(w, start)
+                after = np.append(w[1:], END)
+                for side, near in ((0, before), (half, after)):
+                    pick = np.flatnonzero((w >= SINGLE) & (near < SINGLE) & (near != OTHER))
+                    pair, n = np.unique(w[pick] * SINGLE + near[pick], return_counts=True)
+                    np.add.at(total[:, side : side + half], pair // SINGLE, draw[pair % SINGLE] * n[:, None].astype(np.float32))
+        yield from _blocks("P", np.flatnonzero(np.abs(total).sum(1)), None, total)
+
+    out = np.zeros((k, PROFILE), np.float32)
+    for _, at, _, values in _summed(train.mapInArrow(sums, _PARTS), False):
+        out[at] = values.reshape(len(at), PROFILE)
+    return out
+
+
+#: What partitions send of a part of the parameters: a block's rows, their weights and their values (float32).
+_PARTS = "part string, block int, rows binary, weights binary, vals binary"
+
+
+def _blocks(part: str, rows: np.ndarray, weights: np.ndarray | None, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """rows (sorted) of values, a batch a block of BLOCK rows."""
+    for block in np.unique(rows // BLOCK):
+        at = rows[rows // BLOCK == block].astype(np.int64)
+        w = np.ones(len(at), np.float32) if weights is None else weights[at]
+        yield pa.RecordBatch.from_pylist([{"part": part, "block": int(block), "rows": at.tobytes(), "weights": w.astype("f4").tobytes(), "vals": values[at].astype("f4").tobytes()}], schema=pa.schema([("part", pa.string()), ("block", pa.int32()), ("rows", pa.binary()), ("weights", pa.binary()), ("vals", pa.binary())]))
+
+
+def _summed(parts: DataFrame, mean: bool) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sums or weighted means of the rows of parts, block by block: first among about the square root of the partitions, then all."""
+
+    def add(t: pa.Table) -> pa.Table:
+        sums: dict[int, list] = {}
+        rows = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in t.column("rows").to_pylist()]))
+        total, weight = None, np.zeros(len(rows))
+        for r, w, v in zip(t.column("rows").to_pylist(), t.column("weights").to_pylist(), t.column("vals").to_pylist()):
+            at, w = np.searchsorted(rows, np.frombuffer(r, np.int64)), np.frombuffer(w, "f4").astype(np.float64)
+            v = np.frombuffer(v, "f4").reshape(len(at), -1)
+            total = np.zeros((len(rows), v.shape[1])) if total is None else total
+            total[at] += v * w[:, None] if mean else v
+            weight[at] += w
+        if mean:
+            total /= weight[:, None]
+        return pa.table({"part": [t.column("part")[0].as_py()], "block": pa.array([t.column("block")[0].as_py()], pa.int32()), "rows": pa.array([rows.tobytes()], pa.binary()), "weights": pa.array([weight.astype("f4").tobytes()], pa.binary()), "vals": pa.array([total.astype("f4").tobytes()], pa.binary())})
+
+    salts = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
+    some = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("part", "block", "salt").applyInArrow(lambda t: add(t), _PARTS)
+    for r in some.groupBy("part", "block").applyInArrow(lambda t: add(t), _PARTS).toLocalIterator():  # a row a block of the model
+        yield r["part"], np.frombuffer(r["rows"], np.int64), np.frombuffer(r["weights"], "f4"), np.frombuffer(r["vals"], "f4")
+
+
 def fit(docs: DataFrame, counts: DataFrame, held: Column) -> tuple[Model, DataFrame, int, int, int]:
     """The model of all documents not held out; counts: token_counts() of them, kept."""
     spark = docs.sparkSession
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = int(END_HASH.astype(np.int64))
-    rows = counts.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(SHORTLIST - 2).collect()
+    listed = counts.where((F.col("h") != end) & (F.col("c") >= LEAST) & (_step("c") >= frequent(counts, VOCABULARY))).toArrow()  # VOCABULARY rows of 16 bytes
+    h, c = listed.column("h").to_numpy(), listed.column("c").to_numpy()
+    order = np.lexsort((h, -c))
     ends = counts.where(F.col("h") == end).select("c").collect()
-    words = np.array([end, *(r["h"] for r in rows)], np.int64).view(np.uint64)
-    c = np.array([ends[0][0] if ends else 0, *(r["c"] for r in rows)], np.float64)
-    listed = int(c.sum())
-    model = Model(words, c, total - listed)
+    words = np.concatenate([[end], h[order]]).astype(np.int64).view(np.uint64)
+    c = np.concatenate([[ends[0][0] if ends else 0], c[order]]).astype(np.float64)
+    held_in = int(c.sum())
     train = docs.where(~held).select("text")
-    first = train.orderBy(F.xxhash64("text")).limit(WARM_UP).collect()
+    small_batches(spark)
+    model = Model(words, c, total - held_in, classes_of(np.concatenate([[total - held_in], c]), profiles(train, words)))
+    model.start_learning()
     rng = np.random.default_rng(5)
-    texts = [(r["text"] or "").encode() for r in first]
+    n = train.count()
+    deal = F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, WARM_UP / max(1, n)))
+    texts = sorted((r["text"] or "").encode() for r in train.where(deal & (F.length("text") <= WARM_CHARS)).distinct().limit(2 * WARM_UP).collect())
     for _ in range(2):
-        for i, j in _groups(texts, 4 << 20):
+        for i, j in _groups(texts, 1 << 20):
             tokens, start = token_hashes(texts[i:j])
             ids = model.ids_of(tokens)
-            model.learn(ids, *model.contexts(ids, start), rng)
-    shared = spark.sparkContext.broadcast(model)  # SHORTLIST x DIMENSIONS numbers, twice
-    small_batches(spark)
+            model.learn(ids, *neighbours(ids, start), rng)
+    shared = spark.sparkContext.broadcast(model)  # VOCABULARY x (2 D + 3) numbers at most, and their squared gradients
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import copy
-
         m, n, r = copy.deepcopy(shared.value), 0, np.random.default_rng(7)
+        m.met = {k: np.zeros_like(v) for k, v in m.met.items()}
         for b in batches:
             texts = _utf8(b.column(0))
-            for i, j in _groups(texts, 4 << 20):
+            for i, j in _groups(texts, 1 << 20):
                 tokens, start = token_hashes(texts[i:j])
                 ids = m.ids_of(tokens)
-                n += m.learn(ids, *m.contexts(ids, start), r)
+                n += m.learn(ids, *neighbours(ids, start), r)
         if n:
-            flat = np.concatenate([a.reshape(-1) for a in m.parameters()]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n, np.int64))], ["i", "v", "n"])
-
-    sums = train.mapInArrow(run, "i long, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).orderBy("i").collect()  # a row a parameter
-    if sums:
-        flat, at = np.array([r["v"] for r in sums], np.float32), 0
-        for a in model.parameters():
-            a[...] = flat[at : at + a.size].reshape(a.shape)
-            at += a.size
-    if hasattr(model, "seen"):
-        del model.seen
-    return model, train, total, distinct, listed
+            yield from _blocks("R", np.flatnonzero(m.met["R"]), m.met["R"], m.R)
+            yield from _blocks("Q", np.flatnonzero(m.met["Q"]), m.met["Q"], np.column_stack([m.Q, m.b]))
+            yield from _blocks("C", np.arange(len(m.C)), np.full(len(m.C), n, np.float32), np.column_stack([m.C, m.c]))
+            yield from _blocks("p", np.arange(2), np.full(2, n, np.float32), m.p)
+
+    for part, at, _, values in _summed(train.mapInArrow(run, _PARTS), True):
+        values = values.reshape(len(at), -1)
+        getattr(model, part)[at] = values[:, :DIMENSIONS]
+        if part in "QC":
+            {"Q": model.b, "C": model.c}[part][at] = values[:, DIMENSIONS]
+    for name in ("seen", "met", "upto", "ranked", "offset"):
+        delattr(model, name)
+    return model, train, total, distinct, held_in
 
 
 def _step(c: str) -> Column:

@@ -287,23 +287,111 @@ def test_language_model(docs, rows, empty):
     assert lm.score(empty).collect() == []
 
 
+def small_model(seed, k=300):
+    """k tokens, the last of which share classes, with parameters of no meaning."""
+    rng = np.random.default_rng(seed)
+    counts, other = np.sort(rng.integers(1, 1000, k - 1))[::-1].astype(float), 500
+    cls = lm.classes_of(np.concatenate([[other], counts]), rng.normal(0, 1, (k, lm.PROFILE)))
+    m = lm.Model(rng.choice(1 << 60, k - 1, replace=False).astype(np.uint64), counts, other, cls)
+    for name in "RQCbc":
+        getattr(m, name)[...] = rng.normal(0, 1, getattr(m, name).shape)
+    return m
+
+
+def slow_log10(m, w, x, y):
+    """The log10 probability of one token after two, by loops."""
+    h = [float(m.R[x][d] * m.p[0][d] + m.R[y][d] * m.p[1][d]) for d in range(lm.DIMENSIONS)]
+    dot = lambda v: sum(a * float(b) for a, b in zip(h, v))
+    share = lambda scores, i: math.exp(scores[i]) / sum(map(math.exp, scores))
+    c = int(m.cls[w])
+    out = share([dot(m.C[i]) + float(m.c[i]) for i in range(len(m.C))], c)
+    mates = [i for i in range(len(m.cls)) if m.cls[i] == c]
+    if len(mates) > 1:
+        out *= share([dot(m.Q[m.slot[i]]) + float(m.b[m.slot[i]]) for i in mates], mates.index(w))
+    return math.log10(out)
+
+
 def test_language_model_is_normalised():
-    rng = np.random.default_rng(0)
-    m = lm.Model(rng.integers(1, 1 << 60, 50).astype(np.uint64), rng.integers(1, 100, 50).astype(float), 300)
-    m.R[:], m.Q[:] = rng.normal(0, 1, m.R.shape), rng.normal(0, 1, m.Q.shape)
-    scores, z = m.tables()
-    for x, y in ((0, 0), (3, 7), (50, 1)):
-        assert abs(np.exp(scores[0][x] + scores[1][y] - z[x, y]).sum() - 1) < 1e-4
+    m = small_model(0)
+    assert m.cls.max() < 290 and (m.cls[: lm.SINGLE] == np.arange(lm.SINGLE)).all()
+    every = np.arange(300)
+    for x, y in ((0, 0), (3, 7), (299, 1)):
+        got = m.log_probabilities(every, np.full(300, x), np.full(300, y))
+        assert abs(np.exp(got).sum() - 1) < 1e-4
+        assert np.allclose(got[::37] / math.log(10), [slow_log10(m, w, x, y) for w in every[::37]], atol=1e-4)
+
+
+def test_score_equals_a_slow_loop(docs, rows, monkeypatch):
+    monkeypatch.setattr(lm, "SINGLE", 24)
+    monkeypatch.setattr(lm, "VOCABULARY", 300)
+    monkeypatch.setattr(lm, "TOP", 400)  # the counts of other tokens are joined
+    kept, init = {}, lm.Scorer.__init__
+
+    def keep(self, *args):
+        init(self, *args)
+        kept["s"] = self
+
+    monkeypatch.setattr(lm.Scorer, "__init__", keep)
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score(docs).collect()}
+    m, n = kept["s"].model, 0
+    assert len(m.C) < len(m.R)
+    hashed = lambda w: np.uint64(lm.token_hashes([w.encode()])[0][0])
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [(i, [w.translate(LOW) for w in words(x)]) for i, x in rows]
+    c = collections.Counter(w for i, x in texts if not held(i) for w in x)
+    ends = sum(not held(i) for i, _ in texts)
+    names = {int(h): int(i) for h, i in zip(m.words, m.ids)}
+    ids = {w: names.get(int(hashed(w)), 0) for _, x in texts for w in x}
+    rest = [w for w in c if not ids[w]]
+    total = sum(c[w] for w in rest) + len(rest) + 1
+    assert sum(c.values()) + ends == kept["s"].total
+    for i, x in texts[:40:3] + texts[-12:]:
+        if len(x) > 400:
+            continue
+        n, want, seen = n + 1, 0.0, [1, 1]
+        for w in [*x, None]:
+            k = 1 if w is None else ids[w]
+            want += slow_log10(m, k, seen[-1], seen[-2])
+            if not k:
+                want += math.log10((c[w] + 1) / total)
+            seen.append(k)
+        assert abs(got[i, len(x) + 1] - want) < 1e-3 * max(1, len(x))
+    assert n > 12
 
 
 def test_language_model_learns_order():
     rng, r = np.random.default_rng(0), np.random.default_rng(1)
     w = np.tile(np.arange(2, 8), 3000)  # a cycle: each token follows from the last
-    m = lm.Model(rng.integers(1, 1 << 60, 9).astype(np.uint64), np.bincount(w, minlength=10)[1:].astype(float), 0)
-    for _ in range(60):
-        m.learn(w[2:], w[1:-1], w[:-2], r)
-    scores, z = m.tables()
-    assert np.exp(scores[0][3, 4] + scores[1][2, 4] - z[3, 2]) > 0.5
+    for cls in (None, np.array([0, 1, 2, 3, 4, 4, 5, 5, 4, 4], np.int32)):
+        m = lm.Model(rng.integers(1, 1 << 60, 9).astype(np.uint64), np.bincount(w, minlength=10)[1:].astype(float), 0, cls)
+        m.start_learning()
+        for _ in range(60):
+            m.learn(w[2:], w[1:-1], w[:-2], r)
+        got = np.exp(m.log_probabilities(np.arange(2, 8), np.array([7, 2, 3, 4, 5, 6]), np.array([6, 7, 2, 3, 4, 5])))
+        assert got.min() > 0.5
+
+
+def test_language_model_beats_the_base_held_out(spark):
+    got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] > got[1] + 0.15 * got[2]
+
+
+def test_sums_of_parts_are_weighted_means(spark):
+    """What partitions send, summed in two steps, is the mean weighted by row."""
+    rng = np.random.default_rng(2)
+    sent, want, weight = [], np.zeros((9000, 3)), np.zeros(9000)
+    for _ in range(7):
+        rows = np.sort(rng.choice(9000, 500, replace=False))
+        w, v = rng.integers(1, 9, 9000).astype(np.float32), rng.normal(0, 1, (9000, 3)).astype(np.float32)
+        sent += [b.to_pylist()[0] for b in lm._blocks("R", rows, w, v)]
+        want[rows] += v[rows] * w[rows, None]
+        weight[rows] += w[rows]
+    df = spark.createDataFrame([(x["part"], x["block"], bytearray(x["rows"]), bytearray(x["weights"]), bytearray(x["vals"])) for x in sent], lm._PARTS).repartition(5)
+    seen = np.zeros(9000, bool)
+    for part, at, w, values in lm._summed(df, True):
+        assert part == "R" and np.allclose(values.reshape(-1, 3), want[at] / weight[at, None], atol=1e-5) and np.allclose(w, weight[at])
+        seen[at] = True
+    assert (seen == (weight > 0)).all()
 
 
 # quality
