@@ -36,16 +36,16 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, small_batches
 from lodestone.llm.minhash import _groups, _utf8, word_hashes
 
-LEAST, VOCABULARY, SINGLE, PROFILE = 3, 1 << 17, 128, 16
+LEAST, VOCABULARY, SINGLE, PROFILE = 3, 1 << 16, 64, 16
 #: ROWS of a table of scores at a time: they fit a processor's cache.
-DIMENSIONS, BATCH, RATE, ROWS = 16, 8192, 0.1, 1024
+DIMENSIONS, BATCH, RATE, ROWS = 16, 8192, 0.1, 512
 #: Noise classes to a token, in expectation: the EXACT most frequent count by their probability, NOISE draws stand for the rest;
 #: so do OWN noise tokens for those of a token's class.
-RATIO, EXACT, NOISE, OWN, DAMPING = 16.0, 48, 48, 16, 1e-7
+RATIO, EXACT, NOISE, OWN, DAMPING = 16.0, 40, 40, 16, 1e-7
 #: Documents of the start, about, each of at most WARM_CHARS characters; counts that are broadcast, VOCABULARY of them at least.
 WARM_UP, WARM_CHARS, TOP = 1000, 1 << 16, 1 << 17
-#: Rows of a block of parameters.
-BLOCK = 4096
+#: Rows of a block of parameters; tokens that one partition learns from.
+BLOCK, SHARD = 4096, 5_000_000
 #: Ids (and classes) of all other tokens and of the end; the end also stands before the first token.
 OTHER, END = 0, 1
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -96,10 +96,24 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def ids_among(words: np.ndarray, ids: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The id of each token; words: sorted hashes."""
-    at = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
-    return np.where(words[at] == tokens, ids[at], OTHER)
+class Listed:
+    """The ids of listed tokens. Hashes are even, so that their first bits find the place in the sorted list but for a few steps."""
+
+    def __init__(self, words: np.ndarray, ids: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.ids = words[order], ids[order]
+        self.shift = np.uint64(64 - min(20, max(1, 3 + len(words).bit_length())))
+        first = (self.words >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(first, np.arange((1 << int(64 - self.shift)) + 1))
+        self.steps = int(np.diff(self.begin).max())
+
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        """The id of each token, OTHER of those not listed."""
+        at, out = self.begin[(tokens >> self.shift).astype(np.int64)], np.zeros(len(tokens), np.int64)
+        for k in range(self.steps):
+            near = np.minimum(at + k, len(self.words) - 1)
+            np.copyto(out, self.ids[near], where=self.words[near] == tokens)
+        return out
 
 
 def neighbours(ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,12 +153,11 @@ def classes_of(counts: np.ndarray, profiles: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """words: sorted hashes, ids: their ids. cls: class by id; slot: place of an id among those sorted by class; first: first slot of
+    """words: hashes of the ids from END on, ids_of: their ids. cls: class by id; slot: place of an id among those sorted by class; first: first slot of
     each class, and the number of slots. R (ids x D), C (classes x D), Q (slots x D), b and c (biases of slots and classes), p (2 x D)."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, other: int, cls: np.ndarray | None = None, seed: int = 3):
-        order = np.argsort(words)
-        self.words, self.ids = words[order], (np.arange(len(words)) + 1)[order]
+        self.words, self.ids_of = words, Listed(words, np.arange(1, len(words) + 1))
         share = np.concatenate([[other + 1.0], counts + 1.0])
         k = len(share)
         self.cls = np.arange(k, dtype=np.int32) if cls is None else cls
@@ -159,9 +172,6 @@ class Model:
         self.R, self.Q, self.C, self.p = vectors(k), vectors(k), vectors(len(mass)), np.ones((2, DIMENSIONS), np.float32)
         self.b, self.c = np.log(self.own).astype(np.float32), np.log(self.noise).astype(np.float32)
 
-    def ids_of(self, tokens: np.ndarray) -> np.ndarray:
-        return ids_among(self.words, self.ids, tokens)
-
     def start_learning(self) -> None:
         """Squared gradients of rows, and how often each row of R and Q was met."""
         self.seen = {k: np.full(len(getattr(self, k)), DAMPING, np.float32) for k in "RCQbc"}
@@ -193,13 +203,15 @@ class Model:
             drawn = self.ranked[np.minimum(np.searchsorted(ranked, rng.random(NOISE) * (1 - below) + below, side="right"), len(ranked) - 1)]
             noise = np.concatenate([top, drawn])
             good = (hidden * self.C[c]).sum(1) + self.c[c] - offset[c]
-            bad = hidden @ self.C[noise].T + self.c[noise] - offset[noise]
-            g, gn = -n * _sigmoid(-good), n[:, None] * weight * _sigmoid(bad)
+            bad = hidden @ self.C[noise].T
+            bad += self.c[noise] - offset[noise]
+            g, gn = -n * _sigmoid(-good), _sigmoid(bad)
+            gn *= weight
+            gn *= n[:, None]
             gh = g[:, None] * self.C[c] + gn @ self.C[noise] + pull[part]
             rows = np.concatenate([c, noise])
-            self._step("C", rows, np.concatenate([g[:, None] * hidden, gn.T @ hidden]) * scale)
-            self._step("c", rows, np.concatenate([g, gn.sum(0)]) * scale)
-            self._step("R", np.concatenate([x_[part], y_[part]]), np.concatenate([gh * self.p[0], gh * self.p[1]]) * scale)
+            self._step(rows, C=np.concatenate([g[:, None] * hidden, gn.T @ hidden]) * scale, c=np.concatenate([g, gn.sum(0)]) * scale)
+            self._step(np.concatenate([x_[part], y_[part]]), R=np.concatenate([gh * self.p[0], gh * self.p[1]]) * scale)
             self.p -= 0.05 * RATE * np.stack([(gh * rx).sum(0), (gh * ry).sum(0)]) * scale
         return len(w)
 
@@ -227,56 +239,72 @@ class Model:
             biases += [g, gn.sum(0)]
         rows = np.concatenate(rows)
         scale = 1 / n.sum()
-        self._step("Q", rows, np.concatenate(grads) * scale)
-        self._step("b", rows, np.concatenate(biases) * scale)
+        self._step(rows, Q=np.concatenate(grads) * scale, b=np.concatenate(biases) * scale)
         self.met["Q"] += np.bincount(slots, n[order], len(self.Q)).astype(np.float32)
         return pull
 
-    def _step(self, name: str, rows: np.ndarray, g: np.ndarray) -> None:
-        """Adagrad by row."""
-        a, seen = getattr(self, name), self.seen[name]
-        order = np.argsort(rows, kind="stable")
+    def _step(self, rows: np.ndarray, **gradients: np.ndarray) -> None:
+        """Adagrad by row, of the arrays named."""
+        order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.diff(rows, prepend=-1))
-        rows, total = rows[first], np.add.reduceat(g[order], first, axis=0)
-        seen[rows] += total**2 if total.ndim == 1 else (total**2).mean(1)
-        pace = RATE / np.sqrt(seen[rows])
-        a[rows] -= total * (pace if total.ndim == 1 else pace[:, None])
+        rows = rows[first]
+        for name, g in gradients.items():
+            a, seen, total = getattr(self, name), self.seen[name], np.add.reduceat(g[order], first, axis=0)
+            seen[rows] += total**2 if total.ndim == 1 else (total**2).mean(1)
+            pace = RATE / np.sqrt(seen[rows])
+            a[rows] -= total * (pace if total.ndim == 1 else pace[:, None])
 
     def log_probabilities(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each token w (OTHER: of the class) after x and y."""
-        key, at = np.unique(x.astype(np.int64) * len(self.R) + y, return_inverse=True)
+        key = x.astype(np.int64) * len(self.R) + y
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.diff(key, prepend=-1) != 0
+        state, key = np.cumsum(first) - 1, key[first]  # of the rows in order; distinct contexts
         hidden = self.R[key // len(self.R)] * self.p[0] + self.R[key % len(self.R)] * self.p[1]
-        cls, out = self.cls[w], np.empty(len(w))
-        order = np.argsort(at, kind="stable")
-        bounds = np.searchsorted(at[order], np.arange(0, len(key) + ROWS, ROWS))
+        at, cls, out = np.empty(len(w), np.int64), self.cls[w], np.empty(len(w))
+        at[order] = state
+        bounds = np.searchsorted(state, np.arange(0, len(key) + ROWS, ROWS))
         for k in range(0, len(key), ROWS):
-            score = hidden[k : k + ROWS] @ self.C.T + self.c
-            rows = order[bounds[k // ROWS] : bounds[k // ROWS + 1]]
-            own = score[at[rows] - k, cls[rows]]
-            out[rows] = own - _log_sums(score)[at[rows] - k]
-        order = np.argsort(cls, kind="stable")
+            rows, of = (v[bounds[k // ROWS] : bounds[k // ROWS + 1]] for v in (order, state))
+            out[rows] = _log_shares(hidden[k : k + ROWS], self.C, self.c, of - k, cls[rows])
+        order = np.argsort(cls.astype(np.uint16) if len(self.C) < 1 << 16 else cls, kind="stable")
         found, begins = np.unique(cls[order], return_index=True)
         for c, i, j in zip(found, begins, [*begins[1:], len(w)]):
             a, z = self.first[c], self.first[c + 1]
             for k in range(i, j if z - a > 1 else i, ROWS):
                 rows = order[k : min(k + ROWS, j)]
-                score = hidden[at[rows]] @ self.Q[a:z].T + self.b[a:z]
-                own = score[np.arange(len(rows)), self.slot[w[rows]] - a]
-                out[rows] += own - _log_sums(score)
+                out[rows] += _log_shares(hidden[at[rows]], self.Q[a:z], self.b[a:z], np.arange(len(rows)), self.slot[w[rows]] - a)
         return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    """Overwrites z."""
+    np.negative(np.clip(z, -60, None, out=z), out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
 
 
-def _log_sums(score: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of the exponentials of each row; overwrites score."""
-    top = score.max(1, keepdims=True)
-    np.subtract(score, top, out=score)
-    np.exp(score, out=score)
-    return np.log(score.sum(1)) + top[:, 0]
+def _log_shares(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The logarithms of the shares of columns in the exponentials of their rows of h . vectors + bias.
+
+    One product gives the scores less a bound of each row, so that none overflows; where the bound was far off, and all underflow,
+    the row's greatest score is taken instead.
+    """
+    bound = np.sqrt((h * h).sum(1)) * np.sqrt((vectors * vectors).sum(1).max()) + bias.max()
+    one = np.ones(len(bias), np.float32)
+    right = np.column_stack([vectors, bias, one]).T
+    score = np.column_stack([h, np.ones(len(h), np.float32), -bound]) @ right
+    own = score[rows, columns]
+    total = np.exp(score, out=score) @ one
+    if total.min() < 1e-20:
+        score = h @ vectors.T + bias
+        top = score.max(1)
+        own = score[rows, columns] - top[rows]
+        total = np.exp(score - top[:, None]).sum(1)
+    return own - np.log(total)[rows]
 
 
 class Scorer:
@@ -315,34 +343,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def profiles(train: DataFrame, words: np.ndarray) -> np.ndarray:
+def profiles(train: DataFrame, words: np.ndarray, total: int) -> np.ndarray:
     """By id: the neighbours before and after among the SINGLE most frequent tokens, each a random vector, added up.
 
-    words: hashes by id, from END on. Sums by block in the cluster; VOCABULARY x PROFILE numbers come back.
+    words: hashes by id, from END on; total: tokens of train. Sums by block in the cluster; VOCABULARY x PROFILE numbers come back.
     """
     k, half = len(words) + 1, PROFILE // 2
-    order = np.argsort(words)
-    shared = train.sparkSession.sparkContext.broadcast((words[order], (np.arange(len(words)) + 1)[order]))
+    shared = train.sparkSession.sparkContext.broadcast(Listed(words, np.arange(1, k)))
     draw = np.random.default_rng(9).normal(0, 1, (SINGLE, half)).astype(np.float32)
     draw[OTHER] = 0
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, ids, total = *shared.value, np.zeros((k, PROFILE), np.float32)
+        ids_of, sums_ = shared.value, np.zeros((PROFILE, k))
         for b in batches:
             texts = _utf8(b.column(0))
-            for i, j in _groups(texts, 1 << 20):
+            for i, j in _groups(texts, 4 << 20):
                 tokens, start = token_hashes(texts[i:j])
-                w = ids_among(listed, ids, tokens)
+                w = ids_of(tokens)
                 before, _ = neighbours(w, start)
                 after = np.append(w[1:], END)
                 for side, near in ((0, before), (half, after)):
                     pick = np.flatnonzero((w >= SINGLE) & (near < SINGLE) & (near != OTHER))
-                    pair, n = np.unique(w[pick] * SINGLE + near[pick], return_counts=True)
-                    np.add.at(total[:, side : side + half], pair // SINGLE, draw[pair % SINGLE] * n[:, None].astype(np.float32))
-        yield from _blocks("P", np.flatnonzero(np.abs(total).sum(1)), None, total)
+                    own, beside = w[pick], near[pick]
+                    for d in range(half):
+                        sums_[side + d] += np.bincount(own, draw[beside, d], k)
+        yield from _blocks("P", np.flatnonzero(np.abs(sums_).sum(0)), None, sums_.T)
 
     out = np.zeros((k, PROFILE), np.float32)
-    for _, at, _, values in _summed(train.mapInArrow(sums, _PARTS), False):
+    for _, at, _, values in _summed(train.coalesce(max(1, -(-total // SHARD))).mapInArrow(sums, _PARTS), False):
         out[at] = values.reshape(len(at), PROFILE)
     return out
 
@@ -396,7 +424,7 @@ def fit(docs: DataFrame, counts: DataFrame, held: Column) -> tuple[Model, DataFr
     held_in = int(c.sum())
     train = docs.where(~held).select("text")
     small_batches(spark)
-    model = Model(words, c, total - held_in, classes_of(np.concatenate([[total - held_in], c]), profiles(train, words)))
+    model = Model(words, c, total - held_in, classes_of(np.concatenate([[total - held_in], c]), profiles(train, words, total)))
     model.start_learning()
     rng = np.random.default_rng(5)
     n = train.count()
@@ -407,6 +435,8 @@ def fit(docs: DataFrame, counts: DataFrame, held: Column) -> tuple[Model, DataFr
             tokens, start = token_hashes(texts[i:j])
             ids = model.ids_of(tokens)
             model.learn(ids, *neighbours(ids, start), rng)
+    # partitions that learn: of SHARD tokens or so, so that what they send is less than the input, however small its partitions are
+    shards = train.coalesce(max(1, -(-int(total) // SHARD)))
     shared = spark.sparkContext.broadcast(model)  # VOCABULARY x (2 D + 3) numbers at most, and their squared gradients
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +454,7 @@ def fit(docs: DataFrame, counts: DataFrame, held: Column) -> tuple[Model, DataFr
             yield from _blocks("C", np.arange(len(m.C)), np.full(len(m.C), n, np.float32), np.column_stack([m.C, m.c]))
             yield from _blocks("p", np.arange(2), np.full(2, n, np.float32), m.p)
 
-    for part, at, _, values in _summed(train.mapInArrow(run, _PARTS), True):
+    for part, at, _, values in _summed(shards.mapInArrow(run, _PARTS), True):
         values = values.reshape(len(at), -1)
         getattr(model, part)[at] = values[:, :DIMENSIONS]
         if part in "QC":

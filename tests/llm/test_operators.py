@@ -321,6 +321,12 @@ def test_language_model_is_normalised():
         assert np.allclose(got[::37] / math.log(10), [slow_log10(m, w, x, y) for w in every[::37]], atol=1e-4)
 
 
+def test_scores_far_below_their_bound():
+    h, v = np.array([[100.0, 0], [0, 100]], np.float32), np.array([[0, -3.0], [0, -3], [0, -2.9]], np.float32)
+    got = lm._log_shares(h, v, np.zeros(3, np.float32), np.array([0, 1, 1]), np.array([0, 2, 0]))
+    assert np.allclose(got, [-math.log(3), 0, -10], atol=1e-3)
+
+
 def test_score_equals_a_slow_loop(docs, rows, monkeypatch):
     monkeypatch.setattr(lm, "SINGLE", 24)
     monkeypatch.setattr(lm, "VOCABULARY", 300)
@@ -340,7 +346,7 @@ def test_score_equals_a_slow_loop(docs, rows, monkeypatch):
     texts = [(i, [w.translate(LOW) for w in words(x)]) for i, x in rows]
     c = collections.Counter(w for i, x in texts if not held(i) for w in x)
     ends = sum(not held(i) for i, _ in texts)
-    names = {int(h): int(i) for h, i in zip(m.words, m.ids)}
+    names = {int(h): i for i, h in enumerate(m.words, 1)}
     ids = {w: names.get(int(hashed(w)), 0) for _, x in texts for w in x}
     rest = [w for w in c if not ids[w]]
     total = sum(c[w] for w in rest) + len(rest) + 1
