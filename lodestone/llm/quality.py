@@ -1,37 +1,48 @@
 """Quality rules with risk-controlled thresholds.
 
 A document has shares in thousandths (symbols, capitals, exclamation marks, repeated lines, repeated words); a rule rejects it when a
-share lies above the rule's cutoff in the document's stratum (bands of its word count). Cutoffs are not set by hand.
-Labelled documents are the holdout: per rule and stratum, cutoffs are tried from the loosest on, and the exact
-binomial tail tells whether at most k of n good documents beyond the cutoff is compatible with a false rejection rate
-of RISK or more. The strictest cutoff before the first that fails is taken. Trying in a fixed order needs no
-correction over cutoffs; over rules and strata the error is divided (Bonferroni). So with confidence CONFIDENCE no
-rule falsely rejects more than RISK of the good documents of any stratum. A stratum with too few labels to show that
-gets no cutoff: its documents are not rejected by the rule.
+share lies above the rule's cutoff. How strict the cutoffs are is not set by hand: PATH is a sequence of settings, each of a cutoff for
+every rule, from the loosest to the strictest, and every stratum (band of word counts) goes down it as far as its labels allow.
 
-DataFrame operations only on documents and labels; the driver computes binomial tails for a table of
-rules x strata x cutoffs (a few hundred rows, whatever the input's size).
+Labelled documents are the holdout. A setting is certified if at most k of the stratum's n good documents are beyond any of its
+cutoffs, and the exact binomial tail P(X <= k | n, RISK) is within the stratum's error. Settings are tested in order and the first
+that fails ends it: a fixed sequence needs no correction along it. Over strata the error 1 - CONFIDENCE is divided (Bonferroni); a
+stratum that reaches the end of PATH passes its share on to those that did not, in equal parts (a graphical procedure, as strong as Holm's),
+until none gets further. So with confidence CONFIDENCE, all rules together falsely reject less than RISK of the good documents of every
+stratum. A stratum with too few labels to show that (at the defaults under 217) gets no setting: no rule rejects its documents.
+
+DataFrame operations only on documents and labels; labelled documents are found before their texts are looked at. The driver
+computes binomial tails for a table of strata x settings (some fifty numbers, whatever the input's size).
 
 Rows: null and empty texts have no words, all counts 0, and fail the base rules; repeated rows get a result each;
-labels without a document, or with a null quality, are left out, and an empty table of labels certifies no cutoff;
-other columns are left out, whatever they are called; an empty table of documents gives an empty result.
+labels without a document, or with a null quality, are left out, labels that repeat an id count once, and an empty table of labels
+certifies nothing; other columns are left out, whatever they are called; an empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Of each rule; five rules together falsely reject at most 2.5 % of the good documents of a stratum.
-RISK, CONFIDENCE = 0.005, 0.95
-#: Cutoffs in thousandths, loosest first, and the first word count of each stratum.
-CUTOFFS = (950, 900, 850, 800, 750, 700, 650, 600, 550, 500, 450, 400, 350, 300, 250, 200, 150, 100, 75, 50, 30, 20, 10)
+#: Up to this many ids of labelled documents are broadcast.
+BROADCAST_IDS = 500_000
+#: Of all rules together, in every stratum.
+RISK, CONFIDENCE = 0.02, 0.95
+#: The first word count of each stratum, and cutoffs in thousandths by rule and setting, loosest first.
 STRATA = (0, 64, 256, 1024)
-RULES = ("symbols", "capitals", "shouts", "same_lines", "same_words")
-SPACE, SYMBOLS = r"[\x20\x09-\x0D]", "[#*$%&|<>]"
+PATH = {
+    "symbols": (600, 500, 400, 300, 250, 200, 150, 100, 80, 60, 40, 30),
+    "capitals": (900, 850, 800, 750, 700, 650, 600, 550, 500, 450, 400, 350),
+    "shouts": (300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20),
+    "same_lines": (950, 900, 850, 800, 750, 700, 650, 600, 550, 500, 450, 400),
+    "same_words": (980, 960, 940, 920, 900, 870, 840, 800, 750, 700, 650, 600),
+}
+RULES, SETTINGS = tuple(PATH), 12
+SPACE, SYMBOLS = r"[\x20\x09-\x0D]", "#*$%&|<>"
 WINDOW = 8
 
 
@@ -43,6 +54,11 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern + "+", ""))
 
 
+def _number(text: Column, chars: str) -> Column:
+    """How often any of a few characters occurs."""
+    return functools.reduce(lambda a, b: a + b, (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars))
+
+
 def _permille(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(part * 1000 / whole)).otherwise(0).cast("int")
 
@@ -57,10 +73,10 @@ def light_counts(docs: DataFrame) -> DataFrame:
         "doc_id",
         "words",
         F.size("words").cast("long").alias("n_words"),
-        _without(text, SPACE).cast("long").alias("word_chars"),
-        (F.length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        _number(text, SYMBOLS).cast("long").alias("n_symbols"),
         (F.length(text) - _without(text, r"[\p{Lu}]")).alias("n_capitals"),
-        (F.length(text) - _without(text, "!")).alias("n_shouts"),
+        _number(text, "!").alias("n_shouts"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("words")).alias("n_distinct"),
@@ -104,29 +120,40 @@ def certified(n: int, k: int, risk: float, error: float) -> bool:
     return n > 0 and k < n * risk and binomial_tail(k, n, risk) <= error
 
 
-def calibrate(counts: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> dict[tuple[int, str], int]:
-    """(stratum, rule) -> cutoff. counts: of light_counts(); labels: doc_id and quality, 1 for good."""
-    good = labels.where(F.col("quality") == 1).select("doc_id")
-    held = counts.select("doc_id", "stratum", *RULES).join(good, "doc_id")
-    beyond = [F.count_if(F.col(r) > c).alias(f"{r}_{c}") for r in RULES for c in CUTOFFS]
-    table = held.groupBy("stratum").agg(F.count("*").alias("n"), *beyond).collect()  # a row a stratum
-    error = (1 - confidence) / (len(RULES) * len(STRATA))
-    out = {}
-    for row in table:
-        for rule in RULES:
-            for c in CUTOFFS:
-                if not certified(row["n"], row[f"{rule}_{c}"], risk, error):
-                    break
-                out[row["stratum"], rule] = c
-    return out
+def descend(n: dict[int, int], beyond: dict[int, list[int]], risk: float = RISK, confidence: float = CONFIDENCE) -> dict[int, int]:
+    """stratum -> the strictest certified setting; strata without one are left out. n: good documents, beyond: of them, those
+    that each setting rejects, by stratum."""
+    error = {s: (1 - confidence) / len(STRATA) for s in range(len(STRATA))}
+    at = dict.fromkeys(n, -1)
+    while True:
+        for s in n:
+            while at[s] + 1 < len(beyond[s]) and certified(n[s], beyond[s][at[s] + 1], risk, error[s]):
+                at[s] += 1
+        ended = [s for s in n if error[s] and at[s] + 1 == len(beyond[s])]
+        left = [s for s in n if at[s] + 1 < len(beyond[s])]
+        if not ended or not left:
+            return {s: k for s, k in at.items() if k >= 0}
+        for s in left:
+            error[s] += sum(error[e] for e in ended) / len(left)
+        error.update(dict.fromkeys(ended, 0.0))
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> dict[int, int]:
+    """stratum -> setting. labels: doc_id and quality, 1 for good."""
+    good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
+    if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        good = F.broadcast(good)  # else the texts of labelled documents are shuffled once
+    held = light_counts(docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    rejected = lambda k: functools.reduce(lambda a, b: a | b, (F.col(r) > PATH[r][k] for r in RULES))
+    table = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(rejected(k)).alias(f"s{k}") for k in range(SETTINGS))).collect()  # a row a stratum
+    return descend({r["stratum"]: r["n"] for r in table}, {r["stratum"]: [r[f"s{k}"] for k in range(SETTINGS)] for r in table}, risk, confidence)
 
 
 def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
     """doc_id, the base counts, base_failed, failed_rules (array of names) and kept."""
-    counts = light_counts(docs)
-    cutoffs = calibrate(counts, labels, risk, confidence)
-    df = repeated_words(counts)
-    broken = F.array_compact(F.array(*(F.when((F.col("stratum") == s) & (F.col(r) > c), F.lit(r)) for (s, r), c in sorted(cutoffs.items())), F.lit(None).cast("string")))
+    settings = calibrate(docs, labels, risk, confidence)
+    df = repeated_words(light_counts(docs))
+    broken = F.array_compact(F.array(*(F.when((F.col("stratum") == s) & (F.col(r) > PATH[r][k]), F.lit(r)) for s, k in sorted(settings.items()) for r in RULES), F.lit(None).cast("string")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumns({"failed_rules": broken, "base_failed": failed})
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")

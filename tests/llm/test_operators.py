@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -444,6 +446,61 @@ def test_thresholds_reject_junk_only(spark):
     assert sum(got[i].kept for i in range(400)) >= 380
 
 
+def shares(x):
+    """The stratum and the shares of a text, by plain Python."""
+    w, lines = words(x), [y for y in (x or "").split("\n") if words(y)]
+    chars = sum(map(len, w))
+    per = lambda part, whole: part * 1000 // whole if whole else 0
+    upper = sum(unicodedata.category(c) == "Lu" for c in x or "")
+    found = {"symbols": per(len(re.findall("[#*$%&|<>]", x or "")), chars), "capitals": per(upper, chars), "shouts": per((x or "").count("!"), chars), "same_lines": per(len(lines) - len(set(lines)), len(lines)), "same_words": per(len(w) - len(set(w)), len(w))}
+    return sum(len(w) >= first for first in quality.STRATA) - 1, found
+
+
+def test_verdict_equals_brute_force(spark):
+    """Cutoffs from exact fractions of the binomial, and every document's verdict, on the table of 10,000 documents."""
+    folder = "/root/testdata/sf0.1"
+    docs = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    labels = pq.read_table(f"{folder}/labels.parquet").to_pydict()
+    good = {i for i, q in zip(labels["doc_id"], labels["quality"]) if q == 1}
+    seen = {i: shares(x) for i, x in zip(docs["doc_id"], docs["text"])}
+    rejects = lambda s, k: [r for r in quality.RULES if s[r] > quality.PATH[r][k]]
+    tail = lambda k, n: sum(math.comb(n, i) * Fraction(1, 50) ** i * Fraction(49, 50) ** (n - i) for i in range(k + 1))
+    n = {b: sum(i in good for i, (c, _) in seen.items() if c == b) for b in range(4)}
+    setting, share, open_ = dict.fromkeys(range(4), -1), dict.fromkeys(range(4), Fraction(1, 80)), set(range(4))
+    while open_:
+        for b in open_:
+            while setting[b] < 11:
+                k = sum(bool(rejects(s, setting[b] + 1)) for i, (c, s) in seen.items() if c == b and i in good)
+                if tail(k, n[b]) > share[b]:
+                    break
+                setting[b] += 1
+        done = {b for b in open_ if setting[b] == 11}
+        if not done:
+            break
+        open_ -= done
+        for b in open_:
+            share[b] += sum(share[d] for d in done) / len(open_)
+    assert min(setting.values()) >= 0  # no stratum is without a cutoff
+    got = quality.quality(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))).collect()
+    for r in got:
+        b, s = seen[r.doc_id]
+        want = rejects(s, setting[b])
+        assert sorted(r.failed_rules) == sorted(want) and r.kept == (not r.base_failed and not want)
+    bad = {i for i, q in zip(labels["doc_id"], labels["quality"]) if q == 0}
+    by_rules = {r.doc_id for r in got if r.failed_rules}
+    assert len(by_rules & bad) > 0.5 * len(bad) and len(by_rules & good) < 0.01 * len(good)
+
+
+def test_errors_are_passed_on():
+    """A stratum that reaches the end leaves its error to one that failed for want of it."""
+    need = next(n for n in range(1, 1000) if quality.certified(n, 0, 0.02, 0.025))
+    assert not quality.certified(need, 0, 0.02, 0.0125)
+    alone = quality.descend({1: need}, {1: [0] * 12})
+    both = quality.descend({0: 5000, 1: need}, {0: [0] * 12, 1: [0, 0, *[need] * 10]})
+    assert alone == {} and both == {0: 11, 1: 1}
+    assert quality.descend({}, {}) == {}
+
+
 # pages
 
 
