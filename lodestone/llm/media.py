@@ -9,11 +9,11 @@ an ordinary baseline decoder, symbol by symbol.
 
 Shots: the difference of neighbouring frames is half the L1 distance of their luminance histograms. A cut is where it
 exceeds both a floor and the mean plus THREE standard deviations of the differences in a window before it. Each shot is
-a clip row with its first and last frame and times. Histograms are of the means of 8x8 blocks: a cut between frames that
-differ within blocks only is not seen. Frames without Huffman tables, as many AVI files have them, are not decoded.
+a clip row with its first and last frame and times. Histograms are of decoded pixels. Frames without Huffman tables, as many
+AVI files have them, take the tables of the JPEG standard's annex K.
 
-Rows: null and empty texts are a payload of 64 zero bytes; repeated rows get a result each; damaged media give a null
-payload and no clips, and so do frames without Huffman tables; other columns are left out, whatever they are called; an empty table gives an empty result.
+Rows: null and empty texts are a payload of 64 zero bytes; repeated rows get a result each; null and damaged media (no index,
+no frame rate, a frame that cannot be decoded) give no clips; other columns are left out, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,6 +51,26 @@ _BACK[CODE.astype(int)] = np.arange(-255, 256)
 
 # one frame
 
+#: The Huffman tables of annex K, as numbers of codes by length, and symbols in order (DC tables count up).
+_K_COUNTS = {0x00: "0 1 5 1 1 1 1 1 1 0 0 0 0 0 0 0", 0x01: "0 3 1 1 1 1 1 1 1 1 1 0 0 0 0 0", 0x10: "0 2 1 3 3 2 4 3 5 5 4 4 0 0 1 125", 0x11: "0 2 1 2 4 4 3 4 7 5 4 4 0 1 2 119"}
+_K_AC = {
+    0x10: "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282",
+    0x11: "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1",
+}
+
+
+def _standard() -> dict[int, dict[tuple[int, int], int]]:
+    """Tables by class and id. After the symbols listed, the others follow in ascending order."""
+    out = {}
+    every = [run << 4 | size for run in range(16) for size in range(1, 11)]
+    for name, counts in _K_COUNTS.items():
+        n = bytes(map(int, counts.split()))
+        symbols = list(bytes.fromhex(_K_AC[name])) if name & 0x10 else list(range(12))
+        if name & 0x10:
+            symbols += [s for s in every if s not in set(symbols)]
+        out.update(_huffman(bytes([name]) + n + bytes(symbols[: sum(n)])))
+    return out
+
 
 def encode_frame(samples: np.ndarray) -> bytes:
     """A baseline JPEG with 8x8 pixels for each of the samples (rows x columns, a multiple of 4 in all)."""
@@ -78,6 +98,9 @@ def _huffman(body: bytes) -> list[tuple[int, dict[tuple[int, int], int]]]:
     return out
 
 
+STANDARD = _standard()
+
+
 def _fixed(dc: dict, ac: dict) -> bool:
     """Whether the tables are those that encode_frame() writes: all blocks take ten bits."""
     return all(n + s == 9 for (n, _), s in dc.items()) and [*dc.values()] == [*range(8, -1, -1)] and ac == {(1, 0): 0}
@@ -125,7 +148,7 @@ def _scan_slow(data: bytes, order: list[tuple], blocks: int, restart: int) -> di
 
 def decode_frame(jpeg: bytes, whole: bool = True) -> np.ndarray:
     """Luminance of a baseline JPEG: pixels, or (not whole) the mean of each 8x8 block."""
-    at, quant, huffman, restart = 2, {}, {}, 0
+    at, quant, huffman, restart, shape = 2, {}, dict(STANDARD), 0, None
     while True:
         if jpeg[at] != 0xFF:
             raise ValueError("not a marker")
@@ -150,16 +173,19 @@ def decode_frame(jpeg: bytes, whole: bool = True) -> np.ndarray:
         elif marker == 0xDA:
             scan = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
             break
+    if shape is None or not height or not width:
+        raise ValueError("a frame without a size")
     data = jpeg[at : jpeg.rindex(b"\xff\xd9")]
     first = scan[0][0]
     h, v, q = shape[first]
-    if len(scan) == 1 and not restart and _fixed(huffman[scan[0][1] >> 4], huffman[0x10 | scan[0][1] & 15]) and not whole:
+    if len(scan) == 1 and not restart and _fixed(huffman[scan[0][1] >> 4], huffman[0x10 | scan[0][1] & 15]):
         rows, columns = -(-height // 8), -(-width // 8)
         raw = np.frombuffer(data.replace(b"\xff\0", b"\xff"), np.uint8)[: rows * columns * 10 // 8].reshape(-1, 5).astype(np.uint64)
         bits = raw[:, 0] << np.uint64(32) | raw[:, 1] << np.uint64(24) | raw[:, 2] << np.uint64(16) | raw[:, 3] << np.uint64(8) | raw[:, 4]
         codes = np.stack([bits >> np.uint64(s) & np.uint64(1023) for s in (30, 20, 10, 0)], 1).reshape(-1)
         dc = np.cumsum(_BACK[codes.astype(np.int64)])
-        return np.clip(np.round(dc * quant[q][0] / 8) + 128, 0, 255).astype(np.uint8).reshape(rows, columns)
+        means = np.clip(np.round(dc * quant[q][0] / 8) + 128, 0, 255).astype(np.uint8).reshape(rows, columns)
+        return np.kron(means, np.ones((8, 8), np.uint8))[:height, :width] if whole else means  # such blocks are flat
     if len(scan) == 1:
         h = v = 1
         most_h = most_v = 1
@@ -241,6 +267,10 @@ def read_avi(media: bytes) -> tuple[float, str, list[bytes]]:
     walk(12, min(len(media), 8 + struct.unpack_from("<I", media, 4)[0]))
     start, n = found[b"strh"]
     scale, rate = struct.unpack_from("<II", media, start + 20)
+    if not rate:  # the main header has microseconds a frame
+        scale, rate = struct.unpack_from("<I", media, found[b"avih"][0])[0], 1_000_000
+        if not scale:
+            raise ValueError("no frame rate")
     movi, at = found[b"movi"][0], found[b"idx1"]
     comment = b""
     if b"ICMT" in found:
@@ -290,12 +320,17 @@ def clips(films: DataFrame, id_col: str = "id", media_col: str = "media") -> Dat
             for i, m in enumerate(b.column(1)):
                 try:
                     rate, _, frames = read_avi(m.as_py() or b"")
-                    seen = [decode_frame(f, whole=False) for f in frames]
-                except (ValueError, KeyError, IndexError, struct.error):
+                    hist, light = [], []
+                    for f in frames:  # pixels of one frame at a time
+                        seen = decode_frame(f)
+                        hist.append(histograms([seen])[0])
+                        light.append(float(seen.mean()))
+                    found = shots(np.array(hist))
+                except (ValueError, KeyError, IndexError, struct.error):  # damaged: no clips
                     continue
-                for k, (a, z) in enumerate(shots(histograms(seen))):
+                for k, (a, z) in enumerate(found):
                     rows.append(i)
-                    out.append((k, a, z, a / rate, (z + 1) / rate, float(np.mean([f.mean() for f in seen[a : z + 1]]))))
+                    out.append((k, a, z, a / rate, (z + 1) / rate, float(np.mean(light[a : z + 1]))))
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], [x.split()[0] for x in columns.split(", ")])
 
@@ -335,7 +370,7 @@ def digests(docs: DataFrame) -> DataFrame:
         hist = histograms(seen)
         cuts = shots(hist)
         bands = np.bincount(np.frombuffer(back, np.uint8) >> 5, minlength=8)
-        feature = f"frames={len(seen)};clips={len(cuts)};seconds={len(seen) / rate:.2f};first={','.join(str(a) for a, _ in cuts)};bands={','.join(map(str, bands))}"
+        feature = f"frames={len(seen)};clips={len(cuts)};seconds={len(seen) / rate:.2f};times={','.join(f'{a / rate:.2f}-{(z + 1) / rate:.2f}' for a, z in cuts)};bands={','.join(map(str, bands))}"
         return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

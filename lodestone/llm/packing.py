@@ -106,12 +106,13 @@ class Rounds:
         a, b = np.maximum(begin, first[row]), np.minimum(end, (first + n)[row])
         place = np.empty(len(row), np.int64)
         queues = np.arange(len(self.tokens))[:, None]
-        for k in range(0, len(row), 8192):
-            at, back = np.unique(r[k : k + 8192], return_inverse=True)
+        step = max(64, (1 << 20) // len(self.tokens))  # rows at a time: about 8 MB a table of queues by rounds
+        for k in range(0, len(row), step):
+            at, back = np.unique(r[k : k + step], return_inverse=True)
             before, after = self.sent(queues, at[None, :]), self.sent(queues, at[None, :] + 1)
             granted = after - before
             start = before.sum(0)[None, :] + np.cumsum(granted, 0) - granted
-            place[k : k + 8192] = start[q[k : k + 8192], back]
+            place[k : k + step] = start[q[k : k + step], back]
         place += a - begin
         keep = b > a
         row, a, b, place = row[keep], a[keep], b[keep], place[keep]
@@ -132,6 +133,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1,
     """
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.select("doc_id", "text", "source")
     names = [r[0] for r in docs.select("source").distinct().limit(MAX_QUEUES + 1).collect()]
     shared, kind = len(names) > MAX_QUEUES, docs.schema["source"].dataType.simpleString()
     names = sorted((x for x in names if x is not None)) + [None] * (None in names)

@@ -15,15 +15,23 @@ its parts has 12 characters; an IBAN is taken at its country's length.
 DataFrame operations only, and no shuffle: each text is rewritten where it is read.
 
 Rows: null text stays null, empty text stays empty; every row is taken for itself, so repeated rows get equal results;
-other columns pass through untouched; an empty table gives an empty result.
+other columns pass through untouched, whatever they are called; an empty table gives an empty result.
+
+The key is an argument without a default. The registered queries take it from the session's setting spark.lodestone.pii.key; where that is
+unset, from a random number drawn once a driver process: values are then linked within the process only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "lodestone"
+from lodestone.llm.common import let
+
+#: The setting of the key, and the key of this process where it is unset.
+SETTING, _DRAWN = "spark.lodestone.pii.key", secrets.token_hex(32)
 ROUNDS = 8
 #: Halves over this length are hashed once, all others at each place.
 LONG = 128
@@ -57,13 +65,10 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}(?![0-9])|(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9/])",
 }
-#: All in one. Groups that the card pattern refers to are counted from its start.
+#: All in one. Groups that the card pattern refers to are counted from its start: no pattern before it has any.
 ANY = "|".join(PATTERNS.values())
-
-
-def _let(value: Column, body) -> Column:
-    """body of a value that is computed once: a column named several times, or inside a lambda, is computed each time."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: What every match has: a character that the patterns but one require, or the start of that one (letters alone are a key).
+MAYBE = "[0-9@=:]|AKIA"
 
 
 def _hash(key: str, kind: str, *parts: Column) -> Column:
@@ -86,7 +91,7 @@ def _shift(key: str, kind: str, half: Column, other: Column, t: Column) -> Colum
 
     # of a long half each place hashes a digest, so that the work is in proportion to the length
     seen = F.when(F.length(other) > LONG, F.sha2(other, 256)).otherwise(other)
-    moved = _let(seen, lambda v: F.array_join(F.transform(F.split(half, ""), lambda c, i: place(c, i, v)), ""))
+    moved = let(seen, lambda v: F.array_join(F.transform(F.split(half, ""), lambda c, i: place(c, i, v)), ""))
     return F.when(F.length(half) == 0, half).otherwise(moved)
 
 
@@ -103,12 +108,12 @@ def permute_text(key: str, kind: str, s: Column) -> Column:
         u = F.floor(F.length(v) / 2).cast("int")
         return F.struct(F.substring(v, F.lit(1), u).alias("a"), F.substring(v, u + 1, F.length(v)).alias("b"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), _let(s, halves), turn, lambda st: F.concat(st["a"], st["b"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), let(s, halves), turn, lambda st: F.concat(st["a"], st["b"]))
 
 
 def permute_number(key: str, kind: str, n: Column, high: int, low: int) -> Column:
     """A permutation of the numbers below high * low."""
-    start = _let(n, lambda v: F.struct(F.floor(v / low).cast("long").alias("a"), (v % low).cast("long").alias("b")))
+    start = let(n, lambda v: F.struct(F.floor(v / low).cast("long").alias("a"), (v % low).cast("long").alias("b")))
 
     def turn(st: Column, t: Column) -> Column:
         even = t % 2 == 0
@@ -148,7 +153,7 @@ def luhn_sum(digits: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0), add)
 
-    return _let(digits, total)
+    return let(digits, total)
 
 
 def _mod97(s: Column) -> Column:
@@ -161,13 +166,13 @@ def _mod97(s: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0), add)
 
-    return _let(s, remainder)
+    return let(s, remainder)
 
 
 def _card(key: str, m: Column) -> Column:
     d = _digits(m)
     body = permute_text(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
-    made = _let(body, lambda v: F.concat(v, ((10 - luhn_sum(F.concat(v, F.lit("0"))) % 10) % 10).cast("string")))
+    made = let(body, lambda v: F.concat(v, ((10 - luhn_sum(F.concat(v, F.lit("0"))) % 10) % 10).cast("string")))
     # a run of one digit is filler, not a number
     return F.when((luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1*$"), _refill(m, made))
 
@@ -175,7 +180,7 @@ def _card(key: str, m: Column) -> Column:
 def _iban(key: str, m: Column) -> Column:
     s = F.replace(m, F.lit(" "), F.lit(""))
     country, rest = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-    made = _let(permute_text(key, "iban", rest), lambda v: F.concat(country, F.lpad((98 - _mod97(F.concat(v, country, F.lit("00")))).cast("string"), 2, "0"), v))
+    made = let(permute_text(key, "iban", rest), lambda v: F.concat(country, F.lpad((98 - _mod97(F.concat(v, country, F.lit("00")))).cast("string"), 2, "0"), v))
     valid = (F.length(s) >= 15) & (_mod97(F.concat(rest, F.substring(s, 1, 4))) == 1)
     return F.when(valid, _refill(m, made, "[A-Z0-9]"))
 
@@ -213,7 +218,7 @@ def _date(key: str, m: Column) -> Column:
     step = lambda x: permute_number(key, "date", x, 271, 271)
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(16)), step(day), lambda x, _: F.when(x < DAYS, x).otherwise(step(x)))
     write = lambda made: F.when(kind == "yyyy-MM-dd", F.date_format(made, "yyyy-MM-dd")).when(kind == "dd.MM.yyyy", F.date_format(made, "dd.MM.yyyy")).otherwise(F.date_format(made, "MM/dd/yyyy"))
-    return F.when(day.between(0, DAYS - 1), _let(F.date_add(first, walk.cast("int")), write))
+    return F.when(day.between(0, DAYS - 1), let(F.date_add(first, walk.cast("int")), write))
 
 
 def _email(key: str, m: Column) -> Column:
@@ -232,14 +237,18 @@ _RULES = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "pho
 
 
 def _named(kind: str, value: Column) -> Column:
-    return _let(value, lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value"))))
+    return let(value, lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value"))))
 
 
 def _whole(kind: str) -> str:
     return f"^(?:{PATTERNS[kind]})$".replace("\\b", "")
 
 
-def pseudonyms(match: Column, key: str = KEY) -> Column:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(SETTING, None) or _DRAWN
+
+
+def pseudonyms(match: Column, key: str) -> Column:
     """struct(kind, value) for a match of ANY; kind and value are null where validation fails."""
     out = F.lit(None).cast("struct<kind:string,value:string>")
     for kind, rule in reversed(_RULES.items()):
@@ -248,21 +257,20 @@ def pseudonyms(match: Column, key: str = KEY) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """docs with text_col rewritten, and a column _pii: array of struct(kind, match, value) of what was replaced."""
-    text = F.col(text_col)
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str = "_pii") -> DataFrame:
+    """docs with text_col rewritten, and a column found_col (replaced, if docs have one): array of struct(kind, match, value)
+    of what was replaced. key: secret; who has it can undo the pseudonyms.
+    """
+    # everything else rides along in one struct: no name of a column can clash with those used here
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     # the card pattern's own groups follow none: regexp_extract_all takes group 0
-    seen = F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(_numbered()), F.lit(0)))
-    found = F.transform("_matches", lambda m: F.struct(m.alias("match"), pseudonyms(m, key).alias("p")))
-    df = docs.withColumn("_matches", F.coalesce(seen, F.array().cast("array<string>"))).withColumn("_found", F.when(F.size("_matches") > 0, found))
-    gaps = F.split(text, _numbered(), -1)
-    filled = F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_found", i)["p"]["value"], F.get("_found", i)["match"], F.lit(""))))
-    df = df.withColumn("_gaps", F.when(F.size("_matches") > 0, gaps))
-    df = df.withColumn(text_col, F.when(F.size("_matches") > 0, F.array_join(filled, "")).otherwise(text))
-    replaced = F.transform(F.filter("_found", lambda x: x["p"].isNotNull()), lambda x: F.struct(x["p"]["kind"].alias("kind"), x["match"].alias("match"), x["p"]["value"].alias("value")))
-    return df.withColumn("_pii", F.coalesce(replaced, F.array().cast("array<struct<kind:string,match:string,value:string>>"))).drop("_matches", "_found", "_gaps")
-
-
-def _numbered() -> str:
-    """ANY; no pattern before the card's has a group, so its back references keep their numbers."""
-    return ANY
+    seen = F.when(F.col("text").rlike(MAYBE), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    df = df.withColumn("matches", F.coalesce(seen, F.array().cast("array<string>")))
+    found = F.transform("matches", lambda m: F.struct(m.alias("match"), pseudonyms(m, key).alias("p")))
+    df = df.withColumn("found", F.when(F.size("matches") > 0, found)).withColumn("gaps", F.when(F.size("matches") > 0, F.split("text", ANY, -1)))
+    filled = F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("found", i)["p"]["value"], F.get("found", i)["match"], F.lit(""))))
+    text = F.when(F.size("matches") > 0, F.array_join(filled, "")).otherwise(F.col("text"))
+    replaced = F.transform(F.filter("found", lambda x: x["p"].isNotNull()), lambda x: F.struct(x["p"]["kind"].alias("kind"), x["match"].alias("match"), x["p"]["value"].alias("value")))
+    pii = F.coalesce(replaced, F.array().cast("array<struct<kind:string,match:string,value:string>>"))
+    others = [c for c in docs.columns if c != found_col]
+    return df.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in others), pii.alias(found_col))

@@ -88,9 +88,9 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.pii import pseudonymize
+    from lodestone.llm.pii import pseudonymize, session_key
 
-    df = pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
+    df = pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_pii", lambda x: x["kind"]))), ",")
     return df.select("doc_id", "text", F.size("_pii").cast("long").alias("n_pii"), kinds.alias("kinds"))
 
