@@ -65,6 +65,8 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}(?![0-9])|(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9/])",
 }
+#: The first digits of issued card numbers.
+ISSUERS = "^(?:4|5[0-8]|6|3[04-9]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)"
 #: All in one. Groups that the card pattern refers to are counted from its start: no pattern before it has any.
 ANY = "|".join(PATTERNS.values())
 #: What every match has: a character that the patterns but one require, or the start of that one (letters alone are a key).
@@ -171,10 +173,12 @@ def _mod97(s: Column) -> Column:
 
 def _card(key: str, m: Column) -> Column:
     d = _digits(m)
-    body = permute_text(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
-    made = let(body, lambda v: F.concat(v, ((10 - luhn_sum(F.concat(v, F.lit("0"))) % 10) % 10).cast("string")))
+    issued = lambda x: x.rlike(ISSUERS)
+    body = F.substring(d, F.lit(1), F.length(d) - 1)
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(32)), permute_text(key, "card", body), lambda x, _: F.when(issued(x), x).otherwise(permute_text(key, "card", x)))
+    made = let(walk, lambda v: F.concat(v, ((10 - luhn_sum(F.concat(v, F.lit("0"))) % 10) % 10).cast("string")))
     # a run of one digit is filler, not a number
-    return F.when((luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1*$"), _refill(m, made))
+    return F.when((luhn_sum(d) % 10 == 0) & issued(d) & ~d.rlike("^(.)\\1*$"), _refill(m, made))
 
 
 def _iban(key: str, m: Column) -> Column:

@@ -707,6 +707,20 @@ def test_pii_secrets_of_letters_alone(spark):
     assert a.startswith("key AKIA") and a.endswith(" here") and "ABCDEFGHIJKLMNOP" not in a and b == "AKIA is a name"
 
 
+def test_pii_cards_have_an_issuer(spark):
+    """Numbers that no issuer gives out are left alone, right check digit or not; pseudonyms are of an issuer, and all different."""
+    rng, cards = random.Random(7), set()
+    while len(cards) < 400:
+        body = f"{rng.choice('4562')}{rng.randrange(10**14):014}"
+        cards |= {body + d for d in "0123456789" if luhn(body + d) and re.match(pii.ISSUERS, body)}
+    others = [x for x in ("7755680307517467", "1219538112535716", "9000000000000001", "0000000000000109") if luhn(x)]
+    assert others
+    rows = list(enumerate([*sorted(cards), *others]))
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    made = got[: len(cards)]
+    assert got[len(cards) :] == others and len(set(made)) == len(cards) and all(luhn(x) and re.match(pii.ISSUERS, x) and len(x) == 16 for x in made)
+
+
 def test_pii_key_sets_the_pseudonyms(spark):
     df = spark.createDataFrame([(1, "mail ann.b@x.org")], "doc_id long, text string")
     one, same, other = (pii.pseudonymize(df, k).first().text for k in ("a", "a", "b"))
