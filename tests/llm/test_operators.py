@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import unicodedata
 import zlib
 from fractions import Fraction
@@ -640,6 +641,78 @@ def test_class_words_alone_drop_no_article(page):
     assert html_text.main_text(page.format(LONG)) == "Title" + " Real text, of some length, that a reader came for." * 6
 
 
+PROSE = "<p>Real text, of some length, that a reader came for.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # references are links, and part of the article; a menu in front of it is not
+        (f"<article>{PROSE * 3}<h2>References</h2><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul></article>", "* 3 References One Two Three"),
+        (f"<body><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>About</a></ul>{PROSE * 3}<h2>Further reading</h2><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul></body>", "* 3 Further reading One Two Three"),
+        (f"<body><form id=aspnet><div>{PROSE * 4}</div></form></body>", "* 4"),
+        (f"<article>{PROSE * 2}<form><p>Your name, please.</p></form></article>", "* 2"),
+        (f"<article>{PROSE * 2}<div class=related-work><h2>Related work</h2>{PROSE}</div></article>", "* 2 Related work * 1"),
+        (f"<article>{PROSE * 2}<div class='related-posts'>{PROSE}</div><div class='comment-list'>{PROSE}</div></article>", "* 2"),
+        # points choose, not the tag: a teaser in an article element beside the text
+        (f"<body><div><article><p>Teaser.</p></article></div><div id=text>{PROSE * 8}</div></body>", "* 8"),
+        (f"<main><article>{PROSE * 6}</article><div><p>Aside text.</p></div></main>", "* 6"),
+        (f"<body><div id=c>{'<div class=s>' + PROSE * 2 + '</div>'}{'<div class=s>' + PROSE * 2 + '</div>'}</div></body>", "* 4"),
+    ],
+)
+def test_what_is_kept_and_dropped(page, text):
+    one = " Real text, of some length, that a reader came for."
+    want = re.sub(r"\*( (\d))", lambda m: (one * int(m[2])).strip(), text)
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 50_000 + PROSE + "</div>" * 50_000, "<div class=sidebar>" * 20_000 + PROSE, "<b>" * 50_000 + PROSE, "<ul><li>" * 20_000 + PROSE, "<p>" + "</i>" * 50_000 + PROSE, "<span><p>" * 30_000 + PROSE,
+        "<article>" * 10_000 + PROSE, "<table><tr><td>" * 10_000 + PROSE, "<a href=x>" * 30_000 + "</b>" * 30_000 + "</a>" * 30_000 + PROSE,
+    ],
+)
+def test_deep_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    assert html_text.main_text(page) in ("Real text, of some length, that a reader came for.", "")
+    assert time.process_time() - began < 5
+
+
+def test_points_equal_brute_force():
+    """Each block's points, passed to each ancestor by a walk up the tree."""
+    rng = random.Random(11)
+    for _ in range(30):
+        parts, depth = [], 0
+        for _ in range(60):
+            if rng.random() < 0.5 or not depth:
+                parts.append(rng.choice(("<div>", "<section>", "<main>", "<article>", "<span>", "<blockquote>")))
+                depth += 1
+            elif rng.random() < 0.5:
+                parts.append("</div>" if rng.random() < 0.5 else "</section>")
+                depth -= 1
+            parts.append(rng.choice(("some words, and more", "<a href=x>link</a> x", "<p>a, b, c and d</p>", "")))
+        root = html_text.parse("".join(parts))
+        sums = html_text.Sums(root)
+        html_text._score(sums)
+        points, whole = collections.Counter(), collections.Counter()
+        for block, (chars, commas, links) in sums.own.items():
+            if not chars:
+                continue
+            mine = (1 + commas + min(chars / 100, 30)) * (1 - links / chars)
+            whole[block] += mine
+            if block.tag in ("div", "section", "article", "main", "td", "body", "html"):
+                points[block] += mine
+            up, level = block.parent, 0
+            while up is not None:
+                points[up] += mine / (1, 2, 6, 9, 12)[min(level, 4)]
+                whole[up] += mine
+                up, level = up.parent, level + 1
+        for node in sums.order:
+            share = {"article": 1.0, "main": 0.75}.get(node.tag, 0)
+            assert abs(node.points - max(points[node], share * whole[node])) < 1e-6
+
+
 def test_pages_query(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("text", F.lit("clash"))
     got = html_text.extract(pages).collect()
