@@ -49,3 +49,39 @@ def test_run_gives_windows(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     sizes = [r.n for r in got.groupBy("sequence_id").agg(F.sum("length").alias("n")).orderBy("sequence_id").collect()]
     assert set(sizes[:-1]) == {2048} and 0 < sizes[-1] <= 2048
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def at_every_stage(spark, docs):
+    """The rows after every stage, each stage given what the last returned."""
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        rows = docs.collect()
+        docs = spark.createDataFrame(rows, docs.schema)
+        out.append((name, rows, docs))
+    return out
+
+
+def test_empty_table(spark):
+    seen = at_every_stage(spark, spark.createDataFrame([], DOCUMENTS))
+    assert [len(rows) for _, rows, _ in seen] == [0] * 5
+    assert all(docs.columns == DOCUMENTS.replace(" long", "").replace(" string", "").split(", ") for _, _, docs in seen[:-1])
+
+
+def test_nulls_repeated_rows_and_further_columns(spark):
+    english = [" ".join(f"the {w} of the house and the {w} in the garden" for w in words.split()) for words in ("cat dog bird", "king queen page", "tree leaf root", "boat sail wind")]
+    german = [" ".join(f"der {w} und die {w} im haus von der {w}" for w in words.split()) for words in ("hund katze vogel", "baum blatt ast")]
+    rows = [(i, x, "en", "a", 1) for i, x in enumerate(english * 2)] + [(10 + i, x, "de", None, 1) for i, x in enumerate(german * 2)]
+    rows += [(20, None, "en", "a", None), (20, None, "en", "a", None), (21, "", None, None, 0), (None, english[0] + " once more", None, "b", 3), (30, english[1] + " pay 4111 1111 1111 1111", "en", "a", 5), (30, english[1] + " pay 4111 1111 1111 1111", "en", "a", 5)]
+    odd = [(*r, "x", "y", [1], {"k": 1}) for r in rows]
+    docs = spark.createDataFrame(odd, DOCUMENTS + ", _queue string, _pii string, v array<int>, keep map<string,int>")
+    seen = dict((name, rows) for name, rows, _ in at_every_stage(spark, docs))
+    assert {r.doc_id for r in seen["language_id"]} == {*range(8), 10, 11, 12, 13, None, 30} and all(r.lang in ("en", "de") for r in seen["language_id"])
+    assert len(seen["line_dedup"]) == len(seen["language_id"]) == 15
+    kept = [r.doc_id for r in seen["near_dedup"]]
+    assert sorted(kept, key=str) == sorted({*kept}, key=str) and {1, 2, 3, 10, 11} <= {*kept} and not {4, 5, 6, 7, 12, 13} & {*kept}
+    assert all("4111" not in r.text for r in seen["pii"])
+    assert {r.doc_id for r in seen["packing"]} == {*kept} and all(len(r.ids) == r.length for r in seen["packing"])
