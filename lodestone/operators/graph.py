@@ -35,17 +35,31 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(into, "node_id", "left").join(out, "node_id", "left").na.fill(0, ["indegree", "outdegree"])
 
 
+def dead_imports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, name of the import nodes without an edge out."""
+    return nodes.where(F.col("node_type") == "import").join(edges.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_anti").select("node_id", "name")
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """node_id of the nodes on a cycle; a self-loop is one."""
+    loops = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node_id"))
+    return strong_components(edges).select("node_id").unionByName(loops).distinct()
+
+
 def health(nodes: DataFrame, edges: DataFrame, broken: DataFrame | None = None) -> DataFrame:
-    """nodes with degrees and health: broken (listed in broken, or an import that leads nowhere), unused (no edge),
-    partial (not a file, and without consumers), else healthy."""
+    """nodes with degrees and health: broken (listed in broken, or an import of the name of one that leads nowhere), unused (a file without
+    edges), partial (not a file, and without consumers), else healthy."""
     d = degrees(nodes, edges)
     listed = F.lit(False)
     if broken is not None:
         d = d.join(broken.select("node_id", F.lit(True).alias("_broken")), "node_id", "left")
         listed = F.coalesce("_broken", F.lit(False))
-    dead = (F.col("node_type") == "import") & (F.col("outdegree") == 0)
-    state = F.when(listed | dead, "broken").when(F.col("indegree") + F.col("outdegree") == 0, "unused").when((F.col("node_type") != "file") & (F.col("indegree") == 0), "partial").otherwise("healthy")
-    return d.withColumn("health", state).drop("_broken")
+    dead = dead_imports(nodes, edges).select("name", F.lit(True).alias("_dead")).distinct()
+    d = d.join(dead, "name", "left")
+    gone = (F.col("node_type") == "import") & F.coalesce("_dead", F.lit(False))
+    file = F.col("node_type") == "file"
+    state = F.when(listed | gone, "broken").when(file & (F.col("indegree") + F.col("outdegree") == 0), "unused").when(~file & (F.col("indegree") == 0), "partial").otherwise("healthy")
+    return d.withColumn("health", state).drop("_broken", "_dead")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -219,6 +233,45 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
     return labels.join(big, "scc").select("node_id", "scc", "size")
 
 
+def back_edge_cycles(edges: DataFrame) -> DataFrame:
+    """cycle (array of nodes): one for each edge back to the path of a depth-first search, as that path from where the edge leads.
+
+    The search starts at the smallest node left and takes neighbours in ascending order, in each weak component of what trimmed() leaves,
+    by one task each (as in strong_components(), but without another way: a component beyond LOCAL_EDGES is held by its task). Not all cycles
+    of a graph are found so, and which are depends on the order: strong_components() tells which nodes are on cycles.
+    """
+    loops = edges.where(F.col("src") == F.col("dst")).select(F.array("src").alias("cycle")).distinct()
+    e = trimmed(edges)
+    grouped = e.join(weak_components(e).withColumnRenamed("node_id", "src"), "src")
+
+    def group(df: pd.DataFrame) -> pd.DataFrame:
+        out: dict[int, list[int]] = {}
+        for a, b in sorted(zip(df["src"], df["dst"])):
+            out.setdefault(int(a), []).append(int(b))
+        seen, cycles = set(), []
+        for start in sorted(out):
+            if start in seen:
+                continue
+            seen.add(start)
+            path, place, work = [start], {start: 0}, [iter(out[start])]
+            while work:
+                for nxt in work[-1]:
+                    if nxt in place:
+                        cycles.append(path[place[nxt] :])
+                    elif nxt not in seen:
+                        seen.add(nxt)
+                        place[nxt] = len(path)
+                        path.append(nxt)
+                        work.append(iter(out.get(nxt, ())))
+                        break
+                else:
+                    work.pop()
+                    del place[path.pop()]
+        return pd.DataFrame({"cycle": cycles})
+
+    return grouped.groupBy("root").applyInPandas(group, "cycle array<long>").unionByName(loops)
+
+
 def condensation(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """from_scc, to_scc, edges between different components; a node on no cycle is a component of its own."""
     a = labels.select(F.col("node_id").alias("src"), F.col("scc").alias("_a"))
@@ -284,6 +337,80 @@ def kahn_order(nodes: list[tuple[int, str]], edges: list[tuple[int, int]]) -> li
     return out + rest
 
 
+def topological_files(nodes: DataFrame, edges: DataFrame, pages: list[str]) -> DataFrame:
+    """position, node_id of the files that a request for pages needs, dependencies first, of those that are ready the smallest name.
+
+    Targets are files whose name or path contains a page; with them come all they depend on, and all that depends on any of
+    these. Files on or behind cycles follow, by their number of edges among themselves, then by name. The order depends on all that came before, so
+    one task makes it: the scope is one request's. Beyond LOCAL_EDGES edges in scope, a checked number, files are ordered by level and name.
+    """
+    files = nodes.where(F.col("node_type") == "file").select("node_id", "name", "path")
+    wanted = F.lit(False)
+    for p in pages:
+        wanted = wanted | F.col("name").contains(p) | F.coalesce(F.col("path").contains(p), F.lit(False))
+    ids = files.select("node_id")
+    inside = lambda e, known: e.join(known.withColumnRenamed("node_id", "src"), "src", "left_semi").join(known.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    e = settled(inside(edges.select("src", "dst"), ids))
+    seeds = files.where(wanted).select(F.lit(0).alias("origin"), "node_id")
+    ahead = reach(e, seeds, outbound=True).select("origin", "node_id").distinct()
+    scope = settled(reach(e, ahead, outbound=False).select("node_id").distinct().join(files, "node_id"))
+    inner = settled(inside(simple_edges(e), scope.select("node_id")))
+    if inner.count() > LOCAL_EDGES:
+        return numbered(scope.join(levels(inner, scope), "node_id"), ["level", "name", "node_id"], "position").select("position", "node_id")
+
+    def order(df: pd.DataFrame) -> pd.DataFrame:
+        own, pairs = df[df["dst"].isna()], df[df["dst"].notna()]
+        names = dict(zip(own["node_id"], own["name"]))
+        needs, users, busy = dict.fromkeys(names, 0), {}, dict.fromkeys(names, 0)
+        for a, b in zip(pairs["node_id"], pairs["dst"].astype("int64")):
+            needs[a] += 1
+            users.setdefault(b, []).append(a)
+        heap = [(names[n], n) for n, k in needs.items() if not k]
+        heapq.heapify(heap)
+        out = []
+        while heap:
+            n = heapq.heappop(heap)[1]
+            out.append(n)
+            for u in users.get(n, ()):
+                needs[u] -= 1
+                if not needs[u]:
+                    heapq.heappush(heap, (names[u], u))
+        left = set(names) - set(out)
+        for b, us in users.items():
+            for a in us:
+                if a in left and b in left:
+                    busy[a] += 1
+                    busy[b] += 1
+        out += sorted(left, key=lambda n: (busy[n], names[n], n))
+        return pd.DataFrame({"position": range(len(out)), "node_id": out}, dtype="int64")
+
+    every = scope.select(F.lit(1).alias("g"), "node_id", "name", F.lit(None).cast("long").alias("dst")).unionByName(inner.select(F.lit(1).alias("g"), F.col("src").alias("node_id"), F.lit(None).cast("string").alias("name"), "dst"))
+    return every.groupBy("g").applyInPandas(order, "position long, node_id long")
+
+
+def suggestions(steps: DataFrame, bottleneck: DataFrame) -> DataFrame:
+    """kind, node_id (null: of the whole plan), n, saving of a plan's steps (node_id, node_type, level, ms, risk, score) and of the last step of
+    the critical path (node_id, duration)."""
+    alone = steps.groupBy("level").agg(F.count("*").alias("k"), F.first("node_id").alias("node_id"), F.first("ms").alias("ms")).where("k = 1 and ms > 200")
+    parallel = alone.select(F.lit("parallelize").alias("kind"), "node_id", F.lit(1).cast("long").alias("n"), (F.col("ms") * 0.3).alias("saving"))
+    files = steps.where("node_type = 'file'").agg(F.count("*").alias("n")).where("n > 5")
+    batch = files.select(F.lit("batch").alias("kind"), F.lit(None).cast("long").alias("node_id"), "n", (F.col("n") * 20.0).alias("saving"))
+    trivial = steps.where("risk < 0.1 and score < 1").agg(F.count("*").alias("n"), F.sum("ms").alias("saving")).where("n > 3")
+    skip = trivial.select(F.lit("skip").alias("kind"), F.lit(None).cast("long").alias("node_id"), "n", F.col("saving").cast("double").alias("saving"))
+    risky = steps.where("risk > 0.5").select("node_id").join(bottleneck, "node_id")
+    reorder = risky.select(F.lit("reorder").alias("kind"), "node_id", F.lit(1).cast("long").alias("n"), (F.col("duration") * 0.1).alias("saving"))
+    return parallel.unionByName(batch).unionByName(skip).unionByName(reorder)
+
+
+def plan_summary(nodes: DataFrame, edges: DataFrame, costs: DataFrame) -> DataFrame:
+    """steps, groups (levels), widest (steps of the largest group), total and critical duration, and their ratio, of a plan: one row."""
+    level = levels(edges, nodes)
+    wide = level.groupBy("level").agg(F.count("*").alias("k")).agg(F.count("*").alias("groups"), F.max("k").alias("widest"), F.sum("k").alias("steps"))
+    total = costs.agg(F.sum("cost").alias("total"))
+    longest = critical_path(edges, costs).agg(F.max("duration").alias("critical"))
+    return wide.join(total).join(longest).select("steps", "groups", "widest", "total", "critical", (F.col("total") / F.col("critical")).alias("speed_up"))  # one row each
+
+
 def signal_path(nodes: DataFrame, edges: DataFrame, node_id: int) -> DataFrame:
     """position, node_id, side (focal, upstream: what it depends on, downstream: what depends on it) of a node's scope.
 

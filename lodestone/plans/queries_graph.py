@@ -124,12 +124,6 @@ def g16_graph_health(t):
     return G.health(t.nodes, t.edges).select("node_id", "indegree", "outdegree", "health")
 
 
-@query("SELECT page_id FROM {links} WHERE page_id NOT IN (SELECT page_id FROM {links} WHERE contains(html, 'href=\"/'))")
-def g17_dead_imports(t):
-    alive = t.links.where(F.col("html").contains('href="/')).select("page_id")
-    return t.links.join(alive, "page_id", "left_anti").select("page_id")
-
-
 @query("SELECT r.doc_id FROM {registry} r WHERE r.doc_id NOT IN (SELECT source_id FROM {connections} WHERE resolved AND source <> target) AND r.doc_id NOT IN (SELECT target_id FROM {connections} WHERE resolved AND source <> target)")
 def g18_orphaned_files(t):
     c = t.connections.where("resolved and source <> target")
@@ -172,12 +166,6 @@ def g23_step_costs(t):
     return t.registry.select("doc_id", *(v.alias(k) for k, v in c.items()))
 
 
-@query("SELECT dir, CASE WHEN count(*) > 10 AND sum(impact) < 100 THEN 'parallelize' WHEN count(*) > 40 THEN 'batch' WHEN max(impact) = 0 THEN 'skip' ELSE 'reorder' END AS advice FROM {registry} GROUP BY dir")
-def g26_optimisation_advice(t):
-    g = t.registry.groupBy("dir").agg(F.count("*").alias("n"), F.sum("impact").alias("total"), F.max("impact").alias("most"))
-    return g.select("dir", F.when((F.col("n") > 10) & (F.col("total") < 100), "parallelize").when(F.col("n") > 40, "batch").when(F.col("most") == 0, "skip").otherwise("reorder").alias("advice"))
-
-
 @query("SELECT (SELECT count(*) FROM {registry}) AS nodes, count(*) AS edges, CAST(count(DISTINCT target) AS DOUBLE) / (SELECT count(*) FROM {registry}) AS reachability FROM (SELECT DISTINCT source, target FROM {connections} WHERE resolved AND source <> target)")
 def g27_semantic_graph(t):
     e = t.connections.where("resolved and source <> target").select("source", "target").distinct()
@@ -207,16 +195,6 @@ def g31_classify_dependency(t):
     return t.edges.select("edge_id", kind.alias("kind"), F.when(kind == "SAFE", 1.0).when(kind == "NEEDS_REWRITE", 0.7).when(kind == "CONFLICT", 0.3).otherwise(0.0).alias("confidence"))
 
 
-@query("SELECT 'missing' AS conflict, count(*) AS n FROM {connections} WHERE NOT resolved UNION ALL SELECT 'collision', count(*) FROM (SELECT p_name FROM {part} GROUP BY p_name HAVING count(DISTINCT p_brand) > 1) UNION ALL SELECT 'mutual', count(*) FROM (SELECT DISTINCT a.source_id, a.target_id FROM {connections} a JOIN {connections} b ON a.source_id = b.target_id AND a.target_id = b.source_id WHERE a.source_id < a.target_id)")
-def g32_detect_conflicts(t):
-    missing = t.connections.where(~F.col("resolved")).agg(F.count("*").alias("n")).select(F.lit("missing").alias("conflict"), "n")
-    collision = t.part.groupBy("p_name").agg(F.count_distinct("p_brand").alias("b")).where("b > 1").agg(F.count("*").alias("n")).select(F.lit("collision").alias("conflict"), "n")
-    c = t.connections.select("source_id", "target_id").distinct()
-    back = c.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-    mutual = c.where("source_id < target_id").join(back, ["source_id", "target_id"], "left_semi").agg(F.count("*").alias("n")).select(F.lit("mutual").alias("conflict"), "n")
-    return missing.unionByName(collision).unionByName(mutual)
-
-
 @query(SCOPE + ", d AS (SELECT CAST(9 AS BIGINT) AS node_id UNION SELECT e.src FROM d JOIN {edges} e ON e.dst = d.node_id) SELECT (SELECT count(*) - 1 FROM u) AS upstream, (SELECT count(*) - 1 FROM d) AS downstream")
 def g33_scope_counts(t):
     e = t.edges.select("src", "dst")

@@ -34,17 +34,6 @@ def x05_timestamps(t):
     return t.registry.select("doc_id", F.unix_seconds(X.iso_timestamp(F.col("birth"))).alias("seconds"))
 
 
-@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS ref FROM {links}) GROUP BY page_id")
-def x07_extract_references(t):
-    refs = t.links.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("ref"))
-    return refs.groupBy("page_id").agg(F.count("*").alias("n"))
-
-
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '(?m)\\|')) AS BIGINT) AS bars, length(text) - length(replace(text, '(', '')) AS opened FROM {documents}")
-def x27_balance(t):
-    return t.documents.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\|"), F.lit(0))).cast("long").alias("bars"), (F.length("text") - F.length(F.replace("text", F.lit("("), F.lit("")))).cast("long").alias("opened"))
-
-
 @query("SELECT doc_id, 'Hello ' || filename || ' in ' || dir AS text FROM {registry}")
 def x18_fill_template(t):
     values = F.create_map(F.lit("name"), F.col("filename"), F.lit("dir"), F.col("dir"))

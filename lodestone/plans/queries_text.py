@@ -56,12 +56,6 @@ def x24_interpretation(t):
     return t.registry.select("doc_id", F.when(reach >= 0.9, "well connected").when(reach >= 0.1, "weakly connected").otherwise("isolated").alias("says"))
 
 
-@query("SELECT page_id, CASE WHEN contains(html, '<article>') THEN 'article' WHEN contains(html, '<main>') THEN 'main' ELSE 'none' END AS framework FROM {links}")
-def x31_framework(t):
-    html = F.col("html")
-    return t.links.select("page_id", F.when(html.contains("<article>"), "article").when(html.contains("<main>"), "main").otherwise("none").alias("framework"))
-
-
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM {code}")
 def x32_script_blocks(t):
     wrapped = F.concat(F.lit("<template/><script>"), "text", F.lit("</script>"))
@@ -214,22 +208,3 @@ def m08_clear(t):
 @query("SELECT name, CASE WHEN kind = 'local' THEN 0.0::DOUBLE ELSE balance END AS balance FROM {providers}")
 def m25_project_update(t):
     return M.update(t.providers, F.col("kind") == "local", balance=0.0).select("name", "balance")
-
-
-@query("SELECT doc_id, 'RED' = status AND bytes < 100 AS suspicious FROM {registry}")
-def f30_validated_payload(t):
-    payload = F.to_json(F.struct("doc_id", "status", "bytes"))
-    back = F.from_json(payload, "doc_id long, status string, bytes long", {"mode": "FAILFAST"})
-    return t.registry.select(back.alias("p")).select("p.doc_id", ((F.col("p.status") == "RED") & (F.col("p.bytes") < 100)).alias("suspicious"))
-
-
-@query("SELECT importer, specifier FROM (SELECT source AS importer, specifier FROM {connections}) WHERE starts_with(specifier, './') OR starts_with(specifier, '../')")
-def x28_relative_imports(t):
-    c = t.connections.select(F.col("source").alias("importer"), "specifier")
-    return c.where(R.is_relative(F.col("specifier")))
-
-
-@query("SELECT doc_id, text FROM (SELECT r.doc_id, array_to_string(list_concat([status, 'x'], CASE WHEN dir IN (status, 'x') THEN [] ELSE [dir] END), ',') AS text FROM {registry} r)")
-def o17_line_merge(t):
-    have, new = F.array("status", F.lit("x")), F.array("dir", F.lit("x"))
-    return t.registry.select("doc_id", F.array_join(F.concat(have, F.array_except(new, have)), ",").alias("text"))

@@ -74,6 +74,21 @@ VIEWS = {
           CASE WHEN status = 'RED' THEN 'export default function main' || CAST(doc_id AS STRING) || '() {{ if (a && b) {{ return fetch(u); }} }}'
                ELSE 'export const f' || CAST(doc_id AS STRING) || ' = 1;' || chr(10) || 'exports.h = invoke("cmd' || CAST(doc_id % 5 AS STRING) || '");' END AS text
         FROM {registry}""",
+    "mods": """
+        SELECT doc_id * 8 AS node_id, 'file' AS node_type, filename AS name, filepath AS path FROM {registry}
+        UNION ALL SELECT doc_id * 8 + 1, 'import', 'pkg' || CAST(doc_id % 40 AS STRING), NULL FROM {registry} WHERE doc_id % 2 = 0
+        UNION ALL SELECT doc_id * 8 + 2, 'store', 'store' || CAST(doc_id AS STRING), NULL FROM {registry} WHERE doc_id % 5 = 0""",
+    "mod_edges": """
+        SELECT a.doc_id * 8 AS src, b.doc_id * 8 AS dst, 'depends' AS edge_type FROM {registry} a JOIN {registry} b ON b.doc_id = a.doc_id + 7
+          WHERE a.doc_id % 4 = 1 AND a.doc_id % 11 <> 0 AND b.doc_id % 11 <> 0
+        UNION ALL SELECT CASE WHEN w.back = 1 THEN b.doc_id ELSE a.doc_id END * 8, CASE WHEN w.back = 1 THEN a.doc_id ELSE b.doc_id END * 8, 'mutual'
+          FROM {registry} a JOIN {registry} b ON b.doc_id = a.doc_id + 1 CROSS JOIN (SELECT 0 AS back UNION ALL SELECT 1) w
+          WHERE a.doc_id % 10 = 3 AND a.doc_id % 11 <> 0 AND b.doc_id % 11 <> 0
+        UNION ALL SELECT doc_id * 8, doc_id * 8, 'self' FROM {registry} WHERE doc_id % 17 = 5
+        UNION ALL SELECT doc_id * 8, doc_id * 8 + 1, 'holds' FROM {registry} WHERE doc_id % 2 = 0 AND doc_id % 11 <> 0
+        UNION ALL SELECT a.doc_id * 8 + 1, b.doc_id * 8, 'imports' FROM {registry} a JOIN {registry} b ON b.doc_id = a.doc_id + 14 WHERE a.doc_id % 2 = 0 AND a.doc_id % 40 <> 6 AND a.doc_id % 16 = 2
+        UNION ALL SELECT doc_id * 8 + 2, doc_id * 8, 'uses' FROM {registry} WHERE doc_id % 10 = 0 AND doc_id % 11 <> 0
+        UNION ALL SELECT doc_id * 8, doc_id * 8 + 2, 'uses' FROM {registry} WHERE doc_id % 15 = 0 AND doc_id % 11 <> 0""",
     "links": """
         SELECT page_id, url, html FROM {pages}""",
 }
