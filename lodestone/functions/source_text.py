@@ -92,8 +92,7 @@ def ui_tags(text: Column, pattern: str = r"<(n-[a-z0-9-]+)") -> Column:
 def doc_tags(text: Column) -> Column:
     """tag -> text of the tags in documentation comments; the first of a name wins."""
     pairs = F.arrays_zip(_all(text, r"(?m)^\s*\*\s*@(\w+)[ \t]*(.*?)\s*$", 1).alias("k"), _all(text, r"(?m)^\s*\*\s*@(\w+)[ \t]*(.*?)\s*$", 2).alias("v"))
-    first = F.filter(pairs, lambda x, i: F.lit(True))
-    return F.aggregate(first, F.create_map().cast("map<string,string>"), lambda m, x: F.when(F.map_contains_key(m, x["k"]), m).otherwise(F.map_concat(m, F.create_map(x["k"], x["v"]))))
+    return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, x: F.when(F.map_contains_key(m, x["k"]), m).otherwise(F.map_concat(m, F.create_map(x["k"], x["v"]))))
 
 
 def is_pure(text: Column) -> Column:
@@ -101,29 +100,52 @@ def is_pure(text: Column) -> Column:
     return ~text.rlike(r"\b(console|fetch|localStorage|document|window|process|fs|Math\.random|Date\.now|setTimeout|setInterval)\b|\bthis\.|\bawait\b")
 
 
-#: Kind of node and pattern with its name in group 1 and, for two kinds, its path in group 2.
-REPORTS = {
-    "file": (r"(?m)^\s*\d+:\s+(.+?)\s*$", 1),
-    "store": (r"(?m)^--- Store ID:\s*(.+?)\s*---$", None),
-    "route": (r"(?m)^\s*-\s*Path:\s*(.+?)\s*$", 1),
-    "command": (r"(?m)^Command:\s*(.+?)\s*$", None),
-    "component": (r"File Name:\s*(.+?)\s*\(([^)]+)\)", 2),
-}
+def _after(line: Column, mark: str) -> Column:
+    """What follows a mark at the start of a line, trimmed; null without the mark."""
+    return F.when(line.startswith(mark), F.trim(F.substring(line, F.lit(len(mark) + 1), F.length(line))))
+
+
+def _listed(kind: str, line: Column) -> Column:
+    """struct(name, path) of the node that a trimmed line of a report of a kind lists, else null."""
+    path = F.lit(None).cast("string")
+    if kind == "file":  # 12: path
+        name = F.when(F.substring_index(line, ":", 1).rlike("^[0-9]+$") & line.contains(":"), F.trim(F.substring(line, F.length(F.substring_index(line, ":", 1)) + 2, F.length(line))))
+        path = name
+    elif kind == "store":
+        name = F.when(line.endswith("---"), F.trim(F.regexp_replace(_after(line, "--- Store ID:"), "-+$", "")))
+    elif kind == "route":
+        name = path = _after(F.regexp_replace(line, r"^-\s*", "- "), "- Path:")
+    elif kind == "command":
+        name = _after(line, "Command:")
+    else:  # File Name: name (path)
+        rest = F.when(line.contains("File Name:") & line.contains("("), F.substring_index(line, "File Name:", -1))
+        name, path = F.trim(F.substring_index(rest, "(", 1)), F.trim(F.substring_index(F.substring_index(rest, "(", -1), ")", 1))
+    return F.when(F.length(name) > 0, F.struct(name.alias("name"), path.alias("path")))
+
+
+#: Kinds of nodes that reports list line by line.
+REPORTS = ("file", "store", "route", "command", "component")
 
 
 def report_nodes(reports: DataFrame, kind: str) -> DataFrame:
-    """project, node_type, name, path of the nodes that a report (project, text) lists; a name counts once."""
-    pattern, path = REPORTS[kind]
-    names = _all(F.col("text"), pattern)
-    paths = _all(F.col("text"), pattern, path) if path else F.transform(names, lambda _: F.lit(None).cast("string"))
-    rows = reports.select("project", F.posexplode(F.arrays_zip(names.alias("name"), paths.alias("path"))).alias("_i", "_x")).where(~F.col("_x.name").startswith("[COMPARE]"))
+    """project, node_type, name, path of the nodes that a report (project, text) lists; a name counts once, of the first line with it."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: _listed(kind, F.trim(x)))
+    rows = reports.select("project", F.posexplode(lines).alias("_i", "_x")).where(F.col("_x").isNotNull() & ~F.col("_x.name").startswith("[COMPARE]"))
     return rows.groupBy("project", "_x.name").agg(F.min_by("_x.path", "_i").alias("path")).select("project", F.lit(kind).alias("node_type"), "name", "path")
 
 
+def _declared(line: Column) -> Column:
+    """The name that a line declares as a type: the word behind interface, type or enum, with a capital first."""
+    words = F.filter(F.split(F.trim(line), r"\s+"), lambda w: ~w.isin("export", "declare", "const", "default"))
+    name = F.regexp_extract(F.coalesce(F.get(words, F.lit(1)), F.lit("")), r"^\w+", 0)
+    return F.when(F.get(words, F.lit(0)).isin("interface", "type", "enum") & name.rlike("^[A-Z]"), name)
+
+
 def report_types(reports: DataFrame) -> DataFrame:
-    """Like report_nodes() for the types declared in the blocks of a type report."""
-    blocks = reports.select("project", F.explode(F.arrays_zip(_all(F.col("text"), r"(?s)--- File:\s*([^\n]+?)\s*---\n(.*?)(?=\n--- File:|\n===|\z)", 1).alias("path"), _all(F.col("text"), r"(?s)--- File:\s*([^\n]+?)\s*---\n(.*?)(?=\n--- File:|\n===|\z)", 2).alias("body"))).alias("_x"))
-    names = blocks.select("project", "_x.path", F.explode(_all(F.col("_x.body"), r"(?:export\s+)?(?:interface|type|enum)\s+([A-Z][a-zA-Z0-9_]*)")).alias("name"))
+    """Like report_nodes() for the types declared in the blocks of a type report, each headed by its file."""
+    blocks = F.slice(F.split(F.concat(F.lit("\n"), "text"), "\n--- File:", -1), 2, 1 << 30)
+    heads = reports.select("project", F.explode(blocks).alias("block")).select("project", F.trim(F.substring_index("block", "---", 1)).alias("path"), F.substring_index("block", "\n===", 1).alias("body"))
+    names = heads.select("project", "path", F.explode(F.array_compact(F.transform(F.split("body", "\n"), _declared))).alias("name"))
     return names.groupBy("project", "name").agg(F.min("path").alias("path")).select("project", F.lit("type").alias("node_type"), "name", "path")
 
 
