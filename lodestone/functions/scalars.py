@@ -131,6 +131,11 @@ def metadata_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(keys) > 0, F.size(other) / F.size(keys)).otherwise(0.0)
 
 
-def public_exports(text: Column) -> Column:
-    """Leaves of a package's exports field (flattened one condition deep)."""
-    return F.regexp_extract_all(text, F.lit(r'"(\./[^"]+)"'), F.lit(1))
+def sealed(text: Column, key: Column) -> Column:
+    """text encrypted with a key of 32 characters (AES-GCM, a new vector each time), as base 64."""
+    return F.base64(F.aes_encrypt(text, key, F.lit("GCM")))
+
+
+def opened(text: Column, key: Column) -> Column:
+    """What sealed() hid; null with another key."""
+    return F.try_aes_decrypt(F.unbase64(text), key, F.lit("GCM")).cast("string")

@@ -59,3 +59,21 @@ def hybrid(index: DataFrame, nodes: DataFrame, words: list[str], text_col: str =
     plain = nodes.where(found).select("node_id", F.lit("scan").alias("source"))
     none = exact.agg(F.count("*").alias("_n"))
     return exact.unionByName(plain.join(none.where("_n = 0")).select("node_id", "source"))  # one row or none
+
+
+def reindex(index: DataFrame, new: DataFrame, collection: str) -> DataFrame:
+    """The index with all of a collection replaced."""
+    return flush(index, collection).unionByName(new.where(F.col("collection") == collection).select(*index.columns))
+
+
+def incremental(index: DataFrame, had: DataFrame, have: DataFrame, collection: str) -> DataFrame:
+    """The index after the objects of a collection changed: had and have (object, sha, text). Only new and changed ones are read again; those gone go."""
+    same = have.join(had.select("object", "sha"), ["object", "sha"], "left_semi").select("object")
+    fresh = build_index(have.join(same, "object", "left_anti"), "object", "text", collection)
+    kept = index.where(F.col("collection") == collection).join(same, "object", "left_semi").select(*index.columns)
+    return flush(index, collection).unionByName(kept).unionByName(fresh.select(*index.columns))
+
+
+def enrichment(nodes: DataFrame, project: str) -> DataFrame:
+    """object (project:node_id), text of the nodes (node_id, node_type, name, path) of a project, as the index takes them."""
+    return nodes.select(F.concat(F.lit(f"{project}:"), F.col("node_id").cast("string")).alias("object"), F.concat_ws(" ", "name", "node_type", "path").alias("text"))

@@ -7,11 +7,13 @@ pointer file, so that a cascade over tables becomes visible at once.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import scalars
+
 KEEP_FOREVER = ("CREATE", "DELETE", "LOCK", "PURGE", "CONCEPT")
 
 
@@ -97,3 +99,36 @@ def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table of the newest published version."""
     pointers = spark.read.text(f"{root}/_pointer_*").select(F.get_json_object("value", "$.version").cast("int").alias("v"))
     return spark.read.parquet(f"{root}/v{pointers.agg(F.max('v')).first()[0]}/{name}")
+
+
+def clear(df: DataFrame) -> DataFrame:
+    """The snapshot of a table that lost all its rows: its columns stay."""
+    return df.where(F.lit(False))
+
+
+def register_concepts(files: DataFrame, entries: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """files with the planned files (filepath, actor) added, which are not on disk yet, and a CONCEPT mutation (fingerprint, kind, actor) for each."""
+    print_ = scalars.fingerprint(F.col("filepath"), F.lit(now))
+    values = {"fingerprint": print_, "filepath": F.col("filepath"), "filename": scalars.basename(F.col("filepath")), "birth": F.lit(now), "bytes": F.lit(0), "status": F.lit("CONCEPT"), "reach": F.lit(0.0), "impact": F.lit(0), "phase": F.lit("CONCEPT")}
+    kinds = {f.name: f.dataType for f in files.schema}
+    rows = entries.select(*(values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in files.columns))
+    return upsert(files, rows, ["fingerprint"]), entries.select(print_.alias("fingerprint"), F.lit("CONCEPT").alias("kind"), F.coalesce("actor", F.lit("DEVELOPER")).alias("actor"))
+
+
+def slots(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Counters of files (file_id, total, last_pass, last_ts) after new insights (file_id, pass_number, ts): sums and maxima, slots made as needed."""
+    added = new.groupBy("file_id").agg(F.count("*").alias("_n"), F.max("pass_number").alias("_pass"), F.max("ts").alias("_ts"))
+    both = old.join(added, "file_id", "full_outer")
+    return both.select("file_id", (F.coalesce("total", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("total"), F.greatest("last_pass", "_pass").alias("last_pass"), F.coalesce("_ts", "last_ts").alias("last_ts"))
+
+
+def atomically(spark: SparkSession, root: str, names: Sequence[str], change: Callable[[dict[str, DataFrame]], Mapping[str, DataFrame]], version: int) -> str | None:
+    """Applies a change to the published tables and publishes the result; if it fails, also while it is written, the tables stay as they were.
+
+    Returns the error, or None. Nothing has to be undone: a version counts only once its pointer is written, after all its tables.
+    """
+    try:
+        publish(spark, root, change({n: current(spark, root, n) for n in names}), version)
+    except Exception as e:  # whatever a caller's change raises
+        return f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    return None

@@ -72,12 +72,6 @@ def x25_complexity_band(t):
     return t.registry.select("doc_id", X.band(F.col("impact"), 5, 15).alias("band"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN regexp_matches(p_name, '(?i)(test|spec)') THEN 'Verifies behaviour' WHEN regexp_matches(p_name, '(?i)(index|main|app)') THEN 'Entry point' ELSE 'Provides ' || p_name END AS purpose FROM {part} WHERE NOT regexp_matches(p_name, '(?i)(config|settings|util|helper|common|type|schema|model|route|api|server|store|state|parse)')")
-def x17_purpose(t):
-    other = ~F.col("p_name").rlike("(?i)(config|settings|util|helper|common|type|schema|model|route|api|server|store|state|parse)")
-    return t.part.where(other).select(F.col("p_partkey").alias("id"), X.purpose(F.col("p_name")).alias("purpose"))
-
-
 @query("SELECT a.p_partkey AS id, CAST(CASE WHEN a.p_brand <> b.p_brand THEN 1 ELSE 0 END + CASE WHEN a.p_type <> b.p_type THEN 1 ELSE 0 END AS DOUBLE) / 2 AS distance FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 1")
 def x16_metadata_distance(t):
     meta = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"))

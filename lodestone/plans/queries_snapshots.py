@@ -116,12 +116,6 @@ def m20_unarchive(t):
     return M.update(both, (F.col("lifecycle") == "archived") & F.col("_woken"), lifecycle="active").select("doc_id", "lifecycle")
 
 
-@query("SELECT file_id, count(*) AS total FROM (SELECT file_id FROM {insights} UNION ALL SELECT file_id FROM {insights} WHERE severity = 'error') GROUP BY file_id")
-def m21_insert_insights(t):
-    both = t.insights.select("file_id").unionByName(t.insights.where("severity = 'error'").select("file_id"))
-    return both.groupBy("file_id").agg(F.count("*").alias("total"))
-
-
 @query("SELECT id FROM {insights} WHERE project_id <> 'p2'")
 def m22_clear_project(t):
     return M.delete(t.insights, t.spark.createDataFrame([("p2",)], "project_id string"), "project_id").select("id")

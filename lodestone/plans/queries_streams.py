@@ -32,12 +32,6 @@ def t05_topics(t):
     return C.topics(t.mutations.select(F.col("fingerprint").alias("path"), "kind")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query("SELECT fingerprint AS path, count(*) AS sessions FROM (SELECT fingerprint, ts - lag(ts) OVER (PARTITION BY fingerprint ORDER BY ts) AS gap FROM {mutations}) WHERE gap IS NULL OR gap > INTERVAL 120 MINUTE GROUP BY fingerprint")
-def t12_session_counters(t):
-    sessions = _changes(t).groupBy(F.session_window("ts", "120 minutes"), "path").agg(F.count("*").alias("n"))
-    return sessions.groupBy("path").agg(F.count("*").alias("sessions"))
-
-
 @query("SELECT r.fingerprint, (SELECT count(*) FROM {connections} c WHERE c.source = r.fingerprint) AS imports, coalesce(n.k, 0) AS imported_by FROM {registry} r LEFT JOIN (SELECT target, count(DISTINCT source) AS k FROM {connections} GROUP BY target) n ON n.target = r.fingerprint")
 def k02_manifest(t):
     doc = sinks.manifest(t.registry.select("fingerprint", "filepath", "status"), t.connections)

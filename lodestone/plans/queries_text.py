@@ -72,11 +72,6 @@ def s21_ui_tags(t):
     return t.links.select("page_id", F.size(P.ui_tags(F.col("html"), "<(h[0-9]|p|b)>")).cast("long").alias("kinds"))
 
 
-@query("SELECT dir, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM {registry} WHERE filename LIKE '%.js' GROUP BY dir")
-def s01_discovered_files(t):
-    return t.registry.where(X.extname(F.col("filepath")).isin(".js", ".ts")).groupBy("dir").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
-
-
 @query("SELECT doc_id, sha256(text) AS sha FROM {documents}")
 def s02_hash(t):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("sha"))
@@ -97,11 +92,6 @@ def s10_graph_nodes(t):
     return L.by_value(t.nodes, "graph_id", "g2").select("node_id", "node_type")
 
 
-@query("SELECT 'registry' AS name, (SELECT count(*) FROM (DESCRIBE SELECT doc_id, text, lang, source, n_chars FROM {documents})) AS columns")
-def s14_schema_introspection(t):
-    return t.spark.createDataFrame([("registry", len(t.documents.schema))], "name string, columns long")
-
-
 def _reports(t, line, kind):
     lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
     return t.registry.groupBy(F.col("dir").alias("project")).agg(lines.alias("text")).withColumn("kind", F.lit(kind))
@@ -144,27 +134,12 @@ def n08_ingest(t):
     return P.ingest(reports).groupBy("node_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT dir, count(*) AS files, max(bytes) AS largest, count(DISTINCT phase) AS phases FROM {registry} GROUP BY dir")
-def n10_overview(t):
-    return t.registry.groupBy("dir").agg(F.count("*").alias("files"), F.max("bytes").alias("largest"), F.count_distinct("phase").alias("phases"))
-
-
 @query("SELECT filename AS name FROM {registry} WHERE dir = 'src0' UNION ALL SELECT '[COMPARE] ' || filename FROM {registry} WHERE dir = 'src1'")
 def n13_compare_mode(t):
     own, other = (L.by_value(t.registry, "dir", d) for d in ("src0", "src1"))
     return own.select(F.col("filename").alias("name")).unionByName(other.select(F.concat(F.lit("[COMPARE] "), "filename").alias("name"))).orderBy("name")
 
 
-@query("SELECT phase, count(*) AS n, count(CASE WHEN status = 'GREEN' THEN 1 END) AS green FROM {registry} GROUP BY phase")
-def k11_phase_report_rows(t):
-    return t.registry.groupBy("phase").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "GREEN").alias("green"))
-
-
-@query("SELECT filepath FROM {registry} ORDER BY filepath LIMIT 10")
-def k12_table_sample(t):
-    return L.page(t.registry.select("filepath"), [F.asc("filepath")], 10)
-
-
 @query("SELECT fingerprint FROM {registry} WHERE fingerprint IN (SELECT fingerprint FROM {intents})")
 def k05_cards_kept(t):
     return t.registry.select("fingerprint").join(t.intents.select("fingerprint"), "fingerprint", "left_semi")
@@ -200,11 +175,6 @@ def m17_promote(t):
     return M.update(t.registry, (F.col("phase") == "LOCKED") & (F.col("status") == "GREEN"), phase="PRODUCTION").select("doc_id", "phase")
 
 
-@query("SELECT count(*) AS n FROM {connections} WHERE false")
-def m08_clear(t):
-    return t.connections.limit(0).agg(F.count("*").alias("n"))
-
-
 @query("SELECT name, CASE WHEN kind = 'local' THEN 0.0::DOUBLE ELSE balance END AS balance FROM {providers}")
 def m25_project_update(t):
     return M.update(t.providers, F.col("kind") == "local", balance=0.0).select("name", "balance")

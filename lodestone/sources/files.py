@@ -43,9 +43,9 @@ def texts(files: DataFrame, *under: str) -> DataFrame:
     return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def cards(spark: SparkSession, folder: str) -> DataFrame:
-    """Schema cards of a folder; files that are no JSON are left out."""
-    df = spark.read.schema(CARD + ", _corrupt_record STRING").option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
+def cards(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Schema cards of a folder, a file each or (lines) a line each; what is no JSON, or has no fingerprint, is left out."""
+    df = spark.read.schema(CARD + ", _corrupt_record STRING").option("multiLine", not lines).option("mode", "PERMISSIVE").json(folder)
     return df.where(F.col("_corrupt_record").isNull() & F.col("fingerprint").isNotNull()).drop("_corrupt_record")
 
 
@@ -74,3 +74,34 @@ def wrong_shape(df: DataFrame, wanted: dict[str, str]) -> tuple[list[str], list[
 def in_enum(column: Column, values: tuple[str, ...]) -> Column:
     """Whether a value is allowed; null is."""
     return column.isNull() | column.isin(*values)
+
+
+def listing(spark: SparkSession, root: str, below: str = "") -> DataFrame:
+    """path (below root), bytes of the files of one directory below root, not of those under it. Refuses to leave root."""
+    parts = [p for p in below.split("/") if p not in ("", ".")]
+    if ".." in parts or below.startswith("/") or "\\" in below:
+        raise ValueError(f"not below the root: {below}")
+    base = root.rstrip("/")
+    df = spark.read.format("binaryFile").load("/".join([base, *parts]))
+    return df.select(F.substring_index("path", base.rsplit("/", 1)[-1] + "/", -1).alias("path"), F.col("length").alias("bytes"))
+
+
+def columns_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, position, column, type of the columns of tables."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(n, i, f.name, f.dataType.simpleString()) for n, df in tables.items() for i, f in enumerate(df.schema, 1)]
+    return spark.createDataFrame(rows, "name string, position long, column string, type string")
+
+
+def dependencies(packages: DataFrame) -> DataFrame:
+    """path, kind, package, version of package files (path, text as JSON): both kinds of dependencies."""
+    kinds = ("dependencies", "devDependencies")
+    rows = [packages.select("path", F.lit(k).alias("kind"), F.explode(F.from_json(F.get_json_object("text", f"$.{k}"), "map<string,string>")).alias("package", "version")) for k in kinds]
+    return rows[0].unionByName(rows[1])
+
+
+def summary(files: DataFrame, configs: tuple[str, ...] = ("package.json", "tsconfig.json")) -> DataFrame:
+    """dir, files, bytes, largest, extensions (distinct), configs (files of those names) of files (path, bytes), by directory."""
+    name = scalars.basename(F.col("path"))
+    rows = files.withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
+    return rows.groupBy("dir").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest"), F.count_distinct(scalars.extname(F.col("path"))).alias("extensions"), F.count_if(name.isin(*configs)).alias("configs"))

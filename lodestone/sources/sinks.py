@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
@@ -78,11 +78,112 @@ def phase_report(files: DataFrame) -> str:
 
 
 def context_lines(registry: DataFrame) -> DataFrame:
-    """A directory a row: its files and states as one line of text."""
+    """A directory a row: its files and states as one line of text. A line is as long as its directory; block_lines() gives a row a file."""
     files = F.array_sort(F.collect_list(F.concat_ws(" ", "filename", "status")))
     return registry.groupBy("dir").agg(F.concat(F.lit("files: "), F.array_join(files, ", ")).alias("line"))
 
 
+# reports as lines: (section, place, line), to be written in that order; no report is gathered in one task
+
+
+def block_lines(df: DataFrame, section: Column, *parts: Column) -> DataFrame:
+    """section, place, line: the lines that each row gives, in turn; null parts give none."""
+    return df.select(section.alias("section"), F.posexplode(F.array_compact(F.array(*parts))).alias("place", "line"))
+
+
+def write_lines(lines: DataFrame, folder: str) -> None:
+    """The lines of a report, in order, as text files that follow each other by name."""
+    lines.repartitionByRange("section", "place").sortWithinPartitions("section", "place").select("line").write.mode("overwrite").text(folder)
+
+
+def toml_value(c: Column) -> Column:
+    return F.concat(F.lit('"'), scalars.escape_toml(c), F.lit('"'))
+
+
+def plan_lines(meta: DataFrame, steps: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """A migration plan as TOML: [metadata], a [[steps]] block each, a [[conflicts]] block each; null fields are left out.
+
+    meta: one row of any columns; steps: step and any columns; conflicts: id and any columns.
+    """
+
+    def field(df: DataFrame, c: str) -> Column:
+        text = toml_value(F.col(c)) if df.schema[c].dataType.simpleString() == "string" else F.col(c).cast("string")
+        return F.concat(F.lit(f"{c} = "), text)
+
+    def blocks(df: DataFrame, head: str, section: Column) -> DataFrame:
+        return block_lines(df, section, F.lit(head), *(field(df, c) for c in df.columns), F.lit(""))
+
+    place = lambda k, c: F.concat(F.lit(f"{k}:"), c)
+    return blocks(meta, "[metadata]", F.lit("0:")).unionByName(blocks(steps, "[[steps]]", place(1, F.lpad(F.col("step").cast("string"), 12, "0")))).unionByName(blocks(conflicts, "[[conflicts]]", place(2, F.col("id").cast("string"))))
+
+
+#: Files that get no printed card.
+NO_CARD, NO_CARD_UNDER = (".txt", ".json", ".sqlite-wal", ".sqlite-shm"), (".archive/", ".planning/", "vendor/", "snapshots/")
+
+
+def card_lines(registry: DataFrame) -> DataFrame:
+    """section (the card's file name), place, line of a printed card of every file that gets one."""
+    path = F.col("filepath")
+    skip = F.lit(False)
+    for end in NO_CARD:
+        skip = skip | F.lower(path).endswith(end)
+    for under in NO_CARD_UNDER:
+        skip = skip | path.startswith(under) | path.contains("/" + under)
+    fields = (F.concat(F.lit(f"  {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in registry.columns)
+    return block_lines(registry.where(~skip), F.concat(F.regexp_replace(path, r"[/\\]", "_"), F.lit(".txt")), F.concat(F.lit("IDENTITY CARD "), path), *fields)
+
+
+def phase_lines(files: DataFrame) -> DataFrame:
+    """Markdown of files by phase: a heading with the count, then a line a file."""
+    heads = files.groupBy("phase").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "GREEN").alias("green"))
+    top = block_lines(heads, F.col("phase"), F.concat(F.lit("## "), "phase"), F.concat(F.col("n").cast("string"), F.lit(" files, "), F.col("green").cast("string"), F.lit(" green")))
+    rows = files.select(F.concat("phase", F.lit("/"), "filepath").alias("section"), F.lit(0).alias("place"), F.concat(F.lit("- "), "filepath", F.lit(" "), "status").alias("line"))
+    return top.unionByName(rows)
+
+
+def check_lines(results: DataFrame, most: int = 20) -> DataFrame:
+    """Markdown of checks (id, title, message, issues: array): the result, a table row a check, and the issues of those that failed, most of each."""
+    ok = F.size("issues") == 0
+    total = results.agg(F.count_if(ok).alias("ok"), F.count("*").alias("n"))
+    head = block_lines(total, F.lit("0"), F.lit("# Checks"), F.concat(F.col("ok").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" checks pass")))
+    table = results.select(F.concat(F.lit("1:"), "id").alias("section"), F.lit(0).alias("place"), F.concat(F.lit("| "), "id", F.lit(" "), "title", F.lit(" | "), F.when(ok, "ok").otherwise("fail"), F.lit(" | "), "message", F.lit(" |")).alias("line"))
+    more = F.when(F.size("issues") > most, F.array(F.concat(F.lit("- ... and "), (F.size("issues") - most).cast("string"), F.lit(" more")))).otherwise(F.array())
+    shown = F.concat(F.array(F.concat(F.lit("## "), "id")), F.transform(F.slice("issues", 1, most), lambda x: F.concat(F.lit("- "), x)), more)
+    parts = results.where(~ok).select(F.concat(F.lit("2:"), "id").alias("section"), F.posexplode(shown).alias("place", "line"))
+    return head.unionByName(table).unionByName(parts)
+
+
+def dump_lines(df: DataFrame, table: str, key: str, form: str) -> DataFrame:
+    """section (the key), place, line: a table's rows as csv, json, or sql inserts."""
+    text = lambda c: F.col(c).cast("string")
+    if form == "json":
+        line = F.to_json(F.struct(*sorted(df.columns)))
+    elif form == "sql":
+        one = lambda c: F.coalesce(F.concat(F.lit("'"), F.replace(text(c), F.lit("'"), F.lit("''")), F.lit("'")) if df.schema[c].dataType.simpleString() == "string" else text(c), F.lit("NULL"))
+        line = F.concat(F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("), F.concat_ws(", ", *(one(c) for c in df.columns)), F.lit(");"))
+    else:
+        one = lambda c: F.when(text(c).rlike('[",\n]'), F.concat(F.lit('"'), F.replace(text(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(text(c), F.lit("")))
+        line = F.concat_ws(",", *(one(c) for c in df.columns))
+    return df.select(text(key).alias("section"), F.lit(0).alias("place"), line.alias("line"))
+
+
+def risk_records(identities: DataFrame) -> DataFrame:
+    """json of each file (path, origin) whose birth time is only that of its last change; none on a clean run, which empties the report."""
+    return identities.where(F.col("origin") == "mtime-fallback").select(F.to_json(F.struct("path", "origin")).alias("json"))
+
+
+def error_summary(runs: DataFrame) -> DataFrame:
+    """One row: runs (hook, error) that went well and that failed, and the errors by how often each came up, as JSON."""
+    by = runs.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+    listed = by.agg(F.to_json(F.array_sort(F.collect_list(F.struct("error", "n")))).alias("errors"))  # a row a kind of error
+    return runs.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("fail")).join(listed)
+
+
+def with_keys(rows: DataFrame, owners: DataFrame, name: str, keep: bool) -> DataFrame:
+    """rows with owner_id, the id of the owner (id, name) that a column names; rows without one go or, keep, have none."""
+    return rows.join(owners.select(F.col("id").alias("owner_id"), F.col("name").alias(name)), name, "left" if keep else "inner")
+
+
 def export(df: DataFrame, folder: str, form: str) -> None:
     """A table as json, csv or parquet."""
     df.write.mode("overwrite").format(form).option("header", True).save(folder)

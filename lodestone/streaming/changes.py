@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lodestone.operators import snapshots
+from lodestone.operators.lineage import settled
 
 EVENT = "path STRING, type STRING, ts TIMESTAMP, sha STRING"
 
@@ -31,16 +32,40 @@ def debounce(changes: DataFrame, gap: str = "500 milliseconds", late: str = "10
 def flushes(changes: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
     """start, end, changes (array of path and type): what one timer over all paths, reset by each event, would flush.
 
-    One timer is one group by nature; a watcher's volume is small. Events are reduced to sessions of a path before.
+    Events are reduced to sessions of a path before. Sessions are dealt out by ranges of their start; the latest end of all ranges
+    before, a row a range, tells whether a range's first session goes on with a burst. So no task holds all sessions.
     """
-    per_path = debounce(changes, gap)
-    spans = per_path.select(F.col("window.start").alias("ts"), "window", "path", "type")
-    from pyspark.sql import Window
-
-    w = Window.orderBy("window.start").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.coalesce(F.max("window.end").over(w) < F.col("window.start"), F.lit(True))
-    burst = F.sum(fresh.cast("int")).over(Window.orderBy("window.start").rowsBetween(Window.unboundedPreceding, 0))
-    return spans.withColumn("_new", fresh).withColumn("_burst", burst).groupBy("_burst").agg(F.min("window.start").alias("start"), F.max("window.end").alias("end"), F.array_sort(F.collect_set(F.struct("path", "type"))).alias("changes")).drop("_burst")
+    per_path = debounce(changes, gap).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "path", "type")
+    spans = settled(per_path.repartitionByRange("start").withColumn("_range", F.spark_partition_id()))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = spans.groupBy("_range").agg(F.max("end").alias("_end")).select("_range", F.max("_end").over(upto).alias("_before"))  # a row a range
+    earlier = Window.partitionBy("_range").orderBy("start", "path", "type").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.greatest(F.max("end").over(earlier), "_before") < F.col("start"), F.lit(True))
+    marked = spans.join(F.broadcast(ends), "_range").withColumn("_fresh", fresh.cast("long"))
+    marked = settled(marked.withColumn("_nth", F.sum("_fresh").over(earlier.rowsBetween(Window.unboundedPreceding, 0))))
+    bursts = marked.groupBy("_range").agg(F.sum("_fresh").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_first"))
+    named = marked.join(F.broadcast(bursts), "_range").withColumn("_burst", F.col("_first") + F.col("_nth"))
+    return named.groupBy("_burst").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set(F.struct("path", "type"))).alias("changes")).drop("_burst")
+
+
+def session_counts(sessions: DataFrame) -> DataFrame:
+    """path, since: sessions (path, at, touched) of each path after the last that touched it; all, if none did. Two sums, no ordering by path."""
+    last = sessions.where("touched").groupBy("path").agg(F.max("at").alias("_last"))
+    both = sessions.join(last, "path", "left")
+    return both.groupBy("path").agg(F.count_if(F.col("_last").isNull() | (F.col("at") > F.col("_last"))).alias("since"))
+
+
+def due(last: Column, now: Column, every: str = "24 hours") -> Column:
+    """Whether a job that ran last at a time, or never, is to run again."""
+    return last.isNull() | (now >= last + F.expr(f"INTERVAL {every}"))
+
+
+def scheduled(jobs: DataFrame, concurrency: int = 2) -> DataFrame:
+    """jobs (id, priority) with position and wave: the highest priority first, then the lowest id, so many at a time."""
+    from lodestone.operators.graph import numbered
+
+    placed = numbered(jobs.withColumn("_p", -F.col("priority")), ["_p", "id"], "position").drop("_p")
+    return placed.withColumn("wave", F.floor(F.col("position") / concurrency))
 
 
 def apply_batch(registry: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
