@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.lineage import settled
+
 _Q = r"""['"`]([^'"`]+)['"`]"""
 
 
@@ -155,3 +160,26 @@ def ingest(reports: DataFrame) -> DataFrame:
     for kind in REPORTS:
         out = out.unionByName(report_nodes(reports.where(F.col("kind") == kind), kind))
     return out
+
+
+def ingest_with(reports: DataFrame, parsers: Mapping[str, Callable[[DataFrame], DataFrame]], fallback: Callable[[DataFrame, str], DataFrame], retries: int = 2, most_failures: int = 3) -> tuple[DataFrame, dict[str, str]]:
+    """Nodes of reports (project, kind, text) by a parser a kind, and how each kind went: parsed, retried, fallback, or skipped.
+
+    A parser's result is written before it counts, so that its failures show here. It is tried again retries times, then the fallback reads the
+    kind. After most_failures kinds failed the circuit is open: the kinds left go to the fallback at once.
+    """
+    parts, went, failed = [], {}, 0
+    for kind, parse in parsers.items():
+        rows = reports.where(F.col("kind") == kind)
+        for attempt in range(retries + 1 if failed < most_failures else 0):
+            try:
+                parts.append(settled(parse(rows)))
+                went[kind] = "retried" if attempt else "parsed"
+                break
+            except Exception:  # whatever a caller's parser raises
+                continue
+        else:
+            failed += 1
+            went[kind] = "fallback" if failed <= most_failures else "skipped"
+            parts.append(settled(fallback(rows, kind)))
+    return functools.reduce(DataFrame.unionByName, parts), went

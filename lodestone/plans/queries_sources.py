@@ -15,6 +15,7 @@ from lodestone.operators import snapshots as M
 from lodestone.operators.lineage import checkpoint_folder
 from lodestone.plans.views import BASE
 from lodestone.registry import query
+from lodestone.sources import cache as Q
 from lodestone.sources import files as S
 from lodestone.sources import sinks as K
 from lodestone.streaming import changes as C
@@ -351,3 +352,156 @@ def t10_daily_gate(t):
 @query("SELECT fingerprint AS path, count(CASE WHEN last IS NULL OR ts > last THEN 1 END) AS since FROM (SELECT fingerprint, ts, max(CASE WHEN kind = 'PURCHASE' THEN ts END) OVER (PARTITION BY fingerprint) AS last FROM {mutations}) GROUP BY fingerprint")
 def t12_session_counters(t):
     return C.session_counts(t.mutations.select(F.col("fingerprint").alias("path"), F.col("ts").alias("at"), (F.col("kind") == "PURCHASE").alias("touched")))
+
+
+# caches, further reports and sinks
+
+
+@query("SELECT node_id FROM {nodes} WHERE graph_id = 'g2'")
+def s11_cached_graph(t):
+    cache = Q.GraphCache(t.nodes, t.edges, size=1)
+    cache.get("g1")
+    found = cache.get("g2")[0].select("node_id")
+    assert list(cache.held) == ["g2"]
+    return found
+
+
+@query("SELECT filepath, phase, CASE WHEN doc_id % 2 = 0 THEN 'false' ELSE 'true' END AS changed FROM {registry} WHERE doc_id % 2 = 1 UNION ALL SELECT filepath, 'later', 'true' FROM {registry} WHERE doc_id % 2 = 0")
+def s13_versioned_read(t):
+    root = _folder(t)
+    M.publish(t.spark, root, {"files": t.registry.select("filepath", "phase")}, 1)
+    reader = Q.VersionedRead(t.spark, root, "files", M.current)
+    looks = [reader.get()[1], reader.get()[1]]
+    M.publish(t.spark, root, {"files": M.update(t.registry, F.col("doc_id") % 2 == 0, phase="later").select("filepath", "phase")}, 2)
+    df, changed = reader.get()
+    return df.withColumn("changed", F.lit(str(changed and looks == [True, False]).lower()))
+
+
+@query("SELECT client, message FROM (SELECT 'c' || CAST(n AS STRING) AS client FROM (SELECT unnest(range(10)) AS n)) CROSS JOIN (SELECT 'RED' AS message UNION ALL SELECT ':heartbeat')")
+def t06_feed(t):
+    feed = Q.Feed()
+    assert [feed.join(f"c{i}", 0.0) for i in range(11)] == [True] * 10 + [False]
+    feed.publish(t.registry.where("status = 'RED'").select("status").first()[0], 1.0)
+    feed.tick(20.0)  # heard not long ago
+    feed.tick(31.0)
+    return t.spark.createDataFrame([(c, m) for c, q in feed.clients.items() for m in q], "client string, message string")
+
+
+@query("SELECT 2 AS version, true AS changed")
+def t11_change_notice(t):
+    root = _folder(t)
+    M.publish(t.spark, root, {"files": t.registry.select("filepath")}, 1)
+    reader = Q.VersionedRead(t.spark, root, "files", M.current)
+    reader.get()
+    M.publish(t.spark, root, {"files": t.registry.select("filepath")}, 2)
+    _, changed = reader.get()
+    return t.spark.createDataFrame([(reader.version, changed and not reader.get()[1])], "version int, changed boolean")
+
+
+@query("SELECT node_type, count(*) AS n, went FROM (SELECT DISTINCT dir, 'command' AS node_type, phase AS name, 'retried' AS went FROM {registry} UNION ALL SELECT dir, 'store', filename, 'parsed' FROM {registry} UNION ALL SELECT dir, 'route', 'unread', 'fallback' FROM {registry} GROUP BY dir) GROUP BY node_type, went")
+def u05_resilient_ingestion(t):
+    def report(line, kind):
+        lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+        return t.registry.groupBy(F.col("dir").alias("project")).agg(lines.alias("text")).withColumn("kind", F.lit(kind))
+
+    reports = report(F.concat(F.lit("Command: "), "phase"), "command").unionByName(report(F.concat(F.lit("--- Store ID: "), "filename", F.lit(" ---")), "store")).unionByName(report(F.lit("x"), "route"))
+    tries = []
+
+    def second_time(rows):
+        tries.append(1)
+        if len(tries) == 1:
+            raise OSError("not yet")
+        return P.report_nodes(rows, "command")
+
+    def broken(rows):
+        raise ValueError("never")
+
+    plain = lambda rows, kind: rows.select("project", F.lit(kind).alias("node_type"), F.lit("unread").alias("name"), F.lit(None).cast("string").alias("path"))
+    nodes, went = P.ingest_with(reports, {"command": second_time, "store": lambda rows: P.report_nodes(rows, "store"), "route": broken}, plain)
+    said = F.create_map(*(F.lit(x) for kv in went.items() for x in kv))
+    return nodes.groupBy("node_type").agg(F.count("*").alias("n")).withColumn("went", F.element_at(said, F.col("node_type")))
+
+
+@query("""SELECT 'a' AS section, 0 AS place, '## Largest' AS line UNION ALL SELECT 'a', CAST(k AS INT), '- ' || filepath FROM (SELECT filepath, row_number() OVER (ORDER BY bytes DESC, filepath) AS k FROM {registry}) WHERE k <= 20 UNION ALL SELECT 'a', 21, '... and ' || CAST(count(*) - 20 AS STRING) || ' more' FROM {registry}
+UNION ALL SELECT 'b', 0, '## Few' UNION ALL SELECT 'b', CAST(row_number() OVER (ORDER BY n_name) AS INT), '- ' || n_name FROM {nation} WHERE n_nationkey < 3""")
+def k08_gap_report(t):
+    a = K.top_lines(t.registry, "a", "Largest", F.col("filepath"), [-F.col("bytes"), F.col("filepath")], 20)
+    return a.unionByName(K.top_lines(t.nation.where("n_nationkey < 3"), "b", "Few", F.col("n_name"), [F.col("n_name")], 15))
+
+
+@query("SELECT '0' AS section, 0 AS place, '# Migration report' AS line UNION ALL SELECT '0', 1, '- outcome: PARTIAL' UNION ALL SELECT '0', 2, '- reachability: 0.75' UNION ALL SELECT '1:' || status, 0, '- ' || status || ': ' || CAST(count(*) AS STRING) FROM {registry} GROUP BY status UNION ALL SELECT '2:' || lpad(CAST(doc_id AS STRING), 12, '0'), 0, CAST(doc_id AS STRING) || '. copy: ' || filename FROM {registry}")
+def k09_migration_report(t):
+    steps = t.registry.select(F.col("doc_id").alias("step"), F.lit("copy").alias("action"), F.col("filename").alias("description"))
+    return K.migration_lines(t.spark.createDataFrame([("PARTIAL", 0.75)], "outcome string, reachability double"), steps, t.registry.select(F.col("doc_id").alias("id"), F.col("status").alias("conflict")))
+
+
+@query("SELECT 'nodes' AS kind, count(*) AS n FROM {nodes} UNION ALL SELECT 'edges', count(*) FROM {edges}")
+def k14_saved_graph(t):
+    root = _folder(t)
+    M.publish(t.spark, root, {"nodes": t.nodes, "edges": t.edges}, 1)
+    return M.current(t.spark, root, "nodes").select(F.lit("nodes").alias("kind")).unionByName(M.current(t.spark, root, "edges").select(F.lit("edges").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT node_type, name FROM (SELECT DISTINCT dir, 'command' AS node_type, phase AS name FROM {registry} UNION ALL SELECT dir, 'store', filename FROM {registry})")
+def k15_parser_snapshot(t):
+    def report(line, kind):
+        return t.registry.groupBy(F.col("dir").alias("project")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")).withColumn("kind", F.lit(kind))
+
+    root = _folder(t)
+    reports = report(F.concat(F.lit("Command: "), "phase"), "command").unionByName(report(F.concat(F.lit("--- Store ID: "), "filename", F.lit(" ---")), "store"))
+    M.publish(t.spark, root, {"nodes": P.ingest(reports)}, 1)
+    return M.current(t.spark, root, "nodes").select("node_type", "name")
+
+
+@query("SELECT doc_id AS step, CASE WHEN doc_id % 2 = 0 THEN 'rewrite' ELSE 'copy' END AS action FROM {registry}")
+def m23_replaced_plan(t):
+    root = _folder(t)
+    M.publish(t.spark, root, {"plan": t.registry.select(F.col("doc_id").alias("step"), F.lit("copy").alias("action"))}, 1)
+    M.publish(t.spark, root, {"plan": M.update(M.current(t.spark, root, "plan"), F.col("step") % 2 == 0, action="rewrite")}, 2)
+    return M.current(t.spark, root, "plan")
+
+
+@query("SELECT doc_id, CASE WHEN status = 'RED' THEN 'main' || CAST(doc_id AS STRING) ELSE 'f' || CAST(doc_id AS STRING) || ',h' END AS names FROM {registry}")
+def x29_export_names(t):
+    rows = P.exports(t.code.withColumn("path", F.col("doc_id").cast("string")))
+    return rows.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+
+
+@query("SELECT event_type AS hook, count(*) AS runs, count(CASE WHEN value >= 20 THEN 1 END) AS failed FROM {events} GROUP BY event_type")
+def a30_hook_summary(t):
+    runs = t.events.select(F.col("event_type").alias("hook"), F.when(F.col("value") >= 20, "slow").alias("error"))
+    return runs.groupBy("hook").agg(F.count("*").alias("runs"), F.count("error").alias("failed"))
+
+
+def _tree(t, **files):
+    """A folder with text files, one of a line each, in the directories named."""
+    root = _folder(t)
+    for place, (directory, text) in files.items():
+        t.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/{directory}/{place}")
+    return root
+
+
+@query("SELECT 'src/a' AS dir, 'one' AS text UNION ALL SELECT 'src/deep/b', 'two'")
+def s22_protected_walk(t):
+    root = _tree(t, a=("src", "one"), b=("src/deep", "two"), c=("node_modules", "no"), d=("src/.git", "no"), e=("x/vendor/y", "no"), f=("locked", "no"))
+    found = S.scan(t.spark, root, extensions=(".txt",), ignored=(*S.IGNORED, "locked"))
+    return S.texts(found).select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.trim(F.replace("text", F.lit("\n"), F.lit(""))).alias("text"))
+
+
+@query("SELECT 'src/b' AS dir UNION ALL SELECT 'src-native/c' ORDER BY dir")
+def s04_project_files(t):
+    root = _tree(t, a=("docs", "no"), b=("src", "one"), c=("src-native", "two"), d=("src-other", "no"))
+    found = S.texts(S.scan(t.spark, root, extensions=(".txt",)), "src", "src-native").orderBy("path")
+    return found.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"))
+
+
+@query("SELECT sha256('one' || chr(10)) AS sha, 4 AS bytes")
+def s02_file_hash(t):
+    return S.scan(t.spark, _tree(t, a=("src", "one")), extensions=(".txt",)).select(F.col("sha256").alias("sha"), F.col("bytes").cast("int").alias("bytes"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'n-button,n-icon' ELSE 'u-card' END AS tags FROM {registry}")
+def u06_tag_option(t):
+    text = F.lit("<n-button><u-card/><n-icon/></n-button><n-button/>")
+    tags = F.when(F.col("doc_id") % 2 == 0, P.ui_tags(text)).otherwise(P.ui_tags(text, "<(u-[a-z]+)"))
+    return t.registry.select("doc_id", F.array_join(F.array_sort(tags), ",").alias("tags"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
@@ -35,8 +35,6 @@ def write_cards(df: DataFrame, folder: str) -> None:
 
 def keep_newest(files: DataFrame, n: int = 10) -> DataFrame:
     """The n last names of every base name (what stands before the first dot)."""
-    from pyspark.sql import Window
-
     base = F.substring_index("name", ".", 1)
     return files.withColumn("_k", F.row_number().over(Window.partitionBy(base).orderBy(F.desc("name")))).where(F.col("_k") <= n).drop("_k")
 
@@ -153,6 +151,27 @@ def check_lines(results: DataFrame, most: int = 20) -> DataFrame:
     return head.unionByName(table).unionByName(parts)
 
 
+def top_lines(df: DataFrame, section: str, title: str, line: Column, order: list[Column], most: int) -> DataFrame:
+    """A report's list: its title, the first most lines in an order, and how many more there are."""
+    head = df.agg(F.count("*").alias("n"))
+    first = df.select(line.alias("line"), *(c.alias(f"_{i}") for i, c in enumerate(order)))
+    keys = [F.col(f"_{i}") for i in range(len(order))]
+    kept = first.orderBy(*keys).limit(most).select(F.row_number().over(Window.orderBy(*keys)).alias("place"), F.concat(F.lit("- "), "line").alias("line"))  # most rows
+    said = head.select(F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit(f"## {title}").alias("line")), F.struct(F.lit(most + 1).alias("place"), F.when(F.col("n") > most, F.concat(F.lit("... and "), (F.col("n") - most).cast("string"), F.lit(" more"))).alias("line")))).alias("x")).select("x.*").where("line IS NOT NULL")
+    return kept.unionByName(said).select(F.lit(section).alias("section"), "place", "line")
+
+
+def migration_lines(summary: DataFrame, steps: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Markdown of a migration: outcome and measures (one row of summary), conflicts by kind, and a line a step.
+
+    summary: any columns; steps: step, action, description; conflicts: id, conflict.
+    """
+    head = block_lines(summary, F.lit("0"), F.lit("# Migration report"), *(F.concat(F.lit(f"- {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in summary.columns))
+    kinds = block_lines(conflicts.groupBy("conflict").agg(F.count("*").alias("n")), F.concat(F.lit("1:"), "conflict"), F.concat(F.lit("- "), "conflict", F.lit(": "), F.col("n").cast("string")))
+    plan = block_lines(steps, F.concat(F.lit("2:"), F.lpad(F.col("step").cast("string"), 12, "0")), F.concat(F.col("step").cast("string"), F.lit(". "), "action", F.lit(": "), "description"))
+    return head.unionByName(kinds).unionByName(plan)
+
+
 def dump_lines(df: DataFrame, table: str, key: str, form: str) -> DataFrame:
     """section (the key), place, line: a table's rows as csv, json, or sql inserts."""
     text = lambda c: F.col(c).cast("string")
