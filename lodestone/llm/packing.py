@@ -10,7 +10,7 @@ floor(min(T, w * tau)) tokens once tau of virtual time has passed, and round r e
 together have sent r windows. A queue that runs dry leaves its share to the others. A document needs only its place in
 its queue and the table of queues (at most MAX_QUEUES rows) to know where all its tokens go.
 
-The place in the queue is a prefix sum in two steps: documents are dealt to blocks by their id, a block of a queue is
+The place in the queue is a prefix sum in two steps: documents are dealt to blocks by id and tokens, a block of a queue is
 ordered by id, and the blocks of a queue are summed up. No task sees a whole queue.
 
 Rows: null text counts as empty (a document is then its end id alone); a null source is a queue of its own; repeated
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, partitions, small_batches
 
-#: With more sources than this, sources share queues by hash.
+#: With more sources than this, sources share queues, and take turns in them.
 MAX_QUEUES = 1024
 _PLAIN = re.compile("[^\x00-ɏ -⁯₠-₿℀-⅏←-⋿]")
 
@@ -124,30 +124,53 @@ class Rounds:
         return row[again], (a - first[row])[again] + s - place[again], e - s, s
 
 
+def _taking_turns(made: DataFrame, weighted: bool, most: int) -> DataFrame:
+    """made with turn and block for queues that sources share: deficit round-robin by whole documents.
+
+    A document's turn is the virtual time at which its source, alone served by its weight (without weights, by its share), has sent
+    what is before it. In the order of turns each source of a queue has its part of what the queue sends, up to a document. A queue's
+    turns are dealt out to blocks by ranges.
+    """
+    key = [F.coalesce(F.xxhash64("source"), F.lit(0)).alias("_s"), F.col("source").isNull().alias("_null")]
+    made = made.select("*", *key)
+    parts = made.groupBy("queue", "_s", "_null", "_weight", "block").agg(F.sum("n").alias("_in"))
+    whole = Window.partitionBy("queue", "_s", "_null")
+    upto = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    speed = F.col("_weight") if weighted else F.col("_all").cast("double")
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_in").over(upto), F.lit(0))).withColumn("_all", F.sum("_in").over(whole)).withColumn("_speed", speed)
+    last = parts.groupBy("queue").agg(F.max(F.col("_all") / F.col("_speed")).alias("_last"))
+    parts = cut(parts.join(F.broadcast(last), "queue").select("queue", "_s", "_null", "block", "_before", "_speed", "_last"))  # MAX_QUEUES rows
+    within = Window.partitionBy("queue", "_s", "_null", "block").orderBy("doc_id", "n", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(within), F.lit(0))
+    placed = made.withColumn("_first", first).join(parts, ["queue", "_s", "_null", "block"])
+    placed = placed.withColumn("turn", (F.col("_before") + F.col("_first")) / F.col("_speed"))
+    block = F.least(F.floor(F.col("turn") / F.col("_last") * most), F.lit(most - 1))
+    return placed.select("doc_id", "queue", "n", "ids", block.alias("block"), "turn")
+
+
 def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1, weights: Mapping[str | None, float] | None = None, ranks: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source queue and (with_ids) the ids.
 
     weights: of tokens by source; without, each source's share of all tokens, so that all queues last to the end.
     A source not named in weights counts 1. With more than MAX_QUEUES sources, the MAX_QUEUES / 2 of the greatest weights
-    are held to them one by one, and all others by the sum of those that share a queue.
+    have queues of their own; the others share queues, each of the weight of its sources together, in which they take turns by whole
+    documents: their parts are held as well, up to a document's length.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text", "source")
     names = [r[0] for r in docs.select("source").distinct().limit(MAX_QUEUES + 1).collect()]
     shared, kind = len(names) > MAX_QUEUES, docs.schema["source"].dataType.simpleString()
+    source_kind = kind
     names = sorted((x for x in names if x is not None)) + [None] * (None in names)
     if shared:
         # the sources that weigh most keep queues of their own; a queue shared by others weighs as much as they do together
         heavy = sorted(weights or {}, key=lambda x: (-weights[x], x is None, x or ""))[: MAX_QUEUES // 2]
         hashed = (F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES - len(heavy))) + len(heavy)).cast("int")
-        if weights is None:
-            queued = docs.withColumn("_queue", hashed)
-        else:
-            own = {x: i for i, x in enumerate(heavy)}
-            table = spark.createDataFrame([(own.get(x), x, float(w)) for x, w in weights.items()], f"_own int, _source {kind}, _weight double")
-            queued = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")), "left")  # a row a weight given
-            queued = queued.withColumn("_queue", F.coalesce("_own", hashed)).withColumn("_weight", F.coalesce("_weight", F.lit(1.0)))
+        own = {x: i for i, x in enumerate(heavy)}
+        table = spark.createDataFrame([(own.get(x), x, float(w)) for x, w in (weights or {}).items()], f"_own int, _source {kind}, _weight double")
+        queued = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")), "left")  # a row a weight given
+        queued = queued.select("doc_id", "text", "source", F.coalesce("_own", hashed).alias("_queue"), F.coalesce("_weight", F.lit(1.0)).alias("_weight"))
     else:
         table = spark.createDataFrame([(i, x) for i, x in enumerate(names)], f"_queue int, _source {kind}")
         queued = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")))  # at most MAX_QUEUES rows
@@ -158,10 +181,15 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1,
         for b in batches:
             got = [np.array([*ids(t.as_py() or ""), end_id], "<u4") for t in b.column(1)]
             n = pa.array([len(x) for x in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n, pa.array([(x.astype("<u2") if x.max() < 65536 else x).tobytes() for x in got], pa.binary())], ["doc_id", "queue", "n", "ids"])
+            rest = [b.column(i) for i in range(3, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n, pa.array([(x.astype("<u2") if x.max() < 65536 else x).tobytes() for x in got], pa.binary()), *rest], ["doc_id", "queue", "n", "ids", *b.schema.names[3:]])
 
-    made = queued.select("doc_id", "text", F.col("_queue").alias("queue")).mapInArrow(tokenize, f"doc_id {kind}, queue int, n long, ids binary")
-    made = cut(made.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(4 * partitions(spark)))))
+    dealt = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(4 * partitions(spark)))  # rows that share an id, or have none, are spread as well
+    made = queued.select("doc_id", "text", F.col("_queue").alias("queue"), *(["source", "_weight"] if shared else [])).mapInArrow(tokenize, f"doc_id {kind}, queue int, n long, ids binary" + f", source {source_kind}, _weight double" * shared)
+    if shared:
+        made = cut(_taking_turns(cut(made.withColumn("block", dealt)), weights is not None, 4 * partitions(spark)))
+    else:
+        made = cut(made.withColumn("block", dealt).withColumn("turn", F.lit(0.0)))
     blocks = made.groupBy("queue", "block").agg(F.sum("n").alias("in_block"))
     upto = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut(blocks.withColumn("before", F.coalesce(F.sum("in_block").over(upto), F.lit(0))))
@@ -178,7 +206,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1,
         share = np.array([float(weights.get(names[q], 1.0)) for q in range(len(tokens))])
     rounds = Rounds(tokens, share, length)
 
-    within = Window.partitionBy("queue", "block").orderBy("doc_id", "n", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("queue", "block").orderBy("turn", "doc_id", "n", "ids").rowsBetween(Window.unboundedPreceding, -1)
     placed = made.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0))).join(blocks.drop("in_block"), ["queue", "block"])
     placed = placed.select("doc_id", "queue", (F.col("first") + F.col("before")).alias("first"), "n", "ids")
 

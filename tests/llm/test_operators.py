@@ -135,6 +135,32 @@ def test_rounds_equal_an_explicit_deficit_loop(tokens, weights):
     assert sum(a != b for k, want in enumerate(rows) for q, b in enumerate(want) for a in [int(r.sent(np.array([q]), np.array([k]))[0])]) <= len(rows)
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_two_thousand_sources_keep_their_parts(spark, weighted):
+    """More sources than queues: at every point each has sent its part, up to a document and a window's rounding."""
+    line, rng = "one two three four five six seven ", random.Random(12)
+    size = {s: rng.choice((4, 8, 12)) for s in range(2000)}
+    rows = [(100 * s + i, line * rng.randrange(1, 4), f"s{s}" if s else None) for s in size for i in range(size[s])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {f"s{s}" if s else None: float(size[s]) * (2 if s % 500 == 1 else 1) for s in size} if weighted else None
+    got = packing.pack(docs, PATH("byte_bpe_50k.json"), weights=weights, ranks=PATH("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, with_ids=False).collect()
+    total, tokens, sent = sum(r.length for r in got), collections.Counter(), collections.Counter()
+    windows = -(-total // 2048)
+    for r in got:
+        tokens[r.doc_id // 100] += r.length
+        sent[r.doc_id // 100] += r.length * (r.sequence_id < windows // 2)
+    assert {r.doc_id for r in got} == {i for i, _, _ in rows} and len(tokens) == 2000
+    longest = max(r.doc_tokens for r in got)
+    if not weighted:
+        half = (windows // 2) * 2048 / total
+        assert max(abs(sent[s] - tokens[s] * half) for s in tokens) <= 2 * longest
+    else:
+        every = sum(weights.values())
+        share = {s: weights[f"s{s}" if s else None] / every * (windows // 2) * 2048 for s in tokens}
+        slow = [s for s in tokens if tokens[s] > 1.6 * share[s]]  # sources that nobody's end has sped up by much
+        assert len(slow) > 500 and max(share[s] - sent[s] for s in slow) <= 2 * longest
+
+
 def test_packing_takes_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a b c", "x", "y", 3)], "doc_id long, text string, source string, _source string, _queue int")
     assert [r.length for r in packing.pack(df, PATH("byte_bpe_50k.json")).collect()] == [4]
