@@ -200,10 +200,9 @@ UNION ALL SELECT '2:' || id, 0, '## ' || id FROM r WHERE bad > 0
 UNION ALL SELECT '2:' || phase, CAST(k AS INT), '- ' || filepath FROM (SELECT phase, filepath, row_number() OVER (PARTITION BY phase ORDER BY filepath) AS k FROM {registry} WHERE status = 'RED') WHERE k <= 20
 UNION ALL SELECT '2:' || id, 21, '- ... and ' || CAST(bad - 20 AS STRING) || ' more' FROM r WHERE bad > 20""")
 def k17_check_report(t):
-    bad = F.array_sort(F.collect_list(F.when(F.col("status") == "RED", F.col("filepath"))))
-    results = t.registry.groupBy(F.col("phase").alias("id")).agg(bad.alias("issues"), F.concat(F.count("*").cast("string"), F.lit(" files")).alias("message")).withColumn("title", F.lit("of phase"))
-    clean = t.spark.createDataFrame([("CLEAN", [], "0 files", "of phase")], results.schema)
-    return K.check_lines(results.unionByName(clean))
+    checks = t.registry.groupBy(F.col("phase").alias("id")).agg(F.concat(F.count("*").cast("string"), F.lit(" files")).alias("message")).withColumn("title", F.lit("of phase"))
+    clean = t.spark.createDataFrame([("CLEAN", "0 files", "of phase")], checks.schema)
+    return K.check_lines(checks.unionByName(clean), t.registry.where("status = 'RED'").select(F.col("phase").alias("id"), F.col("filepath").alias("issue")))
 
 
 @query("SELECT count(CASE WHEN status <> 'RED' THEN 1 END) AS ok, count(CASE WHEN status = 'RED' THEN 1 END) AS fail, '[{{\"error\":\"bad f\",\"n\":' || CAST(count(CASE WHEN status = 'RED' AND doc_id % 2 = 0 THEN 1 END) AS STRING) || '}},{{\"error\":\"no g\",\"n\":' || CAST(count(CASE WHEN status = 'RED' AND doc_id % 2 = 1 THEN 1 END) AS STRING) || '}}]' AS errors FROM {registry}")
@@ -401,8 +400,7 @@ def t11_change_notice(t):
 @query("SELECT node_type, count(*) AS n, went FROM (SELECT DISTINCT dir, 'command' AS node_type, phase AS name, 'retried' AS went FROM {registry} UNION ALL SELECT dir, 'store', filename, 'parsed' FROM {registry} UNION ALL SELECT dir, 'route', 'unread', 'fallback' FROM {registry} GROUP BY dir) GROUP BY node_type, went")
 def u05_resilient_ingestion(t):
     def report(line, kind):
-        lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
-        return t.registry.groupBy(F.col("dir").alias("project")).agg(lines.alias("text")).withColumn("kind", F.lit(kind))
+        return t.registry.select(F.col("dir").alias("project"), line.alias("text"), F.lit(kind).alias("kind"))
 
     reports = report(F.concat(F.lit("Command: "), "phase"), "command").unionByName(report(F.concat(F.lit("--- Store ID: "), "filename", F.lit(" ---")), "store")).unionByName(report(F.lit("x"), "route"))
     tries = []
@@ -416,7 +414,7 @@ def u05_resilient_ingestion(t):
     def broken(rows):
         raise ValueError("never")
 
-    plain = lambda rows, kind: rows.select("project", F.lit(kind).alias("node_type"), F.lit("unread").alias("name"), F.lit(None).cast("string").alias("path"))
+    plain = lambda rows, kind: rows.select("project", F.lit(kind).alias("node_type"), F.lit("unread").alias("name"), F.lit(None).cast("string").alias("path")).distinct()
     nodes, went = P.ingest_with(reports, {"command": second_time, "store": lambda rows: P.report_nodes(rows, "store"), "route": broken}, plain)
     said = F.create_map(*(F.lit(x) for kv in went.items() for x in kv))
     return nodes.groupBy("node_type").agg(F.count("*").alias("n")).withColumn("went", F.element_at(said, F.col("node_type")))
@@ -445,7 +443,7 @@ def k14_saved_graph(t):
 @query("SELECT node_type, name FROM (SELECT DISTINCT dir, 'command' AS node_type, phase AS name FROM {registry} UNION ALL SELECT dir, 'store', filename FROM {registry})")
 def k15_parser_snapshot(t):
     def report(line, kind):
-        return t.registry.groupBy(F.col("dir").alias("project")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")).withColumn("kind", F.lit(kind))
+        return t.registry.select(F.col("dir").alias("project"), line.alias("text"), F.lit(kind).alias("kind"))
 
     root = _folder(t)
     reports = report(F.concat(F.lit("Command: "), "phase"), "command").unionByName(report(F.concat(F.lit("--- Store ID: "), "filename", F.lit(" ---")), "store"))

@@ -93,8 +93,8 @@ def s10_graph_nodes(t):
 
 
 def _reports(t, line, kind):
-    lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
-    return t.registry.groupBy(F.col("dir").alias("project")).agg(lines.alias("text")).withColumn("kind", F.lit(kind))
+    """A report, a row a line or block: no task holds the whole of a project's."""
+    return t.registry.select(F.col("dir").alias("project"), line.alias("text"), F.lit(kind).alias("kind"))
 
 
 @query("SELECT dir AS project, 'store' AS node_type, filename AS name FROM {registry}")

@@ -139,16 +139,21 @@ def phase_lines(files: DataFrame) -> DataFrame:
     return top.unionByName(rows)
 
 
-def check_lines(results: DataFrame, most: int = 20) -> DataFrame:
-    """Markdown of checks (id, title, message, issues: array): the result, a table row a check, and the issues of those that failed, most of each."""
-    ok = F.size("issues") == 0
-    total = results.agg(F.count_if(ok).alias("ok"), F.count("*").alias("n"))
-    head = block_lines(total, F.lit("0"), F.lit("# Checks"), F.concat(F.col("ok").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" checks pass")))
+def check_lines(checks: DataFrame, issues: DataFrame, most: int = 20) -> DataFrame:
+    """Markdown of checks (id, title, message) and their issues (id, issue): the result, a table row a check, and the issues of those that have any,
+    the first most of each by text."""
+    count = issues.groupBy("id").agg(F.count("*").alias("n"))
+    results = checks.join(count, "id", "left").na.fill(0, ["n"])
+    ok = F.col("n") == 0
+    total = results.agg(F.count_if(ok).alias("ok"), F.count("*").alias("all"))
+    head = block_lines(total, F.lit("0"), F.lit("# Checks"), F.concat(F.col("ok").cast("string"), F.lit("/"), F.col("all").cast("string"), F.lit(" checks pass")))
     table = results.select(F.concat(F.lit("1:"), "id").alias("section"), F.lit(0).alias("place"), F.concat(F.lit("| "), "id", F.lit(" "), "title", F.lit(" | "), F.when(ok, "ok").otherwise("fail"), F.lit(" | "), "message", F.lit(" |")).alias("line"))
-    more = F.when(F.size("issues") > most, F.array(F.concat(F.lit("- ... and "), (F.size("issues") - most).cast("string"), F.lit(" more")))).otherwise(F.array())
-    shown = F.concat(F.array(F.concat(F.lit("## "), "id")), F.transform(F.slice("issues", 1, most), lambda x: F.concat(F.lit("- "), x)), more)
-    parts = results.where(~ok).select(F.concat(F.lit("2:"), "id").alias("section"), F.posexplode(shown).alias("place", "line"))
-    return head.unionByName(table).unionByName(parts)
+    section = F.concat(F.lit("2:"), "id").alias("section")
+    ranked = issues.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("issue"))).where(F.col("place") <= most)  # limited before the shuffle
+    shown = ranked.join(checks.select("id"), "id", "left_semi").select(section, "place", F.concat(F.lit("- "), "issue").alias("line"))
+    titles = results.where(~ok).select(section, F.lit(0).alias("place"), F.concat(F.lit("## "), "id").alias("line"))
+    more = results.where(F.col("n") > most).select(section, F.lit(most + 1).alias("place"), F.concat(F.lit("- ... and "), (F.col("n") - most).cast("string"), F.lit(" more")).alias("line"))
+    return head.unionByName(table).unionByName(shown).unionByName(titles).unionByName(more)
 
 
 def top_lines(df: DataFrame, section: str, title: str, line: Column, order: list[Column], most: int) -> DataFrame:

@@ -92,7 +92,7 @@ def test_listing_stays_below_its_root(spark, tmp_path):
 def test_reports_of_empty_tables(spark, tmp_path):
     registry = spark.createDataFrame([], "filepath string, status string, phase string, quality int")
     assert sinks.phase_lines(registry).collect() == [] and sinks.card_lines(registry).collect() == []
-    assert [r.line for r in sinks.check_lines(spark.createDataFrame([], "id string, title string, message string, issues array<string>")).orderBy("place").collect()] == ["# Checks", "0/0 checks pass"]
+    assert [r.line for r in sinks.check_lines(spark.createDataFrame([], "id string, title string, message string"), spark.createDataFrame([], "id string, issue string")).orderBy("place").collect()] == ["# Checks", "0/0 checks pass"]
     summary = sinks.error_summary(spark.createDataFrame([], "hook string, error string")).first()
     assert (summary.ok, summary.fail, json.loads(summary.errors)) == (0, 0, [])
     lines = spark.createDataFrame([("b", 0, "2"), ("a", 1, "1"), ("a", 0, "0")], "section string, place int, line string")
