@@ -705,6 +705,47 @@ def test_deep_pages_take_time_in_proportion(page):
     assert time.process_time() - began < 5
 
 
+def written(rng):
+    """An article as (html, text) of its blocks."""
+    words = lambda n: " ".join(rng.choice("river stone light, water over under & bridge, slow green field".split()) for _ in range(n))
+    blocks = []
+    for _ in range(rng.randrange(5, 12)):
+        kind, text = rng.choice(("p", "p", "p", "p", "h2", "blockquote", "ul", "pre", "table")), words(rng.randrange(12, 40)) + "."
+        shown = text.replace("&", "&amp;").replace("slow", "<em>slow</em>").replace(" light,", "\n  light,")
+        if kind == "h2":
+            text = shown = words(3).replace("&", "and")
+        if kind == "ul":
+            other = words(9).replace("&", "and") + "."
+            blocks.append((f"<ul><li>{shown}<li>{other}</ul>", f"{text} {other}"))
+        elif kind == "table":
+            blocks.append((f"<table><tr><td>{shown}</td></tr></table>", text))
+        else:
+            blocks.append((f"<{kind}>{shown}</{kind}>", text))
+    return "<p>" + words(30).replace("&", "and") + ".</p>", blocks
+
+
+def test_generated_pages():
+    """Articles in frames of every kind, with everything around them that is no article: exactly the article's text comes out."""
+    rng = random.Random(21)
+    noise = [
+        "<nav><a href=/>Home</a><a href=/x>News, all of it</a></nav>", "<header><div>Site name, motto</div></header>", "<div class='sidebar-left'><p>Side text, long, with commas, and more.</p></div>", "<div class=ad>Buy, buy, now</div>", "<aside><p>Aside, aside.</p></aside>",
+        "<ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul>", "<div id=cookie-notice><p>We use cookies, yes, we do.</p></div>", "<script>var a = '<p>no</p>'</script>", "<style>p { color: red }</style>", "<form><label>Mail, please</label><input></form>", "<!-- <p>hidden, text</p> -->",
+        "<div class='comment-list'><p>Nice, nice, very nice post, thank you.</p></div>", "<footer><p>Copyright, all rights.</p></footer>", "<div hidden><p>Not, shown.</p></div>", "<div role=navigation><a href=x>x</a></div>", "<noscript>Enable it, please</noscript>", "<div style='display:none'>gone, gone</div>", "<div class='related-posts'><p>Read, this, too.</p></div>",
+    ]
+    frames = ["<article>{}</article>", "<main><article>{}</article></main>", "<main><div class=body>{}</div></main>", "<div id=content class='post has-sidebar'>{}</div>", "<article class=entry><div><div>{}</div></div></article>", "<form id=page><div class=text>{}</div></form>"]
+    for k in range(300):
+        lead, blocks = written(rng)
+        inside = lead + "".join(html for html, _ in blocks)
+        want = " ".join([re.sub("<[^>]*>", "", lead), *(text for _, text in blocks)])
+        if rng.random() < 0.5:  # an advert within
+            cut = inside.index("</p>") + 4
+            inside = inside[:cut] + "<div class='ad-slot-1'>Buy, this, now</div>" + inside[cut:]
+        around = rng.sample(noise, rng.randrange(2, 9))
+        at = rng.randrange(len(around) + 1)
+        page = "<html><head><title>T</title></head><body>" + "".join(around[:at]) + frames[k % len(frames)].format(inside) + "".join(around[at:]) + "</body></html>"
+        assert html_text.main_text(page) == " ".join(want.split()), (k, page)
+
+
 def test_points_equal_brute_force():
     """Each block's points, passed to each ancestor by a walk up the tree."""
     rng = random.Random(11)
