@@ -62,14 +62,20 @@ def s12_toml_plan(t):
     return S.plan(t.spark, text, "steps").select(F.col("step").cast("int").alias("step"), "action", "file")
 
 
-@query("SELECT table_name AS name, CAST(ordinal_position AS BIGINT) AS position, column_name AS \"column\" FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{n}'" for n in NAMES) + ")")
+_described = lambda names, kind: _values(f"SELECT '{n}' AS name, column_name AS \"column\"{kind} FROM (DESCRIBE SELECT * FROM {{{n}}})" for n in names)
+
+
+@query(_described(NAMES, ""))
 def s14_schema_introspection(t):
-    return S.columns_of({n: getattr(t, n) for n in NAMES}).select("name", "position", "column")
+    return S.columns_of({n: getattr(t, n) for n in NAMES}).select("name", "column")
+
+
+TYPED = ("documents", "labels", "pages", "benchmark", "conversations")
 
 
-@query("SELECT table_name AS name, column_name AS \"column\", CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' END AS type FROM information_schema.columns WHERE table_name IN ('documents', 'labels', 'pages', 'benchmark', 'conversations')")
+@query(_described(TYPED, ", CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' END AS type"))
 def s15_schema_types(t):
-    return S.columns_of({n: getattr(t, n) for n in ("documents", "labels", "pages", "benchmark", "conversations")}).select("name", "column", "type")
+    return S.columns_of({n: getattr(t, n) for n in TYPED}).select("name", "column", "type")
 
 
 def _sources(t):
