@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.lineage import cut, settled
 
-__all__ = ["ASCII_SPACE", "ascii_lower", "cut", "documents", "let", "partitions", "settled", "small_batches"]
+__all__ = ["ASCII_SPACE", "ascii_lower", "cut", "documents", "let", "partitions", "reclaim", "settled", "small_batches"]
 
 #: ASCII white space, as the operators' contracts name it.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -15,12 +17,20 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows and about 8 MB: a worker holds one batch at a time, however long the texts.
+    """Arrow batches of at most 500 rows and about 4 MB: a worker holds one batch at a time, however long the texts.
 
     The same for all operators, as lazy plans of a session share its settings.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Frees the shuffle files of frames that nothing refers to any more: left alone, the cleaner waits until the driver's memory, not
+    the executors' disk, runs short.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def let(value: Column, body) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, small_batches
+from lodestone.llm.common import cut, reclaim, small_batches
 from lodestone.operators.components import components
 
 HASHES, BITS, MISS = 128, 4, 2e-6
@@ -312,6 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows_ = nodes.select("v", "n", F.posexplode("keys").alias("band", "h"))
     shared = rows_.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     buckets = cut(rows_.join(shared, "h"))
+    reclaim(docs.sparkSession)
     central = buckets.groupBy("v").agg(F.sum(F.log2("m")).alias("weight"))
     ranked = buckets.join(central, "v")
     leaders = ranked.groupBy("h").agg(F.max_by("v", F.struct("weight", "v")).alias("a"))
@@ -321,6 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(likeness(F.col("sa"), F.col("sb")) >= least)
     # one pass over the texts for both searches: of the nodes that share a band with another
     items = _items(buckets.select("v").distinct(), nodes, docs, width)
+    reclaim(docs.sparkSession)
     links = _confirm(pairs.select("a", "b"), items, percent)
     roots = components(links).toDF("v", "root")
 
@@ -328,6 +330,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     groups = cut(_grouped(rest.withColumn("root", F.coalesce("root", "v")), nodes))
     further = _search(groups.join(nodes.select("v", "n", "s", "keys"), "v").join(items, "v"), least, percent)
     again = components(cut(further)).toDF("root", "end")
+    reclaim(docs.sparkSession)
     roots = roots.join(again, "root", "full_outer")  # a class without links is its own root
     roots = roots.select(F.coalesce("v", "root").alias("v"), F.coalesce("end", "root").alias("root"))
 
