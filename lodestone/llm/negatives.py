@@ -33,7 +33,7 @@ from lodestone.llm.common import settled
 PIVOTS, SAMPLE = 8, 256
 POSITIVES, NEGATIVES = 5, 10
 #: Anchors that are searched at once, and those of them that are compared with a batch of rows at once.
-CHUNK, SIDE = 16_384, 512
+CHUNK, SIDE = 16_384, 256
 #: Rows of a block with one bracket.
 BLOCK = 64
 #: One row in so many is searched first for a lower bound.
@@ -161,13 +161,18 @@ def _searched(batch: pa.RecordBatch, pivots: Pivots, anchors: dict, away: np.nda
     starts = np.arange(0, len(rows), BLOCK)
     low, high = np.minimum.reduceat(table, starts), np.maximum.reduceat(table, starts)
     of = queries["anchor"]
-    for at in range(0, len(of), SIDE):
-        q = np.arange(at, min(at + SIDE, len(of)))
-        a = of[q]
-        wanted_low = np.maximum(queries["lowest"][q], best.floor[q])
-        wanted_high = queries["highest"][q]
+    for at in range(0, len(away), SIDE):
+        q = np.arange(*np.searchsorted(of, [at, at + SIDE]))
+        if not len(q):
+            continue
+        a, its = np.unique(of[q], return_inverse=True)
+        low_of, high_of = np.maximum(queries["lowest"][q], best.floor[q]), queries["highest"][q]
+        # what any query of an anchor looks for
+        wanted_low, wanted_high = np.full(len(a), np.inf), np.full(len(a), -np.inf)
+        np.minimum.at(wanted_low, its, low_of)
+        np.maximum.at(wanted_high, its, high_of)
         # blocks first: the gap between the anchor's distance and the block's range of distances, to every pivot
-        near, far = np.zeros((len(q), len(starts))), np.full((len(q), len(starts)), np.inf)
+        near, far = np.zeros((len(a), len(starts))), np.full((len(a), len(starts)), np.inf)
         for p in range(table.shape[1]):
             own = away[a, p][:, None]
             near = np.maximum(near, np.maximum(low[:, p][None] - own, own - high[:, p][None]))
@@ -178,7 +183,7 @@ def _searched(batch: pa.RecordBatch, pivots: Pivots, anchors: dict, away: np.nda
         if not len(j):
             continue
         # then rows
-        near, far = np.zeros((len(q), len(j))), np.full((len(q), len(j)), np.inf)
+        near, far = np.zeros((len(a), len(j))), np.full((len(a), len(j)), np.inf)
         for p in range(table.shape[1]):
             own, theirs = away[a, p][:, None], table[j, p][None]
             np.maximum(near, np.abs(own - theirs), out=near)
@@ -186,9 +191,9 @@ def _searched(batch: pa.RecordBatch, pivots: Pivots, anchors: dict, away: np.nda
         least, most = pivots.scores(square[a], near, far)
         alive = (most >= wanted_low[:, None]) & (least <= wanted_high[:, None])
         alive &= ((anchors["label"][a][:, None] == labels[j][None]) == same) & (anchors["id"][a][:, None] != ids[j][None])
-        # what survives is scored: whole sums of products below 2^53 are exact
-        exact = anchors["v"][a] @ rows[j].T
-        alive &= (exact >= wanted_low[:, None]) & (exact <= wanted_high[:, None])
+        # what survives is scored, once for all queries of an anchor: whole sums of products below 2^53 are exact
+        exact = np.where(alive, anchors["v"][a] @ rows[j].T, -np.inf)[its]
+        alive = (exact >= low_of[:, None]) & (exact <= high_of[:, None]) & (exact > -np.inf)
         if alive.sum() > 4 * best.k * len(q) and len(j) > best.k:
             held = np.where(alive, exact, -np.inf)
             alive &= exact >= np.partition(held, len(j) - best.k, axis=1)[:, len(j) - best.k][:, None]
@@ -234,7 +239,7 @@ def mine(embeddings: DataFrame, is_anchor: Column, label: Column | None = None)
         near = merged(search(table, pivots, anchors, True, POSITIVES), POSITIVES).orderBy("query", "rank").toArrow()
         score, anchor = near.column("score").to_numpy(), near.column("query").to_numpy()
         queries = {"anchor": anchor, "lowest": np.ceil(LOWEST * score / 100), "highest": np.floor(HIGHEST * score / 100), "floor": np.full(len(anchor), -np.inf)}
-        if len(anchor) and spark is not None:
+        if len(anchor):
             seeds = merged(search(table.where(F.pmod(F.xxhash64("vec_id"), F.lit(SEED)) == 0), pivots, anchors, False, NEGATIVES, queries), NEGATIVES)
             floors = seeds.where(F.col("rank") == NEGATIVES).select("query", "score").toArrow()
             queries["floor"][floors.column("query").to_numpy()] = floors.column("score").to_numpy()
