@@ -1,7 +1,8 @@
 """Graph operators over nodes (node_id, ...) and edges (src, dst).
 
-Closures are frontier loops: a round joins the frontier with the edges, drops what was seen, and cuts the lineage; the
-number of rounds is the depth of the graph, the size of a round that of its frontier. Strongly connected components are found
+Closures with depths are frontier loops: a round joins the frontier with the edges, drops what was seen, and cuts the lineage; the
+number of rounds is the depth of the graph, the size of a round that of its frontier. Where depths do not count (scopes, levels, critical paths, sizes of
+impact) nodes are eliminated instead, in few rounds (flow.py). Strongly connected components are found
 per weak component, by Tarjan's algorithm where a component has at most LOCAL_EDGES edges (checked), else around a pivot, in the
 cluster. Every frame that a loop joins again is written and read back, so that its estimated size is its real one.
 """
@@ -11,15 +12,15 @@ from __future__ import annotations
 import functools
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.components import components
+from lodestone.operators.flow import CYCLIC, LOCAL_EDGES, flow, reached
 from lodestone.operators.lineage import settled
 
-#: Edges of a weak component that one task may hold.
-LOCAL_EDGES = 1_000_000
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -93,6 +94,21 @@ def impact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(counts, "node_id", "left").na.fill(0, ["impact"])
 
 
+def impact_estimate(edges: DataFrame, nodes: DataFrame, lg: int = 9) -> DataFrame:
+    """node_id, impact: as impact(), a row a node at every step: exact up to 2^lg, beyond with a standard error of 2^(-lg / 2).
+
+    Each strong component has the theta sketch of its members, and gets the union with those of all that reach it; the sketch of a set that is smaller
+    than its bound is the set. Sketches flow along the condensation by elimination (flow()).
+    """
+    labels = settled(strong_components(edges).select("node_id", "scc"))
+    members = settled(nodes.select("node_id").distinct().join(labels, "node_id", "left").select("node_id", F.coalesce("scc", "node_id").alias("scc")))
+    own = members.groupBy(F.col("scc").alias("node_id")).agg(F.theta_sketch_agg("node_id", lg).alias("value"))
+    e = condensation(edges, labels).select(F.col("to_scc").alias("src"), F.col("from_scc").alias("dst"), F.lit(0.0).alias("w"))
+    sets = flow(e, own, lambda v: F.theta_union_agg(v, lg), lambda w, v: v, local_edges=0)
+    sizes = sets.select(F.col("node_id").alias("scc"), (F.theta_sketch_estimate("value") - 1).alias("impact"))
+    return members.join(sizes, "scc").select("node_id", "impact")
+
+
 def impact_chain(edges: DataFrame, node_id: int, total: int) -> DataFrame:
     """direct (parallel edges count), cascading, ratio and severity of what depends on a node."""
     direct = simple_edges(edges).where(F.col("dst") == node_id).agg(F.count("*").alias("direct"))
@@ -104,19 +120,37 @@ def impact_chain(edges: DataFrame, node_id: int, total: int) -> DataFrame:
 
 
 def find_paths(edges: DataFrame, start: int, end: int, max_depth: int = 10, max_results: int = 1000) -> DataFrame:
-    """path (array), length of the simple paths from start to end, shortest first."""
-    steps = simple_edges(edges).select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
+    """path (array), length of the first max_results simple paths from start to end, shortest first, then in order.
+
+    Paths are sought length by length. A beginning of a path is followed only if the end is as near as the length leaves (distances to the end are
+    found first), and of all beginnings only the first max_results: each may be a path. The others wait, and are taken up, the longest first, if those
+    before them ended in nodes they had been at, and too few paths came of them. So no more than max_results beginnings are held at a time.
+    """
     spark = edges.sparkSession
-    # only nodes from which the end can be reached are worth a step
-    useful = reach(edges, spark.createDataFrame([(end, end)], "origin long, node_id long"), outbound=False, depth=max_depth).select(F.col("node_id").alias("next"))
-    steps = settled(steps.join(useful, "next", "left_semi"))
-    now = spark.createDataFrame([([start], start)], "path array<long>, at long")
-    found = now.where(F.col("at") == end)
-    for _ in range(max_depth):
-        now = settled(now.where(F.col("at") != end).join(steps, "at").where(~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")))
-        if now.isEmpty():
-            break
-        found = found.unionByName(now.where(F.col("at") == end))
+    near = reach(edges, spark.createDataFrame([(end, end)], "origin long, node_id long"), outbound=False, depth=max_depth)
+    near = near.groupBy("node_id").agg(F.min("depth").alias("left"))
+    steps = settled(simple_edges(edges).select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct().join(near.withColumnRenamed("node_id", "next"), "next"))
+    first = near.where(F.col("node_id") == start).select("left").collect()  # a row or none
+    parts: list[DataFrame] = []
+    n = 0
+    for length in range(first[0][0] if first else max_depth + 1, max_depth + 1):
+        waiting = [(0, spark.createDataFrame([([start], start)], "path array<long>, at long"))]
+        while waiting and n < max_results:
+            done, now = waiting.pop()
+            while done < length:
+                done += 1
+                free = ~F.array_contains("path", F.col("next")) & (F.col("left") <= length - done) & ((F.col("next") != end) | F.lit(done == length))
+                longer = settled(now.join(steps, "at").where(free).select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")))
+                now = settled(longer.orderBy("path").limit(max_results))
+                if longer.count() > max_results:
+                    waiting.append((done, longer.join(now.select("path"), "path", "left_anti")))
+                if now.isEmpty():
+                    break
+            else:
+                parts.append(now)
+                n += now.count()
+    none = spark.createDataFrame([], "path array<long>, at long")
+    found = functools.reduce(DataFrame.unionByName, parts, none)
     return found.select("path", (F.size("path") - 1).cast("long").alias("length")).orderBy("length", "path").limit(max_results)
 
 
@@ -281,111 +315,116 @@ def condensation(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return named.where("from_scc <> to_scc").groupBy("from_scc", "to_scc").agg(F.count("*").alias("edges"))
 
 
-def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node_id, level: 0 without dependencies, else one more than the highest dependency (edges go from a node to what it depends on);
-    nodes on or behind cycles get the highest level plus one."""
-    e = settled(simple_edges(edges).select("src", "dst").distinct())
-    left, done, level = settled(nodes.select("node_id").distinct()), None, 0
-    while True:
-        waiting = e.join(left.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select(F.col("src").alias("node_id")).distinct()
-        ready = settled(left.join(waiting, "node_id", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            rest = left.withColumn("level", F.lit(level))
-            return rest if done is None else done.unionByName(rest)
-        done = ready if done is None else done.unionByName(ready)
-        left = settled(left.join(ready, "node_id", "left_anti"))
-        level += 1
+def _inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """src, dst of the edges between different nodes of ids, each once."""
+    ends = ids.select("node_id")
+    both = simple_edges(edges).select("src", "dst").distinct().join(ends.withColumnRenamed("node_id", "src"), "src", "left_semi")
+    return both.join(ends.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def critical_path(edges: DataFrame, costs: DataFrame) -> DataFrame:
-    """node_id, duration: its cost and that of the longest chain of dependencies below it. For acyclic edges."""
-    level = settled(levels(edges, costs).join(costs, "node_id"))
-    top = level.agg(F.max("level")).first()[0]
-    done = settled(level.where("level = 0").select("node_id", F.col("cost").alias("duration")))
-    e = simple_edges(edges).select("src", "dst").distinct()
-    for k in range(1, (top or 0) + 1):
-        below = e.join(done.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.max("duration").alias("below"))
-        here = level.where(F.col("level") == k).join(below, "node_id", "left")
-        done = settled(done.unionByName(here.select("node_id", (F.col("cost") + F.coalesce("below", F.lit(0.0))).alias("duration"))))
-    return done
+def _longest(edges: DataFrame, own: DataFrame, local_edges: int | None) -> DataFrame:
+    """flow() of weighted edges; nodes on or behind cycles have CYCLIC or more.
 
+    What one task solves shows its cycles by itself. Elsewhere nodes on cycles are found first, get the value CYCLIC, and lose their edges out.
+    """
+    bound = LOCAL_EDGES if local_edges is None else local_edges
+    if edges.limit(bound + 1).count() > bound:
+        cyclic = settled(strong_components(edges).select("node_id"))
+        edges = edges.join(cyclic.withColumnRenamed("node_id", "src"), "src", "left_anti").select("src", "dst", "w")
+        own = own.join(cyclic.withColumn("_on", F.lit(True)), "node_id", "left").select("node_id", F.when(F.col("_on"), F.lit(CYCLIC)).otherwise(F.col("value")).alias("value"))
+    return flow(edges, own, local_edges=local_edges)
 
-def kahn_order(nodes: list[tuple[int, str]], edges: list[tuple[int, int]]) -> list[int]:
-    """Dependencies first, the ready node with the smallest name next; nodes on cycles last, by name.
 
-    For the scope of one request, which is held by one task; levels() orders whole graphs.
-    """
-    names = dict(nodes)
-    needs = {n: set() for n in names}
-    users: dict[int, list[int]] = {n: [] for n in names}
-    for a, b in edges:
-        if a in names and b in names and a != b and b not in needs[a]:
-            needs[a].add(b)
-            users[b].append(a)
-    waiting = {n: len(x) for n, x in needs.items()}
-    heap = [(names[n], n) for n, k in waiting.items() if not k]
+def levels(edges: DataFrame, nodes: DataFrame, local_edges: int | None = None) -> DataFrame:
+    """node_id, level: 0 without dependencies, else one more than the highest dependency (edges go from a node to what it depends on);
+    nodes on or behind cycles get the highest level plus one."""
+    ids = settled(nodes.select("node_id").distinct())
+    e = settled(_inside(edges, ids).withColumn("w", F.lit(1.0)))
+    found = settled(_longest(e, ids.withColumn("value", F.lit(0.0)), local_edges))
+    top = found.where(F.col("value") < CYCLIC).agg(F.coalesce(F.max("value") + 1, F.lit(0.0)).alias("_top"))  # one row
+    return found.join(F.broadcast(top)).select("node_id", F.when(F.col("value") < CYCLIC, F.col("value")).otherwise(F.col("_top")).cast("int").alias("level"))
+
+
+def critical_path(edges: DataFrame, costs: DataFrame, local_edges: int | None = None) -> DataFrame:
+    """node_id, duration: its cost and that of the longest chain of dependencies below it; null on or behind a cycle."""
+    own = settled(costs.groupBy("node_id").agg(F.max("cost").cast("double").alias("value")))
+    e = settled(_inside(edges, own).join(own.select(F.col("node_id").alias("src"), F.col("value").alias("w")), "src"))
+    found = _longest(e, own, local_edges)
+    return found.select("node_id", F.when(F.col("value") < CYCLIC / 2, F.col("value")).alias("duration"))
+
+
+def _named_order(ids: np.ndarray, rank: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ids in the order in which they get ready (dst before src), of those ready the smallest rank next; and of those that never
+    are, with the number of edges among themselves at each."""
+    a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    waits = np.bincount(a, minlength=len(ids))
+    users = a[np.argsort(b, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(b, minlength=len(ids)))])
+    heap = [(int(rank[n]), int(n)) for n in np.flatnonzero(waits == 0)]
     heapq.heapify(heap)
-    out = []
+    out = np.empty(len(ids), np.int64)
+    done = 0
     while heap:
-        _, n = heapq.heappop(heap)
-        out.append(n)
-        for u in users[n]:
-            waiting[u] -= 1
-            if not waiting[u]:
-                heapq.heappush(heap, (names[u], u))
-    rest = sorted((n for n in names if n not in set(out)), key=lambda n: (names[n], n))
-    return out + rest
+        n = heapq.heappop(heap)[1]
+        out[done] = n
+        done += 1
+        for u in users[first[n] : first[n + 1]]:
+            waits[u] -= 1
+            if not waits[u]:
+                heapq.heappush(heap, (int(rank[u]), int(u)))
+    left = waits > 0
+    among = left[a] & left[b]
+    busy = np.bincount(a[among], minlength=len(ids)) + np.bincount(b[among], minlength=len(ids))
+    return out[:done], np.where(left, busy, -1)
+
+
+def named_order(scope: DataFrame, edges: DataFrame) -> DataFrame:
+    """position, node_id of scope (node_id, name), dependencies first, of those that are ready the smallest (name, node_id); nodes on or
+    behind cycles last, by their number of edges among themselves, then by name. edges: between different nodes of scope, each once.
+
+    The order is made in each weak component by itself, by one task, in arrays of some 60 bytes an edge. One order over all is their merge, in which the
+    component whose next node is the smallest goes on: whoever follows a node that is greater than it goes on at once, so a node's place is that of the
+    greatest so far in its component, a running maximum, and a sort by ranges does the rest, with the same result at every size.
+    """
+    roots = weak_components(edges)
+    tied = settled(scope.select("node_id", "name").join(roots, "node_id", "left"))
+    inner = settled(edges.join(roots.withColumnRenamed("node_id", "src"), "src").select("root", F.col("src").alias("node_id"), "dst"))
+
+    def order(df: pd.DataFrame) -> pd.DataFrame:
+        own, pairs = df[df["dst"].isna()], df[df["dst"].notna()]
+        own = own.sort_values("node_id")
+        ids = own["node_id"].to_numpy()
+        rank = np.empty(len(ids), np.int64)
+        rank[np.lexsort((ids, own["name"].to_numpy().astype(str)))] = np.arange(len(ids))
+        placed, busy = _named_order(ids, rank, pairs["node_id"].to_numpy(), pairs["dst"].to_numpy().astype(np.int64))
+        last = np.flatnonzero(busy >= 0)
+        names = own["name"].to_numpy()
+        both = np.concatenate([placed, last])
+        return pd.DataFrame({"root": df["root"].iloc[0], "place": np.arange(len(both)), "node_id": ids[both], "name": names[both], "busy": np.concatenate([np.full(len(placed), -1), busy[last]])})
+
+    every = tied.where("root is not null").select("root", "node_id", "name", F.lit(None).cast("long").alias("dst")).unionByName(inner.select("root", "node_id", F.lit(None).cast("string").alias("name"), "dst"))
+    placed = every.groupBy("root").applyInPandas(order, "root long, place long, node_id long, name string, busy long")
+    alone = tied.where("root is null").select(F.col("node_id").alias("root"), F.lit(0).cast("long").alias("place"), "node_id", "name", F.lit(-1).cast("long").alias("busy"))
+    rows = settled(placed.unionByName(alone))
+    sofar = Window.partitionBy("root").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    free = rows.where("busy < 0").withColumn("_by", F.max(F.struct("name", "node_id")).over(sofar))
+    stuck = rows.where("busy >= 0").withColumn("_by", F.struct("name", "node_id"))
+    return numbered(free.unionByName(stuck), ["busy", "_by", "place"], "position").select("position", "node_id")
 
 
 def topological_files(nodes: DataFrame, edges: DataFrame, pages: list[str]) -> DataFrame:
-    """position, node_id of the files that a request for pages needs, dependencies first, of those that are ready the smallest name.
+    """position, node_id of the files that a request for pages needs, in the order of named_order().
 
-    Targets are files whose name or path contains a page; with them come all they depend on, and all that depends on any of
-    these. Files on or behind cycles follow, by their number of edges among themselves, then by name. The order depends on all that came before, so
-    one task makes it: the scope is one request's. Beyond LOCAL_EDGES edges in scope, a checked number, files are ordered by level and name.
+    Targets are files whose name or path contains a page; with them come all they depend on, and all that depends on any of these.
     """
     files = nodes.where(F.col("node_type") == "file").select("node_id", "name", "path")
     wanted = F.lit(False)
     for p in pages:
         wanted = wanted | F.col("name").contains(p) | F.coalesce(F.col("path").contains(p), F.lit(False))
-    ids = files.select("node_id")
-    inside = lambda e, known: e.join(known.withColumnRenamed("node_id", "src"), "src", "left_semi").join(known.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-    e = settled(inside(edges.select("src", "dst"), ids))
-    seeds = files.where(wanted).select(F.lit(0).alias("origin"), "node_id")
-    ahead = reach(e, seeds, outbound=True).select("origin", "node_id").distinct()
-    scope = settled(reach(e, ahead, outbound=False).select("node_id").distinct().join(files, "node_id"))
-    inner = settled(inside(simple_edges(e), scope.select("node_id")))
-    if inner.count() > LOCAL_EDGES:
-        return numbered(scope.join(levels(inner, scope), "node_id"), ["level", "name", "node_id"], "position").select("position", "node_id")
-
-    def order(df: pd.DataFrame) -> pd.DataFrame:
-        own, pairs = df[df["dst"].isna()], df[df["dst"].notna()]
-        names = dict(zip(own["node_id"], own["name"]))
-        needs, users, busy = dict.fromkeys(names, 0), {}, dict.fromkeys(names, 0)
-        for a, b in zip(pairs["node_id"], pairs["dst"].astype("int64")):
-            needs[a] += 1
-            users.setdefault(b, []).append(a)
-        heap = [(names[n], n) for n, k in needs.items() if not k]
-        heapq.heapify(heap)
-        out = []
-        while heap:
-            n = heapq.heappop(heap)[1]
-            out.append(n)
-            for u in users.get(n, ()):
-                needs[u] -= 1
-                if not needs[u]:
-                    heapq.heappush(heap, (names[u], u))
-        left = set(names) - set(out)
-        for b, us in users.items():
-            for a in us:
-                if a in left and b in left:
-                    busy[a] += 1
-                    busy[b] += 1
-        out += sorted(left, key=lambda n: (busy[n], names[n], n))
-        return pd.DataFrame({"position": range(len(out)), "node_id": out}, dtype="int64")
-
-    every = scope.select(F.lit(1).alias("g"), "node_id", "name", F.lit(None).cast("long").alias("dst")).unionByName(inner.select(F.lit(1).alias("g"), F.col("src").alias("node_id"), F.lit(None).cast("string").alias("name"), "dst"))
-    return every.groupBy("g").applyInPandas(order, "position long, node_id long")
+    e = settled(_inside(edges, files))
+    ahead = reached(e, files.where(wanted).select("node_id"), outbound=True)
+    scope = settled(reached(e, ahead, outbound=False).join(files.select("node_id", "name"), "node_id"))
+    return named_order(scope, settled(_inside(e, scope)))
 
 
 def suggestions(steps: DataFrame, bottleneck: DataFrame) -> DataFrame:
@@ -418,12 +457,12 @@ def signal_path(nodes: DataFrame, edges: DataFrame, node_id: int) -> DataFrame:
     numbered by ranges: the rows of the ranges before, summed up, and the place in its own range, so no task holds the scope.
     """
     spark = edges.sparkSession
-    seed = spark.createDataFrame([(node_id, node_id)], "origin long, node_id long")
-    up = reach(edges, seed, outbound=True).select("node_id", F.when(F.col("depth") == 0, "focal").otherwise("upstream").alias("side"), F.lit(0).alias("_r"))
-    down = reach(edges, seed, outbound=False).where("depth > 0").select("node_id", F.lit("downstream").alias("side"), F.lit(1).alias("_r"))
+    seed = spark.createDataFrame([(node_id,)], "node_id long")
+    e = settled(simple_edges(edges).select("src", "dst").distinct())
+    up = reached(e, seed, outbound=True).select("node_id", F.when(F.col("node_id") == node_id, "focal").otherwise("upstream").alias("side"), F.lit(0).alias("_r"))
+    down = reached(e, seed, outbound=False).select("node_id", F.lit("downstream").alias("side"), F.lit(1).alias("_r"))
     scope = settled(up.unionByName(down).groupBy("node_id").agg(F.min_by("side", "_r").alias("side")).join(nodes.select("node_id", "name"), "node_id"))
-    inner = edges.join(scope.select(F.col("node_id").alias("src")), "src", "left_semi").join(scope.select(F.col("node_id").alias("dst")), "dst", "left_semi")
-    return numbered(scope.join(levels(inner, scope), "node_id"), ["level", "name", "node_id"], "position").select("position", "node_id", "side")
+    return numbered(scope.join(levels(e, scope), "node_id"), ["level", "name", "node_id"], "position").select("position", "node_id", "side")
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:

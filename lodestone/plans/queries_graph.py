@@ -88,6 +88,15 @@ def g11_impact_radius(t):
 RING = "WITH RECURSIVE c AS (SELECT src AS a, dst AS b FROM {ring} WHERE src <> dst UNION SELECT c.a, e.dst FROM c JOIN {ring} e ON e.src = c.b), s AS (SELECT x.a AS node_id, least(x.a, min(x.b)) AS scc FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"
 
 
+@query(f"""SELECT n.node_id, coalesce(i.impact, 0) AS exact, CASE WHEN coalesce(i.impact, 0) <= 512 THEN coalesce(i.impact, 0) END AS small, true AS close FROM {{nodes}} n LEFT JOIN
+ (SELECT node_id, count(*) AS impact FROM (SELECT DISTINCT o.node AS node_id, o.origin FROM (WITH RECURSIVE r AS (SELECT node_id AS origin, node_id AS node FROM {{nodes}} UNION SELECT r.origin, e.dst FROM r JOIN {{edges}} e ON e.src = r.node AND e.src <> e.dst) SELECT * FROM r) o WHERE o.node <> o.origin) GROUP BY node_id) i ON i.node_id = n.node_id""")
+def g11_impact_estimate(t):
+    exact = G.impact(t.edges, t.nodes).withColumnRenamed("impact", "exact")
+    both = exact.join(G.impact_estimate(t.edges, t.nodes), "node_id")
+    near = F.abs(F.col("impact") - F.col("exact")) <= 0.2 * F.col("exact")
+    return both.select("node_id", "exact", F.when(F.col("exact") <= 512, F.col("impact")).alias("small"), near.alias("close"))
+
+
 @query(RING + " SELECT node_id, scc, count(*) OVER (PARTITION BY scc) AS size FROM s")
 def g12_strong_components(t):
     return G.strong_components(t.ring)

@@ -86,9 +86,119 @@ def test_find_paths(spark):
     assert [r.path for r in G.find_paths(e, 1, 4).collect()] == [[1, 2, 4], [1, 3, 4], [1, 2, 3, 4]]
 
 
-def test_kahn_order_takes_names():
-    assert G.kahn_order([(1, "z"), (2, "b"), (3, "a"), (4, "c")], [(3, 1)]) == [2, 4, 1, 3]
-    assert G.kahn_order([(1, "x"), (2, "y")], [(1, 2), (2, 1)]) == [1, 2]
+def kahn(names, pairs):
+    """Dependencies first, the ready node of the smallest name next; the rest by edges among themselves, then by name."""
+    pairs = {(a, b) for a, b in pairs if a != b}
+    out, left = [], set(names)
+    while ready := sorted((names[n], n) for n in left if not any(a == n and b in left for a, b in pairs)):
+        out.append(ready[0][1])
+        left.discard(ready[0][1])
+    busy = {n: sum(a in left and b in left and n in (a, b) for a, b in pairs) for n in left}
+    return out + sorted(left, key=lambda n: (busy[n], names[n], n))
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_named_order_merges_components(spark, seed):
+    rng = random.Random(seed)
+    names = {i: rng.choice("abcdefgh") + str(rng.randrange(30)) for i in range(60)}
+    pairs = [(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(35)) if seed == 3 or a > b]
+    scope = spark.createDataFrame(list(names.items()), "node_id long, name string")
+    e = edges(spark, sorted({p for p in pairs if p[0] != p[1]}))
+    assert [r.node_id for r in G.named_order(scope, e).orderBy("position").collect()] == kahn(names, pairs)
+
+
+def longest(pairs, cost, weight):
+    pairs = {p for p in pairs if p[0] != p[1]}
+    value = {}
+
+    def of(n, path=()):
+        if n in path:
+            return None
+        if n not in value or value[n] is None:
+            below = [of(d, (*path, n)) for s, d in pairs if s == n]
+            value[n] = None if None in below else max([cost(n)] + [weight(n) + x for x in below])
+        return value[n]
+
+    for n in {x for p in pairs for x in p}:
+        of(n)
+    return value
+
+
+@pytest.mark.parametrize(("shape", "local"), [("dag", 10**6), ("cyclic", 10**6), ("dag", 8), ("cyclic", 4), ("ladder", 0)])
+def test_levels_and_critical_paths_by_elimination(spark, local, shape):
+    rng = random.Random(9)
+    if shape == "ladder":
+        pairs = [(i + k, i + 2 + j) for i in range(0, 24, 2) for k in (0, 1) for j in (0, 1)]
+    else:
+        pairs = [(a, b) if shape == "cyclic" or a > b else (b, a) for a, b in ((rng.randrange(50), rng.randrange(50)) for _ in range(40 if shape == "cyclic" else 90))]
+    nodes = {x for p in pairs for x in p} | {99}
+    e, ids = edges(spark, pairs + pairs[:3]), spark.createDataFrame([(n, float(n % 7)) for n in sorted(nodes)], "node_id long, cost double")
+    level = {**longest(pairs, lambda n: 0, lambda n: 1), 99: 0}
+    top = max((x for x in level.values() if x is not None), default=-1) + 1
+    assert {r.node_id: r.level for r in G.levels(e, ids, local).collect()} == {n: top if level[n] is None else level[n] for n in nodes}
+    cost = {**longest(pairs, lambda n: n % 7, lambda n: n % 7), 99: 1}
+    assert {r.node_id: r.duration for r in G.critical_path(e, ids, local).collect()} == {n: cost[n] for n in nodes}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from lodestone.operators import flow
+
+    turns = []
+    chosen = flow._chosen
+    monkeypatch.setattr(flow, "_chosen", lambda e, turn: (turns.append(turn), chosen(e, turn))[1])
+    names = list(range(5000))
+    random.Random(2).shuffle(names)
+    e = edges(spark, list(zip(names, names[1:])))
+    got = {r.node_id: r.level for r in G.levels(e, spark.range(5000).toDF("node_id"), 20).collect()}
+    assert got == {n: 4999 - i for i, n in enumerate(names)} and len(turns) < 25
+
+
+@pytest.mark.parametrize("local", [10**6, 4])
+def test_reached_without_depths(spark, local):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(55)]
+    seeds = [0, 1, 77]
+    for outbound in (True, False):
+        expected = closure([p if outbound else p[::-1] for p in pairs])
+        got = {r.node_id for r in G.reached(edges(spark, pairs), spark.createDataFrame([(s,) for s in seeds], "node_id long"), outbound, local).collect()}
+        assert got == set(seeds).union(*(expected.get(s, set()) for s in seeds))
+
+
+def test_impact_by_sketches(spark):
+    rng = random.Random(6)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(1000 + i, 5) for i in range(3000)] + [(5, 2000 + i) for i in range(0, 4)]
+    nodes = spark.createDataFrame([(n,) for n in sorted({x for p in pairs for x in p})], "node_id long")
+    into = closure([p[::-1] for p in pairs])
+    got = {r.node_id: r.impact for r in G.impact_estimate(edges(spark, pairs), nodes).collect()}
+    exact = {n: len(s - {n}) for n, s in into.items()}
+    assert {n: x for n, x in got.items() if exact[n] < 512} == {n: x for n, x in exact.items() if x < 512}
+    assert max(abs(got[n] / x - 1) for n, x in exact.items() if x >= 512) < 0.15
+
+
+def test_paths_of_dense_layers(spark):
+    """Ten to the ninth paths and more: the first thousand come by themselves."""
+    layer = lambda k: [0] if k == 0 else [10_000] if k == 10 else [100 * k + i for i in range(10)]
+    pairs = [(a, b) for k in range(10) for a in layer(k) for b in layer(k + 1)]
+    got = [r.path for r in G.find_paths(edges(spark, pairs), 0, 10_000).collect()]
+    assert len(got) == 1000 and got == sorted(got) and got[0] == [0, *(100 * k for k in range(1, 10)), 10_000] and got[999][-4:-1] == [709, 809, 909]
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_paths_against_brute_force(spark, most):
+    rng = random.Random(5)
+    pairs = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(30)})
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    found, todo = [], [[0]]
+    while todo:
+        p = todo.pop()
+        if p[-1] == 8:
+            found.append(p)
+        elif len(p) <= 6:
+            todo += [[*p, n] for n in out.get(p[-1], ()) if n not in p]
+    expected = sorted(found, key=lambda p: (len(p), p))[:most]
+    assert [r.path for r in G.find_paths(edges(spark, pairs), 0, 8, 6, most).collect()] == expected
 
 
 def test_weak_components_of_a_long_chain(spark):
