@@ -1,16 +1,20 @@
 """Upserts, deletes and state changes as snapshot rewrites.
 
-A table is a DataFrame; a change returns the new snapshot. publish() writes snapshots of several tables and then switches a
-pointer file, so that a cascade over tables becomes visible at once.
+A table is a DataFrame; a change returns the new snapshot. publish() writes snapshots of several tables to fresh folders and then a
+pointer file that names them, so that a cascade over tables becomes visible at once. A table in buckets is changed by change(), which writes only the buckets
+that the change touches; the pointer names a folder for each bucket.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestone.functions import scalars
 
@@ -88,17 +92,91 @@ def archive_flagged(files: DataFrame, today: Column, grace_days: int = 7) -> Dat
     return files.withColumn("expires", F.when(F.col("lifecycle") == "flagged", F.date_add(today, grace_days))).transform(lambda d: update(d, F.col("lifecycle") == "flagged", lifecycle="archived"))
 
 
-def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], version: int) -> None:
-    """Writes all tables under a version and then points at it: readers see all of the change or none."""
+def _pointers(spark: SparkSession, root: str) -> list[dict]:
+    """Pointers of all published versions, a row a version, oldest first; none where nothing is published."""
+    try:
+        rows = spark.read.text(f"{root}/_pointer_*").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted((json.loads(r["value"]) for r in rows), key=lambda p: p["version"])
+
+
+def _point(spark: SparkSession, root: str, version: int, tables: Mapping[str, object]) -> None:
+    spark.createDataFrame([(json.dumps({"version": version, "tables": dict(tables)}, sort_keys=True),)], "value string").coalesce(1).write.text(f"{root}/_pointer_{version:08d}")
+
+
+def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], version: int) -> bool:
+    """Writes all tables to fresh folders and then points at them: readers see all of the change or none, and what they read is never written again.
+
+    A version that is published already is left as it is, so a batch that runs again after a stop does no harm. Returns whether it was written.
+    Tables of the version before that are not named stay.
+    """
+    old = _pointers(spark, root)
+    if any(p["version"] == version for p in old):
+        return False
+    folder = f"v{version}-{uuid.uuid4().hex[:12]}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/v{version}/{name}")
-    spark.createDataFrame([(json.dumps({"version": version, "tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_pointer_{version:08d}")
+        df.write.parquet(f"{root}/{folder}/{name}")
+    _point(spark, root, version, {**(old[-1]["tables"] if old else {}), **{n: f"{folder}/{n}" for n in tables}})
+    return True
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table of the newest published version."""
-    pointers = spark.read.text(f"{root}/_pointer_*").select(F.get_json_object("value", "$.version").cast("int").alias("v"))
-    return spark.read.parquet(f"{root}/v{pointers.agg(F.max('v')).first()[0]}/{name}")
+    where = _pointers(spark, root)[-1]["tables"][name]
+    if isinstance(where, str):
+        return spark.read.parquet(f"{root}/{where}")
+    return _buckets(spark, root, where, range(where["n"]))
+
+
+def _bucket_of(keys: Sequence[str], n: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+
+
+def _buckets(spark: SparkSession, root: str, where: Mapping, which) -> DataFrame:
+    """The rows of some buckets of a table."""
+    kind = StructType.fromJson(where["schema"])
+    folders = [f"{root}/{where['at'][str(b)]}" for b in which if str(b) in where["at"]]
+    return spark.read.schema(kind).parquet(*folders) if folders else spark.createDataFrame([], kind)
+
+
+def publish_bucketed(spark: SparkSession, root: str, name: str, df: DataFrame, keys: Sequence[str], version: int, n: int = 64) -> bool:
+    """publish() of one table in n buckets by the hash of its keys, each a folder of its own, so that change() can rewrite some of them."""
+    old = _pointers(spark, root)
+    if any(p["version"] == version for p in old):
+        return False
+    where = {"n": n, "keys": list(keys), "schema": json.loads(df.schema.json()), "at": _write_buckets(root, df, keys, n, version, name)}
+    _point(spark, root, version, {**(old[-1]["tables"] if old else {}), name: where})
+    return True
+
+
+def _write_buckets(root: str, df: DataFrame, keys: Sequence[str], n: int, version: int, name: str) -> dict[str, str]:
+    """bucket -> folder of the buckets that df has rows in."""
+    folder = f"v{version}-{uuid.uuid4().hex[:12]}/{name}"
+    df.withColumn("_bucket", _bucket_of(keys, n)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{root}/{folder}")
+    kind = StructType([*df.schema.fields, StructField("_bucket", IntegerType())])
+    had = df.sparkSession.read.schema(kind).parquet(f"{root}/{folder}").select("_bucket").distinct().collect()  # n rows at most
+    return {str(r[0]): f"{folder}/_bucket={r[0]}" for r in had}
+
+
+def change(spark: SparkSession, root: str, name: str, rows: DataFrame, version: int, apply: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> bool:
+    """Applies rows to a bucketed table and publishes it: only the buckets of their keys are read and written, all others stay where they are.
+
+    apply: what to make of the old rows of those buckets and the new ones, whose keys are the table's; an upsert if not given.
+    """
+    old = _pointers(spark, root)
+    if any(p["version"] == version for p in old):
+        return False
+    where = old[-1]["tables"][name]
+    keys, n = where["keys"], where["n"]
+    touched = [r[0] for r in rows.select(_bucket_of(keys, n)).distinct().collect()]  # n rows at most
+    before = _buckets(spark, root, where, touched)
+    after = upsert(before, rows, keys) if apply is None else apply(before, rows)
+    at = {b: f for b, f in where["at"].items() if int(b) not in touched}
+    _point(spark, root, version, {**old[-1]["tables"], name: {**where, "at": {**at, **_write_buckets(root, after, keys, n, version, name)}}})
+    return True
 
 
 def clear(df: DataFrame) -> DataFrame:

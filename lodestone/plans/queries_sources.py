@@ -315,14 +315,26 @@ def t01_event_stream(t):
 SELECT count(DISTINCT burst) AS bursts, count(DISTINCT (burst, kind)) AS kinds FROM b""")
 def t02_flushes(t):
     changes = t.mutations.select(F.lit("all").alias("path"), F.lower("kind").alias("type"), F.col("ts").cast("timestamp").alias("ts"))
-    return C.flushes(changes, "600 seconds").agg(F.count("*").alias("bursts"), F.sum(F.size("changes")).cast("long").alias("kinds"))
+    return C.flushes(changes, "600 seconds").agg(F.count_distinct("start").alias("bursts"), F.count("*").alias("kinds"))
 
 
-@query("SELECT 'u1' AS path, 'UPDATE' AS kind WHERE false")
+@query("SELECT fingerprint AS path, CASE WHEN CAST(substr(fingerprint, 2) AS BIGINT) % 3 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS kind FROM (SELECT DISTINCT fingerprint FROM {mutations}) WHERE CAST(substr(fingerprint, 2) AS BIGINT) % 3 < 2")
+def t04_changed_only(t):
+    known = t.mutations.select(F.col("fingerprint").alias("path"), F.lit("same").alias("sha")).distinct()
+    third = F.substring("fingerprint", 2, 20).cast("long") % 3
+    batch = t.mutations.select(F.col("fingerprint").alias("path"), F.when(third == 0, "unlink").otherwise("change").alias("type"), F.col("ts").cast("timestamp").alias("ts"), F.when(third == 1, "other").otherwise("same").alias("sha"))
+    return C.if_changed(C.apply_batch(known, batch)[1], lambda made: made)
+
+
+@query("SELECT fingerprint AS path, 'UPDATE' AS kind FROM {mutations} WHERE false")
 def t04_nothing_changed(t):
     known = t.mutations.select(F.col("fingerprint").alias("path"), F.lit("same").alias("sha")).distinct()
     batch = t.mutations.select(F.col("fingerprint").alias("path"), F.lit("change").alias("type"), F.col("ts").cast("timestamp").alias("ts"), F.lit("same").alias("sha"))
-    return C.apply_batch(known, batch)[1]
+
+    def never(made):
+        raise RuntimeError("nothing changed")
+
+    return C.if_changed(C.apply_batch(known, batch)[1], never)
 
 
 @query("SELECT 'late,early,failed,last' AS ran, 3 AS ok, 1 AS fail, 'ValueError: no' AS errors")

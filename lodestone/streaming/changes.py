@@ -30,7 +30,8 @@ def debounce(changes: DataFrame, gap: str = "500 milliseconds", late: str = "10
 
 
 def flushes(changes: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
-    """start, end, changes (array of path and type): what one timer over all paths, reset by each event, would flush.
+    """start, end, path, type: what one timer over all paths, reset by each event, would flush, a row for each (path, type) of a burst. For tables;
+    state.bursts() does the same for streams.
 
     Events are reduced to sessions of a path before. Sessions are dealt out by ranges of their start; the latest end of all ranges
     before, a row a range, tells whether a range's first session goes on with a burst. So no task holds all sessions.
@@ -45,7 +46,8 @@ def flushes(changes: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
     marked = settled(marked.withColumn("_nth", F.sum("_fresh").over(earlier.rowsBetween(Window.unboundedPreceding, 0))))
     bursts = marked.groupBy("_range").agg(F.sum("_fresh").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_first"))
     named = marked.join(F.broadcast(bursts), "_range").withColumn("_burst", F.col("_first") + F.col("_nth"))
-    return named.groupBy("_burst").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set(F.struct("path", "type"))).alias("changes")).drop("_burst")
+    spans = named.groupBy("_burst").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return named.select("_burst", "path", "type").distinct().join(spans, "_burst").select("start", "end", "path", "type")
 
 
 def session_counts(sessions: DataFrame) -> DataFrame:
@@ -78,8 +80,18 @@ def apply_batch(registry: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataF
     return new, both.where("kind is not null").select("path", "kind")
 
 
+def if_changed(mutations: DataFrame, after: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What after makes of a batch's mutations; where there are none it is not run, and they are returned as they are."""
+    made = settled(mutations)
+    return made if made.isEmpty() else after(made)
+
+
 def run_batches(changes: DataFrame, root: str, on_mutations: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
-    """A stream that applies each micro-batch to the published registry, atomically, and hands on its mutations."""
+    """A stream that applies each micro-batch to the published registry, atomically, and hands on its mutations.
+
+    A micro-batch that runs again after a stop finds its version published, and only hands on. The whole registry is joined; state.mutations() keeps it
+    as keyed state instead.
+    """
 
     def apply(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
