@@ -139,3 +139,20 @@ def sealed(text: Column, key: Column) -> Column:
 def opened(text: Column, key: Column) -> Column:
     """What sealed() hid; null with another key."""
     return F.try_aes_decrypt(F.unbase64(text), key, F.lit("GCM")).cast("string")
+
+
+#: What a score is said to mean, from a bound on (fragility: up to a bound).
+MEANINGS = {
+    "reachability": ((0.95, "Excellent — nearly all dependencies resolved"), (0.8, "Good — most dependencies resolved"), (0.5, "Moderate — significant gaps remain"), (None, "Poor — majority of dependencies unresolved")),
+    "stability": ((0.8, "High confidence in integration success"), (0.5, "Moderate confidence — some uncertainty"), (None, "Low confidence — integration may be unreliable")),
+    "fragility": ((0.05, "Minimal post-integration breakage risk"), (0.15, "Low risk — minor issues possible"), (0.3, "Moderate risk — careful testing required"), (None, "High risk — significant breakage likely")),
+}
+
+
+def meaning(score: str, value: Column) -> Column:
+    """What a value of a score (a key of MEANINGS) is said to mean; null for null."""
+    *bounds, (_, last) = MEANINGS[score]
+    out = F.when(value.isNull(), None)
+    for bound, text in bounds:
+        out = out.when(value <= bound if score == "fragility" else value >= bound, text)
+    return out.otherwise(last)

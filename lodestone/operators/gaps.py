@@ -13,9 +13,11 @@ def _real_purpose():
 
 
 def phases(cards: DataFrame) -> DataFrame:
-    """phase, n, can_progress (files in development that are not RED)."""
-    ready = (F.col("lifecyclePhase") == "DEVELOPMENT")
-    return cards.groupBy(F.coalesce("lifecyclePhase", F.lit("UNKNOWN")).alias("phase")).agg(F.count("*").alias("n"), F.count_if(ready).alias("can_progress"))
+    """phase, n, can_progress: files with an intent (a purpose or a value statement that is not empty) that are not in PRODUCTION."""
+    phase = F.coalesce(F.nullif("lifecyclePhase", F.lit("")), F.lit("UNKNOWN"))
+    said = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    ready = (said("intent.purpose") | said("intent.valueStatement")) & (phase != "PRODUCTION")
+    return cards.groupBy(phase.alias("phase")).agg(F.count("*").alias("n"), F.count_if(ready).alias("can_progress"))
 
 
 def statuses(cards: DataFrame) -> DataFrame:

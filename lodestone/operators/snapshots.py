@@ -66,6 +66,19 @@ def retention(log: DataFrame, cutoff: Column, kinds: Sequence[str] = KEEP_FOREVE
     return log.where(F.col("kind").isin(*kinds) | (F.col("ts") >= cutoff))
 
 
+def purge_development(files: DataFrame, log: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files with those of wanted (fingerprint) in PRODUCTION, and log (fingerprint, kind, changed, actor) without their mutations other than PRODUCTION and
+    PURGE, but with a PURGE mutation of each, that says how many went."""
+    keys = wanted.select("fingerprint").distinct().withColumn("_wanted", F.lit(True))
+    marked = log.join(keys, "fingerprint", "left").withColumn("_gone", F.coalesce(F.col("_wanted") & ~F.col("kind").isin("PRODUCTION", "PURGE"), F.lit(False)))
+    counts = keys.join(marked.where("_gone").groupBy("fingerprint").agg(F.count("*").alias("n")), "fingerprint", "left")
+    values = {"fingerprint": F.col("fingerprint"), "kind": F.lit("PURGE"), "changed": F.to_json(F.struct(F.coalesce("n", F.lit(0)).alias("purgedMutations"))), "actor": F.lit("INDEXER")}
+    types = {f.name: f.dataType for f in log.schema}
+    new = counts.select(*(values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in log.columns))
+    hit = files.join(keys, "fingerprint", "left")
+    return hit.withColumn("phase", F.when(F.col("_wanted"), "PRODUCTION").otherwise(F.col("phase"))).select(*files.columns), marked.where("not _gone").select(*log.columns).unionByName(new)
+
+
 def claim(tickets: DataFrame, providers: DataFrame, claims: DataFrame) -> DataFrame:
     """Tickets with claims (id, claimant) applied: only open, unclaimed ones, by an active provider."""
     active = providers.where("active").select(F.col("name").alias("claimant"))

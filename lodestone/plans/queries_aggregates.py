@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import aggregates as A
+from lodestone.operators import gaps
 from lodestone.registry import query
 
 
@@ -43,10 +44,11 @@ def a07_slot_counters(t):
     return t.insights.groupBy("file_id").agg(F.count("*").alias("total"), F.max("pass_number").alias("last_pass"), F.max_by("id", F.struct("ts", "id")).alias("last_id"))
 
 
-@query("SELECT coalesce(phase, 'UNKNOWN') AS phase, count(*) AS n, sum(CASE WHEN phase = 'DEVELOPMENT' AND status = 'GREEN' THEN 1 ELSE 0 END)::BIGINT AS can_progress FROM {registry} GROUP BY 1")
+@query("SELECT CASE r.doc_id % 9 WHEN 8 THEN 'UNKNOWN' ELSE phase END AS phase, count(*) AS n, count(CASE WHEN (i.purpose <> '' OR i.worth <> '') AND (r.doc_id % 9 = 8 OR phase <> 'PRODUCTION') THEN 1 END) AS can_progress FROM {registry} r LEFT JOIN {intents} i ON i.fingerprint = r.fingerprint GROUP BY 1")
 def a08_phase_distribution(t):
-    ready = (F.col("phase") == "DEVELOPMENT") & (F.col("status") == "GREEN")
-    return t.registry.groupBy(F.coalesce("phase", F.lit("UNKNOWN")).alias("phase")).agg(F.count("*").alias("n"), F.count_if(ready).alias("can_progress"))
+    phase = F.when(F.col("doc_id") % 9 == 8, F.when(F.col("doc_id") % 2 == 0, "")).otherwise(F.col("phase"))
+    cards = t.registry.join(t.intents, "fingerprint", "left").select(phase.alias("lifecyclePhase"), F.struct("purpose", F.col("worth").alias("valueStatement")).alias("intent"))
+    return gaps.phases(cards)
 
 
 @query("SELECT status, count(*) AS n, sum(CASE WHEN status = 'RED' AND impact = 0 THEN 1 ELSE 0 END)::BIGINT AS isolated, sum(CASE WHEN status = 'RED' AND quality IS NULL THEN 1 ELSE 0 END)::BIGINT AS unlabelled, sum(CASE WHEN status = 'GREEN' AND reach < 0.3 THEN 1 ELSE 0 END)::BIGINT AS low_reach FROM {registry} GROUP BY status")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
+from lodestone.operators import migration as I
 from lodestone.operators import relations as R
 from lodestone.plans.queries_aggregates import HEALTH
 from lodestone.registry import query
@@ -198,10 +199,25 @@ def g30_outcome(t):
     return t.registry.select("doc_id", o.alias("outcome"))
 
 
-@query("SELECT edge_id, CASE WHEN status IS NULL THEN 'NEEDS_REWRITE' ELSE status END AS kind, CASE coalesce(status, 'NEEDS_REWRITE') WHEN 'SAFE' THEN 1.0 WHEN 'NEEDS_REWRITE' THEN 0.7 WHEN 'CONFLICT' THEN 0.3 ELSE 0.0 END::DOUBLE AS confidence FROM {edges}")
+@query("""WITH m AS (SELECT c.source_id, c.specifier, b.doc_id IS NOT NULL AS found, a.doc_id % 7 AS k, a.dir = b.dir AS exact FROM {connections} c JOIN {registry} a ON a.doc_id = c.source_id LEFT JOIN {registry} b ON b.doc_id = c.target_id),
+ k AS (SELECT *, CASE WHEN NOT found THEN 'MISSING' WHEN k IN (0, 2, 4) THEN 'CONFLICT' WHEN exact THEN 'SAFE' ELSE 'NEEDS_REWRITE' END AS kind FROM m)
+SELECT source_id, specifier, kind, CASE kind WHEN 'SAFE' THEN 1.0 WHEN 'NEEDS_REWRITE' THEN 0.7 WHEN 'CONFLICT' THEN 0.3 ELSE 0.0 END::DOUBLE AS confidence FROM k""")
 def g31_classify_dependency(t):
-    kind = F.coalesce("status", F.lit("NEEDS_REWRITE"))
-    return t.edges.select("edge_id", kind.alias("kind"), F.when(kind == "SAFE", 1.0).when(kind == "NEEDS_REWRITE", 0.7).when(kind == "CONFLICT", 0.3).otherwise(0.0).alias("confidence"))
+    # by k: other signatures; same; no common signature, other result; nothing in common; as many parameters or not; empty texts
+    own = ({"signature": "f()", "paramCount": "1"}, {"signature": "f()", "returnType": "a"}, {"signature": "", "returnType": "a", "paramCount": "1"}, {"signature": "f()"}, {"paramCount": "1"}, {"paramCount": "2", "returnType": ""}, {})
+    other = ({"signature": "g()", "paramCount": "1"}, {"signature": "f()", "returnType": "b"}, {"signature": "x", "returnType": "b", "paramCount": "1"}, {"returnType": "a"}, {"paramCount": "2"}, {"paramCount": "2", "returnType": "b"}, {"signature": "f()"})
+
+    def meta(maps):
+        out = F.lit(None).cast("map<string,string>")
+        for i, m in enumerate(maps):
+            out = F.when(F.col("k") == i, F.create_map(*(F.lit(x) for kv in m.items() for x in kv)).cast("map<string,string>")).otherwise(out)
+        return out
+
+    a = t.registry.select(F.col("doc_id").alias("source_id"), F.col("dir").alias("_a"), (F.col("doc_id") % 7).alias("k"))
+    b = t.registry.select(F.col("doc_id").alias("target_id"), F.col("dir").alias("_b"))
+    both = t.connections.join(a, "source_id").join(b, "target_id", "left")
+    found = I.classified(F.col("_b").isNotNull(), F.col("_a") == F.col("_b"), meta(own), meta(other))
+    return both.select("source_id", "specifier", found.alias("x")).select("source_id", "specifier", "x.kind", "x.confidence")
 
 
 @query(SCOPE + ", d AS (SELECT CAST(9 AS BIGINT) AS node_id UNION SELECT e.src FROM d JOIN {edges} e ON e.dst = d.node_id) SELECT (SELECT count(*) - 1 FROM u) AS upstream, (SELECT count(*) - 1 FROM d) AS downstream")

@@ -70,10 +70,16 @@ def m10_append_log(t):
     return t.mutations.select("kind").unionByName(concept).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT id FROM {mutations} WHERE kind IN ('PURCHASE') UNION ALL SELECT -doc_id - 1 FROM {registry} WHERE phase = 'DEVELOPMENT'")
+@query("""WITH l AS (SELECT fingerprint, CASE kind WHEN 'PURCHASE' THEN 'PRODUCTION' WHEN 'ERROR' THEN 'PURGE' ELSE kind END AS kind, CAST(substr(fingerprint, 2) AS BIGINT) % 3 = 0 AS wanted FROM {mutations})
+SELECT fingerprint, kind, CAST(NULL AS STRING) AS changed, 'DEVELOPMENT' AS phase, count(*) AS n FROM l WHERE NOT wanted GROUP BY ALL
+UNION ALL SELECT fingerprint, kind, NULL, 'PRODUCTION', count(*) FROM l WHERE wanted AND kind IN ('PRODUCTION', 'PURGE') GROUP BY ALL
+UNION ALL SELECT fingerprint, 'PURGE', '{{"purgedMutations":' || CAST(count(CASE WHEN kind NOT IN ('PRODUCTION', 'PURGE') THEN 1 END) AS STRING) || '}}', 'PRODUCTION', 1 FROM l WHERE wanted GROUP BY fingerprint""")
 def m12_purge_development(t):
-    kept = t.mutations.where("kind in ('PURCHASE')").select("id")
-    return kept.unionByName(t.registry.where("phase = 'DEVELOPMENT'").select((-F.col("doc_id") - 1).alias("id")))
+    kind = F.when(F.col("kind") == "PURCHASE", "PRODUCTION").when(F.col("kind") == "ERROR", "PURGE").otherwise(F.col("kind"))
+    log = t.mutations.select("fingerprint", kind.alias("kind"), F.lit(None).cast("string").alias("changed"), "actor")
+    files = t.mutations.select("fingerprint", F.lit("DEVELOPMENT").alias("phase")).distinct()
+    after, kept = M.purge_development(files, log, files.where(F.substring("fingerprint", 2, 20).cast("long") % 3 == 0))
+    return kept.join(after, "fingerprint").groupBy("fingerprint", "kind", "changed", "phase").agg(F.count("*").alias("n"))
 
 
 @query("SELECT id FROM {mutations} WHERE kind IN ('SIGNUP', 'ERROR') OR ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM {mutations})")

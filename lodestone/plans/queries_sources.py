@@ -451,11 +451,15 @@ def k09_migration_report(t):
     return K.migration_lines(t.spark.createDataFrame([("PARTIAL", 0.75)], "outcome string, reachability double"), steps, t.registry.select(F.col("doc_id").alias("id"), F.col("status").alias("conflict")))
 
 
-@query("SELECT 'nodes' AS kind, count(*) AS n FROM {nodes} UNION ALL SELECT 'edges', count(*) FROM {edges}")
+@query("SELECT node_id AS id, node_type AS kind, name, path, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst FROM {nodes} WHERE graph_id = 'g2' UNION ALL SELECT edge_id, edge_type, status, NULL, src, dst FROM {edges} WHERE graph_id = 'g2'")
 def k14_saved_graph(t):
     root = _folder(t)
     M.publish(t.spark, root, {"nodes": t.nodes, "edges": t.edges}, 1)
-    return M.current(t.spark, root, "nodes").select(F.lit("nodes").alias("kind")).unionByName(M.current(t.spark, root, "edges").select(F.lit("edges").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    nodes, edges = (M.current(t.spark, root, n).where("graph_id = 'g2'") for n in ("nodes", "edges"))
+    none = F.lit(None).cast("long")
+    return nodes.select(F.col("node_id").alias("id"), F.col("node_type").alias("kind"), "name", "path", none.alias("src"), none.alias("dst")).unionByName(
+        edges.select(F.col("edge_id").alias("id"), F.col("edge_type").alias("kind"), F.col("status").alias("name"), F.lit(None).cast("string").alias("path"), "src", "dst")
+    )
 
 
 @query("SELECT node_type, name FROM (SELECT DISTINCT dir, 'command' AS node_type, phase AS name FROM {registry} UNION ALL SELECT dir, 'store', filename FROM {registry})")

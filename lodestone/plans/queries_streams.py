@@ -32,16 +32,20 @@ def t05_topics(t):
     return C.topics(t.mutations.select(F.col("fingerprint").alias("path"), "kind")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query("SELECT r.fingerprint, (SELECT count(*) FROM {connections} c WHERE c.source = r.fingerprint) AS imports, coalesce(n.k, 0) AS imported_by FROM {registry} r LEFT JOIN (SELECT target, count(DISTINCT source) AS k FROM {connections} GROUP BY target) n ON n.target = r.fingerprint")
+@query("""WITH o AS (SELECT c.source, string_agg(c.specifier || '>' || coalesce(r.filepath, '?'), ',' ORDER BY c.specifier, r.filepath NULLS FIRST) AS imports FROM {connections} c LEFT JOIN {registry} r ON r.fingerprint = c.target GROUP BY c.source),
+ i AS (SELECT c.target, array_to_string(list_sort(list_distinct(list(coalesce(r.filepath, c.source)))), ',') AS importers FROM {connections} c LEFT JOIN {registry} r ON r.fingerprint = c.source GROUP BY c.target)
+SELECT r.fingerprint, r.filepath, r.status, coalesce(o.imports, '') AS imports, coalesce(i.importers, '') AS imported_by FROM {registry} r LEFT JOIN o ON o.source = r.fingerprint LEFT JOIN i ON i.target = r.fingerprint""")
 def k02_manifest(t):
     doc = sinks.manifest(t.registry.select("fingerprint", "filepath", "status"), t.connections)
-    size = lambda p: F.size(F.from_json(F.get_json_object("json", p), "array<string>")).cast("long")
-    return doc.select("fingerprint", size("$.imports").alias("imports"), size("$.importedBy").alias("imported_by"))
+    kind = "filepath string, status string, imports array<struct<specifier:string,target_path:string>>, importedBy array<string>"
+    x = F.from_json("json", kind)
+    imports = F.array_join(F.transform(x["imports"], lambda i: F.concat(i["specifier"], F.lit(">"), F.coalesce(i["target_path"], F.lit("?")))), ",")
+    return doc.select("fingerprint", x["filepath"].alias("filepath"), x["status"].alias("status"), imports.alias("imports"), F.array_join(x["importedBy"], ",").alias("imported_by"))
 
 
-@query("SELECT filepath, CASE WHEN status = 'RED' AND impact = 0 THEN 'true' ELSE 'false' END AS archived FROM {registry}")
+@query("""SELECT filepath, '[[file]]' || chr(10) || 'path = "' || filepath || '"' || chr(10) || 'status = "' || status || '"' || chr(10) || 'can_be_archived = ' || CASE WHEN status = 'RED' AND impact = 0 THEN 'true' ELSE 'false' END || chr(10) AS toml FROM {registry}""")
 def k03_toml_manifest(t):
-    return sinks.toml_lines(t.registry).select("filepath", F.regexp_extract("toml", "can_be_archived = (\\w+)", 1).alias("archived"))
+    return sinks.toml_lines(t.registry)
 
 
 @query("SELECT name FROM (SELECT filepath || '.' || lpad(CAST(birth AS STRING), 4, '0') AS name, row_number() OVER (PARTITION BY split_part(filepath, '.', 1) ORDER BY birth DESC) AS k FROM {versions}) WHERE k <= 2")
@@ -49,11 +53,13 @@ def k07_keep_newest(t):
     return sinks.keep_newest(t.versions.select(F.concat("filepath", F.lit("."), F.lpad(F.col("birth").cast("string"), 4, "0")).alias("name")), 2)
 
 
-@query("SELECT n.node_type, min(k) AS first_id, max(k) AS last_id, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY path) AS k FROM {nodes}) n GROUP BY n.node_type")
+@query("""WITH n AS (SELECT path, row_number() OVER (ORDER BY path) AS id FROM {nodes}), e AS (SELECT e.edge_id, a.path AS src, CASE WHEN e.edge_id % 11 = 0 THEN 'unknown' ELSE b.path END AS dst FROM {edges} e JOIN {nodes} a ON a.node_id = e.src JOIN {nodes} b ON b.node_id = e.dst)
+SELECT edge_id, x.id AS src, y.id AS dst FROM e JOIN n x ON x.path = e.src JOIN n y ON y.path = e.dst""")
 def k13_assign_ids(t):
-    named = t.nodes.select(F.col("path").alias("id"), "node_type")
-    numbered, _ = sinks.assign_ids(named, t.spark.createDataFrame([], "src string, dst string"))
-    return numbered.groupBy("node_type").agg(F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"), F.count("*").alias("n"))
+    at = t.nodes.select("node_id", "path")
+    ends = t.edges.join(at.toDF("src", "_a"), "src").join(at.toDF("dst", "_b"), "dst")
+    named = ends.select("edge_id", F.col("_a").alias("src"), F.when(F.col("edge_id") % 11 == 0, "unknown").otherwise(F.col("_b")).alias("dst"))
+    return sinks.assign_ids(t.nodes.select(F.col("path").alias("id")), named)[1].select("edge_id", "src", "dst")
 
 
 @query("SELECT dir, 'files: ' || string_agg(filename || ' ' || status, ', ' ORDER BY filename || ' ' || status) AS line FROM {registry} GROUP BY dir")

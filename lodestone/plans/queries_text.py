@@ -50,10 +50,13 @@ def x14_reexports(t):
     return P.star_closure(stars, own, 3).groupBy("path").agg(F.count("*").alias("names"))
 
 
-@query("SELECT doc_id, CASE WHEN reach >= 0.9 THEN 'well connected' WHEN reach >= 0.1 THEN 'weakly connected' ELSE 'isolated' END AS says FROM {registry}")
+@query("""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 22 < 21 THEN (doc_id % 22) / 20.0::DOUBLE END AS v FROM {registry})
+SELECT doc_id, CASE WHEN v IS NULL THEN NULL WHEN v >= 0.95 THEN 'Excellent — nearly all dependencies resolved' WHEN v >= 0.8 THEN 'Good — most dependencies resolved' WHEN v >= 0.5 THEN 'Moderate — significant gaps remain' ELSE 'Poor — majority of dependencies unresolved' END AS reachability,
+ CASE WHEN v IS NULL THEN NULL WHEN v < 0.5 THEN 'Low confidence — integration may be unreliable' WHEN v < 0.8 THEN 'Moderate confidence — some uncertainty' ELSE 'High confidence in integration success' END AS stability,
+ CASE WHEN v IS NULL THEN NULL WHEN v > 0.3 THEN 'High risk — significant breakage likely' WHEN v > 0.15 THEN 'Moderate risk — careful testing required' WHEN v > 0.05 THEN 'Low risk — minor issues possible' ELSE 'Minimal post-integration breakage risk' END AS fragility FROM v""")
 def x24_interpretation(t):
-    reach = F.col("reach").cast("double")
-    return t.registry.select("doc_id", F.when(reach >= 0.9, "well connected").when(reach >= 0.1, "weakly connected").otherwise("isolated").alias("says"))
+    value = F.when(F.col("doc_id") % 22 < 21, (F.col("doc_id") % 22) / F.lit(20.0))
+    return t.registry.select("doc_id", *(X.meaning(k, value).alias(k) for k in X.MEANINGS))
 
 
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM {code}")

@@ -69,12 +69,6 @@ def markdown_table(df: DataFrame, limit: int = 20) -> str:
     return head + body + (f"\n… {df.count() - limit} more\n" if len(rows) > limit else "")
 
 
-def phase_report(files: DataFrame) -> str:
-    """Markdown by phase, from one aggregate."""
-    rows = files.groupBy("phase").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "GREEN").alias("green")).orderBy("phase").collect()
-    return "# Files by phase\n\n" + "".join(f"## {r['phase']}\n\n{r['n']} files, {r['green']} green\n\n" for r in rows)
-
-
 def context_lines(registry: DataFrame) -> DataFrame:
     """A directory a row: its files and states as one line of text. A line is as long as its directory; block_lines() gives a row a file."""
     files = F.array_sort(F.collect_list(F.concat_ws(" ", "filename", "status")))

@@ -20,8 +20,8 @@ from lodestone.streaming import changes
     ],
 )
 def test_assignability(source, target, accepted, returned):
-    assert migration.accepts(source, target) is accepted
-    assert migration.returns(source, target) is returned
+    assert migration.fits(migration.kinds(source), migration.kinds(target), False) is accepted
+    assert migration.fits(migration.kinds(source), migration.kinds(target), True) is returned
 
 
 def test_odd_signatures_and_merges(spark):
