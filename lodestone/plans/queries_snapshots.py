@@ -144,6 +144,26 @@ def h01_search(t):
     return S.search(_index(t), ["of", "The"])
 
 
+ASKED = [(1, "teh"), (2, "Thee"), (2, "oof"), (3, "thatxx"), (4, "zzzzzzzz"), (5, "i"), (6, "abcdefghijklmnop")]
+_asked = "(VALUES " + ", ".join(f"({q}, '{w.lower()}')" for q, w in ASKED) + ") q(query, word)"
+
+
+# DuckDB's distance counts bytes: a letter beyond ASCII stands as one sign that no word has
+@query(rf"""WITH w AS {WORDS}, q AS (SELECT * FROM {_asked}), n AS (SELECT DISTINCT word, term, levenshtein(word, regexp_replace(term, '[^\x00-\x7F]', '#', 'g')) AS d FROM (SELECT DISTINCT term FROM w WHERE term <> ''), (SELECT DISTINCT word FROM q) WHERE d <= 2),
+ f AS (SELECT object, word, min(d) AS d FROM w JOIN n USING (term) GROUP BY object, word)
+SELECT q.query, f.object, CAST(sum(d) AS BIGINT) AS distance FROM f JOIN q USING (word) GROUP BY q.query, f.object HAVING count(*) = (SELECT count(*) FROM q r WHERE r.query = q.query)""")
+def h01_typo_search(t):
+    index = _index(t)
+    return S.typo_search(index, S.typo_index(index, 2), t.spark.createDataFrame(ASKED, "query int, word string"), 2)
+
+
+@query(f"""WITH w AS {WORDS}, c AS (SELECT term, count(DISTINCT object) AS objects FROM w WHERE term <> '' GROUP BY term), p(asked) AS (VALUES ('t'), ('TH'), ('onedth'), ('thanontion'))
+SELECT asked, CAST(row_number() OVER (PARTITION BY asked ORDER BY objects DESC, term) AS INT) AS place, term, objects FROM p JOIN c ON starts_with(term, lower(asked)) QUALIFY place <= 7""")
+def h02_completions(t):
+    asked = t.spark.createDataFrame([("t",), ("TH",), ("onedth",), ("thanontion",)], "asked string")
+    return S.completions(S.prefix_table(_index(t)), asked, 7)
+
+
 @query(f"SELECT term, count(DISTINCT object) AS objects FROM {WORDS} WHERE starts_with(term, 'th') GROUP BY term ORDER BY 2 DESC, 1 LIMIT 10")
 def h02_suggest(t):
     return S.suggest(_index(t), "th")
