@@ -22,9 +22,58 @@ def script_of(text: Column, path: Column) -> Column:
     return F.when(path.endswith(".vue"), F.array_join(_all(text, r"(?s)<script[^>]*>(.*?)</script>"), "\n")).otherwise(text)
 
 
+#: What is not code, in one pattern, so that each sign is read as part of what it stands in: short strings and templates without blanks, quotes and
+#: expressions, which may name a module, are kept by its group; all else goes: comments, other strings, templates with what is in them, regular expressions.
+_TOKENS = (
+    r"""("[^"'`\\\s]*"|'[^"'`\\\s]*'|`[^"'`\\\s${}]*`)"""
+    r"""|//[^\n]*|/\*(?s:.*?)(?:\*/|\z)"""
+    r"""|"(?:\\(?s:.)|[^"\\\n])*+(?:"|$)|'(?:\\(?s:.)|[^'\\\n])*+(?:'|$)"""
+    r"""|`(?:\\(?s:.)|\$\{(?:[^{}`]|`(?:\\(?s:.)|[^`\\])*+`|\{[^{}]*\})*+\}|[^`\\])*+`"""
+    r"""|(?<=[(=,:;!&|?{}\[\n])[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])++/[a-z]*"""
+)
+
+
+def code_of(text: Column) -> Column:
+    """Source text without comments, and without strings, templates and regular expressions that cannot be the name of a module: what is left of a statement is code.
+
+    One pass of one pattern; a template may hold expressions with templates and braces in them, one level deep. Lines stay where they are, but for those
+    within comments and templates.
+    """
+    return F.regexp_replace(text, "(?m)" + _TOKENS, "$1")
+
+
 def without_comments(text: Column) -> Column:
-    """Without block comments and whole-line comments."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", "")
+    """As code_of()."""
+    return code_of(text)
+
+
+#: What a line adds to the two complexities: a pattern, whether it adds one to the number of ways, and to the effort of reading: nothing, one, or one
+#: more than the depth it stands at.
+COUNTED = (
+    (r"\b(?:if|else if|\?\s*)\b", True, "deep"),
+    (r"\b(?:for|while|do)\b", True, "deep"),
+    (r"\bswitch\b", True, "deep"),
+    (r"\bcase\b", True, None),
+    (r"\bcatch\b", True, "deep"),
+    (r"&&|\|\|", True, "flat"),
+)
+
+
+def complexity(code: Column) -> Column:
+    """struct(cyclomatic, cognitive, lines) of a piece of code, line by line; the depth is that of braces open at the start of a line. Null for null."""
+    count = lambda line, c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    hits = lambda line, wanted: functools.reduce(lambda a, b: a + b, (F.when(line.rlike(p), 1).otherwise(0) for p, ways, effort in COUNTED if wanted(ways, effort)))
+
+    def of(line: Column) -> Column:
+        return F.struct(hits(line, lambda w, _: w).alias("ways"), hits(line, lambda _, e: e == "deep").alias("deep"), hits(line, lambda _, e: e == "flat").alias("flat"), (count(line, "{") - count(line, "}")).alias("opens"))
+
+    def add(s: Column, x: Column) -> Column:
+        effort = s["cognitive"] + x["deep"] * (1 + s["depth"]) + x["flat"]
+        return F.struct((s["cyclomatic"] + x["ways"]).alias("cyclomatic"), effort.alias("cognitive"), (s["lines"] + 1).alias("lines"), F.greatest(F.lit(0), s["depth"] + x["opens"]).alias("depth"))
+
+    start = F.struct(F.lit(1).alias("cyclomatic"), F.lit(0).alias("cognitive"), F.lit(0).alias("lines"), F.lit(0).alias("depth"))
+    out = F.aggregate(F.transform(F.split(code, "\n", -1), of), start, add)
+    return F.when(code.isNotNull(), F.struct(out["cyclomatic"].alias("cyclomatic"), out["cognitive"].alias("cognitive"), out["lines"].alias("lines")))
 
 
 #: Kind of import, pattern with the specifier in the last group, group of the names (0: none).
@@ -82,6 +131,27 @@ def star_closure(stars: DataFrame, own: DataFrame, depth: int = 3) -> DataFrame:
     return known.distinct()
 
 
+def export_chains(wanted: DataFrame, reexports: DataFrame, stars: DataFrame, own: DataFrame, depth: int = 5) -> DataFrame:
+    """path, name, chain (array of paths): through which files an export comes, from the file that is asked to the one that makes it.
+
+    wanted: path, name. reexports: path, ordinal, name (as exported), local (its name in target), target. stars: path, ordinal, target (all of whose exports are
+    exported on). own: path, name. A file hands a name on by its first statement that does; a chain ends where no statement does, after depth + 1 files, or
+    before a file that it has been at. A recursive query follows all chains at once, a row a chain and step.
+    """
+    there = star_closure(stars, own.unionByName(reexports.select("path", "name")))
+    from_stars = stars.join(there.withColumnRenamed("path", "target"), "target").select("path", "ordinal", "target", "name", F.col("name").alias("local"))
+    named = reexports.select("path", "ordinal", "target", F.explode(F.array_distinct(F.array("name", "local"))).alias("name"), "local")
+    steps = settled(named.unionByName(from_stars).groupBy("path", "name").agg(F.min_by(F.struct("target", "local"), "ordinal").alias("_x")).select("path", "name", "_x.target", "_x.local"))
+    walk = """
+    WITH RECURSIVE walk(path, name, at, called, chain) AS (
+      SELECT path, name, path, name, array(path) FROM {wanted}
+      UNION ALL
+      SELECT w.path, w.name, s.target, s.local, array_append(w.chain, s.target) FROM walk w JOIN {steps} s ON s.path = w.at AND s.name = w.called
+      WHERE size(w.chain) <= {depth} AND NOT array_contains(w.chain, s.target)
+    ) SELECT path, name, max_by(chain, size(chain)) AS chain FROM walk GROUP BY path, name"""
+    return wanted.sparkSession.sql(walk, wanted=wanted.select("path", "name").distinct(), steps=steps, depth=depth)
+
+
 def commands_invoked(text: Column) -> Column:
     return F.array_distinct(_all(text, r"\binvoke(?:<[^>]*>)?\(\s*" + _Q))
 

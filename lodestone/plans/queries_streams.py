@@ -74,6 +74,39 @@ def n01_file_nodes(t):
     return P.report_nodes(reports, "file").select("name", "node_type")
 
 
+CODE = [  # code, cyclomatic, cognitive, lines
+    ("return 1;", 1, 0, 1), ("if (a) {\n  for (;;) {\n    if (b && c) x();\n  }\n}", 5, 7, 5), ("switch (a) {\n case 1:\n case 2: while (b) {}\n}", 5, 3, 4), ("try {\n} catch (e) {\n  do { } while (a || b)\n}", 4, 4, 4), ("}}\nif (a) { }", 2, 1, 2), ("", 1, 0, 1),
+]
+_said = lambda k: " ".join(f"WHEN {i} THEN {r[k]}" for i, r in enumerate(CODE))
+
+
+@query(f"SELECT doc_id, CASE doc_id % 7 {_said(1)} END AS cyclomatic, CASE doc_id % 7 {_said(2)} END AS cognitive, CASE doc_id % 7 {_said(3)} END AS lines FROM {{registry}}")
+def x11_complexity(t):
+    text = F.lit(None).cast("string")
+    for i, row in enumerate(CODE):
+        text = F.when(F.col("doc_id") % 7 == i, row[0]).otherwise(text)
+    return t.registry.select("doc_id", P.complexity(text).alias("x")).select("doc_id", "x.*")
+
+
+CHAIN_NAMES = "SELECT filepath AS path, 'v' || CAST(doc_id AS STRING) AS name FROM {registry} WHERE doc_id % 2 = 0"
+CHAIN_REEXPORTS = """SELECT a.filepath AS path, 1 AS ordinal, 'v' || CAST(a.doc_id + 1 AS STRING) AS name, 'v' || CAST(b.doc_id AS STRING) AS local, b.filepath AS target FROM {registry} a JOIN {registry} b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 9 < 7"""
+CHAIN_STARS = "SELECT a.filepath AS path, 0 AS ordinal, b.filepath AS target FROM {registry} a JOIN {registry} b ON b.doc_id = a.doc_id + 2 WHERE a.doc_id % 8 IN (1, 3)"
+CHAIN_WANTED = "SELECT a.filepath AS path, 'v' || CAST(a.doc_id + k.k AS STRING) AS name FROM {registry} a CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k"
+
+
+@query(f"""WITH RECURSIVE own AS ({CHAIN_NAMES}), re AS ({CHAIN_REEXPORTS}), stars AS ({CHAIN_STARS}), wanted AS ({CHAIN_WANTED}),
+ every AS (SELECT path, name FROM own UNION SELECT path, name FROM re),
+ l1 AS (SELECT s.path, e.name FROM stars s JOIN every e ON e.path = s.target), l2 AS (SELECT s.path, e.name FROM stars s JOIN l1 e ON e.path = s.target), l3 AS (SELECT s.path, e.name FROM stars s JOIN l2 e ON e.path = s.target),
+ there AS (SELECT * FROM every UNION SELECT * FROM l1 UNION SELECT * FROM l2 UNION SELECT * FROM l3),
+ step AS (SELECT path, name, arg_min(target, ordinal) AS target, arg_min(local, ordinal) AS local FROM (SELECT path, ordinal, name, local, target FROM re UNION ALL SELECT path, ordinal, local, local, target FROM re WHERE local <> name
+   UNION ALL SELECT s.path, s.ordinal, t.name, t.name, s.target FROM stars s JOIN there t ON t.path = s.target) GROUP BY path, name),
+ walk AS (SELECT path, name, path AS at, name AS called, [path] AS chain FROM wanted UNION ALL SELECT w.path, w.name, s.target, s.local, list_append(w.chain, s.target) FROM walk w JOIN step s ON s.path = w.at AND s.name = w.called WHERE len(w.chain) <= 5 AND NOT list_contains(w.chain, s.target))
+SELECT path, name, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM walk GROUP BY path, name""")
+def x14_export_chains(t):
+    found = P.export_chains(t.sql(CHAIN_WANTED), t.sql(CHAIN_REEXPORTS), t.sql(CHAIN_STARS), t.sql(CHAIN_NAMES))
+    return found.select("path", "name", F.array_join("chain", ">").alias("chain"))
+
+
 @query("SELECT page_id, 'js' AS kind, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'track\\(\\d+\\)')) AS c FROM {links}) GROUP BY page_id")
 def x11_calls(t):
     calls = F.regexp_extract_all("html", F.lit(r"track\(\d+\)"), F.lit(0))
