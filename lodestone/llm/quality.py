@@ -4,18 +4,20 @@ A document has shares in thousandths (symbols, capitals, exclamation marks, repe
 share lies above the rule's cutoff. How strict the cutoffs are is not set by hand: PATH is a sequence of settings, each of a cutoff for
 every rule, from the loosest to the strictest, and every stratum (band of word counts) goes down it as far as its labels allow.
 
-Labelled documents are the holdout. A setting is certified if at most k of the stratum's n good documents are beyond any of its
+Labelled documents are the holdout. Copies are no independent trials: labelled good documents of a stratum whose smallest hash of a five-word shingle is the same
+are one trial (exact copies always, near copies of similarity s in a share s of cases), which a setting rejects if it rejects any of them. A document
+with labels of both qualities is no good one. A setting is certified if at most k of the stratum's n trials are beyond any of its
 cutoffs, and the exact binomial tail P(X <= k | n, RISK) is within the stratum's error. Settings are tested in order and the first
 that fails ends it: a fixed sequence needs no correction along it. Over strata the error 1 - CONFIDENCE is divided (Bonferroni); a
 stratum that reaches the end of PATH passes its share on to those that did not, in equal parts (a graphical procedure, as strong as Holm's),
-until none gets further. So with confidence CONFIDENCE, all rules together falsely reject less than RISK of the good documents of every
-stratum. A stratum with too few labels to show that (at the defaults under 217) gets no setting: no rule rejects its documents.
+until none gets further. So with confidence CONFIDENCE, all rules together falsely reject less than RISK of the good texts of every
+stratum, copies counted once. A stratum with too few trials to show that (at the defaults under 217) gets no setting: no rule rejects its documents.
 
 DataFrame operations only on documents and labels; labelled documents are found before their texts are looked at. The driver
 computes binomial tails for a table of strata x settings (some fifty numbers, whatever the input's size).
 
 Rows: null and empty texts have no words, all counts 0, and fail the base rules; repeated rows get a result each;
-labels without a document, or with a null quality, are left out, labels that repeat an id count once, and an empty table of labels
+labels without a document, or with a null quality, are left out, labels that repeat an id count once, rows that repeat an id are rows each, and an empty table of labels
 certifies nothing; other columns are left out, whatever they are called; an empty table of documents gives an empty result.
 """
 
@@ -43,7 +45,7 @@ PATH = {
 }
 RULES, SETTINGS = tuple(PATH), 12
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]", "#*$%&|<>"
-WINDOW = 8
+WINDOW, SHINGLE = 8, 5
 
 
 def words_of(text: Column) -> Column:
@@ -138,14 +140,26 @@ def descend(n: dict[int, int], beyond: dict[int, list[int]], risk: float = RISK,
         error.update(dict.fromkeys(ended, 0.0))
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> dict[int, int]:
-    """stratum -> setting. labels: doc_id and quality, 1 for good."""
-    good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
+def trial_key(words: Column) -> Column:
+    """The smallest hash of a SHINGLE-word shingle; of fewer words, that of all."""
+    n = F.size(words)
+    return F.when(n <= SHINGLE, F.xxhash64(words)).otherwise(F.array_min(F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))))
+
+
+def trials(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, n, and s0, s1, ... (trials that each setting rejects). labels: doc_id and quality, 1 for good."""
+    good = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         good = F.broadcast(good)  # else the texts of labelled documents are shuffled once
     held = light_counts(docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
     rejected = lambda k: functools.reduce(lambda a, b: a | b, (F.col(r) > PATH[r][k] for r in RULES))
-    table = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(rejected(k)).alias(f"s{k}") for k in range(SETTINGS))).collect()  # a row a stratum
+    each = held.groupBy("stratum", trial_key(F.col("words")).alias("key")).agg(*(F.bool_or(rejected(k)).alias(f"s{k}") for k in range(SETTINGS)))
+    return each.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(f"s{k}").alias(f"s{k}") for k in range(SETTINGS)))
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> dict[int, int]:
+    """stratum -> setting."""
+    table = trials(docs, labels).collect()  # a row a stratum
     return descend({r["stratum"]: r["n"] for r in table}, {r["stratum"]: [r[f"s{k}"] for k in range(SETTINGS)] for r in table}, risk, confidence)
 
 
