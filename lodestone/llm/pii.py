@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel network.
 
-Addresses, numbers, dates and secrets are found by pattern and validated (check digits, ranges, the calendar). Each is
+Addresses (e-mail, IPv4, IPv6), numbers, dates and secrets are found by pattern and validated (check digits, ranges, the calendar). Each is
 then permuted within its own format: digits stay digits, letters stay letters of their case, separators stay, check
 digits are right again, addresses and dates stay valid. The permutation is a bijection set by the key alone, so equal
 values get equal pseudonyms in every document, and different values different ones.
@@ -10,7 +10,8 @@ place, by a keyed hash (SHA-256) of the other. IPv4 addresses and dates are numb
 suitable base; dates walk the cycle until they fall within the calendar's range again.
 
 Secrets and addresses have no greatest length: a secret is taken to its end, dots inside it included (a JWT, say), if one of
-its parts has 12 characters; an IBAN is taken at its country's length.
+its parts has 12 characters, whatever the name before it begins with; passwords with the marks in them, which are permuted among themselves;
+an IBAN is taken at its country's length.
 
 DataFrame operations only, and no shuffle: each text is rewritten where it is read.
 
@@ -52,17 +53,20 @@ def _iban_of(length: int, countries: str) -> str:
 
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\."
+#: Marks that a password may hold; they are permuted among themselves.
+MARKS = "!#$%&*?@^~"
 _TOP = r"[A-Za-z]{2,24}(?![A-Za-z0-9])"
 #: The patterns of what is looked for, in order of precedence. Repeats without a bound are possessive: these
 #: take no stack. The second form of a domain gives labels back, as many as a name can have (127), where the last is no top level.
 PATTERNS = {
     "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:(?:{_LABEL}(?=[A-Za-z0-9]))++{_TOP}|(?:{_LABEL}){{1,127}}{_TOP})",
-    "secret": r"(?i:\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?)(?=[A-Za-z0-9+/_.-]*?[A-Za-z0-9+/_-]{12})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+|\bAKIA[0-9A-Z]{16}\b",
+    "secret": rf"(?i:(?:passwd|password|passphrase)[\"']?[ \t]{{0,4}}[=:][ \t]{{0,4}}[\"']?)(?=[A-Za-z0-9+/_.{MARKS}-]*?[A-Za-z0-9+/_{MARKS}-]{{12}})[A-Za-z0-9+/_{MARKS}-]++(?:\.[A-Za-z0-9+/_{MARKS}-]++)*+|(?i:(?:token|secret|api[_-]?key|access[_-]?key)[\"']?[ \t]{{0,4}}[=:][ \t]{{0,4}}[\"']?)(?=[A-Za-z0-9+/_.-]*?[A-Za-z0-9+/_-]{{12}})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+|\bAKIA[0-9A-Z]{{16}}\b",
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items())}|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)(?![A-Za-z0-9]))",
     "card": r"(?<![0-9])(?<![0-9][.,-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])(?![.,-][0-9])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9(+-])\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])|(?<![0-9(+-])\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:]|\.[0-9])",
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}(?![0-9])|(?<![0-9/])[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}(?![0-9/])",
 }
 #: The first digits of issued card numbers.
@@ -89,6 +93,11 @@ def _shift(key: str, kind: str, half: Column, other: Column, t: Column) -> Colum
         def within(first: int, n: int) -> Column:
             return F.char((code - first + h % n) % n + first)
 
+        if kind == "ipv6":
+            return F.when(c.rlike("[0-9a-f]"), F.lower(F.conv(((F.conv(c, 16, 10).cast("long") + h % 16) % 16).cast("string"), 10, 16))).otherwise(c)
+        if kind == "secret":
+            mark = F.instr(F.lit(MARKS), c)
+            c = F.when(mark > 0, F.substring(F.lit(MARKS), (((mark - 1 + h) % len(MARKS)) + 1).cast("int"), F.lit(1))).otherwise(c)
         return F.when(c.between("0", "9"), within(48, 10)).when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26)).otherwise(c)
 
     # of a long half each place hashes a digest, so that the work is in proportion to the length
@@ -214,6 +223,13 @@ def _ip(key: str, m: Column) -> Column:
     return F.when(F.forall(parts, lambda x: x <= 255), made)
 
 
+def _ipv6(key: str, m: Column) -> Column:
+    """Hexadecimal digits permuted, groups and the gap in place; capitals if it had any. A gap stands for two groups at least, so up to six are written."""
+    groups = F.size(F.array_remove(F.split(m, ":"), ""))
+    made = permute_text(key, "ipv6", F.lower(m))
+    return F.when((~m.contains("::") & (groups == 8)) | (m.contains("::") & groups.between(2, 6)), F.when(m.rlike("[A-F]"), F.upper(made)).otherwise(made))
+
+
 def _date(key: str, m: Column) -> Column:
     kind = F.when(m.contains("-"), "yyyy-MM-dd").when(m.contains("."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
     iso = F.when(m.contains("-"), m).when(m.contains("."), F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)))
@@ -231,13 +247,13 @@ def _email(key: str, m: Column) -> Column:
 
 
 def _secret(key: str, m: Column) -> Column:
-    value = F.regexp_extract(m, "[A-Za-z0-9+/_.-]*$", 0)
+    value = F.regexp_extract(m, f"[A-Za-z0-9+/_.{MARKS}-]*$", 0)
     prefix = F.substring(m, F.lit(1), F.length(m) - F.length(value))
     plain = F.when(value.startswith("AKIA") & (prefix == ""), F.concat(F.lit("AKIA"), permute_text(key, "secret", F.substring(value, 5, 16))))
     return F.coalesce(plain, F.concat(prefix, permute_text(key, "secret", value)))
 
 
-_RULES = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
+_RULES = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "ipv6": _ipv6, "date": _date}
 
 
 def _named(kind: str, value: Column) -> Column:
