@@ -309,29 +309,42 @@ def shots(hist: np.ndarray) -> list[tuple[int, int]]:
 
 
 def clips(films: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """A row for each shot of each film: id, clip, first_frame, last_frame, start_s, end_s, luminance (mean)."""
+    """A row for each shot of each film: id, clip, first_frame, last_frame, start_s, end_s, luminance (mean), damaged (frames of it that cannot be read).
+
+    A damaged frame is passed over: it makes no cut, and counts to the shot that it follows, or at the start to the first. A film without a readable
+    frame, or without an index, has no clips.
+    """
     small_batches(films.sparkSession)
     kind = films.schema[id_col].dataType.simpleString()
-    columns = f"id {kind}, clip int, first_frame int, last_frame int, start_s double, end_s double, luminance double"
+    columns = f"id {kind}, clip int, first_frame int, last_frame int, start_s double, end_s double, luminance double, damaged int"
+    bad = (ValueError, KeyError, IndexError, struct.error)
+
+    def cut(film: bytes) -> list[tuple]:
+        rate, _, frames = read_avi(film)
+        hist, light, at = [], [], []
+        for i, f in enumerate(frames):  # pixels of one frame at a time
+            try:
+                seen = decode_frame(f)
+            except bad:
+                continue
+            hist.append(histograms([seen])[0])
+            light.append(float(seen.mean()))
+            at.append(i)
+        found = shots(np.array(hist))
+        starts = [0, *(at[a] for a, _ in found[1:]), len(frames)]
+        return [(k, first, last - 1, first / rate, last / rate, float(np.mean(light[a : z + 1])), last - first - (z + 1 - a)) for k, ((a, z), first, last) in enumerate(zip(found, starts, starts[1:]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, out = [], []
             for i, m in enumerate(b.column(1)):
                 try:
-                    rate, _, frames = read_avi(m.as_py() or b"")
-                    hist, light = [], []
-                    for f in frames:  # pixels of one frame at a time
-                        seen = decode_frame(f)
-                        hist.append(histograms([seen])[0])
-                        light.append(float(seen.mean()))
-                    found = shots(np.array(hist))
-                except (ValueError, KeyError, IndexError, struct.error):  # damaged: no clips
+                    made = cut(m.as_py() or b"")
+                except bad:  # no film
                     continue
-                for k, (a, z) in enumerate(found):
-                    rows.append(i)
-                    out.append((k, a, z, a / rate, (z + 1) / rate, float(np.mean(light[a : z + 1]))))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+                rows += [i] * len(made)
+                out += made
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], [x.split()[0] for x in columns.split(", ")])
 
     return films.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, columns).withColumnRenamed("id", id_col)
