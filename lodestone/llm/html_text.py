@@ -6,7 +6,7 @@ only the head word of its class names so, is not if it is or holds the article,
 with text of its own then gets points for its length and its commas, discounted by the share of its text that is
 link text, and passes them on: all to its parent, half to the grandparent, ever less to ancestors further up; an
 article element takes all points of what is in it, a main element three quarters. The element with the most points is the
-container, the outermost of equals; siblings with enough points of their own join it. The text of what is kept comes out block by block,
+container, the outermost of equals; siblings with enough points of their own, or of its class and mostly no links, join it. The text of what is kept comes out block by block,
 in page order. Lists of links alone are menus where they open the container or stand outside of articles, not under a heading or paragraph.
 
 A page is read, pruned and scored in time in proportion to its elements, however deep they are: sums are made once, from the leaves up.
@@ -273,6 +273,12 @@ def _score(sums: Sums) -> None:
         passed[node] = [mine, *far[:-2], far[-2] + far[-1]]
 
 
+def _class(node: Node) -> tuple[str, ...]:
+    """The names in an element's class, in order."""
+    found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(node.attrs)} if node.attrs else {}
+    return tuple(found.get("class", "").split())
+
+
 def _menu(node: Node, sums: Sums) -> bool:
     """A list of three items or more, each of them a link and nothing else."""
     items = [c for c in node.children if not isinstance(c, str)]
@@ -300,7 +306,7 @@ def _text(nodes: list[Node], sums: Sums) -> str:
     part: list[str] = []
 
     def flush() -> None:
-        words = html.unescape("".join(part)).split()
+        words = "".join(map(html.unescape, part)).split()  # a reference stands within one piece of text
         part.clear()
         if words:
             out.append(" ".join(words))
@@ -339,7 +345,7 @@ def main_text(page: str) -> str:
         best = best.parent
     if best.parent is None:
         return _text([best], sums)
-    least, kept = max(5.0, 0.2 * best.points), []
+    least, kept, name = max(5.0, 0.2 * best.points), [], _class(best)
     for c in best.parent.children:
         if c is best:
             kept.append(c)
@@ -347,7 +353,8 @@ def main_text(page: str) -> str:
             chars, links = sums.all[c]
             dense = links / chars if chars else 1
             own = sums.own.get(c, (0, 0, 0))
-            if c.points >= least and dense < 0.3 or c.tag == "p" and (own[0] > 80 and dense < 0.25 or own[0] and not dense and re.search(r"\.(\s|$)", _text([c], sums))) or c.tag in ("h1", "h2", "h3", "blockquote", "pre") and best.tag not in ("article", "main") and not dense:
+            alike = bool(name) and c.tag == best.tag and _class(c) == name
+            if (c.points >= least or alike) and dense < 0.3 or c.tag == "p" and (own[0] > 80 and dense < 0.25 or own[0] and not dense and re.search(r"\.(\s|$)", _text([c], sums))) or c.tag in ("h1", "h2", "h3", "blockquote", "pre") and best.tag not in ("article", "main") and not dense:
                 kept.append(c)
     return _text(kept, sums)
 
