@@ -37,6 +37,8 @@ PAIRS, TRIPLES = 1024, 4096
 FEATURES = PAIRS + TRIPLES
 #: A runner-up whose share of the likelihood is over this makes a prediction ambiguous.
 AMBIGUOUS = 0.35
+#: What features are held in while a model is learned; sums are of single precision.
+HELD = np.float16
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes that are no letter count as a space; all bytes of characters outside ASCII stay.
 _PLAIN = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.int32)
@@ -93,16 +95,19 @@ class Model:
         return best, top, p.max(1)
 
 
-def fit(texts: list[str], langs: list[str], steps: int = 150, rate: float = 0.5, decay: float = 1e-4) -> Model | None:
-    """Binary classifiers for all bits at once, by Adam on the logistic loss over all texts."""
-    texts, langs = [t for t in texts if t and _LETTER.search(t)], [x for t, x in zip(texts, langs) if t and _LETTER.search(t)]
+def fit(texts: list[str], langs: list[str], **how) -> Model | None:
+    """fit_rows() of texts and their languages."""
+    known = [(x, t) for t, x in zip(texts, langs) if t and _LETTER.search(t)]
+    return fit_rows([x for x, _ in known], [features(t).astype(HELD) for _, t in known], **how)
+
+
+def fit_rows(langs: list[str], rows: list[np.ndarray], steps: int = 150, rate: float = 0.5, decay: float = 1e-4) -> Model | None:
+    """Binary classifiers for all bits at once, by Adam on the logistic loss over all rows (features, in the precision HELD)."""
     names = sorted(set(langs))
     if not names:
         return None
-    code = codewords(len(names))
-    # halves of the precision where the rows are many, a block of them at a time
-    kind, size = (np.float16, 2048) if len(texts) > 8192 else (np.float32, max(1, len(texts)))
-    blocks = [np.stack([features(t).astype(kind) for t in texts[k : k + size]]) for k in range(0, len(texts), size)]
+    code, size = codewords(len(names)), 2048
+    blocks = [np.stack(rows[k : k + size]) for k in range(0, len(rows), size)]
     at = np.searchsorted(names, langs)
     share = (len(at) / len(names) / np.bincount(at)[at])[:, None].astype(np.float32)  # languages weigh the same
     w, b = np.zeros((FEATURES, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
@@ -110,8 +115,8 @@ def fit(texts: list[str], langs: list[str], steps: int = 150, rate: float = 0.5,
 
     def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for k, x in enumerate(blocks):
-            rows = slice(k * size, k * size + len(x))
-            yield x.astype(np.float32, copy=False), code[at[rows]].astype(np.float32), share[rows]
+            own = slice(k * size, k * size + len(x))
+            yield x.astype(np.float32), code[at[own]].astype(np.float32), share[own]
 
     for t in range(1, steps + 1):
         g, gb = decay * w, np.zeros_like(b)
@@ -128,8 +133,17 @@ def fit(texts: list[str], langs: list[str], steps: int = 150, rate: float = 0.5,
     return Model(names, code, w, b, trust / trust.mean())
 
 
+def _as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, x: the features of texts with a letter, as bytes of one length, however long the texts."""
+    for batch in batches:
+        found = [(x.as_py(), features(t.as_py()).astype(HELD).tobytes()) for x, t in zip(batch.column(0), batch.column(1)) if t.as_py() and _LETTER.search(t.as_py())]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([f for _, f in found], pa.binary())], ["lang", "x"])
+
+
 def train(docs: DataFrame, held_out: Column, sample: int = SAMPLE) -> Model | None:
-    """The model of a bounded sample of the rows of docs that have a language and are not held out."""
+    """The model of a bounded sample of the rows of docs that have a language and are not held out. Features are made where the texts are: the driver gathers
+    FEATURES numbers of HELD a row of the sample."""
+    small_batches(docs.sparkSession)
     known = docs.where(~held_out & F.col("lang").isNotNull()).select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("_deal"))
     counts = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())  # a row a language
     if not counts:
@@ -138,8 +152,8 @@ def train(docs: DataFrame, held_out: Column, sample: int = SAMPLE) -> Model | No
     below = pa.table({"lang": [x for x, _ in counts], "_below": [int((1 << 30) * min(1.0, sample / n)) for _, n in counts]})
     chosen = known.join(F.broadcast(docs.sparkSession.createDataFrame(below)), "lang").where(F.col("_deal") < F.col("_below"))
     # copies of a text are dealt alike: one stands for all, so that they take no other language's place
-    rows = sorted((r["lang"], r["text"] or "") for r in chosen.select("lang", "text").distinct().toLocalIterator())
-    return fit([t for _, t in rows], [x for x, _ in rows])
+    rows = sorted((r["lang"], bytes(r["x"])) for r in chosen.select(F.col("lang").cast("string").alias("lang"), "text").distinct().mapInArrow(_as_rows, "lang string, x binary").toLocalIterator())
+    return fit_rows([x for x, _ in rows], [np.frombuffer(x, HELD) for _, x in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -261,6 +261,16 @@ def test_frames_without_huffman_tables(spark):
     assert [(r.first_frame, r.last_frame, r.start_s, r.end_s) for r in got] == [(0, 3, 0.0, 0.16), (4, 7, 0.16, 0.32)]
 
 
+def test_films_with_damaged_frames_keep_their_clips(spark):
+    dark, light = (media.encode_frame(np.full((4, 64), x, np.uint8)) for x in (20, 220))
+    good = [dark] * 5 + [light] * 5
+    films = [media.write_avi([b"\xff" if i in hurt else f for i, f in enumerate(good)], 512, 32) for hurt in ((), (2,), (0, 4, 9), (5,), tuple(range(10)))]
+    got = collections.defaultdict(list)
+    for r in media.clips(spark.createDataFrame(list(enumerate(films)), "id int, media binary")).orderBy("id", "clip").collect():
+        got[r.id].append((r.first_frame, r.last_frame, r.damaged))
+    assert got == {0: [(0, 4, 0), (5, 9, 0)], 1: [(0, 4, 1), (5, 9, 0)], 2: [(0, 4, 2), (5, 9, 1)], 3: [(0, 5, 1), (6, 9, 0)]}
+
+
 def test_damaged_films_give_no_clips(spark):
     frame = media.encode_frame(np.full((4, 64), 20, np.uint8))
     good = media.write_avi([frame] * 3, 512, 32)
@@ -673,6 +683,13 @@ def test_errors_are_passed_on():
 # pages
 
 
+def test_siblings_of_the_container_and_references_in_pieces():
+    long = "Long words of an article, with commas, that go on for a while and then some more, as articles do. " * 4
+    page = f"<body><div><div class=post><p>{long}</p></div><div class=post><p>Short tail paragraph</p></div><div class=post><a href=x>only a link</a></div><div class=other>Other box</div></div></body>"
+    assert html_text.main_text(page) == " ".join([*long.split(), "Short tail paragraph"])
+    assert html_text.main_text(f"<article><p>{long}</p><p>a &<b>amp;</b> b &amp;lt; &#65;<i>&#66;</i></p></article>").endswith("a &amp; b &lt; AB")
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
