@@ -132,3 +132,13 @@ def test_one_leader_of_rows_that_share_an_id(spark):
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     leaders = [(r.doc_id, r.text_hash) for r in got if r.leader]
     assert len({x for x in leaders if x[0] == 5}) == 1 and 7 not in dict(leaders) and leaders.count((9, dict(leaders)[9])) == 1
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(40_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, edited(long, 900, rng)), (3, edited(long, 9000, rng)), (4, "x" * 300_000), (5, "short one"), (6, "x" * 300_000)]
+    names = ["v", "n", "s", "k", "d", "t", "root", "h", "keys", "items"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], f"doc_id long, text string, {', '.join(f'{c} int' for c in names)}")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute(rows, 5, 80) and got[2][1] == 1 and got[6][1] == 4
