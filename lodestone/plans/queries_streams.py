@@ -62,15 +62,15 @@ def k13_assign_ids(t):
     return sinks.assign_ids(t.nodes.select(F.col("path").alias("id")), named)[1].select("edge_id", "src", "dst")
 
 
-@query("SELECT dir, 'files: ' || string_agg(filename || ' ' || status, ', ' ORDER BY filename || ' ' || status) AS line FROM {registry} GROUP BY dir")
+@query("SELECT dir, '' AS name, 'files of ' || dir || ':' AS line FROM {registry} GROUP BY dir UNION ALL SELECT dir, filename, filename || ' ' || status FROM {registry}")
 def k20_context_lines(t):
     return sinks.context_lines(t.registry)
 
 
 @query("SELECT name, 'file' AS node_type FROM (SELECT DISTINCT filepath AS name FROM {registry})")
 def n01_file_nodes(t):
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("filepath")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x)), "\n")
-    reports = t.registry.groupBy(F.col("dir").alias("project")).agg(text.alias("text"))
+    # a report, a row a file: no task holds the whole of a project's
+    reports = t.registry.select(F.col("dir").alias("project"), F.concat((F.col("doc_id") + 1).cast("string"), F.lit(": "), "filepath").alias("text"))
     return P.report_nodes(reports, "file").select("name", "node_type")
 
 

@@ -70,9 +70,10 @@ def markdown_table(df: DataFrame, limit: int = 20) -> str:
 
 
 def context_lines(registry: DataFrame) -> DataFrame:
-    """A directory a row: its files and states as one line of text. A line is as long as its directory; block_lines() gives a row a file."""
-    files = F.array_sort(F.collect_list(F.concat_ws(" ", "filename", "status")))
-    return registry.groupBy("dir").agg(F.concat(F.lit("files: "), F.array_join(files, ", ")).alias("line"))
+    """dir, name, line: a heading for each directory (the name empty) and a line for each of its files with its state, to be written in the order of (dir, name).
+    No directory is gathered in one row."""
+    heads = registry.select("dir").distinct().select("dir", F.lit("").alias("name"), F.concat(F.lit("files of "), "dir", F.lit(":")).alias("line"))
+    return heads.unionByName(registry.select("dir", F.col("filename").alias("name"), F.concat_ws(" ", "filename", "status").alias("line")))
 
 
 # reports as lines: (section, place, line), to be written in that order; no report is gathered in one task
