@@ -93,15 +93,14 @@ def _by_one_task(edges: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def _chosen(e: DataFrame, turn: int) -> DataFrame:
-    """node_id of an independent set of nodes that are cheap to eliminate: those of the smallest hash among their cheap neighbours."""
+    """node_id of an independent set of nodes that are cheap to eliminate: of cheap neighbours, ends and beginnings go first, else the one of the smallest hash."""
     out = e.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("o"))
     into = e.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("i"))
-    cheap = out.join(into, "node_id", "full_outer").na.fill(0).where(F.least("o", "i") <= 1).select("node_id")
-    cheap = settled(cheap)
-    rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c), F.col(c))
-    both = e.join(cheap.withColumnRenamed("node_id", "src"), "src", "left_semi").join(cheap.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    cheap = settled(out.join(into, "node_id", "full_outer").na.fill(0).select("node_id", F.least("o", "i").alias("k")).where("k <= 1"))
+    rank = lambda c: F.struct(F.col(f"k_{c}"), F.xxhash64(F.lit(turn), c), F.col(c))
+    both = e.join(cheap.toDF("src", "k_src"), "src").join(cheap.toDF("dst", "k_dst"), "dst")
     losers = both.select(F.when(rank("src") > rank("dst"), F.col("src")).otherwise(F.col("dst")).alias("node_id")).distinct()
-    return settled(cheap.join(losers, "node_id", "left_anti"))
+    return settled(cheap.select("node_id").join(losers, "node_id", "left_anti"))
 
 
 def _spread(e: DataFrame, own: DataFrame, merge: Callable[[Column], Column], along: Callable[[Column, Column], Column]) -> DataFrame:

@@ -119,17 +119,37 @@ def impact_chain(edges: DataFrame, node_id: int, total: int) -> DataFrame:
     return both.withColumn("severity", F.when((F.col("ratio") > 0.3) | (n > 10), "high").when((F.col("ratio") > 0.1) | (n > 3), "medium").otherwise("low"))
 
 
+def _all_paths(steps: DataFrame, start: int, end: int, max_depth: int, most: int) -> DataFrame | None:
+    """path of all simple paths, by steps (at, next, left: from next to the end), or None if a step makes more beginnings than most."""
+    now = steps.sparkSession.createDataFrame([([start], start)], "path array<long>, at long")
+    found = now.where(F.col("at") == end)
+    for done in range(1, max_depth + 1):
+        free = ~F.array_contains("path", F.col("next")) & (F.col("left") <= max_depth - done)
+        now = settled(now.where(F.col("at") != end).join(steps, "at").where(free).select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at")))
+        n = now.count()
+        if not n:
+            break
+        if n > most:
+            return None
+        found = found.unionByName(now.where(F.col("at") == end))
+    return found
+
+
 def find_paths(edges: DataFrame, start: int, end: int, max_depth: int = 10, max_results: int = 1000) -> DataFrame:
     """path (array), length of the first max_results simple paths from start to end, shortest first, then in order.
 
     Paths are sought length by length. A beginning of a path is followed only if the end is as near as the length leaves (distances to the end are
     found first), and of all beginnings only the first max_results: each may be a path. The others wait, and are taken up, the longest first, if those
-    before them ended in nodes they had been at, and too few paths came of them. So no more than max_results beginnings are held at a time.
+    before them ended in nodes they had been at, and too few paths came of them. So no more than max_results beginnings are held at a time. Where beginnings
+    are few at every step (at most ten times max_results), all are followed at once, with the same result.
     """
     spark = edges.sparkSession
     near = reach(edges, spark.createDataFrame([(end, end)], "origin long, node_id long"), outbound=False, depth=max_depth)
     near = near.groupBy("node_id").agg(F.min("depth").alias("left"))
     steps = settled(simple_edges(edges).select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct().join(near.withColumnRenamed("node_id", "next"), "next"))
+    few = _all_paths(steps, start, end, max_depth, 10 * max_results)
+    if few is not None:
+        return few.select("path", (F.size("path") - 1).cast("long").alias("length")).orderBy("length", "path").limit(max_results)
     first = near.where(F.col("node_id") == start).select("left").collect()  # a row or none
     parts: list[DataFrame] = []
     n = 0

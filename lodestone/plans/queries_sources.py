@@ -54,9 +54,10 @@ def s06_schema_cards(t):
     return S.cards(t.spark, folder, lines=True).select(F.lit("card").alias("kind"), "fingerprint", "filepath")
 
 
-@query("SELECT 1 AS step, 'copy' AS action, 'a \"b\"' AS file UNION ALL SELECT 2, 'rewrite', 'c\\d'")
+@query("SELECT CAST(n_nationkey AS INT) AS step, CASE WHEN n_regionkey % 2 = 0 THEN 'copy' ELSE 'rewrite' END AS action, CASE WHEN n_regionkey = 1 THEN 'a \"' || n_name || '\"' ELSE 'c\\' || n_name END AS file FROM {nation}")
 def s12_toml_plan(t):
-    steps = t.spark.createDataFrame([(1, "copy", 'a "b"'), (2, "rewrite", "c\\d")], "step int, action string, file string")
+    file = F.when(F.col("n_regionkey") == 1, F.concat(F.lit('a "'), "n_name", F.lit('"'))).otherwise(F.concat(F.lit("c\\"), "n_name"))
+    steps = t.nation.select(F.col("n_nationkey").cast("int").alias("step"), F.when(F.col("n_regionkey") % 2 == 0, "copy").otherwise("rewrite").alias("action"), file.alias("file"))
     lines = K.plan_lines(t.spark.createDataFrame([("p",)], "id string"), steps, t.spark.createDataFrame([], "id string"))
     text = "\n".join(r.line for r in lines.orderBy("section", "place").collect())  # a plan is a small document
     return S.plan(t.spark, text, "steps").select(F.col("step").cast("int").alias("step"), "action", "file")
@@ -493,31 +494,37 @@ def a30_hook_summary(t):
     return runs.groupBy("hook").agg(F.count("*").alias("runs"), F.count("error").alias("failed"))
 
 
-def _tree(t, **files):
-    """A folder with text files, one of a line each, in the directories named."""
+def _tree(t, *directories):
+    """A folder with the registry's file names as lines of text files, each k-th row in the k-th of the directories."""
     root = _folder(t)
-    for place, (directory, text) in files.items():
-        t.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/{directory}/{place}")
+    for k, directory in enumerate(directories):
+        t.registry.where(F.col("doc_id") % len(directories) == k).select("filename").write.text(f"{root}/{directory}")
     return root
 
 
-@query("SELECT 'src/a' AS dir, 'one' AS text UNION ALL SELECT 'src/deep/b', 'two'")
+def _lines_of(found):
+    """dir, line of scanned text files."""
+    return S.texts(found).select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+
+
+@query("SELECT CASE doc_id % 6 WHEN 0 THEN 'src/a' ELSE 'src/deep/b' END AS dir, filename AS line FROM {registry} WHERE doc_id % 6 < 2")
 def s22_protected_walk(t):
-    root = _tree(t, a=("src", "one"), b=("src/deep", "two"), c=("node_modules", "no"), d=("src/.git", "no"), e=("x/vendor/y", "no"), f=("locked", "no"))
-    found = S.scan(t.spark, root, extensions=(".txt",), ignored=(*S.IGNORED, "locked"))
-    return S.texts(found).select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.trim(F.replace("text", F.lit("\n"), F.lit(""))).alias("text"))
+    root = _tree(t, "src/a", "src/deep/b", "node_modules/c", "src/.git/d", "x/vendor/y/e", "locked/f")
+    return _lines_of(S.scan(t.spark, root, extensions=(".txt",), ignored=(*S.IGNORED, "locked")))
 
 
-@query("SELECT 'src/b' AS dir UNION ALL SELECT 'src-native/c' ORDER BY dir")
+@query("SELECT CASE doc_id % 4 WHEN 1 THEN 'src/b' ELSE 'src-native/c' END AS dir, filename AS line FROM {registry} WHERE doc_id % 4 IN (1, 2)")
 def s04_project_files(t):
-    root = _tree(t, a=("docs", "no"), b=("src", "one"), c=("src-native", "two"), d=("src-other", "no"))
-    found = S.texts(S.scan(t.spark, root, extensions=(".txt",)), "src", "src-native").orderBy("path")
-    return found.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"))
+    found = S.scan(t.spark, _tree(t, "docs/a", "src/b", "src-native/c", "src-other/d"), extensions=(".txt",))
+    paths = S.texts(found, "src", "src-native").select("path").orderBy("path")
+    return _lines_of(found.join(paths, "path", "left_semi"))
 
 
-@query("SELECT sha256('one' || chr(10)) AS sha, 4 AS bytes")
+@query("SELECT dir, sha256(string_agg(filename || chr(10), '' ORDER BY filename)) AS sha, CAST(sum(length(filename) + 1) AS BIGINT) AS bytes FROM {registry} GROUP BY dir")
 def s02_file_hash(t):
-    return S.scan(t.spark, _tree(t, a=("src", "one")), extensions=(".txt",)).select(F.col("sha256").alias("sha"), F.col("bytes").cast("int").alias("bytes"))
+    root = _folder(t)
+    t.registry.select("dir", "filename").repartition("dir").sortWithinPartitions("dir", "filename").write.partitionBy("dir").text(root)
+    return S.scan(t.spark, root, extensions=(".txt",)).select(F.regexp_extract("path", "dir=([^/]*)/", 1).alias("dir"), F.col("sha256").alias("sha"), F.col("bytes").cast("long").alias("bytes"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'n-button,n-icon' ELSE 'u-card' END AS tags FROM {registry}")

@@ -184,7 +184,7 @@ def test_paths_of_dense_layers(spark):
 
 
 @pytest.mark.parametrize("most", [3, 1000])
-def test_paths_against_brute_force(spark, most):
+def test_paths_against_brute_force(spark, monkeypatch, most):
     rng = random.Random(5)
     pairs = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(30)})
     out = {}
@@ -198,6 +198,8 @@ def test_paths_against_brute_force(spark, most):
         elif len(p) <= 6:
             todo += [[*p, n] for n in out.get(p[-1], ()) if n not in p]
     expected = sorted(found, key=lambda p: (len(p), p))[:most]
+    if most == 3:  # the way of many paths
+        monkeypatch.setattr(G, "_all_paths", lambda *_: None)
     assert [r.path for r in G.find_paths(edges(spark, pairs), 0, 8, 6, most).collect()] == expected
 
 

@@ -59,3 +59,25 @@ def test_chains_of_exports(spark):
     wanted = spark.createDataFrame([("a", "x"), ("a", "y"), ("s", "y"), ("s", "default"), ("l1", "q"), ("d0", "n"), ("nowhere", "n")], "path string, name string")
     got = {(r.path, r.name): r.chain for r in P.export_chains(wanted, reexports, stars, own).collect()}
     assert got == {("a", "x"): ["a", "b", "c", "own"], ("a", "y"): ["a", "b", "c", "own"], ("s", "y"): ["s", "c", "own"], ("s", "default"): ["s"], ("l1", "q"): ["l1", "l2"], ("d0", "n"): [f"d{i}" for i in range(6)], ("nowhere", "n"): ["nowhere"]}
+
+
+def test_rules_are_spelled_out():
+    from lodestone.functions import intent_rules as I
+
+    assert I.spelled("schema[-_]?card") == [("schema-card", False), ("schema_card", False), ("schemacard", False)]
+    assert I.spelled("types?$") == [("type", True), ("types", True)] and I.spelled("AST") == [("ast", False)] and I.spelled("") == I.spelled("$") == []
+    assert I.spelled("better-sqlite3") == [("better-sqlite3", False)]
+
+
+def test_first_rule_of_odd_names(spark):
+    from lodestone.functions import intent_rules as I
+
+    rules = I.rule_table(spark, [("ab", "first"), ("b$", "second"), ("a", "third"), ("", "never"), ("ab", "later")])
+    names = spark.createDataFrame([("xABy",), ("cb",), ("bc",), ("A",), ("",), (None,), ("cb",)], "name string")
+    assert sorted((r.name, r.output) for r in I.first_rule(names, rules).collect()) == [("A", "third"), ("cb", "second"), ("xABy", "first")]
+    assert I.first_rule(names, rules.limit(0)).collect() == []
+    nothing = spark.createDataFrame([], "path string, ordinal int, specifier string")
+    files = spark.createDataFrame([("a/cli.sh",), ("b/qqq.js",)], "path string")
+    got = {r.path: (r.purpose, r.depends_on, r.value) for r in I.intents(files, nothing, nothing.withColumnRenamed("specifier", "name")).collect()}
+    assert got["b/qqq.js"] == ("Source module at b/qqq.js ???", "No external dependencies ???", "Internal module with no public exports ???")
+    assert got["a/cli.sh"][0] == "Command-line interface ???" and got["a/cli.sh"][2].startswith("Command-line interface for project")
