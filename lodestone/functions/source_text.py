@@ -136,20 +136,20 @@ def export_chains(wanted: DataFrame, reexports: DataFrame, stars: DataFrame, own
 
     wanted: path, name. reexports: path, ordinal, name (as exported), local (its name in target), target. stars: path, ordinal, target (all of whose exports are
     exported on). own: path, name. A file hands a name on by its first statement that does; a chain ends where no statement does, after depth + 1 files, or
-    before a file that it has been at. A recursive query follows all chains at once, a row a chain and step.
+    before a file that it has been at. All chains are followed at once, a join a step: a recursive query has a bound on its rows (cteRecursionRowLimit).
     """
     there = star_closure(stars, own.unionByName(reexports.select("path", "name")))
     from_stars = stars.join(there.withColumnRenamed("path", "target"), "target").select("path", "ordinal", "target", "name", F.col("name").alias("local"))
     named = reexports.select("path", "ordinal", "target", F.explode(F.array_distinct(F.array("name", "local"))).alias("name"), "local")
     steps = settled(named.unionByName(from_stars).groupBy("path", "name").agg(F.min_by(F.struct("target", "local"), "ordinal").alias("_x")).select("path", "name", "_x.target", "_x.local"))
-    walk = """
-    WITH RECURSIVE walk(path, name, at, called, chain) AS (
-      SELECT path, name, path, name, array(path) FROM {wanted}
-      UNION ALL
-      SELECT w.path, w.name, s.target, s.local, array_append(w.chain, s.target) FROM walk w JOIN {steps} s ON s.path = w.at AND s.name = w.called
-      WHERE size(w.chain) <= {depth} AND NOT array_contains(w.chain, s.target)
-    ) SELECT path, name, max_by(chain, size(chain)) AS chain FROM walk GROUP BY path, name"""
-    return wanted.sparkSession.sql(walk, wanted=wanted.select("path", "name").distinct(), steps=steps, depth=depth)
+    level = wanted.select("path", "name").distinct().withColumns({"at": F.col("path"), "called": F.col("name"), "chain": F.array("path")})
+    walk = level
+    keys = steps.toDF("at", "called", "_target", "_local")
+    for _ in range(depth):
+        further = level.join(keys, ["at", "called"]).where(~F.array_contains("chain", F.col("_target")))
+        level = settled(further.select("path", "name", F.col("_target").alias("at"), F.col("_local").alias("called"), F.array_append("chain", F.col("_target")).alias("chain")))
+        walk = walk.unionByName(level)
+    return walk.groupBy("path", "name").agg(F.max_by("chain", F.size("chain")).alias("chain"))
 
 
 def commands_invoked(text: Column) -> Column:

@@ -61,6 +61,21 @@ def test_chains_of_exports(spark):
     assert got == {("a", "x"): ["a", "b", "c", "own"], ("a", "y"): ["a", "b", "c", "own"], ("s", "y"): ["s", "c", "own"], ("s", "default"): ["s"], ("l1", "q"): ["l1", "l2"], ("d0", "n"): [f"d{i}" for i in range(6)], ("nowhere", "n"): ["nowhere"]}
 
 
+def test_chains_of_exports_have_no_bound_on_rows(spark):
+    from lodestone.functions import source_text as P
+
+    links = spark.range(40).selectExpr("'f' || id as path", "0 as ordinal", "'n' as name", "'n' as local", "'f' || (id + 1) as target")
+    bound = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, 50)
+    try:
+        found = P.export_chains(links.select("path", "name"), links, links.select("path", "ordinal", "target").limit(0), links.select("path", "name").limit(0))
+        got = {r.path: r.chain for r in found.collect()}
+    finally:
+        spark.conf.set(bound, before)
+    assert got == {f"f{i}": [f"f{k}" for k in range(i, min(i + 5, 40) + 1)] for i in range(40)}
+
+
 def test_rules_are_spelled_out():
     from lodestone.functions import intent_rules as I
 
