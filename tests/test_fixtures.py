@@ -196,6 +196,31 @@ def test_scan_and_identity(spark, tmp_path):
     assert got == {"a": ("2020-01-01T00:00:00.000Z", "stat-birthtime"), "b": ("2021-01-01T00:00:00.000Z", "mtime-fallback"), "c": ("old", "reused-persisted")}
 
 
+@pytest.fixture
+def tables(spark, tmp_path):
+    """A folder of tables, one of them a file, the others folders of parts."""
+    from lodestone.plans.queries_sources import NAMES
+
+    for n in NAMES:
+        spark.range(8).repartition(3).write.parquet(str(tmp_path / f"{n}.parquet"))
+    part = next((tmp_path / "region.parquet").glob("part-*.parquet")).rename(tmp_path / "one")
+    (tmp_path / "region.parquet").rename(tmp_path / "_other")
+    part.rename(tmp_path / "region.parquet")
+    (tmp_path / "region.txt").write_text("x")
+    return tmp_path, sorted(f"{n}.parquet" for n in NAMES)
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_a_scan_takes_tables_in_parts(spark, tables, scheme):
+    from lodestone import registry
+
+    folder, names = tables
+    registry.load()
+    assert sorted(tuple(r) for r in registry.QUERIES["s01_scan"](spark, f"{scheme}{folder}").collect()) == [(n, True) for n in names]
+    deep = spark.createDataFrame([("a.b/c.js", 1), ("t.js/part-0.js", 2), ("x/t.js/part-1.js", 3), ("x/t.js/part-2.js", 4), ("no/ext", 5), ("no/other", 6)], "path string, bytes long")
+    assert sorted(tuple(r) for r in files.whole(deep).collect()) == [("a.b/c.js", 1), ("no/ext", 5), ("no/other", 6), ("t.js", 2), ("x/t.js", 7)]
+
+
 def test_plan_shapes_and_sinks(spark, tmp_path):
     assert [r.id for r in files.plan(spark, '[[steps]]\nid = "a"\n[[steps]]\nid = "b"\n', "steps").orderBy("id").collect()] == ["a", "b"]
     df = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "id string, v int")
