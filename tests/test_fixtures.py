@@ -221,6 +221,13 @@ def test_a_scan_takes_tables_in_parts(spark, tables, scheme):
     assert sorted(tuple(r) for r in files.whole(deep).collect()) == [("a.b/c.js", 1), ("no/ext", 5), ("no/other", 6), ("t.js", 2), ("x/t.js", 7)]
 
 
+def test_a_scan_passes_by_own_tables_in_parts(spark, tables):
+    from lodestone import registry
+
+    registry.load()
+    assert [r.path for r in registry.QUERIES["s03_scan_without"](spark, str(tables[0])).collect()] == ["documents.parquet"]
+
+
 def test_plan_shapes_and_sinks(spark, tmp_path):
     assert [r.id for r in files.plan(spark, '[[steps]]\nid = "a"\n[[steps]]\nid = "b"\n', "steps").orderBy("id").collect()] == ["a", "b"]
     df = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "id string, v int")
