@@ -228,6 +228,18 @@ def test_a_scan_passes_by_own_tables_in_parts(spark, tables):
     assert [r.path for r in registry.QUERIES["s03_scan_without"](spark, str(tables[0])).collect()] == ["documents.parquet"]
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_a_listing_shows_folders(spark, tables, scheme):
+    from lodestone import registry
+
+    folder, names = tables
+    registry.load()
+    assert sorted(r.path for r in registry.QUERIES["s05_listing"](spark, f"{scheme}{folder}").collect()) == names
+    got = {r.path: r.folder for r in files.listing(spark, f"{scheme}{folder}").collect()}
+    assert got == {**{n: n != "region.parquet" for n in names}, "region.txt": False}
+    assert all(not r.folder and r.path.startswith("part.parquet/part-") for r in files.listing(spark, f"{scheme}{folder}", "part.parquet").collect())
+
+
 def test_plan_shapes_and_sinks(spark, tmp_path):
     assert [r.id for r in files.plan(spark, '[[steps]]\nid = "a"\n[[steps]]\nid = "b"\n', "steps").orderBy("id").collect()] == ["a", "b"]
     df = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "id string, v int")
