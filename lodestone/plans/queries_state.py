@@ -8,10 +8,10 @@ from lodestone.registry import query
 from lodestone.streaming import state as S
 
 
-def _feed(t, df, files=1):
+def _feed(t, df):
     """df as a stream, from JSON files that were written to a folder."""
     source = _folder(t)
-    df.repartition(files).write.json(source)
+    df.write.json(source)
     S.with_store(t.spark)
     return t.spark.readStream.schema(df.schema).json(source)
 

@@ -3,7 +3,12 @@
 import json
 import pathlib
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lodestone.operators import snapshots
@@ -102,6 +107,63 @@ def test_bursts_equal_one_timer(spark, tmp_path, files):
     assert seconds == flushed(events, 5)
 
 
+def test_bursts_keep_paths_that_are_null(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    write(folder, "a.json", [event(None, "add", 1), event("p", "add", 2), event(None, "add", 900), event("", state.HEARTBEAT, 2000), event("", state.HEARTBEAT, 3000)])
+    state.run_all(state.bursts(source(spark, folder), 5000, buckets=3), out, str(tmp_path / "ck"))
+    got = sorted(((r.ended - r.started).seconds, r.path, r.type) for r in spark.read.parquet(out).where("minute(started) < 5").collect() if r.path)
+    assert got == [(1, "p", "add")]
+    assert spark.read.parquet(out).where("path is null").count() == 2
+
+
+class _Held:
+    """The states of one key, in memory."""
+
+    def __init__(self):
+        self.maps = {}
+
+    def getValueState(self, name, schema):
+        held = self.maps.setdefault(name, {})
+        return SimpleNamespace(get=lambda: held.get(0), exists=lambda: 0 in held, update=lambda v: held.update({0: v}), clear=held.clear)
+
+    def getMapState(self, name, user, schema):
+        held = self.maps.setdefault(name, {})
+        return SimpleNamespace(getValue=held.get, containsKey=held.__contains__, removeKey=lambda k: held.pop(k, None), updateValue=held.__setitem__, keys=lambda: iter(list(held)), clear=held.clear)
+
+
+def test_a_bucket_of_bursts_is_not_held_whole():
+    gap, chunk, bins = 5_000_000, 10_000, 300  # three bursts of 100 bins, and one heartbeat; each chunk has rows of all bins
+    rows = np.arange(chunk)
+    at = lambda b: b * gap + b // 100 * 10 * gap
+    heads = pd.DataFrame([(-1, at(b), None, None, at(b), at(b) + gap - 1, at(b) + gap - 1) for b in range(bins)], columns=["part", "bin", "path", "type", "first", "last", "now"])
+    beat = pd.DataFrame([(-1, at(400), None, None, state.NEVER, state.NEVER, at(400))], columns=heads.columns)
+
+    def chunks(n):
+        for k in range(n):
+            path = (rows + k * 37) % 3000
+            yield pd.DataFrame({"part": path % state.PARTS, "bin": at((rows * 7 + k) % bins), "path": [f"p{x}" for x in path], "type": "add", "first": 0, "last": 0, "now": 0})
+        yield heads
+
+    timer = state._Timer(5000)
+    timer.init(_Held())
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    most, got = 0, []
+    for batch in (chunks(60), iter([beat])):
+        for found in timer.handleInputRows((0,), batch, None):
+            most = max(most, pa.total_allocated_bytes() - before)
+            got.append(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = pd.concat(got)
+    expected = {(int((rows * 7 + k)[i] % bins) // 100, (i + k * 37) % 3000) for k in range(60) for i in range(chunk)}
+    first = {pd.Timestamp(at(100 * b), unit="us", tz="UTC"): b for b in range(3)}
+    assert len(got) == len(expected) and {(first[s], int(p[1:])) for s, p in zip(got["started"], got["path"])} == expected
+    assert set(zip(got["started"].map(first), got["ended"])) == {(b, pd.Timestamp(at(100 * b + 99) + gap - 1, unit="us", tz="UTC")) for b in range(3)}
+    assert peak + most < 40e6, (peak, most)  # 600,000 rows in one frame are over 100 MB
+    assert not timer.span.exists() and not list(timer.pending.keys())
+
+
 def test_a_batch_that_stops_after_publishing_runs_again(spark, tmp_path):
     folder, root, ck = tmp_path / "in", str(tmp_path / "root"), str(tmp_path / "ck")
     empty = spark.createDataFrame([], "path string, kind string")
